@@ -206,66 +206,116 @@ def obfuscated_spans(texts: pd.Series) -> pd.Series:
 
 # -- in the JVM: who needs the UDF --------------------------------------------------------------
 
-# Folded natively on the way to the test; all other characters that NFKC changes go to the UDF.
-_NATIVE_FOLD = {"\u00a0": " ", "\u2026": "...", **CONFUSABLE, **LEET}
-
-
 _ODD_SPACE = r"[\r\x0B\f\x1C-\x1F\x{85}\x{1680}\x{2028}\x{2029}]"
+# Long runs of characters that NFKC leaves alone; tested first, as they make up most text.
+_PLAIN = r"\x{C0}-\x{131}\x{400}-\x{4FF}\x{3041}-\x{3096}\x{30A1}-\x{30FA}\x{4E00}-\x{9FFF}\x{AC00}-\x{D7A3}"
 
 
 @lru_cache(maxsize=1)
 def unusual_characters() -> str:
-    """Java class of the characters whose compatibility form differs, less the natively folded."""
+    """Java class of the characters whose compatibility form differs (no-break space and ellipsis,
+    which the tests below allow for, aside)."""
     ranges: list[list[int]] = []
-    for code in range(sys.maxunicode + 1):
+    for code in range(0xA1, sys.maxunicode + 1):
         char = chr(code)
-        if 0xD800 <= code <= 0xDFFF or char in _NATIVE_FOLD:
+        if 0xD800 <= code <= 0xDFFF or char == "\u2026":
             continue
-        if unicodedata.normalize("NFKC", char) != char:
+        if unicodedata.normalize("NFKC", char) != char or char == "\u3002":
             if ranges and ranges[-1][1] == code - 1:
                 ranges[-1][1] = code
             else:
                 ranges.append([code, code])
-    return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in ranges) + "]"
+    listed = "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in ranges)
+    return rf"[\x{{A1}}-\x{{10FFFF}}&&[^{_PLAIN}]&&[{listed}]]"
 
 
-def normalize_text(text: Column) -> Column:
-    """Folded text as a column, for the characters folded natively."""
-    out = text
-    for char in ZERO_WIDTH:
-        out = F.replace(out, F.lit(char), F.lit(""))
-    for char, plain in _NATIVE_FOLD.items():
-        out = F.replace(out, F.lit(char), F.lit(plain))
+_ALNUM = r"[\p{L}\p{N}]"
+_GAP = r"[\s\x{A0}_-]*+"
+_LOOKALIKE = {"o": "[o0\u043e]", "i": "[i1]", "e": "[e3\u0435]", "a": "[a4\u0430]", "s": "[s5]", "t": "[t7]"}
+
+
+def _loosely(word: str) -> str:
+    """The word with look-alike letters and single hyphens or underscores between letters."""
+    return "[_-]?".join(_LOOKALIKE.get(c, c) for c in word)
+
+
+def _any_of(*words: str) -> str:
+    return "(?:" + "|".join(_loosely(w) for w in words) + ")"
+
+
+def _alone(word: str) -> str:
+    return f"(?<!{_ALNUM})" + "".join(_LOOKALIKE.get(c, c) for c in word) + f"(?!{_ALNUM})"
+
+
+def may_be_obfuscated(text: Column) -> Column:
+    """False only if folding and scanning the text would yield nothing.
+
+    Every test is on the raw text and looser than what the folded match needs. Digits other than
+    2, 6, 8 and 9 turn into letters, so few folded numbers are possible.
+    """
+    at = f"(?:@|{_alone('at')})"
+    dot = f"(?:[.\u2026]|{_alone('dot')})"
+    host = rf"(?:(?:{_ALNUM}++(?:[_-]+{_ALNUM}++)*|\.){_GAP}{dot}|\u2026)"
+    digit = r"[2689[\p{Nd}&&[^\x00-\x7F]]]"
+    octet = rf"{digit}(?:[_-]?{digit}){{0,2}}"
+    hexes = rf"[a-f234689\u0430\u0435](?:[_-]?[a-f234689\u0430\u0435]){{0,3}}"
+
+    def found(pattern: str) -> Column:
+        return F.rlike(text, F.lit("(?iu)" + pattern))
+
+    email_ok = ~F.contains(text, F.lit("@")) | found(" at | dot ")
+    return (
+        found("[\u200b\u200c\u200d\ufeff]")
+        | found("http| dot ")
+        | (found(f"{at}{_GAP}{host}{_GAP}{_ALNUM}") & email_ok)
+        | found(rf"{dot}{_GAP}{_any_of('corp', 'internal', 'local', 'lan', 'example')}")
+        | found(f"/{_any_of('users', 'home', 'var', 'etc', 'opt', 'srv')}/")
+        | found(rf"{_any_of('secret', 'token', 'password')}{_GAP}[=:]")
+        | found(rf"(?<!{_ALNUM}){_any_of('sk')}[_-]*[\s\x{{A0}}-]")
+        | found(rf"(?<!{_ALNUM}){_any_of('akia', 'eyj')}")
+        | found("[slbv5]://|-----b")
+        | found(rf":{hexes}:")
+        | found(rf"(?:{octet}{_GAP}{dot}{_GAP}){{3}}{digit}")
+        | found(rf"(?:{digit}[\s\x{{A0}}._()+\u2026-]*+){{10}}")
+        | F.rlike(text, F.lit(unusual_characters()))
+        | F.rlike(text, F.lit(f"[.@_-][ \\t\\n]*+{_ODD_SPACE}|{_ODD_SPACE}[ \\t\\n]*+[.@_-]"))
+    )
+
+
+# -- text only: the folded form as a column -----------------------------------------------------
+
+
+def fold_text(text: Column) -> Column:
+    """Fold common look-alikes, drop zero-width characters, read "at" and "dot" as symbols."""
+    out = F.translate(text, "".join(CONFUSABLE) + "\u00a0" + ZERO_WIDTH, "".join(CONFUSABLE.values()) + " ")
     out = F.regexp_replace(out, java_pattern(r"\bat\b"), "@")
     out = F.regexp_replace(out, java_pattern(r"\bdot\b"), ".")
-    # Drop separators next to . or @, then hyphens and underscores inside words.
-    out = F.regexp_replace(out, r"([.@])[ \t\n]*[-_]?|[-_]?[ \t\n]*(?=[.@])", "$1")
-    out = F.regexp_replace(out, r"([\p{L}\p{N}][ \t\n]*)[-_](?=[ \t\n]*[\p{L}\p{N}])", "$1")
-    return out
+    out = F.regexp_replace(out, java_pattern(r"\s*@\s*"), "@")
+    return F.regexp_replace(out, java_pattern(r"\s*\.\s*"), ".")
 
 
-def may_be_obfuscated(text: Column) -> Column:
-    """False only if folding and scanning the text would yield nothing."""
-    zero_width = F.rlike(text, F.lit("[\\x{200B}\\x{200C}\\x{200D}\\x{FEFF}]"))
-    unusual = F.rlike(text, F.lit(unusual_characters()))
-    url_ok = F.rlike(text, F.lit("(?i)http| dot "))
-    email_ok = ~F.contains(text, F.lit("@")) | F.rlike(text, F.lit("(?i) at | dot "))
-
-    def on_folded(plain: Column) -> Column:
-        test = F.lit(False)
-        for pattern in BUILTIN + SECRETS:
-            hit = F.rlike(plain, F.lit(pattern.guard)) & F.rlike(plain, F.lit(java_pattern(pattern.pattern)))
-            if pattern.category == "private_email":
-                hit = email_ok & hit
-            elif pattern.category == "private_url":
-                hit = url_ok & hit
-            test = test | hit
-        split_secret = F.rlike(plain, F.lit(java_pattern(r"\bsk[\s-]")))
-        return (plain != text) & (test | split_secret)
-
-    # Other kinds of white space next to a separator are folded in the UDF only.
-    odd_space = F.rlike(text, F.lit(f"[.@_-][ \t\n]*{_ODD_SPACE}|{_ODD_SPACE}[ \t\n]*[.@_-]"))
-    return zero_width | unusual | odd_space | bind(normalize_text(text), on_folded)
+def unleet_text(text: Column) -> Column:
+    return F.translate(text, "".join(LEET), "".join(LEET.values()))
+
+
+def normalize_text(text: Column) -> Column:
+    """Full text-level fold: also joins spaced-out characters and split keys."""
+    from textguard.functions.regex import match_spans
+    from textguard.operators.act import splice
+
+    def joined(source: Column, pattern: str, skip: int, lead: str) -> Column:
+        return splice(
+            source,
+            match_spans(source, java_pattern(pattern)),
+            lambda s: F.concat(
+                F.lit(lead), F.regexp_replace(F.substr(s["value"], F.lit(skip + 1)), r"[\s_-]+", "")
+            ),
+        )
+
+    out = F.regexp_replace(fold_text(text), java_pattern(r"\b([A-Za-z0-9])(?:[\s-]+)(?=[A-Za-z0-9]\b)"), "$1")
+    out = bind(out, lambda t: joined(t, r"\bsk[\s-]+[a-z0-9][a-z0-9\s_-]{8,}", 2, "sk-"))
+    out = bind(out, lambda t: joined(t, r"\bAKIA(?:[\s-]+[A-Z0-9]+){3,}", 0, ""))
+    return unleet_text(out)
 
 
 def normalized_findings(text: Column) -> Column:

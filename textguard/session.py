@@ -19,6 +19,7 @@ def local_session(cpus: str = "8", app: str = "textguard", **conf: str) -> Spark
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
     )
     for key, value in conf.items():
