@@ -21,10 +21,8 @@ def lookup_join(facts: DataFrame, table: DataFrame, keys: list[str]) -> DataFram
     """
     values = [c for c in table.columns if c not in keys]
     per_key = facts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    total = per_key.agg(F.sum("_n").alias("_total"))
-    hot_keys = (
-        per_key.join(F.broadcast(total), per_key["_n"] * HOT_SHARE > total["_total"]).select(*keys)
-    )
+    total = per_key.agg(F.sum("_n")).scalar()
+    hot_keys = per_key.where(F.col("_n") * HOT_SHARE > total).select(*keys)
     hot = table.join(F.broadcast(hot_keys), keys, "left_semi").select(
         *keys, F.struct(*values).alias("_hot")
     )

@@ -24,9 +24,9 @@ DEFAULT_DEPTH = 12
 
 def parse_payloads(df: DataFrame, payload: str = "payload") -> DataFrame:
     """Add ``_json`` (variant) and ``malformed``: not JSON, or not an object."""
-    parsed = F.try_parse_json(F.col(payload))
-    return df.withColumn("_json", parsed).withColumn(
-        "malformed", F.coalesce(~F.schema_of_variant("_json").startswith("OBJECT"), F.lit(True))
+    is_object = F.col("_json").isNotNull() & F.rlike(payload, F.lit(r"^\s*+\{"))
+    return df.withColumn("_json", F.try_parse_json(F.col(payload))).withColumn(
+        "malformed", ~F.coalesce(is_object, F.lit(False))
     )
 
 
@@ -90,8 +90,7 @@ def extract_items(
 
 def is_json_text(text: Column) -> Column:
     """A string that itself holds a JSON object or array."""
-    opens = F.left(F.ltrim(text), F.lit(1)).isin("{", "[")
-    return opens & F.try_parse_json(text).isNotNull()
+    return F.rlike(text, F.lit(r"^\s*+[\[{]")) & F.try_parse_json(text).isNotNull()
 
 
 def path_text(path: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections import OrderedDict
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textguard.functions.skew import lookup_join, sliced
@@ -23,7 +23,7 @@ def idle_epochs(accesses: DataFrame, conversation: str, ts: str, ttl_seconds: in
         accesses.select(
             F.col(conversation),
             _bucket(ts, ttl_seconds).alias("_bucket"),
-            F.unix_micros(ts).alias("_at"),
+            micros(ts).alias("_at"),
         )
         .groupBy(conversation, "_bucket")
         .agg(F.min("_at").alias("_first"), F.max("_at").alias("_last"))
@@ -37,8 +37,12 @@ def idle_epochs(accesses: DataFrame, conversation: str, ts: str, ttl_seconds: in
     )
 
 
-def _bucket(ts: str, ttl_seconds: int):
-    return F.floor(F.unix_micros(F.col(ts)) / F.lit(ttl_seconds * 1_000_000)).cast("bigint")
+def micros(ts: str) -> Column:
+    return F.unix_micros(F.col(ts).cast("timestamp"))
+
+
+def _bucket(ts: str, ttl_seconds: int) -> Column:
+    return micros(ts) - F.pmod(micros(ts), F.lit(ttl_seconds * 1_000_000))
 
 
 def with_idle_epoch(accesses: DataFrame, conversation: str, ts: str, ttl_seconds: int) -> DataFrame:
@@ -64,7 +68,7 @@ def vault_accesses(
     that, every slice is swept on its own.
     """
     rows = sliced(
-        accesses.select(F.col(conversation).alias("c"), F.unix_micros(ts).alias("t"), F.col(tie).alias("i")),
+        accesses.select(F.col(conversation).alias("c"), micros(ts).alias("t"), F.col(tie).alias("i")),
         [F.col("t"), F.col("i")],
     )
     carried = _carried_in(rows, max_conversations)
@@ -100,7 +104,7 @@ def vault_accesses(
     )
     return swept.join(offsets, ["_slice", "c"]).select(
         F.col("c").alias(conversation),
-        F.timestamp_micros("t").alias(ts),
+        F.timestamp_micros("t").cast(dict(accesses.dtypes)[ts]).alias(ts),
         F.col("i").alias(tie),
         "hit",
         (F.col("misses") + F.col("_before") - 1).alias("epoch"),
