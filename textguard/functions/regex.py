@@ -15,12 +15,28 @@ _WORD = r"\p{L}\p{N}_"
 _DIGIT = r"\p{Nd}"
 _SPACE = r"\p{IsWhite_Space}\x{1C}-\x{1F}"
 _CLASSES = {"w": _WORD, "d": _DIGIT, "s": _SPACE}
-_BOUNDARY = rf"(?:(?<=[{_WORD}])(?![{_WORD}])|(?<![{_WORD}])(?=[{_WORD}]))"
-_NO_BOUNDARY = rf"(?:(?<=[{_WORD}])(?=[{_WORD}])|(?<![{_WORD}])(?![{_WORD}]))"
+_AFTER_WORD, _BEFORE_WORD = rf"(?<=[{_WORD}])", rf"(?=[{_WORD}])"
+_NOT_AFTER_WORD, _NOT_BEFORE_WORD = rf"(?<![{_WORD}])", rf"(?![{_WORD}])"
+_BOUNDARY = f"(?:{_AFTER_WORD}{_NOT_BEFORE_WORD}|{_NOT_AFTER_WORD}{_BEFORE_WORD})"
+_NO_BOUNDARY = f"(?:{_AFTER_WORD}{_BEFORE_WORD}|{_NOT_AFTER_WORD}{_NOT_BEFORE_WORD})"
+# One element that can only match word characters, at the start and at the end of a pattern piece.
+_STARTS_WITH_WORD = re.compile(r"(?:[A-Za-z0-9_]|\[(?:[A-Za-z0-9]-[A-Za-z0-9]|[A-Za-z0-9_])+\])(?![*?]|\{0?,)")
+_ENDS_WITH_WORD = re.compile(
+    r"(?:(?<!\\)[A-Za-z0-9_]|(?<!\\)\[(?:[A-Za-z0-9]-[A-Za-z0-9]|[A-Za-z0-9_])+\])(?:\+|\{[1-9][0-9]*,?[0-9]*\})?$"
+)
 
 SPAN_TYPE = "struct<start:int,end:int,value:string>"
 
 
+def _boundary(before: str, after: str) -> str:
+    """Word boundary; a one-sided look suffices where the neighbour is known to be a word character."""
+    if _STARTS_WITH_WORD.match(after):
+        return _NOT_AFTER_WORD
+    if _ENDS_WITH_WORD.search(before):
+        return _NOT_BEFORE_WORD
+    return _BOUNDARY
+
+
 def java_pattern(pattern: str, multiline: bool = True) -> str:
     """Spell a Python ``re`` pattern (ignoring case) so that Spark's regex functions agree with it."""
     out: list[str] = []
@@ -37,7 +53,7 @@ def java_pattern(pattern: str, multiline: bool = True) -> str:
             elif nxt.lower() in _CLASSES:
                 out.append(f"[^{_CLASSES[nxt.lower()]}]")
             elif nxt == "b" and not in_class:
-                out.append(_BOUNDARY)
+                out.append(_boundary(pattern[: i - 2], pattern[i:]))
             elif nxt == "b":
                 out.append(r"\x08")
             elif nxt == "B":
@@ -83,33 +99,56 @@ def java_keyword(value: str) -> str:
     return "(?iu)" + re.sub(r"([!-/:-@\[-`{-~])", r"\\\1", value)
 
 
-def match_spans(text: Column, pattern: str, when: Column | None = None) -> Column:
-    """All non-overlapping matches of a (non-empty-matching) Java pattern as ``array<SPAN_TYPE>``.
+def sql_string(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def sql_name(column: str) -> str:
+    return f"coalesce(`{column}`, '')"
+
+
+def matches_sql(text: str, pattern: str, guard: str | None = None, labels: dict[str, str] | None = None) -> str:
+    """SQL for the matches of a (non-empty-matching) Java pattern in a text expression, else null.
 
-    Spark returns match values but no offsets. The pieces between matches (``split``) give them: a
-    match starts after all earlier pieces and matches. ``when`` is a cheap test that must be true for
-    any match to exist; rows that fail it skip the regex.
+    Yields ``named_struct('values', matches, 'pieces', what precedes each match, labels...)``. The
+    regex runs once, and ``split`` only where there is a match. ``guard`` is a cheaper pattern that
+    every text with a match also matches. (Detectors are built as SQL text: a policy has dozens of
+    them, and one parse is much faster than hundreds of column calls.)
     """
-    empty = F.array().cast(f"array<{SPAN_TYPE}>")
+    extra = "".join(f", '{name}', {value}" for name, value in (labels or {}).items())
+    p = sql_string(pattern)
+    found = f"""transform(array(regexp_extract_all({text}, {p}, 0)), v -> CASE WHEN size(v) > 0 THEN
+        named_struct('values', v, 'pieces', slice(split({text}, {p}, -1), 1, size(v)){extra}) END)[0]"""
+    return found if guard is None else f"CASE WHEN rlike({text}, {sql_string(guard)}) THEN {found} END"
+
+
+def spans_of(matches: Column) -> Column:
+    """Offsets of matches as ``array<SPAN_TYPE>``.
+
+    Spark returns match values but no offsets. The pieces between matches give them: a match starts
+    after all earlier pieces and matches.
+    """
+    pairs = F.zip_with(
+        matches["pieces"],
+        matches["values"],
+        lambda piece, value: F.struct(F.char_length(piece).alias("gap"), value.alias("value")),
+    )
 
-    def with_offsets(values: Column) -> Column:
-        pieces = F.slice(F.split(text, pattern, -1), 1, F.size(values))
-        pairs = F.zip_with(
-            pieces, values, lambda piece, value: F.struct(F.char_length(piece).alias("gap"), value.alias("value"))
+    def step(position: Column, pair: Column) -> Column:
+        start = position + pair["gap"]
+        end = start + F.char_length(pair["value"])
+        return F.struct(
+            end.alias("state"),
+            F.array(F.struct(start.alias("start"), end.alias("end"), pair["value"].alias("value"))).alias("emit"),
         )
 
-        def step(position: Column, pair: Column) -> Column:
-            start = position + pair["gap"]
-            end = start + F.char_length(pair["value"])
-            return F.struct(
-                end.alias("state"),
-                F.array(F.struct(start.alias("start"), end.alias("end"), pair["value"].alias("value"))).alias("emit"),
-            )
+    return scan(pairs, F.lit(0), step, f"array<{SPAN_TYPE}>")["out"]
 
-        return scan(pairs, F.lit(0), step, f"array<{SPAN_TYPE}>")["out"]
 
-    spans = bind(
-        F.regexp_extract_all(text, F.lit(pattern), 0),
-        lambda values: F.when(F.size(values) > 0, with_offsets(values)).otherwise(empty),
+def match_spans(text: str, pattern: str, guard: str | None = None) -> Column:
+    """All non-overlapping matches in a text column (by name), as ``array<SPAN_TYPE>``."""
+    found = F.expr(matches_sql(sql_name(text), pattern, guard))
+    return bind(
+        found,
+        lambda m: F.when(m.isNotNull(), spans_of(m)).otherwise(F.array().cast(f"array<{SPAN_TYPE}>")),
     )
-    return spans if when is None else F.when(when, spans).otherwise(empty)

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textguard.functions.regex import java_keyword, java_pattern, match_spans
+from textguard.functions.regex import java_keyword, java_pattern, matches_sql, spans_of, sql_name, sql_string
 from textguard.operators.normalize import normalized_findings
 from textguard.patterns import BUILTIN, SECRETS, Pattern
 from textguard.policy import Policy
@@ -51,23 +51,35 @@ def no_findings() -> Column:
     return F.array().cast(FINDINGS_TYPE)
 
 
-def pattern_findings(text: Column, pattern: Pattern) -> Column:
-    spans = match_spans(text, java_pattern(pattern.pattern), F.rlike(text, F.lit(pattern.guard)))
-    if pattern.skip_suffixes:
-        spans = F.filter(spans, lambda s: ~_ends_with_any(s["value"], pattern.skip_suffixes))
-    return F.transform(
-        spans,
-        lambda s: finding(
-            F.lit(pattern.category), s["start"], s["end"], s["value"], F.lit(pattern.detector), F.lit(pattern.severity)
-        ),
-    )
+def _entry(
+    text: str,
+    pattern: str,
+    category: str,
+    detector: str,
+    severity: str,
+    guard: str | None = None,
+    rule_id: str | None = None,
+    skip: tuple[str, ...] = (),
+) -> str:
+    labels = {
+        "category": sql_string(category),
+        "detector": sql_string(detector),
+        "severity": sql_string(severity),
+        "rule_id": "CAST(NULL AS STRING)" if rule_id is None else sql_string(rule_id),
+        "skip": f"CAST(array({', '.join(map(sql_string, skip))}) AS ARRAY<STRING>)",
+    }
+    return matches_sql(text, pattern, guard, labels)
+
 
+def _pattern_entry(text: str, p: Pattern) -> str:
+    return _entry(text, java_pattern(p.pattern), p.category, p.detector, p.severity, p.guard, None, p.skip_suffixes)
 
-def _ends_with_any(value: Column, suffixes: tuple[str, ...]) -> Column:
-    test = F.lit(False)
-    for suffix in suffixes:
-        test = test | value.endswith(suffix)
-    return test
+
+def _rule_entries(text: str, rule: dict) -> list[str]:
+    detector = "custom_regex" if rule["type"] == "regex" else "keyword"
+    category = rule.get("category", rule["id"])
+    severity = rule.get("severity", "medium")
+    return [_entry(text, p, category, detector, severity, rule_id=rule["id"]) for p in rule_patterns(rule)]
 
 
 def rule_patterns(rule: dict) -> list[str]:
@@ -76,47 +88,71 @@ def rule_patterns(rule: dict) -> list[str]:
     return [java_keyword(value) for value in rule["values"]]
 
 
-def rule_findings(text: Column, rule: dict) -> list[Column]:
-    detector = "custom_regex" if rule["type"] == "regex" else "keyword"
-    category = rule.get("category", rule["id"])
-    severity = rule.get("severity", "medium")
-    return [
-        F.transform(
-            match_spans(text, pattern),
+def _entries_to_findings(entries: list[str]) -> Column:
+    """Findings of several patterns, in the order given. One lambda serves them all."""
+    if not entries:
+        return no_findings()
+
+    def spans(found: Column) -> Column:
+        kept = F.filter(
+            spans_of(found), lambda s: ~F.exists(found["skip"], lambda suffix: F.endswith(s["value"], suffix))
+        )
+        return F.transform(
+            kept,
             lambda s: finding(
-                F.lit(category),
+                found["category"],
                 s["start"],
                 s["end"],
                 s["value"],
-                F.lit(detector),
-                F.lit(severity),
-                rule_id=F.lit(rule["id"]),
+                found["detector"],
+                found["severity"],
+                rule_id=found["rule_id"],
             ),
         )
-        for pattern in rule_patterns(rule)
-    ]
 
+    hits = F.array_compact(F.expr(f"array({', '.join(entries)})"))
+    return F.flatten(F.transform(hits, spans))
+
+
+def pattern_findings(text: str, *patterns: Pattern) -> Column:
+    """Findings of built-in patterns in a text column."""
+    return _entries_to_findings([_pattern_entry(sql_name(text), p) for p in patterns])
 
-def rules_findings(text: Column, rules: list[dict]) -> list[Column]:
-    """One expression per group of rules; a group runs only on texts that some rule of it matches."""
-    groups = [rules[i : i + RULE_GROUP] for i in range(0, len(rules), RULE_GROUP)]
+
+def rule_findings(text: str, *rules: dict) -> Column:
+    """Findings of custom rules in a text column."""
+    return _entries_to_findings([e for r in rules for e in _rule_entries(sql_name(text), r)])
+
+
+def _rule_group_columns(text: str, rules: list[dict]) -> list[Column]:
+    """Large rule sets run in groups; a group only runs on texts that one of its rules matches."""
+    if len(rules) <= RULE_GROUP:
+        return []
     columns = []
-    for group in groups:
+    for i in range(0, len(rules), RULE_GROUP):
+        group = rules[i : i + RULE_GROUP]
         any_of = "|".join(f"(?:{p})" for rule in group for p in rule_patterns(rule))
-        parts = [c for rule in group for c in rule_findings(text, rule)]
-        columns.append(F.when(F.rlike(text, F.lit(any_of)), F.concat(*parts)).otherwise(no_findings()))
+        test = F.expr(f"rlike({sql_name(text)}, {sql_string(any_of)})")
+        columns.append(F.when(test, rule_findings(text, *group)).otherwise(no_findings()))
     return columns
 
 
-def native_findings(text: Column, policy: Policy) -> list[Column]:
-    """Detector arrays in reporting order; switched-off detectors do not enter the plan."""
-    columns: list[Column] = []
+def native_findings(text: str, policy: Policy) -> Column:
+    """All pattern findings in reporting order; switched-off detectors do not enter the plan."""
+    source = sql_name(text)
+    before: list[str] = []
+    after: list[str] = []
+    grouped: list[Column] = []
     if policy.detectors.regex:
-        columns += [pattern_findings(text, p) for p in BUILTIN]
-        columns += rules_findings(text, policy.rules)
+        before += [_pattern_entry(source, p) for p in BUILTIN]
+        grouped = _rule_group_columns(text, policy.rules)
+        if not grouped:
+            before += [e for r in policy.rules for e in _rule_entries(source, r)]
     if policy.detectors.secrets:
-        columns += [pattern_findings(text, p) for p in SECRETS]
-    return columns
+        after += [_pattern_entry(source, p) for p in SECRETS]
+    if not grouped:
+        return _entries_to_findings(before + after)
+    return F.concat(_entries_to_findings(before), *grouped, _entries_to_findings(after))
 
 
 def detect(
@@ -130,10 +166,9 @@ def detect(
 
     ``hits`` names an ``array<finding>`` column of outside findings (see ``operators.hits``).
     """
-    source = F.coalesce(F.col(text), F.lit(""))
-    columns = native_findings(source, policy)
+    columns = [native_findings(text, policy)]
     if hits and policy.hits_enabled:
         columns.append(F.coalesce(F.col(hits), no_findings()))
     if policy.detectors.normalization:
-        columns.append(normalized_findings(source))
-    return df.withColumn(output, F.concat(*columns) if columns else no_findings())
+        columns.append(normalized_findings(text))
+    return df.withColumn(output, F.concat(*columns) if len(columns) > 1 else columns[0])

@@ -15,12 +15,12 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textguard.functions.arrays import bind
-from textguard.functions.regex import java_pattern
+from textguard.functions.regex import java_pattern, match_spans, sql_name, sql_string
+from textguard.operators.act import splice
 from textguard.patterns import BUILTIN, SECRETS, Pattern
 
 # The folds that define obfuscation.
@@ -210,6 +210,9 @@ _ODD_SPACE = r"[\r\x0B\f\x1C-\x1F\x{85}\x{1680}\x{2028}\x{2029}]"
 # Long runs of characters that NFKC leaves alone; tested first, as they make up most text.
 _PLAIN = r"\x{C0}-\x{131}\x{400}-\x{4FF}\x{3041}-\x{3096}\x{30A1}-\x{30FA}\x{4E00}-\x{9FFF}\x{AC00}-\x{D7A3}"
 
+# Such white space next to a separator is folded in the UDF only.
+_ODD_NEIGHBOUR = rf"{_ODD_SPACE}(?:(?<=[.@_-][ \t\n]{{0,64}}.)|(?<=[ \t\n]{{64}}.)|[ \t\n]*+[.@_-])"
+
 
 @lru_cache(maxsize=1)
 def unusual_characters() -> str:
@@ -226,60 +229,74 @@ def unusual_characters() -> str:
             else:
                 ranges.append([code, code])
     listed = "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in ranges)
+    # Left to right, cheapest test first: most characters fail the first range.
     return rf"[\x{{A1}}-\x{{10FFFF}}&&[^{_PLAIN}]&&[{listed}]]"
 
 
 _ALNUM = r"[\p{L}\p{N}]"
 _GAP = r"[\s\x{A0}_-]*+"
-_LOOKALIKE = {"o": "[o0\u043e]", "i": "[i1]", "e": "[e3\u0435]", "a": "[a4\u0430]", "s": "[s5]", "t": "[t7]"}
+_LOOKALIKE = {"o": "0\u043e", "i": "1\u0130\u0131", "e": "3\u0435", "a": "4\u0430", "s": "5\u017f", "t": "7", "k": "\u212a"}
 
 
-def _loosely(word: str) -> str:
-    """The word with look-alike letters and single hyphens or underscores between letters."""
-    return "[_-]?".join(_LOOKALIKE.get(c, c) for c in word)
+def _letter(char: str) -> str:
+    """Class of a letter, its capital and its look-alikes. (Spelled out: ignoring case by flag is
+    several times slower.)"""
+    return f"[{char}{char.upper()}{_LOOKALIKE.get(char, '')}]" if char.isalpha() else char
 
 
-def _any_of(*words: str) -> str:
-    return "(?:" + "|".join(_loosely(w) for w in words) + ")"
+def _loosely(*words: str) -> str:
+    """Any of the words, with look-alike letters and single hyphens or underscores in between."""
+    return "(?:" + "|".join("[_-]?".join(_letter(c) for c in w) for w in words) + ")"
 
 
 def _alone(word: str) -> str:
-    return f"(?<!{_ALNUM})" + "".join(_LOOKALIKE.get(c, c) for c in word) + f"(?!{_ALNUM})"
+    """The word by itself. Looks back after the first letter, so most positions fail at once."""
+    first, *rest = (_letter(c) for c in word)
+    return f"{first}(?<!{_ALNUM}.)" + "".join(rest) + f"(?!{_ALNUM})"
 
 
-def may_be_obfuscated(text: Column) -> Column:
+def may_be_obfuscated(text: str) -> Column:
     """False only if folding and scanning the text would yield nothing.
 
     Every test is on the raw text and looser than what the folded match needs. Digits other than
     2, 6, 8 and 9 turn into letters, so few folded numbers are possible.
     """
+    source = sql_name(text)
     at = f"(?:@|{_alone('at')})"
     dot = f"(?:[.\u2026]|{_alone('dot')})"
-    host = rf"(?:(?:{_ALNUM}++(?:[_-]+{_ALNUM}++)*|\.){_GAP}{dot}|\u2026)"
+    label = rf"{_ALNUM}++(?:[_-]+{_ALNUM}++)*"
+    host = rf"(?:(?:{dot}{_GAP})?{label}{_GAP}{dot}|(?:{dot}{_GAP}){{2,}}|\u2026)"
     digit = r"[2689[\p{Nd}&&[^\x00-\x7F]]]"
     octet = rf"{digit}(?:[_-]?{digit}){{0,2}}"
-    hexes = rf"[a-f234689\u0430\u0435](?:[_-]?[a-f234689\u0430\u0435]){{0,3}}"
-
-    def found(pattern: str) -> Column:
-        return F.rlike(text, F.lit("(?iu)" + pattern))
-
-    email_ok = ~F.contains(text, F.lit("@")) | found(" at | dot ")
-    return (
-        found("[\u200b\u200c\u200d\ufeff]")
-        | found("http| dot ")
-        | (found(f"{at}{_GAP}{host}{_GAP}{_ALNUM}") & email_ok)
-        | found(rf"{dot}{_GAP}{_any_of('corp', 'internal', 'local', 'lan', 'example')}")
-        | found(f"/{_any_of('users', 'home', 'var', 'etc', 'opt', 'srv')}/")
-        | found(rf"{_any_of('secret', 'token', 'password')}{_GAP}[=:]")
-        | found(rf"(?<!{_ALNUM}){_any_of('sk')}[_-]*[\s\x{{A0}}-]")
-        | found(rf"(?<!{_ALNUM}){_any_of('akia', 'eyj')}")
-        | found("[slbv5]://|-----b")
-        | found(rf":{hexes}:")
-        | found(rf"(?:{octet}{_GAP}{dot}{_GAP}){{3}}{digit}")
-        | found(rf"(?:{digit}[\s\x{{A0}}._()+\u2026-]*+){{10}}")
-        | F.rlike(text, F.lit(unusual_characters()))
-        | F.rlike(text, F.lit(f"[.@_-][ \\t\\n]*+{_ODD_SPACE}|{_ODD_SPACE}[ \\t\\n]*+[.@_-]"))
-    )
+    hexes = r"[A-Fa-f234689\x{430}\x{435}](?:[_-]?[A-Fa-f234689\x{430}\x{435}]){0,3}"
+
+    def has(value: str) -> str:
+        return f"contains({source}, {sql_string(value)})"
+
+    def found(pattern: str) -> str:
+        return f"rlike({source}, {sql_string(pattern)})"
+
+    email_ok = f"(NOT {has('@')} OR {found(' [aA][tT] | [dD][oO][tT] ')})"
+    start = f"(?<!{_ALNUM}.)"
+    tests = [
+        *[has(char) for char in ZERO_WIDTH],
+        found("[hH][tT][tT][pP]| [dD][oO][tT] "),
+        found(f"{at}{_GAP}{host}{_GAP}{_ALNUM}") + " AND " + email_ok,
+        found(rf"{dot}{_GAP}{_loosely('corp', 'internal', 'local', 'lan', 'example')}"),
+        has("/") + " AND " + found(f"/{_loosely('users', 'home', 'var', 'etc', 'opt', 'srv')}/"),
+        f"({has('=')} OR {has(':')}) AND " + found(rf"{_loosely('secret', 'token', 'password')}{_GAP}[=:]"),
+        found(rf"{_letter('s')}{start}[_-]?{_letter('k')}[_-]*[\s\x{{A0}}-]"),
+        found(rf"{_letter('a')}{start}[_-]?{_letter('k')}[_-]?{_letter('i')}[_-]?{_letter('a')}"),
+        found(rf"{_letter('e')}{start}[_-]?{_letter('y')}[_-]?{_letter('j')}"),
+        has("://"),
+        has("-----") + " AND " + found("-----[bB]"),
+        has(":") + " AND " + found(f":{hexes}:"),
+        found(rf"(?:{octet}{_GAP}{dot}{_GAP}){{3}}{digit}"),
+        found(rf"(?:{digit}[\s\x{{A0}}._()+\u2026-]*+){{10}}"),
+        found(unusual_characters()),
+        found(_ODD_NEIGHBOUR),
+    ]
+    return F.expr(" OR ".join(f"({t})" for t in tests))
 
 
 # -- text only: the folded form as a column -----------------------------------------------------
@@ -298,30 +315,32 @@ def unleet_text(text: Column) -> Column:
     return F.translate(text, "".join(LEET), "".join(LEET.values()))
 
 
-def normalize_text(text: Column) -> Column:
-    """Full text-level fold: also joins spaced-out characters and split keys."""
-    from textguard.functions.regex import match_spans
-    from textguard.operators.act import splice
+def normalize_text(df: DataFrame, text: str = "text", output: str = "normalized") -> DataFrame:
+    """Add the full text-level fold: also joins spaced-out characters and split keys."""
 
-    def joined(source: Column, pattern: str, skip: int, lead: str) -> Column:
-        return splice(
-            source,
-            match_spans(source, java_pattern(pattern)),
+    def joined(frame: DataFrame, pattern: str, skip: int, lead: str) -> DataFrame:
+        spans = match_spans(output, java_pattern(pattern))
+        plain = splice(
+            F.col(output),
+            spans,
             lambda s: F.concat(
                 F.lit(lead), F.regexp_replace(F.substr(s["value"], F.lit(skip + 1)), r"[\s_-]+", "")
             ),
         )
+        return frame.withColumn(output, plain)
 
-    out = F.regexp_replace(fold_text(text), java_pattern(r"\b([A-Za-z0-9])(?:[\s-]+)(?=[A-Za-z0-9]\b)"), "$1")
-    out = bind(out, lambda t: joined(t, r"\bsk[\s-]+[a-z0-9][a-z0-9\s_-]{8,}", 2, "sk-"))
-    out = bind(out, lambda t: joined(t, r"\bAKIA(?:[\s-]+[A-Z0-9]+){3,}", 0, ""))
-    return unleet_text(out)
+    spaced = java_pattern(r"\b([A-Za-z0-9])(?:[\s-]+)(?=[A-Za-z0-9]\b)")
+    out = df.withColumn(output, F.regexp_replace(fold_text(F.col(text)), spaced, "$1"))
+    out = joined(out, r"\bsk[\s-]+[a-z0-9][a-z0-9\s_-]{8,}", 2, "sk-")
+    out = joined(out, r"\bAKIA(?:[\s-]+[A-Z0-9]+){3,}", 0, "")
+    return out.withColumn(output, unleet_text(F.col(output)))
 
 
-def normalized_findings(text: Column) -> Column:
+def normalized_findings(text: str) -> Column:
     from textguard.operators.detect import finding, no_findings
 
-    spans = obfuscated_spans(F.when(may_be_obfuscated(text), text))
+    source = F.expr(sql_name(text))
+    spans = obfuscated_spans(F.when(may_be_obfuscated(text), source))
     return F.coalesce(
         F.transform(
             spans,
@@ -329,7 +348,7 @@ def normalized_findings(text: Column) -> Column:
                 s["category"],
                 s["start"],
                 s["end"],
-                F.substr(text, s["start"] + 1, s["end"] - s["start"]),
+                F.substr(source, s["start"] + 1, s["end"] - s["start"]),
                 F.lit("normalization"),
                 s["severity"],
                 normalized=s["normalized"],

@@ -139,7 +139,7 @@ def restore(texts: DataFrame, ledger: DataFrame, key: str, conversation: str = "
     per_text = found.groupBy(key).agg(
         F.map_from_entries(F.collect_list(F.struct("token", "value"))).alias("_known")
     )
-    spans = match_spans(F.col(text), SCOPED_TOKEN)
+    spans = match_spans(text, SCOPED_TOKEN)
     put_back = splice(
         F.col(text), spans, lambda s: F.coalesce(F.col("_known")[s["value"]], s["value"])
     )

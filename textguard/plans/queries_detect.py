@@ -38,7 +38,7 @@ def _one_detector(name: str, source, source_sql: str) -> None:
 
     @query(f"detect_{name}", f"SELECT {_SPAN} FROM ({pattern_sql(source_sql, pattern)}) AS q")
     def run(spark, folder):
-        found = pattern_findings(F.col("text"), pattern)
+        found = pattern_findings("text", pattern)
         return source(spark, folder).select("id", F.inline(found)).select("id", "start", "end", "value")
 
 
@@ -59,13 +59,13 @@ _KEYWORD_RULE, _REGEX_RULE = Policy.builtin().rules
     " UNION ALL ".join(f"SELECT {_SPAN} FROM ({spans_sql(SEEDED_SQL, v)}) AS q" for v in _KEYWORD_RULE["values"]),
 )
 def detect_keyword(spark, folder):
-    found = F.concat(*rule_findings(F.col("text"), _KEYWORD_RULE))
+    found = rule_findings("text", _KEYWORD_RULE)
     return seeded_turns(spark, folder).select("id", F.inline(found)).select("id", "start", "end", "value")
 
 
 @query("detect_custom_regex", f"SELECT {_SPAN} FROM ({spans_sql(SEEDED_SQL, _REGEX_RULE['pattern'])}) AS q")
 def detect_custom_regex(spark, folder):
-    found = F.concat(*rule_findings(F.col("text"), _REGEX_RULE))
+    found = rule_findings("text", _REGEX_RULE)
     return seeded_turns(spark, folder).select("id", F.inline(found)).select("id", "start", "end", "value")
 
 
@@ -76,7 +76,7 @@ def _secrets_sql(source: str) -> str:
 
 
 def _secrets(df):
-    found = F.concat(*[pattern_findings(F.col("text"), p) for p in SECRETS])
+    found = pattern_findings("text", *SECRETS)
     return df.select("id", F.inline(found)).select("id", "start", "end", "value", "category")
 
 
@@ -214,13 +214,13 @@ def redact_documents(spark, folder):
 
 @query("normalize_findings")
 def normalize_findings(spark, folder):
-    found = seeded_turns(spark, folder).select("id", F.inline(normalized_findings(F.col("text"))))
+    found = seeded_turns(spark, folder).select("id", F.inline(normalized_findings("text")))
     return found.select("id", "start", "end", "category", "severity", "safe_replace")
 
 
 @query("normalize_findings_documents")
 def normalize_findings_documents(spark, folder):
-    found = documents(spark, folder).select("id", F.inline(normalized_findings(F.col("text"))))
+    found = documents(spark, folder).select("id", F.inline(normalized_findings("text")))
     return found.select("id", "start", "end", "category", "severity", "safe_replace")
 
 
@@ -234,7 +234,7 @@ def obfuscated_text(spark, folder):
     plain = seeded_turns(spark, folder).where((F.col("conv_id") * 7 + F.col("turn")) % 8 == 7)
     bare = F.replace("text", F.lit("."), F.lit(""))
     marked = plain.select("id", F.concat(bare, F.lit("\u200b")).alias("text"))
-    found = marked.select("id", F.inline(normalized_findings(F.col("text"))))
+    found = marked.select("id", F.inline(normalized_findings("text")))
     return found.where("category = 'obfuscated_text'").select("id", F.col("end").cast("bigint").alias("end"))
 
 
@@ -258,14 +258,14 @@ def normalize_text_turns(spark, folder):
 
 @query("normalize_text_full")
 def normalize_text_full(spark, folder):
-    return documents(spark, folder).select("id", normalize_text(F.col("text")).alias("folded"))
+    return normalize_text(documents(spark, folder)).select("id", F.col("normalized").alias("folded"))
 
 
 @query("obfuscation_reach")
 def obfuscation_reach(spark, folder):
     """How many ordinary texts the obfuscation detector would block or rewrite."""
     policy = Policy.builtin()
-    found = documents(spark, folder).select("id", normalized_findings(F.col("text")).alias("f"))
+    found = documents(spark, folder).select("id", normalized_findings("text").alias("f"))
     unsafe = F.exists("f", lambda f: ~f["safe_replace"])
     return found.agg(
         F.count(F.lit(1)).alias("n_texts"),
@@ -281,7 +281,7 @@ def obfuscation_reach(spark, folder):
 )
 def clock_times_as_addresses(spark, folder):
     """Times of day have the shape of short IPv6 addresses; this counts them."""
-    spans = match_spans(F.col("text"), java_pattern(r"\b(?:[0-9]{1,2}:){2}[0-9]{1,2}\b"))
+    spans = match_spans("text", java_pattern(r"\b(?:[0-9]{1,2}:){2}[0-9]{1,2}\b"))
     return documents(spark, folder).select(F.size(spans).alias("n")).agg(
         F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("n_matches")
     )
