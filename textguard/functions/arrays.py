@@ -19,6 +19,16 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body).getItem(0)
 
 
+def computed_once(value: Column) -> Column:
+    """Keep an expensive column from being copied into later filters and projections.
+
+    Catalyst moves a filter below the projection it reads from by inlining the column, so a test on a
+    detector's result would run the detector a second time. It leaves non-deterministic columns where
+    they are; this one is always true. (Filter on plain columns before, not after, such a column.)
+    """
+    return F.when(F.spark_partition_id() >= 0, value)
+
+
 def scan(
     items: Column,
     zero: Column,

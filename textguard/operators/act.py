@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textguard.functions.arrays import bind
+from textguard.functions.arrays import bind, computed_once
 from textguard.policy import Policy
 
 SPLICE_CHUNK = 64
@@ -88,7 +88,7 @@ def rewrite(
 ) -> DataFrame:
     """Add the rewritten text; null where the text is blocked, so raw text cannot slip through."""
     spliced = splice(F.coalesce(F.col(text), F.lit("")), F.col(resolved), replacement_column(policy, token))
-    return df.withColumn(output, F.when(F.col("allowed"), spliced))
+    return df.withColumn(output, computed_once(F.when(F.col("allowed"), spliced)))
 
 
 def audit_records(policy: Policy, resolved: Column) -> Column:

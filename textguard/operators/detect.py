@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textguard.functions.arrays import computed_once
 from textguard.functions.regex import java_keyword, java_pattern, matches_sql, spans_of, sql_name, sql_string
 from textguard.operators.normalize import normalized_findings
 from textguard.patterns import BUILTIN, SECRETS, Pattern
@@ -171,4 +172,4 @@ def detect(
         columns.append(F.coalesce(F.col(hits), no_findings()))
     if policy.detectors.normalization:
         columns.append(normalized_findings(text))
-    return df.withColumn(output, F.concat(*columns) if len(columns) > 1 else columns[0])
+    return df.withColumn(output, computed_once(F.concat(*columns) if len(columns) > 1 else columns[0]))

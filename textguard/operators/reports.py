@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textguard.operators.hits import LABELS
+from textguard.patterns import BUILTIN, SECRETS
 from textguard.policy import Policy
 
 
@@ -18,6 +20,28 @@ def finding_counts(findings: DataFrame, by: list[str], totals: bool = False) ->
     return grouped.agg(F.count(F.lit(1)).alias("n_findings"))
 
 
+def known_categories(policy: Policy) -> list[str]:
+    named = {p.category for p in BUILTIN + SECRETS} | set(policy.actions) | set(LABELS.values())
+    return sorted(named | {r.get("category", r["id"]) for r in policy.rules})
+
+
+def roll_up(items: DataFrame, by: list[str], policy: Policy) -> DataFrame:
+    """Decision per group of texts: ``allowed``, ``blocked_categories`` (sorted) and ``n_findings``.
+
+    A policy knows its categories, so the distinct union is one flag per category: constant state
+    that combines map-side, however many texts a group has.
+    """
+    categories = known_categories(policy)
+    flags = [F.bool_or(F.array_contains("blocked_categories", c)).alias(f"_{i}") for i, c in enumerate(categories)]
+    rolled = items.groupBy(*by).agg(
+        F.bool_and("allowed").alias("allowed"),
+        F.sum(F.size("resolved")).alias("n_findings"),
+        *flags,
+    )
+    named = F.array_compact(F.array(*[F.when(F.col(f"_{i}"), F.lit(c)) for i, c in enumerate(categories)]))
+    return rolled.select(*by, "allowed", named.alias("blocked_categories"), "n_findings")
+
+
 def case_report(requests: DataFrame, case: str) -> DataFrame:
     """One line per request: decision, categories, number of findings, rewritten payload."""
     return requests.select(

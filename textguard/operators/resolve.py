@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textguard.functions.arrays import scan
+from textguard.functions.arrays import computed_once, scan
 from textguard.operators.detect import FINDING_TYPE, FINDINGS_TYPE
 from textguard.policy import Policy, severity_rank_column
 
@@ -79,5 +79,5 @@ def resolve_findings(findings: Column, policy: Policy) -> Column:
 def resolve(df: DataFrame, policy: Policy, findings: str = "findings", output: str = "resolved") -> DataFrame:
     """Apply the allowlist, then resolve overlaps."""
     return df.withColumn("_kept", drop_allowed(F.col(findings), policy.allowlist)).withColumn(
-        output, resolve_findings(F.col("_kept"), policy)
+        output, computed_once(resolve_findings(F.col("_kept"), policy))
     ).drop("_kept")

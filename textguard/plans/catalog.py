@@ -205,15 +205,18 @@ def token_sql(conversation: str, policy: Policy, epoch: str = "'0'") -> str:
     return f"'[' || {label} || '_' || left({hmac_sql(message)}, 16) || ']'"
 
 
-def redacted_ctes(source: str, policy: Policy, conversation: str = "CAST(id AS VARCHAR)") -> str:
+def redacted_ctes(
+    source: str, policy: Policy, conversation: str = "CAST(id AS VARCHAR)", token: str | None = None
+) -> str:
     """CTEs ending in ``redacted (id, text, allowed, redacted, n_findings, blocked)``."""
+    token = token or token_sql(conversation, policy)
     return f"""
     src AS ({source}), {resolved_ctes('SELECT id, text FROM src', policy)},
     pieces AS (
       SELECT k.id, k.start, k."end", k.action, k.category,
              substr(k.text, lag(k."end", 1, 0) OVER w + 1, k.start - lag(k."end", 1, 0) OVER w)
              || CASE action WHEN 'mask' THEN '[' || upper(category) || '_REDACTED]'
-                            WHEN 'tokenize' THEN {token_sql(conversation, policy)} ELSE value END AS piece
+                            WHEN 'tokenize' THEN {token} ELSE value END AS piece
       FROM (SELECT kept.*, src.* EXCLUDE (id) FROM kept JOIN src USING (id)) k
       WINDOW w AS (PARTITION BY k.id ORDER BY k.start)),
     joined AS (SELECT id, string_agg(piece, '' ORDER BY start) AS head, max("end") AS stop, count(*) AS n_findings,

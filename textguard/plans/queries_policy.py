@@ -14,6 +14,7 @@ from textguard.operators.reports import (
     explode_findings,
     finding_counts,
     markdown_lines,
+    roll_up,
     size_stats,
 )
 from textguard.operators.resolve import resolve
@@ -213,15 +214,9 @@ def rule_audit_only(spark, folder):
         FROM conversations AS t LEFT JOIN kept AS k ON k.id = t.conv_id * 1000 + t.turn GROUP BY t.conv_id""",
 )
 def request_decision(spark, folder):
-    """A conversation as one request: one blocked turn blocks it. Turns roll up map-side, and only
-    category names are collected."""
-    items = inspect_texts(seeded_turns(spark, folder), _FULL)
-    per_category = items.select("conv_id", "allowed", F.size("resolved").alias("n"), F.explode_outer("blocked_categories").alias("c"), F.size("blocked_categories").alias("k"))
-    return per_category.groupBy("conv_id").agg(
-        F.bool_and("allowed").alias("allowed"),
-        F.array_join(F.array_sort(F.collect_set("c")), ",").alias("blocked"),
-        F.sum(F.when(F.col("k") > 1, (F.col("n") / F.col("k"))).otherwise(F.col("n"))).cast("bigint").alias("n_findings"),
-    )
+    """A conversation as one request: one blocked turn blocks it."""
+    rolled = roll_up(inspect_texts(seeded_turns(spark, folder), _FULL), ["conv_id"], _FULL)
+    return rolled.select("conv_id", "allowed", F.array_join("blocked_categories", ",").alias("blocked"), "n_findings")
 
 
 @query(
