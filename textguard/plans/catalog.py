@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from textguard.patterns import BUILTIN, SECRETS, Pattern
 from textguard.policy import ACTION_RANK, SEVERITY_RANK, Policy
+from textguard.sources.readers import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -37,14 +38,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").select(F.col("doc_id").alias("id"), "text")
+    return spread(table(spark, folder, "documents").select(F.col("doc_id").alias("id"), "text"), "id")
 
 
 PAGE_TEXT = "url || ' ' || html"
 
 
 def pages(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "pages").selectExpr("page_id AS id", f"{PAGE_TEXT} AS text")
+    scan = spread(table(spark, folder, "pages").select("page_id", "url", "html"), "page_id")
+    return scan.selectExpr("page_id AS id", f"{PAGE_TEXT} AS text")
 
 
 # Turns hold no sensitive values, so every turn gets a fragment derived from its ids. Valid in both
@@ -64,8 +66,9 @@ SEEDED_SQL = f"SELECT conv_id * 1000 + turn AS id, conv_id, turn, role, {SEEDED_
 
 
 def seeded_turns(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "conversations").selectExpr(
-        "conv_id * 1000 + turn AS id", "conv_id", "turn", "role", f"{SEEDED_TEXT} AS text"
+    scan = table(spark, folder, "conversations").selectExpr("conv_id * 1000 + turn AS id", "*")
+    return spread(scan, "id").selectExpr(
+        "id", "conv_id", "turn", "role", f"{SEEDED_TEXT} AS text"
     )
 
 

@@ -40,7 +40,22 @@ def _with_id(lines: DataFrame) -> DataFrame:
 
 def read_texts(spark: SparkSession, path: str, key: str, text: str) -> DataFrame:
     """``(key, text)`` of a parquet table; only these columns are scanned."""
-    return spark.read.parquet(path).select(F.col(key), F.col(text).alias("text"))
+    return spread(spark.read.parquet(path).select(F.col(key), F.col(text).alias("text")), key)
+
+
+def spread(scan: DataFrame, key: str) -> DataFrame:
+    """Give every core texts to work on when a table is small or sits in few large row groups.
+
+    Detection is bound by CPU, so for a table with fewer file splits than two per core a shuffle by
+    its unique key costs less than idle cores. Larger tables, and streams, keep their splits and are
+    not shuffled. Use directly on a scan (finding the number of splits runs no job there).
+    """
+    if scan.isStreaming:
+        return scan
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    if scan.rdd.getNumPartitions() >= 2 * cores:
+        return scan
+    return scan.repartition(4 * cores, key)
 
 
 def read_fixtures(spark: SparkSession, path: str) -> DataFrame:
