@@ -111,15 +111,18 @@ def matches_sql(text: str, pattern: str, guard: str | None = None, labels: dict[
     """SQL for the matches of a (non-empty-matching) Java pattern in a text expression, else null.
 
     Yields ``named_struct('values', matches, 'pieces', what precedes each match, labels...)``. The
-    regex runs once, and ``split`` only where there is a match. ``guard`` is a cheaper pattern that
-    every text with a match also matches. (Detectors are built as SQL text: a policy has dozens of
+    regex runs once, and ``split`` only where there is a match. ``guard`` is a cheaper pattern (or a
+    plain string) that every text with a match also matches. (Detectors are built as SQL text: a policy has dozens of
     them, and one parse is much faster than hundreds of column calls.)
     """
     extra = "".join(f", '{name}', {value}" for name, value in (labels or {}).items())
     p = sql_string(pattern)
     found = f"""transform(array(regexp_extract_all({text}, {p}, 0)), v -> CASE WHEN size(v) > 0 THEN
         named_struct('values', v, 'pieces', slice(split({text}, {p}, -1), 1, size(v)){extra}) END)[0]"""
-    return found if guard is None else f"CASE WHEN rlike({text}, {sql_string(guard)}) THEN {found} END"
+    if guard is None:
+        return found
+    test = "rlike" if re.search(r"[][\\^$.|?*+(){}]", guard) else "contains"
+    return f"CASE WHEN {test}({text}, {sql_string(guard)}) THEN {found} END"
 
 
 def spans_of(matches: Column) -> Column:

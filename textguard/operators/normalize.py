@@ -206,6 +206,7 @@ def obfuscated_spans(texts: pd.Series) -> pd.Series:
 
 # -- in the JVM: who needs the UDF --------------------------------------------------------------
 
+_ODD_CHARS = "\r\x0b\f\x1c\x1d\x1e\x1f\x85\u1680\u2028\u2029"
 _ODD_SPACE = r"[\r\x0B\f\x1C-\x1F\x{85}\x{1680}\x{2028}\x{2029}]"
 # Long runs of characters that NFKC leaves alone; tested first, as they make up most text.
 _PLAIN = r"\x{C0}-\x{131}\x{400}-\x{4FF}\x{3041}-\x{3096}\x{30A1}-\x{30FA}\x{4E00}-\x{9FFF}\x{AC00}-\x{D7A3}"
@@ -277,24 +278,31 @@ def may_be_obfuscated(text: str) -> Column:
         return f"rlike({source}, {sql_string(pattern)})"
 
     email_ok = f"(NOT {has('@')} OR {found(' [aA][tT] | [dD][oO][tT] ')})"
-    start = f"(?<!{_ALNUM}.)"
+    # Split keys, three kinds in one pass: a first letter at a word start, then the rest.
+    s_, k_, i_, a_, e_, y_, j_ = (_letter(c) for c in "skiaeyj")
+    heads = "".join(c[1:-1] for c in (s_, a_, e_))
+    key_starts = (
+        rf"(?<={s_})[_-]?{k_}[_-]*[\s\x{{A0}}-]",
+        f"(?<={a_})[_-]?{k_}[_-]?{i_}[_-]?{a_}",
+        f"(?<={e_})[_-]?{y_}[_-]?{j_}",
+    )
+    odd_space = " OR ".join(has(c) for c in _ODD_CHARS)
     tests = [
         *[has(char) for char in ZERO_WIDTH],
-        found("[hH][tT][tT][pP]| [dD][oO][tT] "),
+        f"contains(lower({source}), 'http')",
+        f"contains(lower({source}), ' dot ')",
         found(f"{at}{_GAP}{host}{_GAP}{_ALNUM}") + " AND " + email_ok,
         found(rf"{dot}{_GAP}{_loosely('corp', 'internal', 'local', 'lan', 'example')}"),
         has("/") + " AND " + found(f"/{_loosely('users', 'home', 'var', 'etc', 'opt', 'srv')}/"),
         f"({has('=')} OR {has(':')}) AND " + found(rf"{_loosely('secret', 'token', 'password')}{_GAP}[=:]"),
-        found(rf"{_letter('s')}{start}[_-]?{_letter('k')}[_-]*[\s\x{{A0}}-]"),
-        found(rf"{_letter('a')}{start}[_-]?{_letter('k')}[_-]?{_letter('i')}[_-]?{_letter('a')}"),
-        found(rf"{_letter('e')}{start}[_-]?{_letter('y')}[_-]?{_letter('j')}"),
+        found(rf"[{heads}](?<!{_ALNUM}.)(?:{'|'.join(key_starts)})"),
         has("://"),
         has("-----") + " AND " + found("-----[bB]"),
         has(":") + " AND " + found(f":{hexes}:"),
         found(rf"(?:{octet}{_GAP}{dot}{_GAP}){{3}}{digit}"),
         found(rf"(?:{digit}[\s\x{{A0}}._()+\u2026-]*+){{10}}"),
         found(unusual_characters()),
-        found(_ODD_NEIGHBOUR),
+        f"({odd_space}) AND {found(_ODD_NEIGHBOUR)}",
     ]
     return F.expr(" OR ".join(f"({t})" for t in tests))
 

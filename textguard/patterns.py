@@ -1,8 +1,8 @@
 """What the built-in detectors look for.
 
 Each entry carries the pattern in Python syntax (``functions.regex.java_pattern`` spells it for the
-JVM) and a ``guard``: a cheap JVM regex that is true for every text with a match, so most rows never
-reach the full pattern.
+JVM) and a ``guard``: a cheap JVM regex (or plain string) that is true for every text with a match, so
+most rows never reach the full pattern.
 """
 
 from __future__ import annotations
@@ -83,7 +83,7 @@ SECRETS = (
         "secret",
         "critical",
         r"\b[A-Z0-9_]*(?:API_KEY|SECRET|TOKEN|PASSWORD)\s*[=:]\s*\S+",
-        r"(?iu)(?:api_key|secret|token|password)",
+        r"[YyTtNnDd][\p{IsWhite_Space}\x{1C}-\x{1F}]*+[=:]",
         "secrets",
     ),
 )

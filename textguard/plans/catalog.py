@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from textguard.patterns import BUILTIN, SECRETS, Pattern
 from textguard.policy import ACTION_RANK, SEVERITY_RANK, Policy
+from textguard.session import ship_package
 from textguard.sources.readers import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,7 +23,11 @@ DEMO_KEY = "demo-key-for-checks"
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def register(run: Query) -> Query:
-        QUERIES[name] = run
+        def shipped(spark: SparkSession, folder: str) -> DataFrame:
+            ship_package(spark)
+            return run(spark, folder)
+
+        QUERIES[name] = shipped
         if sql is not None:
             CHECK_SQL[name] = sql
         return run

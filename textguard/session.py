@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,3 +51,21 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
     """A new folder for intermediate tables, next to the checkpoints (shared on a cluster)."""
     ensure_checkpoint_dir(spark)
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers (once per application), for clusters where it is not
+    installed. Only the Arrow UDFs need it there."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    home = Path(__file__).parent
+    archive = Path(tempfile.mkdtemp(prefix="textguard-package-")) / "textguard.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(home.rglob("*.py")):
+            out.write(file, file.relative_to(home.parent))
+    context.addPyFile(str(archive))
+    _shipped.add(context.applicationId)
