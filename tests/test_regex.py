@@ -62,8 +62,11 @@ def test_hmac_matches_python(spark):
     import hashlib
     import hmac
 
-    from textguard.functions.keyed import framed, hmac_sha256
+    from textguard.functions.keyed import framed, hmac_pads, hmac_sha256, with_key
 
     for key in ("k", "long" * 40):
-        row = spark.range(1).select(hmac_sha256(key, framed(F.lit("é:"), F.lit("1"))).alias("h")).first()
+        keyed = with_key(spark.range(1), key).select(hmac_sha256(F.col("_key"), framed(F.lit("é:"), F.lit("1"))).alias("h"))
+        row = keyed.first()
+        plans = keyed._jdf.queryExecution().toString()
+        assert not any(pad.hex().upper()[:20] in plans.upper() for pad in hmac_pads(key))
         assert row.h == hmac.new(key.encode(), "2:é:1:1".encode(), hashlib.sha256).hexdigest()

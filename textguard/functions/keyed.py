@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _BLOCK = 64
@@ -27,8 +27,15 @@ def framed(*parts: Column) -> Column:
     return F.concat(*pieces)
 
 
-def hmac_sha256(key: str, message: Column) -> Column:
-    """Hex HMAC-SHA256 of a string column."""
-    inner_pad, outer_pad = hmac_pads(key)
-    inner = F.sha2(F.concat(F.lit(inner_pad), F.encode(message, "UTF-8")), 256)
-    return F.sha2(F.concat(F.lit(outer_pad), F.unhex(inner)), 256)
+def with_key(df: DataFrame, key: str, output: str = "_key") -> DataFrame:
+    """Add the key pads as a column. They come from a one-row table through a scalar subquery: a
+    literal would show up in query plans, and with them in the event log."""
+    inner, outer = hmac_pads(key)
+    pads = df.sparkSession.createDataFrame([((inner, outer),)], "pads struct<inner:binary,outer:binary>")
+    return df.withColumn(output, pads.scalar())
+
+
+def hmac_sha256(pads: Column, message: Column) -> Column:
+    """Hex HMAC-SHA256 of a string column, with the pads column of ``with_key``."""
+    inner = F.sha2(F.concat(pads["inner"], F.encode(message, "UTF-8")), 256)
+    return F.sha2(F.concat(pads["outer"], F.unhex(inner)), 256)

@@ -12,15 +12,19 @@ from textguard.session import durable
 HOT_SHARE = 1000
 
 
-def lookup_join(facts: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+def lookup_join(facts: DataFrame, table: DataFrame, keys: list[str], count: str | None = None) -> DataFrame:
     """Left join to a table with unique keys, with hot keys kept out of the shuffle.
 
     Hot keys get their (at most ``HOT_SHARE``) table rows by broadcast. In the shuffle join that
     serves all other keys, rows already served are spread by their content, not by their key.
-    ``facts`` is read twice; pass materialized data if it is costly.
+    ``count`` names a table column with the number of facts per key, if the table was made from the
+    facts. Without it, ``facts`` is read a second time to count; pass stored data if it is costly.
     """
-    values = [c for c in table.columns if c not in keys]
-    per_key = facts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    values = [c for c in table.columns if c not in keys and c != count]
+    if count:
+        per_key = table.select(*keys, F.col(count).alias("_n"))
+    else:
+        per_key = facts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     total = per_key.agg(F.sum("_n")).scalar()
     hot_keys = per_key.where(F.col("_n") * HOT_SHARE > total).select(*keys)
     hot = table.join(F.broadcast(hot_keys), keys, "left_semi").select(

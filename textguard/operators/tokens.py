@@ -8,11 +8,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textguard.functions.keyed import framed, hmac_sha256
+from textguard.functions.keyed import framed, hmac_sha256, with_key
 from textguard.functions.regex import match_spans
 from textguard.functions.skew import lookup_join, number_within
 from textguard.operators.act import splice
 from textguard.policy import Policy
+from textguard.session import durable
 
 KEY_CONF = "textguard.token.key"
 TOKEN_HEX = 16
@@ -29,21 +30,24 @@ def placeholder(label: Column, tag: Column) -> Column:
     return F.concat(F.lit("["), label, F.lit("_"), tag, F.lit("]"))
 
 
-def scoped_tag(key: str, conversation: Column, epoch: Column, category: Column, value: Column) -> Column:
+def scoped_tag(conversation: Column, epoch: Column, category: Column, value: Column) -> Column:
     """16 hex digits: the same for the same value within one life of a conversation, unrelated
-    elsewhere, and not computable without the key. Needs no shared state, hence no shuffle."""
+    elsewhere, and not computable without the key. Needs no shared state, hence no shuffle.
+
+    For rows with the ``_key`` column of ``with_key``."""
     message = framed(conversation, epoch.cast("string"), category, value)
-    return F.substring(hmac_sha256(key, message), 1, TOKEN_HEX)
+    return F.substring(hmac_sha256(F.col("_key"), message), 1, TOKEN_HEX)
 
 
 def scoped_token(
-    policy: Policy, key: str, conversation: Column, epoch: Column | None = None
+    policy: Policy, conversation: Column, epoch: Column | None = None
 ) -> Callable[[Column], Column]:
+    """Finding -> placeholder, for rows with the ``_key`` column of ``with_key``."""
     life = F.lit(0) if epoch is None else epoch
 
     def build(f: Column) -> Column:
         label = policy.token_label_column(f["category"], f["rule_id"])
-        return placeholder(label, scoped_tag(key, conversation, life, f["category"], f["value"]))
+        return placeholder(label, scoped_tag(conversation, life, f["category"], f["value"]))
 
     return build
 
@@ -69,24 +73,28 @@ def occurrences(items: DataFrame, policy: Policy, order: list[str], keep: list[s
 
 
 def number_values(found: DataFrame, order: list[str]) -> DataFrame:
-    """``(category, value, token)``: values of a category numbered by first appearance, with the
+    """``(category, value, token, n_found)``: values of a category numbered by first appearance, with the
     label of that first appearance. Copies collapse before the shuffle."""
     firsts = found.groupBy("category", "value").agg(
-        F.min(F.struct(*order, "start", "label")).alias("first")
+        F.min(F.struct(*order, "start", "label")).alias("first"), F.count(F.lit(1)).alias("n_found")
     )
     numbered = number_within(
-        firsts.select("category", "value", *[F.col(f"first.{c}").alias(c) for c in [*order, "start", "label"]]),
+        firsts.select(
+            "category", "value", "n_found", *[F.col(f"first.{c}").alias(c) for c in [*order, "start", "label"]]
+        ),
         ["category"],
         [*order, "start"],
         "n",
     )
     tag = F.format_string("%03d", F.col("n"))
-    return numbered.select("category", "value", placeholder(F.col("label"), tag).alias("token"))
+    return numbered.select("category", "value", placeholder(F.col("label"), tag).alias("token"), "n_found")
 
 
 def apply_tokens(items: DataFrame, found: DataFrame, tokens: DataFrame, policy: Policy, keys: list[str]) -> DataFrame:
     """Rewrite texts with tokens from a table (sequential mode). ``keys`` identify a text."""
-    placed = lookup_join(found.select(*keys, "start", "category", "value"), tokens, ["category", "value"])
+    placed = lookup_join(
+        found.select(*keys, "start", "category", "value"), tokens, ["category", "value"], count="n_found"
+    )
     per_item = placed.groupBy(*keys).agg(
         F.map_from_entries(F.collect_list(F.struct("start", "token"))).alias("_tokens")
     )
@@ -102,8 +110,8 @@ def vault(found: DataFrame, key: str, conversation: str, epoch: Column | None =
     """Restricted ledger ``(conversation, epoch, token, category, value)`` for restoring. It holds
     raw values: keep it out of reports, and write it only where access is controlled."""
     life = (F.lit(0) if epoch is None else epoch).cast("bigint")
-    tag = scoped_tag(key, F.col(conversation), life, F.col("category"), F.col("value"))
-    return found.select(
+    tag = scoped_tag(F.col(conversation), life, F.col("category"), F.col("value"))
+    return with_key(found, key).select(
         F.col(conversation).alias("conversation"),
         life.alias("epoch"),
         placeholder(F.col("label"), tag).alias("token"),
@@ -124,16 +132,17 @@ def collisions(ledger: DataFrame) -> DataFrame:
 def restore(texts: DataFrame, ledger: DataFrame, key: str, conversation: str = "conversation", text: str = "text") -> DataFrame:
     """Put raw values back for tokens of the same conversation; other tokens stay.
 
-    Only texts that contain a token are shuffled. Adds ``restored``.
+    Only texts that contain a token are shuffled. Adds ``restored``. ``texts`` is read three times
+    and ``ledger`` twice: pass stored tables.
     """
     has_token = F.rlike(F.coalesce(F.col(text), F.lit("")), F.lit(SCOPED_TOKEN))
     plain = texts.where(~has_token).withColumn("restored", F.col(text))
     marked = texts.where(has_token)
-    wanted = marked.select(
+    wanted = durable(marked.select(
         key,
         F.col(conversation).alias("conversation"),
         F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(SCOPED_TOKEN), 0))).alias("token"),
-    )
+    ))
     known = ledger.select("conversation", "token", "value").dropDuplicates(["conversation", "token"])
     found = lookup_join(wanted, known, ["conversation", "token"]).where("value IS NOT NULL")
     per_text = found.groupBy(key).agg(

@@ -13,7 +13,7 @@ from textguard.session import durable
 
 
 def idle_epochs(accesses: DataFrame, conversation: str, ts: str, ttl_seconds: int) -> DataFrame:
-    """``(conversation, _bucket, epoch)``: which life of the conversation a time bucket falls in.
+    """``(conversation, _bucket, epoch, _n)``: which life of the conversation a time bucket falls in.
 
     Two accesses in one ttl-wide bucket are never more than ttl apart, so a life cannot end inside a
     bucket. Buckets collapse map-side; each conversation then has at most (time range / ttl) rows.
@@ -26,14 +26,14 @@ def idle_epochs(accesses: DataFrame, conversation: str, ts: str, ttl_seconds: in
             micros(ts).alias("_at"),
         )
         .groupBy(conversation, "_bucket")
-        .agg(F.min("_at").alias("_first"), F.max("_at").alias("_last"))
+        .agg(F.min("_at").alias("_first"), F.max("_at").alias("_last"), F.count(F.lit(1)).alias("_n"))
     )
     by_time = Window.partitionBy(conversation).orderBy("_bucket")
     ended = (F.col("_first") - F.lag("_last").over(by_time) > gap).cast("bigint")
     return (
         buckets.withColumn("_ended", F.coalesce(ended, F.lit(0)))
         .withColumn("epoch", F.sum("_ended").over(by_time))
-        .select(conversation, "_bucket", "epoch")
+        .select(conversation, "_bucket", "epoch", "_n")
     )
 
 
@@ -49,7 +49,7 @@ def with_idle_epoch(accesses: DataFrame, conversation: str, ts: str, ttl_seconds
     """Add ``epoch`` (0, 1, ...): a new one starts after more than ``ttl_seconds`` without access."""
     marked = accesses.withColumn("_bucket", _bucket(ts, ttl_seconds))
     epochs = idle_epochs(accesses, conversation, ts, ttl_seconds)
-    return lookup_join(marked, epochs, [conversation, "_bucket"]).drop("_bucket")
+    return lookup_join(marked, epochs, [conversation, "_bucket"], count="_n").drop("_bucket")
 
 
 def vault_accesses(

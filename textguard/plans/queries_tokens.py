@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from textguard.functions.keyed import with_key
 from textguard.operators.tokens import apply_tokens, collisions, number_values, occurrences, placeholder, restore, scoped_tag, vault
 from textguard.operators.vault import idle_epochs, vault_accesses, with_idle_epoch
 from textguard.plans.catalog import (
@@ -48,7 +49,7 @@ def _minted(spark, folder):
 @query("tokens_sequential", f"WITH RECURSIVE {_MINTED}, {_NUMBERED} SELECT category, value, token FROM numbered")
 def tokens_sequential(spark, folder):
     _, found = _minted(spark, folder)
-    return number_values(found, ["conv_id", "turn"])
+    return number_values(found, ["conv_id", "turn"]).drop("n_found")
 
 
 @query(
@@ -96,7 +97,7 @@ def restore_tokens(spark, folder):
     texts = done.where("allowed").select(
         "id", F.col("conv_id").cast("string").alias("conversation"), F.col("redacted").alias("text")
     )
-    return restore(texts, _ledger(spark, folder), "id").select("id", "restored")
+    return restore(durable(texts), durable(_ledger(spark, folder)), "id").select("id", "restored")
 
 
 @query(
@@ -110,7 +111,7 @@ def restore_other_conversation(spark, folder):
     texts = done.where("allowed").select(
         "id", F.concat(F.lit("x"), F.col("conv_id").cast("string")).alias("conversation"), F.col("redacted").alias("text")
     )
-    return restore(texts, _ledger(spark, folder), "id").select("id", "restored")
+    return restore(durable(texts), durable(_ledger(spark, folder)), "id").select("id", "restored")
 
 
 _EPOCHS_SQL = f"""SELECT user_id, event_id, CAST(sum(ended) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS epoch
@@ -158,9 +159,9 @@ _LIFE_MESSAGE = framed_sql("CAST(user_id AS VARCHAR)", "CAST(epoch AS VARCHAR)",
 )
 def tokens_scoped_by_life(spark, folder):
     """One value per user: its token changes when the user's mapping has expired."""
-    lives = with_idle_epoch(_events(spark, folder), "user_id", "ts", _TTL)
+    lives = with_key(with_idle_epoch(_events(spark, folder), "user_id", "ts", _TTL), DEMO_KEY)
     tag = scoped_tag(
-        DEMO_KEY, F.col("user_id").cast("string"), F.col("epoch"), F.lit("account_number"), F.lit("same value")
+        F.col("user_id").cast("string"), F.col("epoch"), F.lit("account_number"), F.lit("same value")
     )
     return lives.select("user_id", "event_id", placeholder(F.lit("ACCOUNT_NUMBER"), tag).alias("token"))
 

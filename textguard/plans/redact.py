@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textguard.functions.keyed import with_key
 from textguard.operators.act import audit_records, decide, rewrite
 from textguard.operators.detect import detect
 from textguard.operators.extract import EDIT_TYPE, conversation_key, extract_items, parse_payloads, write_back
@@ -34,8 +35,8 @@ def redact_texts(
 ) -> DataFrame:
     """Also rewrite (adds ``redacted``) with conversation-scoped tokens. No shuffle: works on batch
     and streaming tables alike."""
-    token = scoped_token(policy, key or token_key(df.sparkSession), conversation, epoch)
-    return rewrite(inspect_texts(df, policy, text, hits), policy, token, text)
+    inspected = inspect_texts(with_key(df, key or token_key(df.sparkSession)), policy, text, hits)
+    return rewrite(inspected, policy, scoped_token(policy, conversation, epoch), text).drop("_key")
 
 
 def audit_table(items: DataFrame, policy: Policy, keys: list[str]) -> DataFrame:
