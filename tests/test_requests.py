@@ -75,12 +75,26 @@ def test_blocked_broken_and_plain_requests(spark, policy):
     assert kept.columns == ["request_id", "blocked_categories", "problem"]
 
 
-def test_deep_payloads_are_not_let_through(spark, policy):
-    deep = {"text": EMAIL}
-    for _ in range(30):
-        deep = {"content": deep}
-    row = run(spark, policy, {"messages": [deep]})[0]
-    assert not row.allowed and row.problem == "too_deep"
+def test_payloads_of_any_depth(spark, policy):
+    def nested(depth, leaf):
+        for i in range(depth):
+            leaf = {"content": leaf} if i % 3 else [leaf, {"metadata": ["no"]}]
+        return {"messages": [leaf]}
+
+    documents = [nested(d, leaf) for d in (8, 9, 10, 11, 12, 13, 30, 200) for leaf in ({"text": EMAIL}, {"x": EMAIL})]
+    rows = run(spark, policy, *documents)
+    for i, (row, document) in enumerate(zip(rows, documents)):
+        assert row.allowed and (EMAIL in row.redacted_payload) == (i % 2 == 1), i
+        token = row.redacted_payload.split('"text":"')[1].split('"')[0] if i % 2 == 0 else EMAIL
+        assert json.loads(row.redacted_payload.replace(token, EMAIL)) == document
+
+
+def test_context_reaches_below_the_native_depth(spark):
+    document = {"metadata": [[{"a": {"b": [{"c": "yes"}]}}]], "z": {"y": [{"mcp": {"x": "yes", "l": ["no"]}}]}, "n": {"m": {"k": "no"}}}
+    for depth in (1, 2, 3, 4, 5, 12):
+        items = extract_items(parse_payloads(payloads(spark, document)), depth=depth)
+        got = {r.p: r.text for r in items.select(path_text(F.col("path")).alias("p"), "text").collect()}
+        assert got == {"metadata[0][0].a.b[0].c": "yes", "z.y[0].mcp.x": "yes"}, depth
 
 
 def test_extraction_rules(spark):
@@ -142,18 +156,20 @@ def test_replay_and_egress_checks(spark, policy):
     assert escaped_requests(blocked, done, "request_id").count() == 1
 
 
-def test_leaks_report_names_only(spark):
+def test_leaks_report_names_only(spark, monkeypatch):
     bodies = spark.createDataFrame(
         [(0, '{"body":"owner-demo@example.com"}'), (1, "nothing"), (2, "xProject Ravens"), (3, "a 10.77.1.80 b"), (4, "$$ ##")],
         "id int, body string",
     )
     needles = spark.createDataFrame(
         [("EMAIL", "owner-demo@example.com"), ("CODE", "Project Raven"), ("IP", "10.77.1.8"), ("EMPTY", ""), ("NULL", None),
-         ("SIGN", "$ #"), ("PART", "xample.c"), ("LONG", "demo@example.com\"}")],
+         ("SIGN", "$ #"), ("PART", "xample.c"), ("LONG", "demo@example.com\"}"), ("ONE", "{"), ("NOT", "zz")],
         "name string, value string",
     )
     found = leaks(bodies, needles, "id")
     assert sorted(tuple(r) for r in found.collect()) == [
-        (0, "EMAIL"), (0, "LONG"), (0, "PART"), (2, "CODE"), (3, "IP"), (4, "SIGN"),
+        (0, "EMAIL"), (0, "LONG"), (0, "ONE"), (0, "PART"), (2, "CODE"), (3, "IP"), (4, "SIGN"),
     ]
     assert found.columns == ["id", "name"]
+    monkeypatch.setattr("textguard.operators.checks.BROADCAST_CHARS", 0)
+    assert sorted(leaks(bodies, needles, "id").collect()) == sorted(found.collect())

@@ -5,55 +5,62 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textguard.functions.arrays import bind
 from textguard.operators.tokens import ANY_TOKEN
 
-NEEDLES_PER_PASS = 256
+# Needles up to this many characters in all are sent to every task; more are joined by shuffle.
+BROADCAST_CHARS = 32_000_000
 _RUNS = r"[\p{L}\p{N}]+"
+_GRAM = 3
 
 
 def leaks(bodies: DataFrame, needles: DataFrame, key: str, body: str = "body") -> DataFrame:
     """``(key, name)``: outputs that contain a needle as a fixed string; the value is not reported.
 
-    A needle's inner runs of letters and digits appear as whole runs in any text that contains it, so
-    the longest one serves as an equi-join key and the full needle is checked on the pairs that meet.
-    Needles without inner runs are few, short settings: they become literals of a filter.
+    Needle and text meet in an equi-join on a mark that any text with the needle must have; the full
+    needle is checked on the pairs that meet. The mark is the needle's longest inner run of letters and
+    digits (inner runs appear whole in the text), or its first characters if it has no inner run.
     """
     named = needles.where(F.coalesce(F.col("value"), F.lit("")) != "").select("name", "value")
-    runs = F.regexp_extract_all("value", F.lit(_RUNS), 0)
-    # A leading (trailing) run is whole only if the needle does not begin (end) inside it.
-    first = F.when(F.rlike("value", F.lit(r"^[\p{L}\p{N}]")), 2).otherwise(1)
-    last_cut = F.when(F.rlike("value", F.lit(r"[\p{L}\p{N}]$")), 1).otherwise(0)
-    inner = F.slice("_runs", F.col("_first"), F.greatest(F.size("_runs") - F.col("_first") + 1 - F.col("_cut"), F.lit(0)))
-    keyed = (
-        named.withColumn("_runs", runs)
-        .withColumn("_first", first)
-        .withColumn("_cut", last_cut)
-        .withColumn("_inner", inner)
-        .withColumn(
-            "anchor",
-            F.array_max(F.transform("_inner", lambda r: F.struct(F.char_length(r).alias("n"), r.alias("run"))))["run"],
-        )
-        .select("name", "value", "anchor")
-    )
-    anchored = keyed.where("anchor IS NOT NULL")
-    words = bodies.select(
-        key, body, F.explode(F.array_distinct(F.regexp_extract_all(body, F.lit(_RUNS), 0))).alias("anchor")
-    )
-    by_anchor = (
-        words.join(anchored, "anchor").where(F.contains(F.col(body), F.col("value"))).select(key, "name")
-    )
-    literals = keyed.where("anchor IS NULL").select("name", "value").collect()
-    out = by_anchor
-    for i in range(0, len(literals), NEEDLES_PER_PASS):
-        out = out.unionByName(_literal_leaks(bodies, literals[i : i + NEEDLES_PER_PASS], key, body))
+    marked = named.withColumn("mark", _inner_run("value"))
+    by_run = marked.where("mark IS NOT NULL")
+    by_gram = marked.where("mark IS NULL").withColumn("mark", F.substring("value", 1, _GRAM))
+    text = F.coalesce(F.col(body), F.lit(""))
+    out = _meeting(bodies, F.regexp_extract_all(text, F.lit(_RUNS), 0), by_run, key, body)
+    if not by_gram.isEmpty():
+        out = out.unionByName(_meeting(bodies, _grams(text), by_gram, key, body))
     return out.distinct()
 
 
-def _literal_leaks(bodies: DataFrame, needles: list, key: str, body: str) -> DataFrame:
-    names = F.array(
-        *[F.when(F.contains(F.col(body), F.lit(n["value"])), F.lit(n["name"])) for n in needles]
+def _inner_run(value: str) -> Column:
+    """Longest run that the needle neither begins nor ends with, else null."""
+    runs = F.regexp_extract_all(value, F.lit(_RUNS), 0)
+    begins = F.rlike(value, F.lit(r"^[\p{L}\p{N}]")).cast("int")
+    ends = F.rlike(value, F.lit(r"[\p{L}\p{N}]$")).cast("int")
+    inner = F.slice(runs, begins + 1, F.greatest(F.size(runs) - begins - ends, F.lit(0)))
+    return F.array_max(F.transform(inner, lambda r: F.struct(F.char_length(r).alias("n"), r.alias("run"))))["run"]
+
+
+def _grams(text: Column) -> Column:
+    """All pieces of one to three characters."""
+
+    def of_length(chars: Column, n: int) -> Column:
+        return F.transform(chars, lambda _, i: F.array_join(F.slice(chars, i + 1, n), ""))
+
+    return bind(
+        F.split(text, ""),
+        lambda chars: F.flatten(F.array(*[of_length(chars, n) for n in range(1, _GRAM + 1)])),
     )
-    return bodies.select(key, F.explode(F.array_compact(names)).alias("name"))
+
+
+def _meeting(bodies: DataFrame, marks: Column, needles: DataFrame, key: str, body: str) -> DataFrame:
+    each = F.explode(F.array_distinct(marks)).alias("mark")
+    holds = F.contains(F.col(body), F.col("value"))
+    size = needles.agg(F.coalesce(F.sum(F.char_length("value")), F.lit(0))).first()[0]
+    if size <= BROADCAST_CHARS:
+        return bodies.select(key, body, each).join(F.broadcast(needles), "mark").where(holds).select(key, "name")
+    pairs = bodies.select(key, each).join(needles, "mark").select(key, "name", "value").distinct()
+    return pairs.join(bodies.select(key, body), key).where(holds).select(key, "name")
 
 
 def replay_failures(results: DataFrame, expectations: DataFrame, key: str) -> DataFrame:

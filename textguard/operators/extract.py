@@ -36,12 +36,12 @@ def extract_items(
     depth: int = DEFAULT_DEPTH,
     array_strings: bool = False,
 ) -> DataFrame:
-    """``(key, path, text, json_encoded, too_deep)``: one row per text field of each payload.
+    """``(key, path, text, json_encoded)``: one row per text field of each payload.
 
     A string counts if it is an object's value under a text key, or anywhere below a context key.
     Every level is one ``variant_explode`` (no shuffle, one scan); values already at a leaf pass
-    through. Containers left below ``depth`` come out as ``too_deep`` rows for the caller to
-    quarantine. With ``array_strings``, strings directly inside arrays count like their array.
+    through. The rare containers below ``depth`` go through an Arrow UDF. With ``array_strings``,
+    strings directly inside arrays count like their array.
     """
     spark = parsed.sparkSession
     level = parsed.where(~F.col("malformed")).select(
@@ -65,29 +65,69 @@ def extract_items(
             F.when(opened, F.col("e.key").isNull()).otherwise(F.col("p.in_array")).alias("in_array"),
         )
     kind = F.schema_of_variant("v")
+    deep = kind.startswith("OBJECT<") | kind.startswith("ARRAY<")
+    # Leaves as they are; containers as the leaves below them.
+    leaf = F.struct(
+        "path", F.try_variant_get("v", "$", "string").alias("text"), "field", "context", "in_array"
+    )
+    below = F.transform(
+        leaves_below(F.when(F.col("deep"), F.to_json("v"))),
+        lambda d: F.struct(
+            F.concat("path", d["path"]).alias("path"),
+            d["text"].alias("text"),
+            F.coalesce(d["field"], F.col("field")).alias("field"),
+            (F.col("context") | F.exists(d["path"], lambda p: F.coalesce(p["key"].isin(*CONTEXT_KEYS), F.lit(False)))).alias("context"),
+            d["in_array"].alias("in_array"),
+        ),
+    )
     counts = F.col("field").isin(*TEXT_KEYS) | F.col("context")
     if not array_strings:
         counts = counts & ~F.col("in_array")
-    is_text = (kind == "STRING") & counts
-    too_deep = kind.startswith("OBJECT<") | kind.startswith("ARRAY<")
-    text = F.try_variant_get("v", "$", "string")
     return (
-        level.where(is_text | too_deep)
-        .select(
-            key,
-            "path",
-            F.when(~too_deep, text).alias("text"),
-            "field",
-            too_deep.alias("too_deep"),
-        )
+        level.withColumn("deep", deep)
+        .where(F.col("deep") | (kind == "STRING"))
+        .select(key, F.inline(F.when(F.col("deep"), below).otherwise(F.array(leaf))))
+        .where(counts)
         .withColumn(
             "json_encoded",
             F.coalesce(F.col("field").isin(*JSON_STRING_KEYS) & is_json_text(F.col("text")), F.lit(False)),
         )
-        .select(key, "path", "text", "json_encoded", "too_deep")
+        .select(key, "path", "text", "json_encoded")
     )
 
 
+_STEP = T.StructType().add("key", T.StringType()).add("pos", T.IntegerType())
+_LEAF = (
+    T.StructType()
+    .add("path", T.ArrayType(_STEP))
+    .add("text", T.StringType())
+    .add("field", T.StringType())
+    .add("in_array", T.BooleanType())
+)
+
+
+@F.pandas_udf(T.ArrayType(_LEAF))
+def leaves_below(documents: pd.Series) -> pd.Series:
+    """String leaves of JSON documents, with their paths."""
+
+    def one(document: str | None):
+        if document is None:
+            return None
+        found, todo = [], [((), None, json.loads(document))]
+        while todo:
+            path, field, value = todo.pop()
+            if isinstance(value, dict):
+                todo += [((*path, {"key": k, "pos": None}), k, v) for k, v in value.items()]
+            elif isinstance(value, list):
+                todo += [((*path, {"key": None, "pos": i}), field, v) for i, v in enumerate(value)]
+            elif isinstance(value, str):
+                in_array = bool(path) and path[-1]["key"] is None
+                found.append({"path": list(path), "text": value, "field": field, "in_array": in_array})
+        return found
+
+    return pd.Series([one(d) for d in documents], dtype=object)
+
+
 def is_json_text(text: Column) -> Column:
     """A string that itself holds a JSON object or array."""
     return F.rlike(text, F.lit(r"^\s*+[\[{]")) & F.try_parse_json(text).isNotNull()

@@ -53,9 +53,9 @@ def redact_requests(
 ) -> DataFrame:
     """``(request_id, allowed, redacted_payload, blocked_categories, audit, n_findings, problem)``.
 
-    One blocked text blocks its request. Malformed payloads, payloads nested too deep and JSON strings
-    that redaction would break are not let through either (``problem`` says which). Only texts with
-    something to report or change are shuffled back to their request.
+    One blocked text blocks its request. Malformed payloads and JSON strings that redaction would
+    break are not let through either (``problem`` says which). Only texts with something to report or
+    change are shuffled back to their request. ``request_id`` must be unique.
     """
     parsed = parse_payloads(requests.select(request_id, payload), payload).withColumn(
         "conversation", conversation_key(F.col("_json"), F.col(request_id))
@@ -65,18 +65,13 @@ def redact_requests(
     broken = F.col("json_encoded") & F.col("allowed") & F.try_parse_json("redacted").isNull()
     touched = (
         items.withColumn("_broken", broken)
-        .where(
-            F.col("too_deep")
-            | (F.size("resolved") > 0)
-            | F.col("json_encoded")
-        )
+        .where((F.size("resolved") > 0) | F.col("json_encoded"))
         .select(
             F.col(f"_k.{request_id}").alias(request_id),
             "path",
             "redacted",
             "json_encoded",
             "allowed",
-            "too_deep",
             "_broken",
             "blocked_categories",
             audit_records(policy, F.col("resolved")).alias("audit"),
@@ -84,7 +79,6 @@ def redact_requests(
     )
     per_request = touched.groupBy(request_id).agg(
         F.bool_and("allowed").alias("_allowed"),
-        F.bool_or("too_deep").alias("_too_deep"),
         F.bool_or("_broken").alias("_broken"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("blocked_categories")))).alias("_categories"),
         F.array_sort(
@@ -94,7 +88,6 @@ def redact_requests(
     joined = parsed.select(request_id, payload, "malformed").join(per_request, request_id, "left")
     problem = (
         F.when(F.col("malformed"), "malformed")
-        .when(F.col("_too_deep"), "too_deep")
         .when(F.col("_broken"), "rewrite_failed")
     )
     edits = F.transform(
