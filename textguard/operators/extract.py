@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from textguard.functions.regex import sql_string
+
 # Which fields hold text.
 TEXT_KEYS = (
     "content", "text", "input", "output", "result", "results", "system", "developer", "instructions",
@@ -19,7 +21,7 @@ JSON_STRING_KEYS = ("arguments", "input", "metadata", "content", "output", "resu
 CONVERSATION_KEYS = ("conversation_id", "thread_id", "session_id", "request_id")
 
 PATH_TYPE = "array<struct<key:string,pos:int>>"
-DEFAULT_DEPTH = 12
+DEFAULT_DEPTH = 8
 
 
 def parse_payloads(df: DataFrame, payload: str = "payload") -> DataFrame:
@@ -43,27 +45,11 @@ def extract_items(
     through. The rare containers below ``depth`` go through an Arrow UDF. With ``array_strings``,
     strings directly inside arrays count like their array.
     """
-    spark = parsed.sparkSession
-    level = parsed.where(~F.col("malformed")).select(
-        F.col(key),
-        F.col("_json").alias("v"),
-        F.array().cast(PATH_TYPE).alias("path"),
-        F.lit(None).cast("string").alias("field"),
-        F.lit(False).alias("context"),
-        F.lit(False).alias("in_array"),
-    )
+    query = f"""SELECT {key}, _json AS v, CAST(array() AS {PATH_TYPE}) AS path, CAST(NULL AS STRING) AS field,
+                       false AS context, false AS in_array FROM {{parsed}} WHERE NOT malformed"""
     for _ in range(depth):
-        inner = spark.tvf.variant_explode_outer(F.col("v").outer())
-        step = F.struct(F.col("e.key").alias("key"), F.when(F.col("e.key").isNull(), F.col("e.pos")).alias("pos"))
-        opened = F.col("e.pos").isNotNull()
-        level = level.alias("p").lateralJoin(inner.alias("e")).select(
-            F.col(f"p.{key}").alias(key),
-            F.when(opened, F.col("e.value")).otherwise(F.col("p.v")).alias("v"),
-            F.when(opened, F.concat("p.path", F.array(step))).otherwise(F.col("p.path")).alias("path"),
-            F.coalesce(F.col("e.key"), F.col("p.field")).alias("field"),
-            (F.col("p.context") | F.coalesce(F.col("e.key").isin(*CONTEXT_KEYS), F.lit(False))).alias("context"),
-            F.when(opened, F.col("e.key").isNull()).otherwise(F.col("p.in_array")).alias("in_array"),
-        )
+        query = _one_level_down(key, query)
+    level = parsed.sparkSession.sql(query, parsed=parsed)
     kind = F.schema_of_variant("v")
     deep = kind.startswith("OBJECT<") | kind.startswith("ARRAY<")
     # Leaves as they are; containers as the leaves below them.
@@ -106,6 +92,19 @@ _LEAF = (
 )
 
 
+def _one_level_down(key: str, level: str) -> str:
+    keys = ", ".join(sql_string(k) for k in CONTEXT_KEYS)
+    return f"""
+      SELECT p.{key},
+             CASE WHEN e.pos IS NULL THEN p.v ELSE e.value END AS v,
+             CASE WHEN e.pos IS NULL THEN p.path ELSE concat(p.path, array(named_struct(
+               'key', e.key, 'pos', CASE WHEN e.key IS NULL THEN e.pos END))) END AS path,
+             coalesce(e.key, p.field) AS field,
+             p.context OR coalesce(e.key IN ({keys}), false) AS context,
+             CASE WHEN e.pos IS NULL THEN p.in_array ELSE e.key IS NULL END AS in_array
+      FROM ({level}) AS p, LATERAL variant_explode_outer(p.v) AS e"""
+
+
 @F.pandas_udf(T.ArrayType(_LEAF))
 def leaves_below(documents: pd.Series) -> pd.Series:
     """String leaves of JSON documents, with their paths."""
