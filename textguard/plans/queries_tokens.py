@@ -185,6 +185,8 @@ def stream_redact(spark, folder):
     """Documents as a stream, redacted row by row in append mode."""
     out = scratch_folder(spark, "stream-redact")
     texts = _stream(spark, folder, "documents").select(F.col("doc_id").alias("id"), "text")
+    # One file per batch here: without this, one task would do all the work.
+    texts = texts.repartition(4 * spark.sparkContext.defaultParallelism, "id")
     done = redact_text_stream(texts, _MASK, F.col("id").cast("string"), DEMO_KEY)
     done.select("id", "redacted", F.size("resolved").cast("bigint").alias("n_findings")).writeStream.option(
         "checkpointLocation", f"{out}/state"
