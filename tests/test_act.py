@@ -2,7 +2,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from textguard.operators.hits import attach_hits
+from textguard.operators.hits import attach_hits, detect_hits
 from textguard.operators.reports import known_categories, roll_up
 from textguard.plans.redact import audit_table, inspect_texts, redact_texts
 from textguard.policy import Policy
@@ -63,6 +63,36 @@ def test_outside_hits(spark):
     assert off[0].redacted == "Alice Example"
 
 
+def test_detector_inside_the_job(spark):
+    import pandas as pd
+    from pyspark.sql import types as T
+
+    hit = T.StructType([T.StructField("label", T.StringType()), T.StructField("start", T.IntegerType()),
+                        T.StructField("end", T.IntegerType()), T.StructField("score", T.DoubleType())])
+
+    @F.pandas_udf(T.ArrayType(hit))
+    def names(texts: pd.Series) -> pd.Series:
+        def one(text):
+            at = text.find("Alice")
+            bad = [{"label": "other", "start": 0, "end": 1, "score": 1.0}, {"label": "secret", "start": 2, "end": 1, "score": 1.0}]
+            return bad + ([{"label": "private_person", "start": at, "end": at + 5, "score": None}] if at >= 0 else [])
+
+        return pd.Series([one(t) for t in texts])
+
+    use = Policy.builtin()
+    use.detectors.privacy_filter = True
+    rows = redact_texts(detect_hits(frame(spark, "see Alice", "Bob"), names), use, F.lit("c"), "k", hits="hits").orderBy("id").collect()
+    assert rows[0].redacted.startswith("see [PRIVATE_PERSON_") and rows[1].redacted == "Bob"
+
+
+def test_functions_by_name(spark):
+    from textguard.functions.register import register
+
+    assert "obfuscated_spans" in register(spark)
+    row = spark.sql("SELECT obfuscated_spans('alice at example dot com')[0].category AS c, json_leaves('{\"a\":[\"x\"]}')[0].text AS t").first()
+    assert (row.c, row.t) == ("private_email", "x")
+
+
 def test_hit_responses_of_both_shapes(spark):
     one = '{"findings":[{"label":"private_email","start":6,"end":23,"score":0.99},{"start":1}]}'
     two = ' [{"label":"secret","start":0,"end":2}]'

@@ -2,12 +2,13 @@ import random
 from collections import OrderedDict
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from textguard.functions.skew import lookup_join, number_within
 from textguard.operators.tokens import apply_tokens, collisions, number_values, occurrences, restore, vault
 from textguard.operators.vault import vault_accesses, with_idle_epoch
-from textguard.plans.redact import inspect_texts, redact_texts
+from textguard.plans.redact import inspect_texts, redact_requests, redact_table, redact_texts
 from textguard.policy import Policy
 
 
@@ -126,5 +127,31 @@ def test_idle_epochs_equal_simulation(spark):
     assert [r.epoch for r in got] == [e for _, e in simulate(rows, 60, 10**9)]
 
 
-def test_sequential_mode_needs_no_key():
-    assert Policy.builtin().tokenization.mode == "scoped_random"
+def test_sequential_mode_of_a_policy(spark):
+    use = Policy.builtin()
+    use.tokenization.mode = "deterministic"
+    texts = spark.createDataFrame([(1, "b@x.com"), (0, "a@x.com b@x.com"), (2, "fine")], "id int, text string")
+    with pytest.raises(ValueError):
+        redact_texts(texts, use, F.lit("c"))
+    got = {r.id: r.redacted for r in redact_table(texts, use, ["id"], F.lit("c")).collect()}
+    assert got == {0: "[PRIVATE_EMAIL_001] [PRIVATE_EMAIL_002]", 1: "[PRIVATE_EMAIL_002]", 2: "fine"}
+    payloads = texts.select(
+        F.col("id").alias("request_id"), F.to_json(F.struct(F.array(F.struct(F.col("text").alias("content"))).alias("messages"))).alias("payload")
+    )
+    done = {r.request_id: r.redacted_payload for r in redact_requests(payloads, use).collect()}
+    assert done[0] == '{"messages":[{"content":"[PRIVATE_EMAIL_001] [PRIVATE_EMAIL_002]"}]}'
+    assert done[1] == '{"messages":[{"content":"[PRIVATE_EMAIL_002]"}]}'
+
+
+def test_times_without_zone_ignore_the_session_zone(spark):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")
+    try:
+        # The clock change of that night is not an hour without access.
+        rows = [("a", datetime(2024, 3, 31, 1, 50), 0), ("a", datetime(2024, 3, 31, 3, 10), 1)]
+        df = spark.createDataFrame(rows, "c string, ts timestamp_ntz, i long")
+        assert [r.epoch for r in with_idle_epoch(df, "c", "ts", 3600).orderBy("i").collect()] == [0, 1]
+        got = vault_accesses(df, "c", "ts", "i", 3600, 5).orderBy("i").collect()
+        assert [(r.hit, r.ts) for r in got] == [(False, rows[0][1]), (False, rows[1][1])]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textguard.operators.detect import FINDINGS_TYPE, finding
@@ -21,45 +23,65 @@ LABELS = {
 }
 
 
+# What an outside detector yields per text.
+HITS_TYPE = "array<struct<label:string,start:int,end:int,score:double>>"
+
+
+def category_of(label: Column) -> Column:
+    return literal_map(LABELS)[label]
+
+
+def hit_findings(hits: Column, text: Column) -> Column:
+    """Complete hits with a known label and a sane span, as findings."""
+
+    def usable(h: Column) -> Column:
+        sane = (h["start"] >= 0) & (h["start"] <= h["end"])
+        return F.coalesce(category_of(h["label"]).isNotNull() & sane, F.lit(False))
+
+    return F.coalesce(
+        F.transform(
+            F.filter(hits, usable),
+            lambda h: finding(
+                category_of(h["label"]),
+                h["start"],
+                h["end"],
+                F.substr(text, h["start"] + 1, h["end"] - h["start"]),
+                F.lit("privacy_filter"),
+                F.lit("high"),
+                confidence=F.coalesce(h["score"], F.lit(1.0)),
+            ),
+        ),
+        F.array().cast(FINDINGS_TYPE),
+    )
+
+
 def usable_hits(hits: DataFrame, key: str) -> DataFrame:
-    """``(key, category, start, end, score)`` of complete hits with a known label and a sane span."""
-    category = literal_map(LABELS)[F.col("label")]
+    """``(key, category, start, end, score)`` of the hits that count."""
     return (
-        hits.where("label IS NOT NULL AND start IS NOT NULL AND end IS NOT NULL")
-        .select(
-            key,
-            category.alias("category"),
-            F.col("start").cast("int").alias("start"),
-            F.col("end").cast("int").alias("end"),
-            F.coalesce(F.col("score").cast("double"), F.lit(1.0)).alias("score"),
-        )
-        .where("category IS NOT NULL AND start >= 0 AND start <= end")
+        hits.where("label IS NOT NULL AND start >= 0 AND start <= end")
+        .select(key, category_of(F.col("label")).alias("category"), "start", "end", F.coalesce("score", F.lit(1.0)).alias("score"))
+        .where("category IS NOT NULL")
     )
 
 
 def attach_hits(items: DataFrame, hits: DataFrame, key: str, text: str = "text", output: str = "hits") -> DataFrame:
-    """Add ``output``: the hits of each text as findings. Exact repeats collapse before grouping."""
+    """Add ``output``: the landed hits of each text as findings. Exact repeats collapse first."""
+    hit = F.struct("start", "end", "label", F.col("score").cast("double").alias("score"))
     per_item = (
-        usable_hits(hits, key)
+        hits.where("start IS NOT NULL AND end IS NOT NULL")
+        .where(F.col("label").isin(*LABELS))
+        .select(key, hit.alias("hit"))
         .dropDuplicates()
         .groupBy(key)
-        .agg(F.array_sort(F.collect_list(F.struct("start", "end", "category", "score"))).alias("_hits"))
+        .agg(F.array_sort(F.collect_list("hit")).alias("_hits"))
     )
-    return items.join(per_item, key, "left").withColumn(
-        output,
-        F.coalesce(
-            F.transform(
-                "_hits",
-                lambda h: finding(
-                    h["category"],
-                    h["start"],
-                    h["end"],
-                    F.substr(F.col(text), h["start"] + 1, h["end"] - h["start"]),
-                    F.lit("privacy_filter"),
-                    F.lit("high"),
-                    confidence=h["score"],
-                ),
-            ),
-            F.array().cast(FINDINGS_TYPE),
-        ),
-    ).drop("_hits")
+    joined = items.join(per_item, key, "left")
+    return joined.withColumn(output, hit_findings(F.col("_hits"), F.col(text))).drop("_hits")
+
+
+def detect_hits(
+    items: DataFrame, detector: Callable[[Column], Column], text: str = "text", output: str = "hits"
+) -> DataFrame:
+    """Add ``output`` from a detector that runs in the job: a pandas UDF from text to ``HITS_TYPE``."""
+    found = items.withColumn("_hits", detector(F.col(text)).cast(HITS_TYPE))
+    return found.withColumn(output, hit_findings(F.col("_hits"), F.col(text))).drop("_hits")

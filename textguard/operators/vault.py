@@ -22,8 +22,8 @@ def idle_epochs(accesses: DataFrame, conversation: str, ts: str, ttl_seconds: in
     buckets = (
         accesses.select(
             F.col(conversation),
-            _bucket(ts, ttl_seconds).alias("_bucket"),
-            micros(ts).alias("_at"),
+            _bucket(accesses, ts, ttl_seconds).alias("_bucket"),
+            micros(accesses, ts).alias("_at"),
         )
         .groupBy(conversation, "_bucket")
         .agg(F.min("_at").alias("_first"), F.max("_at").alias("_last"), F.count(F.lit(1)).alias("_n"))
@@ -37,17 +37,29 @@ def idle_epochs(accesses: DataFrame, conversation: str, ts: str, ttl_seconds: in
     )
 
 
-def micros(ts: str) -> Column:
-    return F.unix_micros(F.col(ts).cast("timestamp"))
+_EPOCH = "TIMESTAMP_NTZ '1970-01-01 00:00:00'"
 
 
-def _bucket(ts: str, ttl_seconds: int) -> Column:
-    return micros(ts) - F.pmod(micros(ts), F.lit(ttl_seconds * 1_000_000))
+def micros(df: DataFrame, ts: str) -> Column:
+    """Microseconds of a time column; times without a zone do not depend on the session's zone."""
+    if dict(df.dtypes)[ts] == "timestamp_ntz":
+        return F.expr(f"timestampdiff(MICROSECOND, {_EPOCH}, `{ts}`)")
+    return F.unix_micros(F.col(ts))
+
+
+def _as_time(df: DataFrame, ts: str, value: str) -> Column:
+    if dict(df.dtypes)[ts] == "timestamp_ntz":
+        return F.expr(f"{_EPOCH} + make_dt_interval(0, 0, 0, `{value}` / 1000000BD)")
+    return F.timestamp_micros(value)
+
+
+def _bucket(df: DataFrame, ts: str, ttl_seconds: int) -> Column:
+    return micros(df, ts) - F.pmod(micros(df, ts), F.lit(ttl_seconds * 1_000_000))
 
 
 def with_idle_epoch(accesses: DataFrame, conversation: str, ts: str, ttl_seconds: int) -> DataFrame:
     """Add ``epoch`` (0, 1, ...): a new one starts after more than ``ttl_seconds`` without access."""
-    marked = accesses.withColumn("_bucket", _bucket(ts, ttl_seconds))
+    marked = accesses.withColumn("_bucket", _bucket(accesses, ts, ttl_seconds))
     epochs = idle_epochs(accesses, conversation, ts, ttl_seconds)
     return lookup_join(marked, epochs, [conversation, "_bucket"], count="_n").drop("_bucket")
 
@@ -68,7 +80,7 @@ def vault_accesses(
     that, every slice is swept on its own.
     """
     rows = sliced(
-        accesses.select(F.col(conversation).alias("c"), micros(ts).alias("t"), F.col(tie).alias("i")),
+        accesses.select(F.col(conversation).alias("c"), micros(accesses, ts).alias("t"), F.col(tie).alias("i")),
         [F.col("t"), F.col("i")],
     )
     carried = _carried_in(rows, max_conversations)
@@ -104,7 +116,7 @@ def vault_accesses(
     )
     return swept.join(offsets, ["_slice", "c"]).select(
         F.col("c").alias(conversation),
-        F.timestamp_micros("t").cast(dict(accesses.dtypes)[ts]).alias(ts),
+        _as_time(accesses, ts, "t").alias(ts),
         F.col("i").alias(tie),
         "hit",
         (F.col("misses") + F.col("_before") - 1).alias("epoch"),

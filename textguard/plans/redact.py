@@ -10,8 +10,9 @@ from textguard.operators.act import audit_records, decide, rewrite
 from textguard.operators.detect import detect
 from textguard.operators.extract import EDIT_TYPE, conversation_key, extract_items, parse_payloads, write_back
 from textguard.operators.resolve import resolve
-from textguard.operators.tokens import scoped_token, token_key
+from textguard.operators.tokens import apply_tokens, number_values, occurrences, scoped_token, token_key
 from textguard.policy import Policy
+from textguard.session import durable
 
 AUDIT_TYPE = (
     "array<struct<category:string,severity:string,detector:string,action:string,audit_only:boolean,"
@@ -34,11 +35,30 @@ def redact_texts(
     epoch: Column | None = None,
 ) -> DataFrame:
     """Also rewrite (adds ``redacted``) with conversation-scoped tokens. No shuffle: works on batch
-    and streaming tables alike."""
+    and streaming tables alike. For sequential tokens see ``redact_table``."""
+    if policy.tokenization.mode == "deterministic":
+        raise ValueError("sequential tokens number a whole table: use redact_table")
     inspected = inspect_texts(with_key(df, key or token_key(df.sparkSession)), policy, text, hits)
     return rewrite(inspected, policy, scoped_token(policy, conversation, epoch), text).drop("_key")
 
 
+def redact_table(
+    df: DataFrame,
+    policy: Policy,
+    order: list[str],
+    conversation: Column,
+    key: str | None = None,
+    hits: str | None = None,
+) -> DataFrame:
+    """Redact a batch table in the policy's token mode. ``order`` identifies and orders the texts;
+    sequential tokens are numbered over the whole table in that order."""
+    if policy.tokenization.mode != "deterministic":
+        return redact_texts(df, policy, conversation, key, hits=hits)
+    items = durable(inspect_texts(df, policy, hits=hits))
+    found = durable(occurrences(items, policy, order, []))
+    return apply_tokens(items, found, number_values(found, order), policy, order)
+
+
 def audit_table(items: DataFrame, policy: Policy, keys: list[str]) -> DataFrame:
     """One row per resolved finding, blocked texts included."""
     return items.select(*keys, F.inline(audit_records(policy, F.col("resolved"))))
@@ -61,7 +81,7 @@ def redact_requests(
         "conversation", conversation_key(F.col("_json"), F.col(request_id))
     )
     keyed = extract_items(parsed.select(F.struct(request_id, "conversation").alias("_k"), "_json", "malformed"), "_k")
-    items = redact_texts(keyed, policy, F.col("_k.conversation"), key)
+    items = redact_table(keyed, policy, ["_k", "path"], F.col("_k.conversation"), key)
     broken = F.col("json_encoded") & F.col("allowed") & F.try_parse_json("redacted").isNull()
     touched = (
         items.withColumn("_broken", broken)

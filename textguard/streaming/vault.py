@@ -51,7 +51,7 @@ def idle_epoch_stream(stream: DataFrame, conversation: str, ts: str, tie: str, t
     rows = stream.select(
         F.col(conversation).cast("string").alias("conversation"),
         F.col(tie).cast("bigint").alias("id"),
-        micros(ts).alias("at"),
+        micros(stream, ts).alias("at"),
     )
     return rows.groupBy("conversation").transformWithStateInPandas(
         statefulProcessor=IdleEpochs(ttl_seconds),
