@@ -124,19 +124,19 @@ def spans_sql(source: str, pattern: str, keep: str = "true") -> str:
 
 
 def phone_sql(source: str) -> str:
-    """Phones without look-around: match one more character on each side, then find the phone in it."""
-    wide = f"(?:^|[^0-9])({_PHONE_CORE})(?:[^0-9]|$)"
-    p = quoted(wide)
+    """Phones without look-around: match with one more character in front, find the phone in it, and
+    keep it if no digit follows."""
+    p = quoted(f"(?:^|[^0-9])({_PHONE_CORE})")
     return f"""
-      SELECT id, CAST(stop - length(seen) + strpos(seen, value) - 1 AS INTEGER) AS start,
-             CAST(stop - length(seen) + strpos(seen, value) - 1 + length(value) AS INTEGER) AS "end", value, i
-      FROM (SELECT id, value, seen, i, sum(length(gap) + length(seen)) OVER (PARTITION BY id ORDER BY i) AS stop
-            FROM (SELECT id, unnest(v) AS seen, unnest(c) AS value, unnest(g[1:len(v)]) AS gap,
+      SELECT id, CAST(stop - length(value) AS INTEGER) AS start, CAST(stop AS INTEGER) AS "end", value, i
+      FROM (SELECT id, text, value, i, sum(length(gap) + length(seen)) OVER (PARTITION BY id ORDER BY i) AS stop
+            FROM (SELECT id, text, unnest(v) AS seen, unnest(c) AS value, unnest(g[1:len(v)]) AS gap,
                          generate_subscripts(v, 1) AS i
-                  FROM (SELECT id, regexp_extract_all(text, {p}, 0, 'i') AS v,
+                  FROM (SELECT id, text, regexp_extract_all(text, {p}, 0, 'i') AS v,
                                regexp_extract_all(text, {p}, 1, 'i') AS c,
                                regexp_split_to_array(text, {p}, 'i') AS g
-                        FROM ({source}) AS s WHERE regexp_matches(text, {p}, 'i')) AS m) AS u) AS w"""
+                        FROM ({source}) AS s WHERE regexp_matches(text, {p}, 'i')) AS m) AS u) AS w
+      WHERE NOT regexp_matches(substr(text, CAST(stop + 1 AS BIGINT), 1), '[0-9]')"""
 
 
 def pattern_sql(source: str, pattern: Pattern) -> str:
