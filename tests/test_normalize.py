@@ -7,6 +7,7 @@ import unicodedata
 from pyspark.sql import functions as F
 
 from textguard.operators import normalize as N
+from textguard.patterns import BUILTIN, SECRETS
 
 PIECES = [
     "alice", "@", " at ", "At", "4t", " dot ", ".", "d0t", "com", "example", "-", "_", " ", "\n", "\t", "​", "﻿", "2",
@@ -69,6 +70,38 @@ def test_fold_equals_slow_model():
         assert list(zip(folded.lo.tolist(), folded.hi.tolist())) == spans, text
 
 
+def slow_find(text):
+    """All patterns on the slowly folded text; which findings are mapped, whole, or dropped."""
+    line, spans = slow_fold(text)
+    found, matches = set(), 0
+    if line == text:
+        return found
+    for p in BUILTIN + SECRETS:
+        for m in re.finditer(p.pattern, line, re.I | re.M):
+            if m.group().endswith(p.skip_suffixes or "\0"):
+                continue
+            matches += 1
+            if p.category == "private_url" and not re.search("http| dot |\u200b", text.lower()):
+                continue
+            if p.category == "private_email" and "@" in text and not re.search(" at | dot |\u200b", text.lower()):
+                continue
+            start, end = min(a for a, _ in spans[m.start() : m.end()]), max(b for _, b in spans[m.start() : m.end()])
+            severity = "critical" if p.severity == "critical" else "high"
+            if (p.category == "private_email" and line.count("@") > 1) or end - start > max(256, 4 * len(m.group())):
+                found.add((p.category, 0, len(text), severity, True, False))
+            else:
+                found.add((p.category, start, end, severity, True, True))
+    if not matches and re.search("[\u200b\u200c\u200d\ufeff]", text):
+        found.add(("obfuscated_text", 0, len(text), "high", False, False))
+    return found
+
+
+def test_findings_equal_slow_model():
+    for text in texts(7, 8000):
+        got = N.find_obfuscated(text)
+        assert {tuple(f.values()) for f in got} == slow_find(text), text
+
+
 def test_pretest_never_hides_a_finding(spark):
     values = texts(6, 20000)
     df = spark.createDataFrame(list(enumerate(values)), "id int, text string").repartition(8)

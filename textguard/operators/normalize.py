@@ -35,6 +35,7 @@ MIN_REACH = 256
 
 _WORD_RE = re.compile(r"\b(?:at|dot)\b", re.I)
 _SPLIT_SECRET_RE = re.compile(r"\bsk[\s-]+([a-z0-9][a-z0-9\s_-]{8,})", re.I)
+_DIGITS_RE = re.compile(r"\d{4}")
 _JOINERS_RE = re.compile(r"[\s_-]+")
 
 _UDF_TYPE = T.ArrayType(
@@ -165,7 +166,11 @@ def find_obfuscated(text: str) -> list[dict]:
     found: list[dict] = []
     whole: set[tuple[str, str]] = set()
     any_match = False
+    plain = folded.text.lower().replace("\u0131", "i")
+    few_digits = not _DIGITS_RE.search(plain)
     for pattern, regex in _compiled():
+        if pattern.needs and not any(n in plain for n in pattern.needs) or few_digits and pattern.name == "phone":
+            continue
         for match in regex.finditer(folded.text):
             if pattern.skip_suffixes and match.group().endswith(pattern.skip_suffixes):
                 continue

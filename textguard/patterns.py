@@ -2,7 +2,8 @@
 
 Each entry carries the pattern in Python syntax (``functions.regex.java_pattern`` spells it for the
 JVM) and a ``guard``: a cheap JVM regex (or plain string) that is true for every text with a match, so
-most rows never reach the full pattern.
+most rows never reach the full pattern. ``needs`` serves the same purpose for folded text in Python:
+one of these strings is in the lower-cased text of every match.
 """
 
 from __future__ import annotations
@@ -19,11 +20,12 @@ class Pattern:
     guard: str
     detector: str = "regex"
     skip_suffixes: tuple[str, ...] = ()
+    needs: tuple[str, ...] = ()
 
 
 # Results depend on these exact patterns, categories and severities.
 BUILTIN = (
-    Pattern("email", "private_email", "high", r"\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b", r"@"),
+    Pattern("email", "private_email", "high", r"\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b", r"@", needs=("@",)),
     Pattern(
         "phone",
         "private_phone",
@@ -37,15 +39,17 @@ BUILTIN = (
         "medium",
         r"\b(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)\b",
         r"\p{Nd}\.\p{Nd}",
+        needs=(".",),
     ),
-    Pattern("ipv6", "ip_address", "medium", r"\b(?:[A-F0-9]{1,4}:){2,7}[A-F0-9]{1,4}\b", r":[A-Fa-f0-9]{1,4}:"),
-    Pattern("url", "private_url", "medium", r"\bhttps?://[^\s<>'\"]+", r"(?iu)https?://"),
+    Pattern("ipv6", "ip_address", "medium", r"\b(?:[A-F0-9]{1,4}:){2,7}[A-F0-9]{1,4}\b", r":[A-Fa-f0-9]{1,4}:", needs=(":",)),
+    Pattern("url", "private_url", "medium", r"\bhttps?://[^\s<>'\"]+", r"(?iu)https?://", needs=("://",)),
     Pattern(
         "internal_domain",
         "internal_domain",
         "medium",
         r"\b(?:[a-z0-9-]+\.)+(?:corp|internal|local|lan|example)\b",
         r"(?iu)\.(?:corp|internal|local|lan|example)",
+        needs=(".",),
     ),
     Pattern(
         "file_path",
@@ -53,6 +57,7 @@ BUILTIN = (
         "medium",
         r"(?:/Users|/home|/var|/etc|/opt|/srv)/[^\s'\"]+",
         r"(?iu)/(?:users|home|var|etc|opt|srv)/",
+        needs=("/",),
     ),
     Pattern(
         "bare_domain",
@@ -61,14 +66,15 @@ BUILTIN = (
         r"\b([a-z0-9-]+\.)+[a-z]{2,}\b",
         r"(?iu)\.[a-z]",
         skip_suffixes=(".md", ".py", ".txt", ".yaml"),
+        needs=(".",),
     ),
 )
 
 SECRETS = (
-    Pattern("sk_key", "api_key", "critical", r"\bsk-[A-Za-z0-9_-]{8,}", r"(?iu)sk-", "secrets"),
-    Pattern("aws_key", "api_key", "critical", r"\bAKIA[0-9A-Z]{16}\b", r"(?iu)akia", "secrets"),
-    Pattern("git_key", "api_key", "critical", r"\bgh[pousr]_[A-Za-z0-9]{20,}", r"(?iu)gh[pousr]_", "secrets"),
-    Pattern("jwt", "jwt", "critical", r"\beyJ[\w-]+\.[\w-]+\.[\w-]+", r"(?iu)eyj", "secrets"),
+    Pattern("sk_key", "api_key", "critical", r"\bsk-[A-Za-z0-9_-]{8,}", r"(?iu)sk-", "secrets", needs=("sk-",)),
+    Pattern("aws_key", "api_key", "critical", r"\bAKIA[0-9A-Z]{16}\b", r"(?iu)akia", "secrets", needs=("akia",)),
+    Pattern("git_key", "api_key", "critical", r"\bgh[pousr]_[A-Za-z0-9]{20,}", r"(?iu)gh[pousr]_", "secrets", needs=("_",)),
+    Pattern("jwt", "jwt", "critical", r"\beyJ[\w-]+\.[\w-]+\.[\w-]+", r"(?iu)eyj", "secrets", needs=("eyj",)),
     Pattern(
         "database_url",
         "database_url",
@@ -76,8 +82,9 @@ SECRETS = (
         r"\b(?:postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis)://[^\s'\"]+",
         r"://",
         "secrets",
+        needs=("://",),
     ),
-    Pattern("private_key", "secret", "critical", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", r"-----", "secrets"),
+    Pattern("private_key", "secret", "critical", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", r"-----", "secrets", needs=("-----",)),
     Pattern(
         "assignment",
         "secret",
@@ -85,6 +92,7 @@ SECRETS = (
         r"\b[A-Z0-9_]*(?:API_KEY|SECRET|TOKEN|PASSWORD)\s*[=:]\s*\S+",
         r"[YyTtNnDd][\p{IsWhite_Space}\x{1C}-\x{1F}]*+[=:]",
         "secrets",
+        needs=("=", ":"),
     ),
 )
 
