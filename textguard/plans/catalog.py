@@ -214,13 +214,18 @@ def token_sql(conversation: str, policy: Policy, epoch: str = "'0'") -> str:
 
 
 def redacted_ctes(
-    source: str, policy: Policy, conversation: str = "CAST(id AS VARCHAR)", token: str | None = None
+    source: str,
+    policy: Policy,
+    conversation: str = "CAST(id AS VARCHAR)",
+    token: str | None = None,
+    token_ctes: str = "",
 ) -> str:
-    """CTEs ending in ``redacted (id, text, allowed, redacted, n_findings, blocked)``."""
+    """CTEs ending in ``redacted (id, text, allowed, redacted, n_findings, blocked)``. ``token`` is the
+    placeholder's SQL, which may use ``token_ctes``."""
     token = token or token_sql(conversation, policy)
     return f"""
     src AS ({source}), {resolved_ctes('SELECT id, text FROM src', policy)},
-    pieces AS (
+    {token_ctes} pieces AS (
       SELECT k.id, k.start, k."end", k.action, k.category,
              substr(k.text, lag(k."end", 1, 0) OVER w + 1, k.start - lag(k."end", 1, 0) OVER w)
              || CASE action WHEN 'mask' THEN '[' || upper(category) || '_REDACTED]'

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from textguard.operators.act import decide
 from textguard.operators.checks import changed_without_finding, escaped_requests, has_placeholder, leaks, replay_failures
 from textguard.operators.detect import detect
 from textguard.operators.hits import attach_hits, usable_hits
@@ -17,7 +16,6 @@ from textguard.operators.reports import (
     roll_up,
     size_stats,
 )
-from textguard.operators.resolve import resolve
 from textguard.operators.rules import (
     RULE_SCHEMA,
     actions_for,

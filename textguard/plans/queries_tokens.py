@@ -32,9 +32,10 @@ _FULL = regex_policy(secrets=True, rules=True)
 _TTL = 24 * 3600
 _CAP = 100
 
-_MINTED = f"""{resolved_ctes(SEEDED_SQL, _FULL)},
-  minted AS (SELECT k.id, k.start, k.category, k.value, k.rule_id, CAST(k.id // 1000 AS VARCHAR) AS conversation FROM kept AS k
-             WHERE action = 'tokenize' AND id NOT IN (SELECT id FROM kept WHERE action = 'block'))"""
+_MINTED_CTE = """
+  minted AS (SELECT k.id, k.start, k.category, k.value, k.rule_id, CAST(k.id // 1000 AS VARCHAR) AS conversation
+             FROM kept AS k WHERE action = 'tokenize' AND id NOT IN (SELECT id FROM kept WHERE action = 'block'))"""
+_MINTED = f"{resolved_ctes(SEEDED_SQL, _FULL)}, {_MINTED_CTE}"
 _LABEL = "CASE rule_id WHEN 'client_codename' THEN 'CODENAME' WHEN 'internal_ticket' THEN 'TICKET' ELSE upper(category) END"
 _NUMBERED = f"""numbered AS (
   SELECT category, value, '[' || {_LABEL} || '_' || printf('%03d', CAST(row_number() OVER (PARTITION BY category ORDER BY id, start) AS INTEGER)) || ']' AS token
@@ -52,11 +53,11 @@ def tokens_sequential(spark, folder):
     return number_values(found, ["conv_id", "turn"]).drop("n_found")
 
 
-@query(
-    "tokens_sequential_applied",
-    f"""WITH RECURSIVE {redacted_ctes(SEEDED_SQL, _FULL, token="(SELECT token FROM numbered AS n WHERE n.category = k.category AND n.value = k.value)").replace("pieces AS (", "minted AS (SELECT k.id, k.start, k.category, k.value, k.rule_id FROM kept AS k WHERE action = 'tokenize' AND id NOT IN (SELECT id FROM kept WHERE action = 'block')), " + _NUMBERED + ", pieces AS (", 1)}
-        SELECT id, redacted FROM redacted""",
-)
+_NUMBER_OF = "(SELECT token FROM numbered AS n WHERE n.category = k.category AND n.value = k.value)"
+_APPLIED = redacted_ctes(SEEDED_SQL, _FULL, token=_NUMBER_OF, token_ctes=f"{_MINTED_CTE}, {_NUMBERED},")
+
+
+@query("tokens_sequential_applied", f"WITH RECURSIVE {_APPLIED} SELECT id, redacted FROM redacted")
 def tokens_sequential_applied(spark, folder):
     items, found = _minted(spark, folder)
     items, found = durable(items), durable(found)
