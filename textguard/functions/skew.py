@@ -46,13 +46,19 @@ def lookup_join(facts: DataFrame, table: DataFrame, keys: list[str], count: str
     )
 
 
-def sliced(df: DataFrame, order: list[Column], name: str = "_slice") -> DataFrame:
+def sliced(df: DataFrame, order: list[Column], name: str = "_slice", max_rows: int | None = None) -> DataFrame:
     """Cut the whole table into even, ordered slices and pin each row's slice number.
 
     Slices follow the order across all keys, so their size does not depend on any key's share. The
-    checkpoint fixes the numbers: later jobs and retries see the same slices.
+    checkpoint fixes the numbers: later jobs and retries see the same slices. ``max_rows`` bounds the
+    (average) slice for steps that hold one in memory; it costs a count.
     """
-    return durable(df.repartitionByRange(*order).withColumn(name, F.spark_partition_id()))
+    if max_rows is None:
+        ranged = df.repartitionByRange(*order)
+    else:
+        enough = -(-df.count() // max_rows)
+        ranged = df.repartitionByRange(max(enough, df.sparkSession.sparkContext.defaultParallelism), *order)
+    return durable(ranged.withColumn(name, F.spark_partition_id()))
 
 
 def number_within(df: DataFrame, group: list[str], order: list[str], output: str) -> DataFrame:

@@ -12,6 +12,10 @@ from textguard.functions.skew import lookup_join, sliced
 from textguard.session import durable
 
 
+# Accesses that one task sweeps in memory.
+SLICE_ROWS = 1_000_000
+
+
 def idle_epochs(accesses: DataFrame, conversation: str, ts: str, ttl_seconds: int) -> DataFrame:
     """``(conversation, _bucket, epoch, _n)``: which life of the conversation a time bucket falls in.
 
@@ -82,6 +86,7 @@ def vault_accesses(
     rows = sliced(
         accesses.select(F.col(conversation).alias("c"), micros(accesses, ts).alias("t"), F.col(tie).alias("i")),
         [F.col("t"), F.col("i")],
+        max_rows=SLICE_ROWS,
     )
     carried = _carried_in(rows, max_conversations)
     gap = ttl_seconds * 1_000_000
