@@ -23,12 +23,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textguard.llm.common import query, table
+from textguard.llm.common import chunks, query, table
 from textguard.session import durable
 
 UNKNOWN = "und"
 MAX_PIECE = 10
-CACHE_WORDS = 300_000
+CACHE_TOKENS = 600_000
+BATCH_TEXTS = 200
 LONG_WORD = 64
 FLOOR = 1e-9
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -51,23 +52,31 @@ def read_pieces(path: str) -> list[str]:
 
 @dataclass
 class Model:
+    """``pieces`` holds probabilities per language; ``prefixes`` also has all beginnings of pieces (with None)."""
+
     languages: list[str]
     pieces: dict[str, tuple[float, ...]]
 
+    def __post_init__(self) -> None:
+        self.prefixes: dict[str, tuple[float, ...] | None] = {p[:k]: None for p in self.pieces for k in range(1, len(p))}
+        self.prefixes.update(self.pieces)
+
     def unknown(self) -> tuple[float, ...]:
         return (FLOOR,) * len(self.languages)
 
 
-def _edges(word: str, pieces: dict, unknown: tuple) -> list[tuple[int, int, tuple]]:
+def _edges(word: str, prefixes: dict, unknown: tuple) -> list[tuple[int, int, tuple]]:
     """Pieces found in a word as (start, end, probabilities), by start; every letter has one."""
     found = []
     n = len(word)
     for i in range(n):
-        found.append((i, i + 1, pieces.get(word[i], unknown)))
+        found.append((i, i + 1, prefixes.get(word[i]) or unknown))
         for j in range(i + 2, min(n, i + MAX_PIECE) + 1):
-            row = pieces.get(word[i:j])
-            if row is not None:
+            row = prefixes.get(word[i:j], 0)
+            if row:
                 found.append((i, j, row))
+            elif row == 0:  # no piece begins like this
+                break
     return found
 
 
@@ -76,7 +85,7 @@ def word_log_probs(word: str, model: Model) -> list[float]:
     unknown = model.unknown()
     if len(word) > LONG_WORD:
         return _long_word(word, model.pieces, unknown)
-    edges = _edges(word, model.pieces, unknown)
+    edges = _edges(word, model.prefixes, unknown)
     out = []
     for k in range(len(unknown)):
         alpha = [1.0] + [0.0] * len(word)
@@ -107,46 +116,144 @@ def _long_word(word: str, pieces: dict, unknown: tuple) -> list[float]:
     return scale
 
 
+class PieceTable:
+    """Looks pieces up for many words at once: open addressing over a rolling hash of letters."""
+
+    MIX = np.uint64(0x9E3779B97F4A7C15)
+    STEP = np.uint64(0xD6E8FEB86659FD93)
+    PROBES = 8
+
+    def __init__(self, model: Model):
+        names = list(model.prefixes)
+        self.letters = np.zeros(0x110000, np.uint64)
+        for k, letter in enumerate(sorted({c for name in names for c in name}), start=1):
+            self.letters[ord(letter)] = k
+        rows = [model.unknown()]
+        number = np.zeros(len(names), np.int64)  # 0: only a prefix
+        for at, name in enumerate(names):
+            row = model.prefixes[name]
+            if row is not None:
+                number[at] = len(rows)
+                rows.append(row)
+        self.rows = np.array(rows)
+        self.bits = max(4, (8 * len(names)).bit_length())
+        self.keys = np.zeros(1 << self.bits, np.uint64)
+        self.numbers = np.full(1 << self.bits, -1, np.int64)
+        mask = (1 << self.bits) - 1
+        with np.errstate(over="ignore"):
+            for at, name in enumerate(names):
+                key = np.uint64(0)
+                for letter in name:
+                    key = key * self.STEP + self.letters[ord(letter)]
+                slot = int(self._slots(key))
+                for _ in range(self.PROBES):
+                    if self.numbers[slot] < 0:
+                        break
+                    slot = (slot + 1) & mask
+                else:
+                    raise ValueError("piece table too dense")
+                self.keys[slot], self.numbers[slot] = key, number[at]
+
+    def _slots(self, keys):
+        return (keys * self.MIX) >> np.uint64(64 - self.bits)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Row number of each key; 0 for a mere prefix, -1 for neither."""
+        slots = self._slots(keys).astype(np.int64)
+        out = np.full(len(keys), -1, np.int64)
+        left = np.arange(len(keys))
+        for _ in range(self.PROBES):
+            numbers = self.numbers[slots]
+            hit = (self.keys[slots] == keys[left]) & (numbers >= 0)
+            out[left[hit]] = numbers[hit]
+            go_on = ~hit & (numbers >= 0)
+            left, slots = left[go_on], (slots[go_on] + 1) & (len(self.keys) - 1)
+            if not len(left):
+                break
+        return out
+
+    def log_probs(self, words: list[str]) -> np.ndarray:
+        """Log-probabilities of many short words; a letter that is no piece keeps the floor."""
+        codes = self.letters[np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)]
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        word = np.repeat(np.arange(len(words)), sizes)
+        place = np.arange(len(codes)) - np.repeat(sizes.cumsum() - sizes, sizes)
+        room = sizes[word] - place
+        longest = int(sizes.max(initial=0))
+        alpha = np.zeros((longest + 1, len(words), self.rows.shape[1]))
+        alpha[0] = 1.0
+        edges: dict[int, list[tuple[int, np.ndarray, np.ndarray]]] = {}
+        at, keys = np.arange(len(codes)), codes
+        for size in range(1, MAX_PIECE + 1):
+            numbers = self.find(keys)
+            known = (numbers > 0) | (size == 1)
+            ends = place[at[known]] + size
+            order = ends.argsort(kind="stable")
+            ends, of_word, row = ends[order], word[at[known]][order], np.maximum(numbers[known], 0)[order]
+            cuts = np.flatnonzero(np.diff(ends, prepend=-1, append=-1))
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                edges.setdefault(int(ends[lo]), []).append((size, of_word[lo:hi], row[lo:hi]))
+            go_on = (numbers >= 0) & (room[at] > size)
+            at = at[go_on]
+            keys = keys[go_on] * self.STEP + codes[at + size]
+        for end in range(1, longest + 1):
+            for size, of_word, row in edges.get(end, ()):
+                alpha[end, of_word] += alpha[end - size, of_word] * self.rows[row]
+        return np.log(alpha[sizes, np.arange(len(words))])
+
+
 class Scorer:
-    """Log-likelihoods of texts; scores of words are kept in a bounded cache."""
+    """Log-likelihoods of texts; scores of tokens are kept in a bounded cache."""
 
     def __init__(self, model: Model):
         self.model = model
+        self.table = PieceTable(model)
         self._clear()
 
     def _clear(self) -> None:
         self.index: dict[str, int] = {}
         self.rows = np.zeros((1024, len(self.model.languages) + 1))
 
-    def _add(self, token: str) -> int:
-        runs = _LETTERS.findall(token.lower())
-        row = [0.0] * len(self.model.languages)
-        for run in runs:
-            row = [a + b for a, b in zip(row, word_log_probs(run, self.model), strict=True)]
-        at = len(self.index)
-        if at == len(self.rows):
+    def _learn(self, tokens: list[str]) -> None:
+        """Score new tokens: the sum over their runs of letters."""
+        runs = [_LETTERS.findall(t.lower()) for t in tokens]
+        words = list({w for found in runs for w in found})
+        short = [w for w in words if len(w) <= LONG_WORD]
+        scores = dict(zip(short, self.table.log_probs(short), strict=True)) if short else {}
+        for w in words:
+            if w not in scores:
+                scores[w] = np.array(_long_word(w, self.model.pieces, self.model.unknown()))
+        first = len(self.index)
+        while len(self.rows) < first + len(tokens):
             self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        self.rows[at] = [*row, sum(map(len, runs))]
-        self.index[token] = at
-        return at
-
-    def text(self, text: str | None) -> tuple[np.ndarray, int]:
-        """Log-likelihood per language, and number of letters."""
-        total = np.zeros(self.rows.shape[1])
-        tokens = (text or "").split()
-        for start in range(0, len(tokens), 50_000):
-            if len(self.index) > CACHE_WORDS:
-                self._clear()
-            index = self.index
-            at = [index[t] if t in index else self._add(t) for t in tokens[start : start + 50_000]]
-            total += self.rows[at].sum(axis=0)
-        return total[:-1], round(total[-1])
-
-
-def _expected(word: str, pieces: dict, languages: int, k: int) -> dict[str, float]:
+        for at, (token, found) in enumerate(zip(tokens, runs, strict=True), start=first):
+            self.index[token] = at
+            row = self.rows[at]
+            for w in found:
+                row[:-1] += scores[w]
+                row[-1] += len(w)
+
+    def texts(self, texts: list[str | None]) -> list[tuple[np.ndarray, int]]:
+        """Log-likelihood per language, and number of letters, of each text."""
+        if len(self.index) > CACHE_TOKENS:
+            self._clear()
+        split = [(t or "").split() for t in texts]
+        index = self.index
+        new = {t for tokens in split for t in tokens if t not in index}
+        if new:
+            self._learn(list(new))
+        out = []
+        for tokens in split:
+            at = np.fromiter(map(index.__getitem__, tokens), np.int64, len(tokens))
+            total = self.rows[at].sum(axis=0)
+            out.append((total[:-1], round(total[-1])))
+        return out
+
+
+def _expected(word: str, model: Model, k: int) -> dict[str, float]:
     """Expected number of uses of each piece in a word, in language ``k`` (forward-backward)."""
-    n = len(word)
-    edges = _edges(word, pieces, (FLOOR,) * languages)
+    n, pieces = len(word), model.pieces
+    edges = _edges(word, model.prefixes, model.unknown())
     alpha, beta = [1.0] + [0.0] * n, [0.0] * n + [1.0]
     for i, j, row in edges:
         alpha[j] += alpha[i] * row[k]
@@ -170,7 +277,7 @@ def _em_round(words: DataFrame, model: Model, smoothing: float) -> Model:
         sums: dict[tuple[str, str], float] = {}
         for batch in batches:
             for lang, word, n in zip(batch["lang"], batch["word"], batch["n"], strict=True):
-                for piece, share in _expected(word, known.pieces, len(position), position[lang]).items():
+                for piece, share in _expected(word, known, position[lang]).items():
                     sums[lang, piece] = sums.get((lang, piece), 0.0) + n * share
         rows = [(lang, piece, value) for (lang, piece), value in sums.items()]
         yield pd.DataFrame(rows, columns=["lang", "piece", "value"])
@@ -234,13 +341,13 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         scorer = Scorer(known)
         for batch in batches:
             out = []
-            for value in batch:
-                likelihood, letters = scorer.text(value)
-                if not letters or not known.languages:
-                    out.append((UNKNOWN, 0.0))
-                    continue
-                best = int(likelihood.argmax())
-                out.append((known.languages[best], 1.0 / sum(exp(x - likelihood[best]) for x in likelihood)))
+            for part in chunks(iter(batch), BATCH_TEXTS):
+                for likelihood, letters in scorer.texts(part):
+                    if not letters or not known.languages:
+                        out.append((UNKNOWN, 0.0))
+                        continue
+                    best = int(likelihood.argmax())
+                    out.append((known.languages[best], 1.0 / sum(exp(x - likelihood[best]) for x in likelihood)))
             yield pd.DataFrame(out, columns=["lang", "score"])
 
     found = docs.withColumn("_language", classify(F.col(text)))
