@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from textguard.llm import language_id, licenses, packing, pii, quality, secrets, sharding, warc  # noqa: F401
+from textguard.llm import jaccard, language_id, licenses, packing, pii, quality, secrets, sharding, warc  # noqa: F401
 from textguard.llm.common import CHECK_SQL, QUERIES
 
 __all__ = ["CHECK_SQL", "QUERIES"]
