@@ -1,8 +1,20 @@
-"""All queries of this subpackage."""
+"""All queries of this part: the ten operators, and the pipeline at the repository's top."""
 
 from __future__ import annotations
 
-from textguard.llm import jaccard, language_id, licenses, packing, pii, quality, secrets, sharding, warc  # noqa: F401
+import corpus_pipeline  # noqa: F401
+from textguard.llm import (  # noqa: F401
+    decontamination,
+    jaccard,
+    language_id,
+    licenses,
+    packing,
+    pii,
+    quality,
+    secrets,
+    sharding,
+    warc,
+)
 from textguard.llm.common import CHECK_SQL, QUERIES
 
 __all__ = ["CHECK_SQL", "QUERIES"]

@@ -14,6 +14,7 @@ _BYTE_VALUES = np.random.default_rng(20240501).integers(1, 2**63, 256, dtype=np.
 _WORD_STEP = np.uint64(0xD1342543DE82EF95)
 _SPACES = np.zeros(256, bool)
 _SPACES[[9, 10, 11, 12, 13, 32]] = True
+_LETTERS_ONLY = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 CHUNK_BYTES = 1 << 20
 
 
@@ -52,9 +53,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words in order, and where each text's words begin (one entry more than texts)."""
-    raw = [(t or "").encode("utf-8", "surrogatepass").lower() for t in texts]
+def word_hashes(texts: list[str | None], letters_only: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words in order, and where each text's words begin (one entry more than texts).
+
+    ``letters_only`` lower-cases all letters and also ends words at ASCII punctuation.
+    """
+    if letters_only:
+        raw = [(t or "").lower().encode("utf-8", "surrogatepass").translate(_LETTERS_ONLY) for t in texts]
+    else:
+        raw = [(t or "").encode("utf-8", "surrogatepass").lower() for t in texts]
     data = np.frombuffer(b" ".join(raw) + b" ", np.uint8)
     sizes = np.fromiter(map(len, raw), np.int64, len(raw)) + 1
     text_start = np.concatenate([[0], sizes.cumsum()])
