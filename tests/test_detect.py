@@ -1,6 +1,6 @@
 import pytest
 
-from textguard.operators.detect import RULE_GROUP, detect
+from textguard.operators.detect import detect
 from textguard.policy import Policy
 
 
@@ -62,7 +62,7 @@ def test_rule_findings_carry_rule_id_and_default_severity(spark):
 def test_large_rule_sets_give_the_same_findings(spark):
     many = Policy.builtin()
     many.detectors.normalization = False
-    many.rules = [{"id": f"r{i}", "type": "keyword", "values": [f"word{i}!"]} for i in range(RULE_GROUP * 2 + 3)]
+    many.rules = [{"id": f"r{i}", "type": "keyword", "values": [f"word{i}!"]} for i in range(67)]
     df = spark.createDataFrame([("word1! word40! and WORD66! a@b.cc",), ("none",)], "text string")
     rows = detect(df, many).collect()
     assert [f.category for f in rows[0].findings] == ["private_email", "private_url", "r1", "r40", "r66"]
@@ -81,3 +81,38 @@ def test_industry_profiles_run(redact, name):
     text, category, allowed = samples[name]
     row = redact([text], Policy.builtin(name))[0]
     assert category in categories(row) and row.allowed is allowed
+
+
+def test_linear_spellings_match_the_same():
+    import random
+    import re
+
+    from textguard.patterns import BUILTIN
+
+    draw = random.Random(3)
+    bits = ["a", "b1", "-", ".", "..", "corp", "local", "lan", "com", "x.corp", "é", " ", "_", "@", "example", "A", "9", ".a.", "md"]
+    texts = ["".join(draw.choice(bits) for _ in range(draw.randint(1, 14))) for _ in range(5000)]
+    for pattern in BUILTIN:
+        if pattern.linear:
+            plain, linear = re.compile(pattern.pattern, re.I), re.compile(pattern.linear, re.I)
+            for text in texts:
+                assert [m.span() for m in plain.finditer(text)] == [m.span() for m in linear.finditer(text)], (pattern.name, text)
+
+
+def test_long_dotted_and_dashed_runs_do_not_stop_the_job(spark):
+    policy = Policy.builtin()
+    policy.detectors.normalization = False
+    texts = ["a." * 20_000, "a-" * 3_000 + "@", "a." * 2_000 + "corp", "ab:" * 20_000]
+    rows = detect(spark.createDataFrame([(t,) for t in texts], "text string"), policy).select("findings.category").collect()
+    assert [r.category for r in rows][0] == [] and "internal_domain" in rows[2].category
+
+
+def test_rules_with_captures_are_found_in_any_number(spark):
+    rules = [{"id": "twice", "type": "regex", "pattern": r"Q(\d)\1Q"}, {"id": "named", "type": "regex", "pattern": r"N(?P<x>\d)"}]
+    more = [{"id": f"r{i}", "type": "regex", "pattern": rf"w{i}(?P<x>!)"} for i in range(60)]
+    policy = Policy.builtin()
+    policy.detectors.normalization = False
+    df = spark.createDataFrame([("Q77Q Q78Q N5 w41!",)], "text string")
+    for extra, found in ((more[:3], ["twice", "named"]), (more, ["twice", "named", "r41"])):
+        policy.rules = rules + extra
+        assert [f.category for f in detect(df, policy).first().findings] == found

@@ -19,7 +19,6 @@ FINDING_TYPE = (
     "rule_id:string,normalized:boolean,safe_replace:boolean,confidence:double>"
 )
 FINDINGS_TYPE = f"array<{FINDING_TYPE}>"
-RULE_GROUP = 32
 
 
 def finding(
@@ -73,7 +72,7 @@ def _entry(
 
 
 def _pattern_entry(text: str, p: Pattern) -> str:
-    return _entry(text, java_pattern(p.pattern), p.category, p.detector, p.severity, p.guard, None, p.skip_suffixes)
+    return _entry(text, java_pattern(p.linear or p.pattern), p.category, p.detector, p.severity, p.guard, None, p.skip_suffixes)
 
 
 def _rule_entries(text: str, rule: dict) -> list[str]:
@@ -96,7 +95,9 @@ def _entries_to_findings(entries: list[str]) -> Column:
 
     def spans(found: Column) -> Column:
         kept = F.filter(
-            spans_of(found), lambda s: ~F.exists(found["skip"], lambda suffix: F.endswith(s["value"], suffix))
+            spans_of(found),
+            # A match without characters cannot be redacted; rules that allow one are refused, and this is the second guard.
+            lambda s: (s["end"] > s["start"]) & ~F.exists(found["skip"], lambda suffix: F.endswith(s["value"], suffix)),
         )
         return F.transform(
             kept,
@@ -125,35 +126,16 @@ def rule_findings(text: str, *rules: dict) -> Column:
     return _entries_to_findings([e for r in rules for e in _rule_entries(sql_name(text), r)])
 
 
-def _rule_group_columns(text: str, rules: list[dict]) -> list[Column]:
-    """Large rule sets run in groups; a group only runs on texts that one of its rules matches."""
-    if len(rules) <= RULE_GROUP:
-        return []
-    columns = []
-    for i in range(0, len(rules), RULE_GROUP):
-        group = rules[i : i + RULE_GROUP]
-        any_of = "|".join(f"(?:{p})" for rule in group for p in rule_patterns(rule))
-        test = F.expr(f"rlike({sql_name(text)}, {sql_string(any_of)})")
-        columns.append(F.when(test, rule_findings(text, *group)).otherwise(no_findings()))
-    return columns
-
-
 def native_findings(text: str, policy: Policy) -> Column:
     """All pattern findings in reporting order; switched-off detectors do not enter the plan."""
     source = sql_name(text)
-    before: list[str] = []
-    after: list[str] = []
-    grouped: list[Column] = []
+    entries: list[str] = []
     if policy.detectors.regex:
-        before += [_pattern_entry(source, p) for p in BUILTIN]
-        grouped = _rule_group_columns(text, policy.rules)
-        if not grouped:
-            before += [e for r in policy.rules for e in _rule_entries(source, r)]
+        entries += [_pattern_entry(source, p) for p in BUILTIN]
+        entries += [e for r in policy.rules for e in _rule_entries(source, r)]
     if policy.detectors.secrets:
-        after += [_pattern_entry(source, p) for p in SECRETS]
-    if not grouped:
-        return _entries_to_findings(before + after)
-    return F.concat(_entries_to_findings(before), *grouped, _entries_to_findings(after))
+        entries += [_pattern_entry(source, p) for p in SECRETS]
+    return _entries_to_findings(entries)
 
 
 def detect(

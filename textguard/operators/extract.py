@@ -27,7 +27,7 @@ DEFAULT_DEPTH = 8
 def parse_payloads(df: DataFrame, payload: str = "payload") -> DataFrame:
     """Add ``_json`` (variant) and ``malformed``: not JSON, or not an object."""
     is_object = F.col("_json").isNotNull() & F.rlike(payload, F.lit(r"^\s*+\{"))
-    return df.withColumn("_json", F.try_parse_json(F.col(payload))).withColumn(
+    return df.withColumn("_json", strict_json(F.col(payload))).withColumn(
         "malformed", ~F.coalesce(is_object, F.lit(False))
     )
 
@@ -127,9 +127,21 @@ def leaves_below(documents: pd.Series) -> pd.Series:
     return pd.Series([one(d) for d in documents], dtype=object)
 
 
+def strict_json(text: Column) -> Column:
+    """The variant of a string that is one JSON value as a whole, else null.
+
+    The parser stops after the first value, whatever follows it. Inside an array and inside an object the
+    text can only be followed by the closing bracket of each, so what passes both has nothing after it.
+    """
+    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    single = F.try_variant_get(listed, "$[1]", "variant").isNull() & F.try_variant_get(listed, "$[0]", "variant").isNotNull()
+    keyed = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}"))).isNotNull()
+    return F.when(single & keyed, F.try_parse_json(text))
+
+
 def is_json_text(text: Column) -> Column:
-    """A string that itself holds a JSON object or array."""
-    return F.rlike(text, F.lit(r"^\s*+[\[{]")) & F.try_parse_json(text).isNotNull()
+    """A string that as a whole is a JSON object or array."""
+    return F.rlike(text, F.lit(r"^\s*+[\[{]")) & strict_json(text).isNotNull()
 
 
 def path_text(path: Column) -> Column:
@@ -166,7 +178,10 @@ EDIT_TYPE = "array<struct<path:array<struct<key:string,pos:int>>,text:string,jso
 
 @F.pandas_udf(T.StringType())
 def write_back(payloads: pd.Series, edits: pd.Series) -> pd.Series:
-    """Set new texts at their paths; JSON held in strings is re-encoded without white space."""
+    """Set new texts at their paths; JSON held in strings is re-encoded without white space.
+
+    A payload that cannot be rewritten gives null, which callers must not let through.
+    """
 
     def compact(value) -> str:
         return json.dumps(value, separators=(",", ":"), ensure_ascii=False)
@@ -174,15 +189,18 @@ def write_back(payloads: pd.Series, edits: pd.Series) -> pd.Series:
     def one(payload: str | None, changes) -> str | None:
         if payload is None or changes is None or len(changes) == 0:
             return payload
-        document = json.loads(payload)
-        for change in changes:
-            *parents, last = [s["key"] if s["key"] is not None else int(s["pos"]) for s in change["path"]]
-            place = document
-            for step in parents:
-                place = place[step]
-            text = change["text"]
-            place[last] = compact(json.loads(text)) if change["json_encoded"] else text
-        return compact(document)
+        try:
+            document = json.loads(payload)
+            for change in changes:
+                *parents, last = [s["key"] if s["key"] is not None else int(s["pos"]) for s in change["path"]]
+                place = document
+                for step in parents:
+                    place = place[step]
+                text = change["text"]
+                place[last] = compact(json.loads(text)) if change["json_encoded"] else text
+            return compact(document)
+        except (ValueError, LookupError, TypeError, RecursionError):
+            return None
 
     return pd.Series([one(p, e) for p, e in zip(payloads, edits)], dtype=object)
 

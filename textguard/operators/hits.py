@@ -32,10 +32,10 @@ def category_of(label: Column) -> Column:
 
 
 def hit_findings(hits: Column, text: Column) -> Column:
-    """Complete hits with a known label and a sane span, as findings."""
+    """Complete hits with a known label and a non-empty span inside the text, as findings."""
 
     def usable(h: Column) -> Column:
-        sane = (h["start"] >= 0) & (h["start"] <= h["end"])
+        sane = (h["start"] >= 0) & (h["start"] < h["end"]) & (h["end"] <= F.char_length(text))
         return F.coalesce(category_of(h["label"]).isNotNull() & sane, F.lit(False))
 
     return F.coalesce(
@@ -58,7 +58,7 @@ def hit_findings(hits: Column, text: Column) -> Column:
 def usable_hits(hits: DataFrame, key: str) -> DataFrame:
     """``(key, category, start, end, score)`` of the hits that count."""
     return (
-        hits.where("label IS NOT NULL AND start >= 0 AND start <= end")
+        hits.where("label IS NOT NULL AND start >= 0 AND start < end")
         .select(key, category_of(F.col("label")).alias("category"), "start", "end", F.coalesce("score", F.lit(1.0)).alias("score"))
         .where("category IS NOT NULL")
     )

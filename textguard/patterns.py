@@ -3,7 +3,8 @@
 Each entry carries the pattern in Python syntax (``functions.regex.java_pattern`` spells it for the
 JVM) and a ``guard``: a cheap JVM regex (or plain string) that is true for every text with a match, so
 most rows never reach the full pattern. ``needs`` serves the same purpose for folded text in Python:
-one of these strings is in the lower-cased text of every match.
+one of these strings is in the lower-cased text of every match. ``linear`` spells a pattern with
+possessive loops where plain ones would recurse per repetition or backtrack; it has the same matches.
 """
 
 from __future__ import annotations
@@ -21,11 +22,20 @@ class Pattern:
     detector: str = "regex"
     skip_suffixes: tuple[str, ...] = ()
     needs: tuple[str, ...] = ()
+    linear: str | None = None
+
+
+def _last_label(labels: str, last: str) -> str:
+    r"""``\b(?:[labels]+\.)+last\b`` without a plain loop: runs of labels up to the next label that may be the
+    last one, as often as there is one."""
+    step = rf"[{labels}]++\."
+    return rf"\b(?:(?:{step}(?!{last}\b))*+{step}(?={last}\b))++{last}\b"
 
 
 # Results depend on these exact patterns, categories and severities.
 BUILTIN = (
-    Pattern("email", "private_email", "high", r"\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b", r"@", needs=("@",)),
+    Pattern("email", "private_email", "high", r"\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b", r"@", needs=("@",),
+            linear=r"\b[A-Z0-9._%+-]++@[A-Z0-9.-]+\.[A-Z]{2,}\b"),
     Pattern(
         "phone",
         "private_phone",
@@ -50,6 +60,7 @@ BUILTIN = (
         r"\b(?:[a-z0-9-]+\.)+(?:corp|internal|local|lan|example)\b",
         r"(?iu)\.(?:corp|internal|local|lan|example)",
         needs=(".",),
+        linear=_last_label("a-z0-9-", "(?:corp|internal|local|lan|example)"),
     ),
     Pattern(
         "file_path",
@@ -67,6 +78,7 @@ BUILTIN = (
         r"(?iu)\.[a-z]",
         skip_suffixes=(".md", ".py", ".txt", ".yaml"),
         needs=(".",),
+        linear=_last_label("a-z0-9-", "[a-z]{2,}+"),
     ),
 )
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from textguard.functions.keyed import with_key
 from textguard.operators.act import audit_records, decide, rewrite
 from textguard.operators.detect import detect
-from textguard.operators.extract import EDIT_TYPE, conversation_key, extract_items, parse_payloads, write_back
+from textguard.operators.extract import EDIT_TYPE, conversation_key, extract_items, is_json_text, parse_payloads, write_back
 from textguard.operators.resolve import resolve
 from textguard.operators.tokens import apply_tokens, number_values, occurrences, scoped_token, token_key
 from textguard.policy import Policy
@@ -82,7 +82,7 @@ def redact_requests(
     )
     keyed = extract_items(parsed.select(F.struct(request_id, "conversation").alias("_k"), "_json", "malformed"), "_k")
     items = redact_table(keyed, policy, ["_k", "path"], F.col("_k.conversation"), key)
-    broken = F.col("json_encoded") & F.col("allowed") & F.try_parse_json("redacted").isNull()
+    broken = F.col("json_encoded") & F.col("allowed") & ~F.coalesce(is_json_text(F.col("redacted")), F.lit(False))
     touched = (
         items.withColumn("_broken", broken)
         .where((F.size("resolved") > 0) | F.col("json_encoded"))
@@ -102,7 +102,8 @@ def redact_requests(
         F.bool_or("_broken").alias("_broken"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("blocked_categories")))).alias("_categories"),
         F.array_sort(
-            F.collect_list(F.struct("path", "redacted", "json_encoded", "audit"))
+            # Equal lines of a file share an id and their items, which count once.
+            F.collect_set(F.struct("path", "redacted", "json_encoded", "audit"))
         ).alias("_items"),
     )
     joined = parsed.select(request_id, payload, "malformed").join(per_request, request_id, "left")
@@ -119,12 +120,18 @@ def redact_requests(
     )
     needs = F.col("allowed") & F.col("_items").isNotNull()
     # Untouched payloads skip Python: they go through as nulls.
-    new_payload = write_back(F.when(needs, F.col(payload)), F.when(needs, edits))
+    rewritten = rewritten.withColumn("_needs", needs).withColumn(
+        "_new", write_back(F.when(F.col("_needs"), F.col(payload)), F.when(F.col("_needs"), edits))
+    )
+    failed = F.col("_needs") & F.col("_new").isNull()
+    rewritten = rewritten.withColumns(
+        {"problem": F.when(failed, "rewrite_failed").otherwise(F.col("problem")), "allowed": F.col("allowed") & ~failed}
+    )
     audit = F.coalesce(F.flatten(F.transform("_items", lambda i: i["audit"])), F.array().cast(AUDIT_TYPE))
     return rewritten.select(
         request_id,
         "allowed",
-        F.when(F.col("allowed"), F.coalesce(new_payload, F.col(payload))).alias("redacted_payload"),
+        F.when(F.col("allowed"), F.when(F.col("_needs"), F.col("_new")).otherwise(F.col(payload))).alias("redacted_payload"),
         F.coalesce("_categories", F.array().cast("array<string>")).alias("blocked_categories"),
         audit.alias("audit"),
         F.size(audit).alias("n_findings"),

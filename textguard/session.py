@@ -24,6 +24,7 @@ def local_session(cpus: str = "8", app: str = "textguard", **conf: str) -> Spark
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+        .config("textguard.scan.partitions", str(4 * int(cpus)))
     )
     for key, value in conf.items():
         builder = builder.config(key, value)
@@ -33,11 +34,13 @@ def local_session(cpus: str = "8", app: str = "textguard", **conf: str) -> Spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder named by the cluster; make one only if none is set (local runs)."""
+    """Use the shared folder named by the cluster; without one, only a local run may make its own."""
     context = spark.sparkContext
     if context.getCheckpointDir():
         return
     shared = spark.conf.get(CHECKPOINT_CONF, None) or context.getConf().get(CHECKPOINT_CONF)
+    if not shared and not context.master.startswith("local"):
+        raise ValueError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
     context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="textguard-ckpt-"))
 
 

@@ -44,18 +44,10 @@ def read_texts(spark: SparkSession, path: str, key: str, text: str) -> DataFrame
 
 
 def spread(scan: DataFrame, key: str) -> DataFrame:
-    """Give every core texts to work on when a table is small or sits in few large row groups.
-
-    Detection is bound by CPU, so for a table with fewer file splits than two per core a shuffle by
-    its unique key costs less than idle cores. Larger tables, and streams, keep their splits and are
-    not shuffled. Use directly on a scan (finding the number of splits runs no job there).
-    """
-    if scan.isStreaming:
-        return scan
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    if scan.rdd.getNumPartitions() >= 2 * cores:
-        return scan
-    return scan.repartition(4 * cores, key)
+    """Shuffle a scan to ``textguard.scan.partitions`` partitions if the session sets that (for small tables in few
+    row groups); otherwise the file splits stay. The size of the data plays no part."""
+    wanted = scan.sparkSession.conf.get("textguard.scan.partitions", None)
+    return scan if scan.isStreaming or wanted is None else scan.repartition(int(wanted), key)
 
 
 def read_fixtures(spark: SparkSession, path: str) -> DataFrame:
