@@ -10,7 +10,7 @@ ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 
 def base(text):
     text = text or ""
-    out = [(m.start(), 0, m.end(), "assign") for m in re.finditer(ASSIGN, text) if len(m[2]) >= 8]
+    out = [(m.start(), 0, m.end(), "assign") for m in re.finditer(ASSIGN, text, re.A) if len(m[2]) >= 8]
     out += [(m.start(), 1, m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
     out += [(m.start(), 2, m.end(), "hex") for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32]
     return ",".join(f"{x[3]}:{x[0]}:{x[2]}" for x in sorted(out))
