@@ -129,9 +129,19 @@ def collisions(ledger: DataFrame) -> DataFrame:
     )
 
 
-def restore(texts: DataFrame, ledger: DataFrame, key: str, conversation: str = "conversation", text: str = "text") -> DataFrame:
+def restore(
+    texts: DataFrame,
+    ledger: DataFrame,
+    key: str,
+    conversation: str = "conversation",
+    text: str = "text",
+    at: str | None = None,
+) -> DataFrame:
     """Put raw values back for tokens of the same conversation; other tokens stay.
 
+    With ``at`` (the time column of the texts) a token is only restored while its life lasts: the ledger then has an
+    ``expires_at`` column (see ``vault.life_ends``).
+
     Only texts that contain a token are shuffled. Adds ``restored``. ``texts`` is read three times
     and ``ledger`` twice: pass stored tables.
     """
@@ -140,11 +150,15 @@ def restore(texts: DataFrame, ledger: DataFrame, key: str, conversation: str = "
     marked = texts.where(has_token)
     wanted = durable(marked.select(
         key,
+        *([] if at is None else [F.col(at).alias("_at")]),
         F.col(conversation).alias("conversation"),
         F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(SCOPED_TOKEN), 0))).alias("token"),
     ))
-    known = ledger.select("conversation", "token", "value").dropDuplicates(["conversation", "token"])
+    life = [] if at is None else ["expires_at"]
+    known = ledger.select("conversation", "token", "value", *life).dropDuplicates(["conversation", "token"])
     found = lookup_join(wanted, known, ["conversation", "token"]).where("value IS NOT NULL")
+    if at is not None:
+        found = found.where(F.col("_at") <= F.col("expires_at"))
     per_text = found.groupBy(key).agg(
         F.map_from_entries(F.collect_list(F.struct("token", "value"))).alias("_known")
     )

@@ -41,6 +41,11 @@ def idle_epochs(accesses: DataFrame, conversation: str, ts: str, ttl_seconds: in
     )
 
 
+def life_ends(lives: DataFrame, conversation: str, ts: str, ttl_seconds: int) -> DataFrame:
+    """``(conversation, epoch, expires_at)`` from accesses with their epoch: when the tokens of each life end."""
+    return lives.groupBy(conversation, "epoch").agg(F.expr(f"max(`{ts}`) + INTERVAL '{ttl_seconds}' SECOND").alias("expires_at"))
+
+
 _EPOCH = "TIMESTAMP_NTZ '1970-01-01 00:00:00'"
 
 

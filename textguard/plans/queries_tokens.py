@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from textguard.functions.keyed import with_key
 from textguard.operators.tokens import apply_tokens, collisions, number_values, occurrences, placeholder, restore, scoped_tag, vault
-from textguard.operators.vault import idle_epochs, vault_accesses, with_idle_epoch
+from textguard.operators.vault import idle_epochs, life_ends, vault_accesses, with_idle_epoch
 from textguard.plans.catalog import (
     DEMO_KEY,
     DOCUMENTS_SQL,
@@ -23,7 +23,7 @@ from textguard.plans.catalog import (
     table,
     token_sql,
 )
-from textguard.plans.redact import inspect_texts, redact_texts
+from textguard.plans.redact import inspect_texts, redact_texts, redact_with_lives
 from textguard.session import durable, scratch_folder
 from textguard.streaming.requests import redact_request_stream, redact_text_stream
 from textguard.streaming.vault import idle_epoch_stream
@@ -167,6 +167,52 @@ def tokens_scoped_by_life(spark, folder):
     return lives.select("user_id", "event_id", placeholder(F.lit("ACCOUNT_NUMBER"), tag).alias("token"))
 
 
+# Events as timed texts: each names its user's address.
+_TIMED_TEXT = "'mail user' || CAST(user_id % 97 AS STRING) || '@example.com'"
+_MAIL_MESSAGE = framed_sql(
+    "CAST(user_id AS VARCHAR)", "CAST(epoch AS VARCHAR)", "'private_email'", "'user' || CAST(user_id % 97 AS VARCHAR) || '@example.com'"
+)
+_LIVES_SQL = f"""SELECT user_id, event_id, ts, epoch, 'mail [PRIVATE_EMAIL_' || left({hmac_sql(_MAIL_MESSAGE)}, 16) || ']' AS redacted
+  FROM ({_EPOCHS_SQL}) AS e JOIN (SELECT event_id, ts FROM events) AS t USING (event_id)"""
+
+
+def _lives(spark, folder):
+    texts = table(spark, folder, "events").selectExpr("user_id", "ts", "event_id", f"{_TIMED_TEXT} AS text")
+    policy = regex_policy()
+    policy.tokenization.ttl_seconds = _TTL
+    return redact_with_lives(texts, policy, "user_id", "ts", DEMO_KEY)
+
+
+@query("redact_with_lives", f"SELECT event_id, epoch, redacted FROM ({_LIVES_SQL}) AS l")
+def redact_lives(spark, folder):
+    """Timed texts; the policy's time-out decides when a user's tokens change."""
+    return _lives(spark, folder).select("event_id", "epoch", "redacted")
+
+
+@query(
+    "restore_expired",
+    f"""SELECT event_id, CASE WHEN ts + INTERVAL 1 SECOND * ({_TTL} * (event_id % 4)) <= last + INTERVAL {_TTL} SECOND
+               THEN 'mail user' || CAST(user_id % 97 AS VARCHAR) || '@example.com' ELSE redacted END AS restored
+        FROM (SELECT *, max(ts) OVER (PARTITION BY user_id, epoch) AS last FROM ({_LIVES_SQL}) AS l) AS w""",
+)
+def restore_expired(spark, folder):
+    """Restoring up to three time-outs later: only within the life of a token."""
+    done = durable(_lives(spark, folder).select("user_id", "event_id", "ts", "epoch", "text", "redacted"))
+    ends = life_ends(done, "user_id", "ts", _TTL)
+    # Two columns of one row: here every text is one token.
+    ledger = done.select(
+        "user_id", "epoch", F.expr("substr(redacted, 6)").alias("token"), F.expr("substr(text, 6)").alias("value")
+    ).distinct()
+    timed = ledger.join(ends, ["user_id", "epoch"]).withColumn("conversation", F.col("user_id").cast("string"))
+    asked = done.select(
+        "event_id",
+        F.col("user_id").cast("string").alias("conversation"),
+        F.expr(f"ts + make_dt_interval(0, 0, 0, {_TTL} * (event_id % 4))").alias("at"),
+        F.col("redacted").alias("text"),
+    )
+    return restore(durable(asked), durable(timed), "event_id", at="at").select("event_id", "restored")
+
+
 # -- streams ------------------------------------------------------------------------------------
 
 

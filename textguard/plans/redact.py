@@ -11,6 +11,7 @@ from textguard.operators.detect import detect
 from textguard.operators.extract import EDIT_TYPE, conversation_key, extract_items, is_json_text, parse_payloads, write_back
 from textguard.operators.resolve import resolve
 from textguard.operators.tokens import apply_tokens, number_values, occurrences, scoped_token, token_key
+from textguard.operators.vault import with_idle_epoch
 from textguard.policy import Policy
 from textguard.session import durable
 
@@ -42,6 +43,15 @@ def redact_texts(
     return rewrite(inspected, policy, scoped_token(policy, conversation, epoch), text).drop("_key")
 
 
+def redact_with_lives(
+    df: DataFrame, policy: Policy, conversation: str, ts: str, key: str | None = None, text: str = "text", hits: str | None = None
+) -> DataFrame:
+    """Redact a batch table of timed texts; tokens change when a conversation was idle for longer than the policy's
+    ``tokenization.ttl_seconds``. Adds ``epoch``, the life that each text is in."""
+    alive = with_idle_epoch(df, conversation, ts, policy.tokenization.ttl_seconds)
+    return redact_texts(alive, policy, F.col(conversation).cast("string"), key, text, hits, F.col("epoch"))
+
+
 def redact_table(
     df: DataFrame,
     policy: Policy,

@@ -24,7 +24,7 @@ def local_session(cpus: str = "8", app: str = "textguard", **conf: str) -> Spark
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
-        .config("textguard.scan.partitions", str(4 * int(cpus)))
+        .config("spark.textguard.scan.partitions", str(4 * int(cpus)))
     )
     for key, value in conf.items():
         builder = builder.config(key, value)

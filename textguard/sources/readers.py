@@ -44,9 +44,9 @@ def read_texts(spark: SparkSession, path: str, key: str, text: str) -> DataFrame
 
 
 def spread(scan: DataFrame, key: str) -> DataFrame:
-    """Shuffle a scan to ``textguard.scan.partitions`` partitions if the session sets that (for small tables in few
+    """Shuffle a scan to ``spark.textguard.scan.partitions`` partitions if the session sets that (for small tables in few
     row groups); otherwise the file splits stay. The size of the data plays no part."""
-    wanted = scan.sparkSession.conf.get("textguard.scan.partitions", None)
+    wanted = scan.sparkSession.conf.get("spark.textguard.scan.partitions", None)
     return scan if scan.isStreaming or wanted is None else scan.repartition(int(wanted), key)
 
 
