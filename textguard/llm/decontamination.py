@@ -5,8 +5,8 @@
    rows with a sketch, Spark gathers one partial product per task (vocabulary of a block of
    items times the rank), and the small factorisations run on the driver.
 3. Windows of every whole document are folded into the space, and their cosine with every item is taken. The
-   norm of a window counts all its terms. Only windows that have enough of their weight in the benchmark's
-   vocabulary for the cosine wanted are folded in: the cosine cannot exceed the root of that share.
+   norm of a window counts all its terms. Only windows with at least ``MIN_SHARE`` of their weight in the benchmark's
+   vocabulary are folded in: the words of a window inside a copy are all in it.
 4. Windows near an item are merged, and the longest common subsequence of words decides: a
    long one alone, a shorter one (a paraphrase) if the item's answer, its last sentence, is there as well.
 
@@ -35,8 +35,10 @@ from textguard.llm.shingles import in_chunks, word_hashes
 TERM_BITS = 17
 RANK = 192
 POWER_ROUNDS = 2
-WINDOWS = (12, 24, 48)
-MIN_COSINE = 0.45
+WINDOW, STEP = 24, 6  # words
+ITEM_WORDS = 64  # longer items are searched by passages of this length
+MIN_SHARE = 0.5  # of a window's weight, in the vocabulary of the items
+MIN_COSINE = 0.4
 MIN_LCS = 0.75
 MIN_PARAPHRASE_LCS = 0.5
 MIN_ANSWER_LCS = 0.7
@@ -85,8 +87,8 @@ class Space:
     idf: np.ndarray
     terms: np.ndarray  # sorted word hashes of the block's vocabulary
     basis: np.ndarray  # a row per term
-    vectors: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))  # a unit row per item
-    slot: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    vectors: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))  # a unit row per passage
+    of_vector: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # the item of each vector
 
     def weights(self, hashes: np.ndarray) -> np.ndarray:
         return self.idf[(hashes >> np.uint64(64 - TERM_BITS)).astype(np.int64)]
@@ -129,8 +131,11 @@ def latent_space(spark: SparkSession, items: list[Item], idf: np.ndarray, rank:
     """Randomised SVD of the items' TF-IDF rows; products with the matrix are taken by tasks."""
     terms = np.unique(np.concatenate([i.words for i in items]))
     space = Space(items, idf, terms, np.zeros((len(terms), 0)))
-    size = min(rank, len(items), len(terms))
-    rows = spark.createDataFrame([(k,) for k in range(len(items))], "k int").repartition(min(8, len(items)))
+    passages = [(k, lo) for k, i in enumerate(items) for lo in range(0, max(1, len(i.words) - ITEM_WORDS // 2), ITEM_WORDS)]
+    words = [items[k].words[lo : lo + ITEM_WORDS] for k, lo in passages]
+    space.of_vector = np.array([k for k, _ in passages])
+    size = min(rank, len(words), len(terms))
+    rows = spark.createDataFrame([(k, lo) for k, lo in passages], "k int, at int").repartition(min(8, len(passages)))
     known = spark.sparkContext.broadcast(space)
 
     def product(basis: np.ndarray) -> np.ndarray:
@@ -140,8 +145,8 @@ def latent_space(spark: SparkSession, items: list[Item], idf: np.ndarray, rank:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             total = np.zeros_like(shared.value)
             for batch in batches:
-                for k in batch["k"]:
-                    at, values = _tf_idf(known.value, known.value.items[k].words)
+                for k, lo in zip(batch["k"], batch["at"], strict=True):
+                    at, values = _tf_idf(known.value, known.value.items[k].words[lo : lo + ITEM_WORDS])
                     np.add.at(total, at, np.outer(values, values @ shared.value[at]))
             yield pd.DataFrame({"total": [total.tobytes()]})
 
@@ -153,7 +158,7 @@ def latent_space(spark: SparkSession, items: list[Item], idf: np.ndarray, rank:
         basis = np.linalg.qr(product(basis))[0]
     _, turn = np.linalg.eigh(basis.T @ product(basis))
     space.basis = (basis @ turn[:, ::-1]).astype(np.float32)
-    vectors = np.stack([(values[:, None] * space.basis[at]).sum(axis=0) for at, values in (_tf_idf(space, i.words) for i in items)])
+    vectors = np.stack([(values[:, None] * space.basis[at]).sum(axis=0) for at, values in (_tf_idf(space, w) for w in words)])
     space.vectors = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
     return space
 
@@ -173,82 +178,77 @@ def lcs_length(a: np.ndarray, b: np.ndarray) -> int:
     return len(a) - row.bit_count()
 
 
-def _starts(n: int, size: int) -> np.ndarray:
-    if n <= size:
-        return np.zeros(1, np.int64)
-    step = max(1, size // 4)
-    return np.append(np.arange(0, n - size, step), n - size)
+def _windows(begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, start and end of all windows of texts that begin at ``begin`` (with the end of all as last entry)."""
+    n = np.diff(begin)
+    last = np.maximum(n - WINDOW, 0)
+    per_text = np.where(n > 0, -(-last // STEP) + 1, 0)
+    text = np.repeat(np.arange(len(n)), per_text)
+    number = np.arange(len(text)) - np.repeat(per_text.cumsum() - per_text, per_text)
+    start = begin[text] + np.minimum(number * STEP, last[text])
+    return text, start, np.minimum(start + WINDOW, begin[text + 1])
 
 
-def _candidates(space: Space, words: np.ndarray, rows: np.ndarray, weights: np.ndarray, min_cosine: float) -> dict[int, list[tuple[int, int, float]]]:
-    """Windows near items: item number to (start, end, cosine)."""
-    squares = weights.astype(np.float64) ** 2
+def _candidates(space: Space, words: np.ndarray, begin: np.ndarray, min_cosine: float) -> dict[tuple[int, int], list[tuple[int, int, float]]]:
+    """Windows near items: (text, item number) to (start, end, cosine)."""
+    rows = space.rows(words)
+    weights = space.weights(words)
+    squares = weights**2
     every = np.concatenate([[0.0], squares.cumsum()])
     inside = np.concatenate([[0.0], np.where(rows >= 0, squares, 0.0).cumsum()])
-    found: dict[int, list[tuple[int, int, float]]] = {}
-    n = len(words)
-    for size in WINDOWS:
-        start = _starts(n, size)
-        end = np.minimum(start + size, n)
-        total = every[end] - every[start]
-        near = (inside[end] - inside[start]) >= min_cosine**2 * total
-        if not near.any():
-            continue
-        start, end, total = start[near], end[near], total[near]
-        for lo in range(0, len(start), 2000):
-            a, b = start[lo : lo + 2000], end[lo : lo + 2000]
-            grid = a[:, None] + np.arange(size)[None, :]
-            live = grid < b[:, None]
-            grid = np.minimum(grid, n - 1)
-            live &= rows[grid] >= 0
-            which, place = np.nonzero(live)
-            at = grid[which, place]
-            vectors = np.zeros((len(a), space.basis.shape[1]))
-            cuts = np.searchsorted(which, np.arange(len(a)))
-            filled = np.diff(np.append(cuts, len(which))) > 0
-            if len(which):
-                parts = weights[at, None] * space.basis[rows[at]]
-                vectors[filled] = np.add.reduceat(parts, cuts[filled], axis=0)
-            cosine = (vectors @ space.vectors.T) / np.sqrt(total[lo : lo + 2000, None])
-            for w, item in zip(*np.nonzero(cosine >= min_cosine), strict=True):
-                found.setdefault(int(item), []).append((int(a[w]), int(b[w]), float(cosine[w, item])))
-        if n <= size:
-            break
+    text, start, end = _windows(begin)
+    total = every[end] - every[start]
+    near = inside[end] - inside[start] >= MIN_SHARE * total
+    text, start, end, total = text[near], start[near], end[near], total[near]
+    found: dict[tuple[int, int], list[tuple[int, int, float]]] = {}
+    for lo in range(0, len(start), 2000):
+        a, b = start[lo : lo + 2000], end[lo : lo + 2000]
+        grid = a[:, None] + np.arange(WINDOW)[None, :]
+        live = grid < b[:, None]
+        grid = np.minimum(grid, len(words) - 1)
+        live &= rows[grid] >= 0
+        parts = np.where(live, weights[grid], 0.0).astype(np.float32)
+        vectors = np.einsum("wp,wpk->wk", parts, space.basis[np.maximum(rows[grid], 0)], optimize=True)
+        cosine = (vectors @ space.vectors.T) / np.sqrt(np.maximum(total[lo : lo + 2000, None], 1e-12))
+        for w, item in zip(*np.nonzero(cosine >= min_cosine), strict=True):
+            key = (int(text[lo + w]), int(space.of_vector[item]))
+            found.setdefault(key, []).append((int(a[w]), int(b[w]), float(cosine[w, item])))
     return found
 
 
-def leaks_of(space: Space, words: np.ndarray, min_cosine: float = MIN_COSINE) -> list[tuple[int, float, float, bool]]:
-    """(item, cosine, LCS share, answer found) of each item that the text holds, in full or paraphrased."""
+def leaks_of(space: Space, words: np.ndarray, begin: np.ndarray, min_cosine: float = MIN_COSINE) -> list[list[tuple]]:
+    """(item, cosine, LCS share, answer found) of each item that each text holds, in full or paraphrased."""
+    out: list[list[tuple]] = [[] for _ in range(len(begin) - 1)]
     if not len(words) or not space.items:
-        return []
-    out = []
-    found = _candidates(space, words, space.rows(words), space.weights(words), min_cosine)
-    for number, windows in sorted(found.items()):
+        return out
+    for (text, number), windows in sorted(_candidates(space, words, begin, min_cosine).items()):
         item = space.items[number]
         size = len(item.words)
-        best, best_answer = 0, False
-        stop = -1
+        first, stop = int(begin[text]), int(begin[text + 1])
         regions: list[list[int]] = []
         for start, end, _ in sorted(windows):
-            lo, hi = max(0, start - size), min(len(words), end + size)
-            if lo <= stop:
+            lo, hi = max(first, start - size), min(stop, end + size)
+            if regions and lo <= regions[-1][1]:
                 regions[-1][1] = max(regions[-1][1], hi)
             else:
                 regions.append([lo, hi])
-            stop = regions[-1][1]
+        best, best_answer = 0, False
         for lo, hi in regions:
             region = words[lo:hi]
+            # The subsequence cannot be longer than the number of the item's words that stand there at all.
+            if int(np.isin(item.words, region).sum()) < min(MIN_PARAPHRASE_LCS, MIN_LCS) * size:
+                continue
             common = lcs_length(item.words, region)
-            answer = lcs_length(item.answer, region) >= MIN_ANSWER_LCS * len(item.answer)
-            if (common, answer) > (best, best_answer):
-                best, best_answer = common, answer
+            if (common, True) > (best, best_answer):
+                answer = lcs_length(item.answer, region) >= MIN_ANSWER_LCS * len(item.answer)
+                best, best_answer = max((best, best_answer), (common, answer))
         share = best / size
         if size < SHORT_ITEM:
             leak = best == size
         else:
             leak = share >= MIN_LCS or (share >= MIN_PARAPHRASE_LCS and best_answer)
         if leak:
-            out.append((item.item_id, round(max(c for *_, c in windows), 6), share, best_answer))
+            out[text].append((item.item_id, round(max(c for *_, c in windows), 6), share, best_answer))
     return out
 
 
@@ -262,9 +262,8 @@ def _search(space: Broadcast, text: str) -> Column:
             texts = batch.tolist()
             out: list[list[dict]] = []
             for lo, hi in in_chunks(texts):
-                hashes, begin = word_hashes(texts[lo:hi], letters_only=True)
-                for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True):
-                    out.append([dict(zip(names, leak, strict=True)) for leak in leaks_of(space.value, hashes[a:b])])
+                words, begin = word_hashes(texts[lo:hi], letters_only=True)
+                out += [[dict(zip(names, leak, strict=True)) for leak in leaks] for leaks in leaks_of(space.value, words, begin)]
             yield pd.Series(out, dtype=object)
 
     return run(text)
