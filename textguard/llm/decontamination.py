@@ -34,6 +34,7 @@ from textguard.llm.shingles import in_chunks, word_hashes
 
 TERM_BITS = 17
 RANK = 192
+TASK_PASSAGES = 500
 POWER_ROUNDS = 2
 WINDOW, STEP = 24, 6  # words
 ITEM_WORDS = 64  # longer items are searched by passages of this length
@@ -135,7 +136,7 @@ def latent_space(spark: SparkSession, items: list[Item], idf: np.ndarray, rank:
     words = [items[k].words[lo : lo + ITEM_WORDS] for k, lo in passages]
     space.of_vector = np.array([k for k, _ in passages])
     size = min(rank, len(words), len(terms))
-    rows = spark.createDataFrame([(k, lo) for k, lo in passages], "k int, at int").repartition(min(8, len(passages)))
+    rows = spark.createDataFrame([(k, lo) for k, lo in passages], "k int, at int").repartition(-(-len(passages) // TASK_PASSAGES))
     known = spark.sparkContext.broadcast(space)
 
     def product(basis: np.ndarray) -> np.ndarray:
@@ -148,10 +149,13 @@ def latent_space(spark: SparkSession, items: list[Item], idf: np.ndarray, rank:
                 for k, lo in zip(batch["k"], batch["at"], strict=True):
                     at, values = _tf_idf(known.value, known.value.items[k].words[lo : lo + ITEM_WORDS])
                     np.add.at(total, at, np.outer(values, values @ shared.value[at]))
-            yield pd.DataFrame({"total": [total.tobytes()]})
+            yield pd.DataFrame({"total": [total.astype(np.float32).tobytes()]})
 
-        got = rows.mapInPandas(run, "total binary").collect()
-        return sum(np.frombuffer(r["total"]).reshape(basis.shape) for r in got)
+        total = np.zeros_like(basis)
+        for row in rows.mapInPandas(run, "total binary").toLocalIterator():
+            total += np.frombuffer(row["total"], np.float32).reshape(basis.shape)
+        shared.destroy()
+        return total
 
     basis = np.linalg.qr(np.random.default_rng(seed).standard_normal((len(terms), size)))[0]
     for _ in range(POWER_ROUNDS):
@@ -159,6 +163,7 @@ def latent_space(spark: SparkSession, items: list[Item], idf: np.ndarray, rank:
     _, turn = np.linalg.eigh(basis.T @ product(basis))
     space.basis = (basis @ turn[:, ::-1]).astype(np.float32)
     vectors = np.stack([(values[:, None] * space.basis[at]).sum(axis=0) for at, values in (_tf_idf(space, w) for w in words)])
+    known.destroy()
     space.vectors = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
     return space
 
