@@ -294,7 +294,7 @@ def _hits(spark, folder):
     "external_hits",
     f"""SELECT h.id, label AS category, start, stop AS "end", substr(d.text, start + 1, stop - start) AS value,
           coalesce(score, 1) AS confidence FROM ({_HITS}) AS h JOIN ({DOCUMENTS_SQL}) AS d ON d.id = h.id
-        WHERE label <> 'weather' AND start IS NOT NULL""",
+        WHERE label <> 'weather' AND start < stop AND stop <= length(d.text)""",
 )
 def external_hits(spark, folder):
     items = attach_hits(documents(spark, folder), _hits(spark, folder), "id")
@@ -312,7 +312,7 @@ def external_hits_redacted(spark, folder):
 
 @query(
     "external_hit_labels",
-    f"SELECT label AS category, count(*) AS n FROM ({_HITS}) AS h WHERE label <> 'weather' AND start IS NOT NULL GROUP BY label",
+    f"SELECT label AS category, count(*) AS n FROM ({_HITS}) AS h WHERE label <> 'weather' AND start < stop GROUP BY label",
 )
 def external_hit_labels(spark, folder):
     return usable_hits(_hits(spark, folder), "id").groupBy("category").agg(F.count(F.lit(1)).alias("n"))
