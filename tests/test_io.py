@@ -63,8 +63,15 @@ def test_text_tables_scan_two_columns_and_spread(spark, tmp_path):
     texts = read_texts(spark, path, "id", "text")
     assert texts.count() == 50 and texts.rdd.getNumPartitions() > 1
     assert "other" not in texts._jdf.queryExecution().executedPlan().toString()
+    # The setting decides, not the size of the scan.
+    wanted = spark.conf.get("spark.textguard.scan.partitions")
     wide = spark.range(0, 100, 1, 64)
-    assert spread(wide, "id") is wide
+    assert spread(wide, "id").rdd.getNumPartitions() == int(wanted)
+    spark.conf.unset("spark.textguard.scan.partitions")
+    try:
+        assert spread(wide, "id") is wide
+    finally:
+        spark.conf.set("spark.textguard.scan.partitions", wanted)
 
 
 def test_batch_sinks(spark, policy, tmp_path):
