@@ -78,3 +78,13 @@ def test_every_verbatim_item_of_the_tables(spark):
     texts = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()
     planted = {(d, i) for i, b in spark.read.parquet(f"{folder}/benchmark.parquet").collect() for d, t in texts if b in (t or "")}
     assert planted <= {(r.doc_id, r.item_id) for r in QUERIES["op3_benchmark_leaks"](spark, folder).collect()}
+
+
+def test_every_copy_of_thousands_of_items_is_found(spark, docs, prose):
+    draw = prose.draw
+    texts = [" ".join(f"w{int(20_000 ** draw.random())}" for _ in range(40)) for _ in range(2400)]
+    benchmark = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    planted = range(0, len(texts), 7)
+    df = docs([" ".join(prose(60)) + " " + texts[k] + " " + " ".join(prose(60)) for k in planted])
+    got = {(r.doc_id, i.item_id) for r in with_leaks(df, benchmark, output="f").collect() for i in r.f}
+    assert {(d, k) for d, k in enumerate(planted)} <= got

@@ -1,16 +1,17 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 1. Inverse document frequencies come from all documents (terms hashed to ``TERM_BITS`` bits).
-2. A randomised SVD of the TF-IDF matrix of benchmark passages gives the latent space: tasks multiply their
-   rows with a sketch, Spark gathers one partial product per task (vocabulary of a block of
-   items times the rank), and the small factorisations run on the driver.
+2. A randomised SVD of the TF-IDF matrix of benchmark passages gives the latent space of a block: a task multiplies
+   the block's rows with a sketch, and the small factorisations run on the driver. The rank is the number of passages of
+   the block, so the space keeps all of every passage, however many items the benchmark has.
 3. Windows of every whole document are folded into the space, and their cosine with every item is taken. The
    norm of a window counts all its terms. Only windows with at least ``MIN_SHARE`` of their weight in the benchmark's
    vocabulary are folded in: the words of a window inside a copy are all in it.
 4. Windows near an item are merged, and the longest common subsequence of words decides: a
    long one alone, a shorter one (a paraphrase) if the item's answer, its last sentence, is there as well.
 
-Items are searched in blocks of ``BLOCK_ITEMS``, one pass over the documents each, which bounds what is broadcast.
+Items are searched in blocks of at most ``BLOCK_PASSAGES`` passages (an item with more is a block of its own), and
+``PASS_BLOCKS`` blocks are broadcast together and searched in one go over the texts, which bounds what a worker holds.
 
 Defined results: null and empty texts and items match nothing. Items under ``SHORT_ITEM`` words must stand there whole.
 Equal rows get equal results; equal items are all reported. Extra columns are kept by :func:`with_leaks`.
@@ -29,12 +30,10 @@ from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textguard.llm.common import query, table
+from textguard.llm.common import chunks, query, table
 from textguard.llm.shingles import in_chunks, word_hashes
 
 TERM_BITS = 17
-RANK = 192
-TASK_PASSAGES = 500
 POWER_ROUNDS = 2
 WINDOW, STEP = 24, 6  # words
 ITEM_WORDS = 64  # longer items are searched by passages of this length
@@ -44,7 +43,8 @@ MIN_LCS = 0.75
 MIN_PARAPHRASE_LCS = 0.5
 MIN_ANSWER_LCS = 0.7
 SHORT_ITEM = 8
-BLOCK_ITEMS = 5000
+BLOCK_PASSAGES = 192
+PASS_BLOCKS = 8
 LEAK = "array<struct<item_id:bigint,cosine:double,lcs:double,answer:boolean>>"
 
 
@@ -106,17 +106,26 @@ def _answer(text: str) -> str:
     return parts[-1] if parts else ""
 
 
-def read_items(benchmark: DataFrame, block: int = BLOCK_ITEMS) -> Iterator[list[Item]]:
-    """Items in blocks."""
+def _passages(words: np.ndarray) -> range:
+    """Where an item's passages begin."""
+    return range(0, max(1, len(words) - ITEM_WORDS // 2), ITEM_WORDS)
+
+
+def read_items(benchmark: DataFrame, block: int = BLOCK_PASSAGES) -> Iterator[list[Item]]:
+    """Items in blocks of at most ``block`` passages, or of one item with more."""
     rows = benchmark.where("text IS NOT NULL").select(F.col("item_id").cast("bigint"), "text").distinct().toLocalIterator()
     part: list[Item] = []
+    held = 0
     for item_id, text in rows:
         words = word_hashes([text], letters_only=True)[0]
-        if len(words):
-            part.append(Item(item_id, words, word_hashes([_answer(text)], letters_only=True)[0]))
-        if len(part) == block:
+        if not len(words):
+            continue
+        more = len(_passages(words))
+        if part and held + more > block:
             yield part
-            part = []
+            part, held = [], 0
+        part.append(Item(item_id, words, word_hashes([_answer(text)], letters_only=True)[0]))
+        held += more
     if part:
         yield part
 
@@ -128,15 +137,15 @@ def _tf_idf(space: Space, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return rows, values
 
 
-def latent_space(spark: SparkSession, items: list[Item], idf: np.ndarray, rank: int = RANK, seed: int = 1) -> Space:
-    """Randomised SVD of the items' TF-IDF rows; products with the matrix are taken by tasks."""
+def latent_space(spark: SparkSession, items: list[Item], idf: np.ndarray, seed: int = 1) -> Space:
+    """Randomised SVD of the items' TF-IDF rows, of as many dimensions as there are passages; a task takes the products."""
     terms = np.unique(np.concatenate([i.words for i in items]))
     space = Space(items, idf, terms, np.zeros((len(terms), 0)))
-    passages = [(k, lo) for k, i in enumerate(items) for lo in range(0, max(1, len(i.words) - ITEM_WORDS // 2), ITEM_WORDS)]
+    passages = [(k, lo) for k, i in enumerate(items) for lo in _passages(i.words)]
     words = [items[k].words[lo : lo + ITEM_WORDS] for k, lo in passages]
     space.of_vector = np.array([k for k, _ in passages])
-    size = min(rank, len(words), len(terms))
-    rows = spark.createDataFrame([(k, lo) for k, lo in passages], "k int, at int").repartition(-(-len(passages) // TASK_PASSAGES))
+    size = min(len(words), len(terms))
+    rows = spark.createDataFrame([(k, lo) for k, lo in passages], "k int, at int").coalesce(1)
     known = spark.sparkContext.broadcast(space)
 
     def product(basis: np.ndarray) -> np.ndarray:
@@ -257,7 +266,7 @@ def leaks_of(space: Space, words: np.ndarray, begin: np.ndarray, min_cosine: flo
     return out
 
 
-def _search(space: Broadcast, text: str) -> Column:
+def _search(spaces: Broadcast, text: str) -> Column:
     """Leaks of each text of a column; only the texts go through Python."""
     names = ("item_id", "cosine", "lcs", "answer")
 
@@ -268,7 +277,8 @@ def _search(space: Broadcast, text: str) -> Column:
             out: list[list[dict]] = []
             for lo, hi in in_chunks(texts):
                 words, begin = word_hashes(texts[lo:hi], letters_only=True)
-                out += [[dict(zip(names, leak, strict=True)) for leak in leaks] for leaks in leaks_of(space.value, words, begin)]
+                found = [leaks_of(space, words, begin) for space in spaces.value]
+                out += [[dict(zip(names, leak, strict=True)) for leaks in per_text for leak in leaks] for per_text in zip(*found, strict=True)]
             yield pd.Series(out, dtype=object)
 
     return run(text)
@@ -278,7 +288,8 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, output: str = "leaks") ->
     """Documents with all their columns and an array of leaks."""
     spark = docs.sparkSession
     idf = inverse_frequencies(docs)
-    parts = [_search(spark.sparkContext.broadcast(latent_space(spark, items, idf)), "text") for items in read_items(benchmark)]
+    spaces = (latent_space(spark, items, idf) for items in read_items(benchmark))
+    parts = [_search(spark.sparkContext.broadcast(part), "text") for part in chunks(spaces, PASS_BLOCKS)]
     return docs.withColumn(output, F.concat(F.array().cast(LEAK), *parts))
 
 
