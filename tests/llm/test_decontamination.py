@@ -88,3 +88,18 @@ def test_every_copy_of_thousands_of_items_is_found(spark, docs, prose):
     df = docs([" ".join(prose(60)) + " " + texts[k] + " " + " ".join(prose(60)) for k in planted])
     got = {(r.doc_id, i.item_id) for r in with_leaks(df, benchmark, output="f").collect() for i in r.f}
     assert {(d, k) for d, k in enumerate(planted)} <= got
+
+
+def test_short_items_among_rare_words_are_found(spark, docs, prose):
+    draw = prose.draw
+    vocabulary = prose(300)
+    texts = [" ".join(draw.choice(vocabulary) for _ in range(n)) for n in range(3, 29) for _ in range(2)]
+    benchmark = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+
+    def rare(k, n):
+        return " ".join(f"r{k}x{draw.randrange(10**9)}" for _ in range(n))
+
+    common = [" ".join(draw.choice(vocabulary) for _ in range(100)) for _ in range(60)]
+    df = docs([rare(k, 300 + k) + " " + t + " " + rare(k, 200) for k, t in enumerate(texts)] + common)
+    got = {(r.doc_id, i.item_id) for r in with_leaks(df, benchmark, output="f").collect() for i in r.f}
+    assert {(k, k) for k in range(len(texts))} <= got

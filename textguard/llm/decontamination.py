@@ -4,9 +4,11 @@
 2. A randomised SVD of the TF-IDF matrix of benchmark passages gives the latent space of a block: a task multiplies
    the block's rows with a sketch, and the small factorisations run on the driver. The rank is the number of passages of
    the block, so the space keeps all of every passage, however many items the benchmark has.
-3. Windows of every whole document are folded into the space, and their cosine with every item is taken. The
-   norm of a window counts all its terms. Only windows with at least ``MIN_SHARE`` of their weight in the benchmark's
-   vocabulary are folded in: the words of a window inside a copy are all in it.
+3. Windows of every whole document are folded into the space, and their cosine with every passage is taken. The
+   norm of a window counts all its terms. Windows have ``WINDOWS`` words; passages shorter than the shortest have windows
+   of their own length at every word, and so has every passage where its first and last word stand as far apart as in it, so
+   that a verbatim copy always has a window of cosine 1. Left out are only windows that cannot reach the cosine, by the
+   sum of the largest score of each word with any passage.
 4. Windows near an item are merged, and the longest common subsequence of words decides: a
    long one alone, a shorter one (a paraphrase) if the item's answer, its last sentence, is there as well.
 
@@ -35,9 +37,9 @@ from textguard.llm.shingles import in_chunks, word_hashes
 
 TERM_BITS = 17
 POWER_ROUNDS = 2
-WINDOW, STEP = 24, 6  # words
+WINDOWS, CELL = (12, 24, 48), 3  # words; windows begin at every quarter of their length, in whole cells
 ITEM_WORDS = 64  # longer items are searched by passages of this length
-MIN_SHARE = 0.5  # of a window's weight, in the vocabulary of the items
+SLACK = 1e-3  # of the cosine: windows are chosen in float32, their cosine is then taken in float64
 MIN_COSINE = 0.4
 MIN_LCS = 0.75
 MIN_PARAPHRASE_LCS = 0.5
@@ -90,6 +92,8 @@ class Space:
     basis: np.ndarray  # a row per term
     vectors: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))  # a unit row per passage
     of_vector: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # the item of each vector
+    sizes: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # words of each passage
+    ends: np.ndarray = field(default_factory=lambda: np.zeros((0, 2), np.int64))  # row of each passage's first and last word
 
     def weights(self, hashes: np.ndarray) -> np.ndarray:
         return self.idf[(hashes >> np.uint64(64 - TERM_BITS)).astype(np.int64)]
@@ -99,6 +103,13 @@ class Space:
         at = np.minimum(np.searchsorted(self.terms, hashes), len(self.terms) - 1)
         return np.where(self.terms[at] == hashes, at, -1)
 
+    def scores(self) -> np.ndarray:
+        """What a word adds to the dot product with each vector: a row per term, and one of zeros for other words."""
+        if not hasattr(self, "_scores"):
+            by_term = (self.weights(self.terms)[:, None] * (self.basis @ self.vectors.T)).astype(np.float32)
+            self._scores = np.concatenate([by_term, np.zeros_like(by_term[:1])])
+        return self._scores
+
 
 def _answer(text: str) -> str:
     """The last sentence or line."""
@@ -144,6 +155,8 @@ def latent_space(spark: SparkSession, items: list[Item], idf: np.ndarray, seed:
     passages = [(k, lo) for k, i in enumerate(items) for lo in _passages(i.words)]
     words = [items[k].words[lo : lo + ITEM_WORDS] for k, lo in passages]
     space.of_vector = np.array([k for k, _ in passages])
+    space.sizes = np.array([len(w) for w in words])
+    space.ends = np.array([space.rows(w[[0, -1]]) for w in words])
     size = min(len(words), len(terms))
     rows = spark.createDataFrame([(k, lo) for k, lo in passages], "k int, at int").coalesce(1)
     known = spark.sparkContext.broadcast(space)
@@ -192,41 +205,103 @@ def lcs_length(a: np.ndarray, b: np.ndarray) -> int:
     return len(a) - row.bit_count()
 
 
-def _windows(begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Text, start and end of all windows of texts that begin at ``begin`` (with the end of all as last entry)."""
-    n = np.diff(begin)
-    last = np.maximum(n - WINDOW, 0)
-    per_text = np.where(n > 0, -(-last // STEP) + 1, 0)
-    text = np.repeat(np.arange(len(n)), per_text)
-    number = np.arange(len(text)) - np.repeat(per_text.cumsum() - per_text, per_text)
-    start = begin[text] + np.minimum(number * STEP, last[text])
-    return text, start, np.minimum(start + WINDOW, begin[text + 1])
+def _own_windows(space: Space, rows: np.ndarray, text_end: np.ndarray, every: np.ndarray, min_cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Start, end and vectors to compare, of windows as long as a passage."""
+    known = np.concatenate([[0], (rows >= 0).cumsum()])
+    order = np.argsort(rows, kind="stable")
+    of_row = np.searchsorted(rows[order], np.arange(len(space.terms) + 1))
+    for size in np.unique(space.sizes):
+        vectors = np.flatnonzero(space.sizes == size)
+        if size < WINDOWS[0]:
+            scores = space.scores()[:, vectors]
+            start = np.arange(max(0, len(rows) - size + 1))
+            start = start[start + size <= text_end[start]]
+            best = np.concatenate([[0.0], scores.max(axis=1).astype(np.float64).clip(0)[rows].cumsum()])
+            near = best[start + size] - best[start] >= (min_cosine - SLACK) * np.sqrt(every[start + size] - every[start])
+            yield start[near], start[near] + size, vectors
+            continue
+        firsts, lasts = space.ends[vectors, 0], space.ends[vectors, 1]
+        for first in np.unique(firsts):
+            start = order[of_row[first] : of_row[first + 1]]
+            start = start[start + size <= text_end[start]]
+            start = start[(known[start + size] - known[start] == size) & np.isin(rows[start + size - 1], lasts[firsts == first])]
+            if len(start):
+                yield start, start + size, vectors[firsts == first]
+
+
+def _cells(begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where cells of ``CELL`` words begin, and the cells where texts begin (with the number of all as last entry)."""
+    per_text = -(-np.diff(begin) // CELL)
+    first = np.concatenate([[0], per_text.cumsum()])
+    text = np.repeat(np.arange(len(per_text)), per_text)
+    return begin[text] + (np.arange(first[-1]) - first[text]) * CELL, first
+
+
+def _near_windows(space: Space, rows: np.ndarray, begin: np.ndarray, every: np.ndarray, min_cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Start, end and vector of windows of ``WINDOWS`` words whose cosine may be as large as wanted."""
+    scores = space.scores()
+    at, first = _cells(begin)
+    stop = np.append(at, len(rows))
+    text = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    within = np.arange(len(at)) - first[text]
+    best = np.concatenate([[0.0], scores.max(axis=1).astype(np.float64).clip(0)[rows].cumsum()])
+    least = min_cosine - SLACK
+    starts, ends = [], []
+    for size in WINDOWS:
+        lo = np.flatnonzero(within % (size // 4 // CELL) == 0)
+        hi = np.minimum(lo + size // CELL, first[text[lo] + 1])
+        a, b = stop[lo], stop[hi]
+        total = every[b] - every[a]
+        near = best[b] - best[a] >= least * np.sqrt(total)
+        starts.append(lo[near])
+        ends.append(hi[near])
+    start, end = np.concatenate(starts), np.concatenate(ends)
+    if not len(start):
+        return
+    # Only cells of these windows are summed.
+    used = np.zeros(len(at) + 1, np.int64)
+    np.add.at(used, start, 1)
+    np.add.at(used, end, -1)
+    used = used.cumsum()[:-1] > 0
+    place = np.concatenate([[0], used.cumsum()])
+    kept = np.flatnonzero(used)
+    order = np.argsort(start, kind="stable")
+    start, end = start[order], end[order]
+    a, b = place[start], place[end]
+    need = (least * np.sqrt(every[stop[end]] - every[stop[start]])).astype(np.float32)
+    longest = WINDOWS[-1] // CELL
+    for lo in range(0, len(kept), 2048):
+        w = slice(*np.searchsorted(a, [lo, lo + 2048]))
+        if w.start == w.stop:
+            continue
+        cells = kept[lo : lo + 2048 + longest]
+        grid = at[cells][:, None] + np.arange(CELL)[None, :]
+        which = np.where(grid < stop[cells + 1][:, None], rows[np.minimum(grid, len(rows) - 1)], -1)
+        sums = np.zeros((len(cells) + 1, scores.shape[1]), np.float32)
+        for k in range(CELL):
+            sums[1:] += scores[which[:, k]]
+        np.cumsum(sums, axis=0, out=sums)
+        dots = sums[b[w] - lo] - sums[a[w] - lo]
+        found, vector = np.nonzero(dots >= need[w, None])
+        yield stop[start[w][found]], stop[end[w][found]], vector
 
 
 def _candidates(space: Space, words: np.ndarray, begin: np.ndarray, min_cosine: float) -> dict[tuple[int, int], list[tuple[int, int, float]]]:
     """Windows near items: (text, item number) to (start, end, cosine)."""
     rows = space.rows(words)
-    weights = space.weights(words)
-    squares = weights**2
+    squares = space.weights(words) ** 2
     every = np.concatenate([[0.0], squares.cumsum()])
-    inside = np.concatenate([[0.0], np.where(rows >= 0, squares, 0.0).cumsum()])
-    text, start, end = _windows(begin)
-    total = every[end] - every[start]
-    near = inside[end] - inside[start] >= MIN_SHARE * total
-    text, start, end, total = text[near], start[near], end[near], total[near]
+    text_of = np.repeat(np.arange(len(begin) - 1), np.diff(begin))
+    scores = space.scores()
+    pairs = [*_near_windows(space, rows, begin, every, min_cosine)]
+    for start, end, vectors in _own_windows(space, rows, begin[text_of + 1], every, min_cosine):
+        pairs.append((np.repeat(start, len(vectors)), np.repeat(end, len(vectors)), np.tile(vectors, len(start))))
     found: dict[tuple[int, int], list[tuple[int, int, float]]] = {}
-    for lo in range(0, len(start), 2000):
-        a, b = start[lo : lo + 2000], end[lo : lo + 2000]
-        grid = a[:, None] + np.arange(WINDOW)[None, :]
-        live = grid < b[:, None]
-        grid = np.minimum(grid, len(words) - 1)
-        live &= rows[grid] >= 0
-        parts = np.where(live, weights[grid], 0.0).astype(np.float32)
-        vectors = np.einsum("wp,wpk->wk", parts, space.basis[np.maximum(rows[grid], 0)], optimize=True)
-        cosine = (vectors @ space.vectors.T) / np.sqrt(np.maximum(total[lo : lo + 2000, None], 1e-12))
-        for w, item in zip(*np.nonzero(cosine >= min_cosine), strict=True):
-            key = (int(text[lo + w]), int(space.of_vector[item]))
-            found.setdefault(key, []).append((int(a[w]), int(b[w]), float(cosine[w, item])))
+    for start, end, vector in pairs:
+        for a, b, v in zip(start.tolist(), end.tolist(), vector.tolist(), strict=True):
+            cosine = float(scores[rows[a:b], v].sum(dtype=np.float64) / np.sqrt(max(squares[a:b].sum(), 1e-12)))
+            if cosine >= min_cosine:
+                found.setdefault((int(text_of[a]), int(space.of_vector[v])), []).append((a, b, cosine))
     return found
 
 
