@@ -124,3 +124,13 @@ def test_query_digest(spark, docs):
 
     assert "op1_pii_disclosure" in QUERIES
     assert hashlib.sha256(b"").hexdigest() == "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
+
+
+def test_telling_terms_far_from_the_entity_go_everywhere(docs, prose):
+    far = " ".join(prose(200))
+    rows = [(k, f"Quixbury {far} mail zed@mail.example.com {far} end quixbury, QUIXBURY") for k in range(3)]
+    rows += [(10 + k, " ".join(prose(300))) for k in range(40)] + [(90, "only here once@mail.example.com Uniqueword")]
+    texts = {r.doc_id: r.text for r in sanitise(docs(rows)).collect()}
+    assert all("quixbury" not in texts[k].lower() and "zed@" not in texts[k] for k in range(3))
+    # The stated rule for entities of one document: only the entity goes.
+    assert texts[90] == "only here [EMAIL] Uniqueword"

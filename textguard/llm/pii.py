@@ -1,18 +1,21 @@
 """Sanitisation of personal data by how much the words around it reveal.
 
-Patterns find the protected entities (emails, addresses, cards, phones). How strongly a term beside an entity
-reveals it is estimated from the whole corpus: with document counts n, the share
+Patterns find the protected entities (emails, addresses, cards, phones). How strongly a term in the same
+document reveals an entity is estimated from the whole corpus: with document counts n, the share
 
     PMI(entity; term) / IC(entity) = 1 + ln(n(entity, term) / n(term)) / ln(N / n(entity))
 
-is 1 if the term only ever stands beside that entity. Terms above ``generalise_at`` are
-replaced by their kind, above ``remove_at`` they are removed, where they stand beside the entity.
+is 1 if the term only ever stands in documents with that entity. Terms above ``generalise_at`` are
+replaced by their kind, above ``remove_at`` they are removed, wherever they stand in a document with the entity.
 
-Joint counts are taken in windows of ``WINDOW`` characters on either side; n(term) counts all documents
-that hold the term anywhere. Terms are runs of letters and digits, lower-cased.
+All counts are of whole documents. Terms are runs of letters and digits outside entities, lower-cased.
+
+An entity of a single document has no telling terms: any word seen once in the corpus would have the share 1 with it, so
+one document cannot tell what reveals the entity from what happens to stand there. The entity itself is replaced all the
+same. The rule holds for pairs too: a term counts from ``MIN_SUPPORT`` documents that hold both.
 
 Defined results: null and empty texts have no spans. Equal rows count once each. An entity that
-stands in every document reveals nothing new, so nothing beside it goes. Documents without an entity
+stands in every document reveals nothing new, so no term goes for it. Documents without an entity
 are returned as they are. Extra columns are kept by :func:`sanitise`.
 """
 
@@ -23,12 +26,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textguard.functions.arrays import scan
 from textguard.functions.regex import match_spans
+from textguard.functions.skew import lookup_join
 from textguard.llm.common import query, table
 from textguard.llm.spans import SPAN, Kind, all_spans, counted, listed, possible, replaced
 from textguard.session import durable
 
-WINDOW = 48
+WINDOW = 1 << 31  # characters on either side of an entity: more than a string can have, so always the whole document
 MIN_SUPPORT = 2
 GENERALISE_AT = 0.8
 REMOVE_AT = 0.98
@@ -82,52 +87,59 @@ def _entity_name(kind: Column, value: Column) -> Column:
     return F.concat_ws(":", kind, F.when(kind == "email", F.lower(value)).when(kind == "ip", value).otherwise(_digits(value)))
 
 
-def contexts(found: DataFrame, text: str = "text") -> DataFrame:
-    """``_row, entity, term, start, end``: every term within ``WINDOW`` characters of an entity."""
-    one = found.select("_row", F.col(text).alias("_text"), "base", F.explode("base").alias("e"))
-    left_from = F.greatest(F.col("e.start") - WINDOW, F.lit(0))
-    sides = one.select(
-        "_row",
-        F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias("taken"),
-        _entity_name(F.col("e.kind"), F.col("e.value")).alias("entity"),
-        F.explode(
-            F.array(
-                F.struct(left_from.alias("at"), F.substring("_text", left_from + 1, F.col("e.start") - left_from).alias("side"), (left_from > 0).alias("cut_first"), F.lit(False).alias("cut_last")),
-                F.struct(F.col("e.end").alias("at"), F.substring("_text", F.col("e.end") + 1, F.lit(WINDOW)).alias("side"), F.lit(False).alias("cut_first"), (F.char_length("_text") > F.col("e.end") + WINDOW).alias("cut_last")),
-            )
-        ).alias("w"),
-    ).select("_row", "taken", "entity", "w.*")
-    # A word cut by the window's outer edge is not a term.
-    found_terms = sides.withColumn("m", F.explode(match_spans("side", _TERM))).where(
-        ~(F.col("cut_first") & (F.col("m.start") == 0)) & ~(F.col("cut_last") & (F.col("m.end") == F.char_length("side")))
-    )
-    start, end = F.col("at") + F.col("m.start"), F.col("at") + F.col("m.end")
-    placed = found_terms.select("_row", "entity", F.lower("m.value").alias("term"), start.alias("start"), end.alias("end"), "taken")
-    return placed.where(~F.exists("taken", lambda s: (s["start"] < F.col("end")) & (F.col("start") < s["end"]))).drop("taken")
+def _outside(text: Column, spans: Column) -> Column:
+    """The text with blanks for all characters of the spans, so that places stay."""
+
+    def step(stop: Column, span: Column) -> Column:
+        gap = F.substring(text, stop + 1, F.greatest(span["start"] - stop, F.lit(0)))
+        blank = F.repeat(F.lit(" "), F.greatest(span["end"] - F.greatest(stop, span["start"]), F.lit(0)))
+        return F.struct(F.greatest(stop, span["end"]).alias("state"), F.array(F.concat(gap, blank)).alias("emit"))
+
+    done = scan(spans, F.lit(0), step, "array<string>")
+    return F.transform(
+        F.array(done), lambda d: F.concat(F.array_join(d["out"], ""), F.substring(text, d["state"] + 1, F.char_length(text)))
+    )[0]
+
+
+def contexts(found: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """``_row, entities, terms`` of documents with an entity of ``MIN_SUPPORT`` documents or more, and ``entity, n_entity``.
+
+    Entities are distinct, terms are ``term, start, end`` of every occurrence. No pair of a rarer entity has support.
+    """
+    names = F.array_distinct(F.transform("base", lambda s: _entity_name(s["kind"], s["value"])))
+    named = found.select("_row", F.explode(names).alias("entity"))
+    per_entity = named.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
+    support = per_entity.withColumn("supported", F.col("n_entity") >= MIN_SUPPORT)
+    known = lookup_join(named, support, ["entity"], count="n_entity").where("supported")
+    with_known = found.join(known.groupBy("_row").agg(F.collect_list("entity").alias("entities")), "_row")
+    blanked = with_known.select("_row", "entities", _outside(F.col(text), F.col("base")).alias("_outside"))
+    terms = F.transform(match_spans("_outside", _TERM), lambda m: F.struct(F.lower(m["value"]).alias("term"), m["start"].alias("start"), m["end"].alias("end")))
+    return durable(blanked.select("_row", "entities", terms.alias("terms"))), per_entity
 
 
-def disclosure(docs: DataFrame, around: DataFrame, text: str = "text") -> DataFrame:
-    """``entity, term, share`` for pairs seen together in at least ``MIN_SUPPORT`` documents."""
+def disclosure(docs: DataFrame, pairs: DataFrame, per_entity: DataFrame, text: str = "text") -> DataFrame:
+    """``entity, term, share, n_both`` for pairs seen together in at least ``MIN_SUPPORT`` documents."""
     n_docs = docs.agg(F.count(F.lit(1)).alias("n_docs"))
-    joint = around.select("_row", "entity", "term").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both"))
-    joint = joint.where(F.col("n_both") >= MIN_SUPPORT)
-    per_entity = around.select("_row", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
+    joint = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both")).where(F.col("n_both") >= MIN_SUPPORT)
     per_term = (
         docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(_TERM), F.lit(0)))).alias("term"))
         .groupBy("term")
         .agg(F.count(F.lit(1)).alias("n_term"))
     )
-    counts = joint.join(per_entity, "entity").join(per_term, "term").crossJoin(F.broadcast(n_docs))
+    counts = joint.join(per_entity, "entity").join(per_term, "term", "left").crossJoin(F.broadcast(n_docs))
     information = F.log(F.col("n_docs") / F.col("n_entity"))
     share = 1 + F.log(F.col("n_both") / F.greatest("n_term", "n_both")) / information
-    return counts.where(information > 0).select("entity", "term", share.alias("share"))
+    return counts.where(information > 0).select("entity", "term", share.alias("share"), "n_both")
 
 
 def term_spans(docs: DataFrame, found: DataFrame, generalise_at: float, remove_at: float, text: str = "text") -> DataFrame:
-    """``_row, extra``: spans of the terms that reveal too much, per document with an entity."""
-    around = durable(contexts(found, text))
-    telling = disclosure(docs, around, text).where(F.col("share") >= generalise_at)
-    flagged = around.join(telling, ["entity", "term"]).groupBy("_row", "start", "end").agg(F.max("share").alias("share"))
+    """``_row, extra``: spans of all occurrences of the terms that reveal too much, per document with an entity."""
+    around, per_entity = contexts(found, text)
+    distinct = F.array_distinct(F.transform("terms", lambda t: t["term"]))
+    pairs = around.select("_row", F.explode("entities").alias("entity"), distinct.alias("terms")).select("_row", "entity", F.explode("terms").alias("term"))
+    telling = durable(disclosure(docs, pairs, per_entity, text).where(F.col("share") >= generalise_at))
+    flagged = lookup_join(pairs, telling, ["entity", "term"], count="n_both").where("share IS NOT NULL").groupBy("_row", "term").agg(F.max("share").alias("share"))
+    places = around.select("_row", F.explode("terms").alias("t")).select("_row", "t.*").join(flagged, ["_row", "term"])
     removed = F.col("share") >= remove_at
     span = F.struct(
         F.col("start"),
@@ -136,7 +148,7 @@ def term_spans(docs: DataFrame, found: DataFrame, generalise_at: float, remove_a
         F.when(removed, F.lit(REMOVED)).otherwise(F.lit(GENERALISED)).alias("kind"),
         F.lit("").alias("value"),
     )
-    return flagged.groupBy("_row").agg(F.collect_list(span).alias("extra"))
+    return places.groupBy("_row").agg(F.collect_list(span).alias("extra"))
 
 
 def _with_spans(docs: DataFrame, generalise_at: float, remove_at: float, text: str) -> tuple[DataFrame, DataFrame]:
