@@ -51,3 +51,20 @@ def test_query_columns(spark):
     for r in QUERIES["op4_two_pass_shuffle"](spark, folder).collect():
         data = (texts[r.doc_id] or "").encode()
         assert (r.size, r.text_crc32, r.law, r.grown_shard) == (len(data) + 1, zlib.crc32(data), "rows", None)
+
+
+def test_query_writes_the_texts(spark, tmp_path, monkeypatch):
+    from textguard.llm import sharding
+    from textguard.llm.common import QUERIES
+
+    folder, out = "/root/testdata/sf0.001", str(tmp_path / "shards")
+    monkeypatch.setattr(sharding, "scratch_folder", lambda *_: out, raising=False)
+    got = sorted((r.doc_id, r.shard, r.slot) for r in QUERIES["op4_two_pass_shuffle"](spark, folder).collect())
+    back = spark.read.parquet(out).collect()
+    assert got == sorted((r.doc_id, r.shard, r.slot) for r in back)
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    assert Counter((r.doc_id, r.text) for r in back) == Counter((r.doc_id, r.text) for r in docs.select("doc_id", "text").collect())
+
+
+def test_no_records_are_written_and_read(docs, tmp_path):
+    assert write_shards(docs(["a"], extra=False).limit(0), size(), str(tmp_path / "none")).count() == 0

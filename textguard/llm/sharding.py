@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textguard.llm.common import query, row_key, table
+from textguard.session import scratch_folder
 
 SHARDS = 8
 BUCKET_BYTES = 64 << 20
@@ -69,21 +70,20 @@ def two_pass_shuffle(
     return numbered.select(*[F.col(f"_row.{c}").alias(o) for c, o in zip(names, columns, strict=True)], "shard", "slot")
 
 
-def write_shards(records: DataFrame, size: Column, path: str, **options) -> None:
-    """Write whole records as Parquet, a folder per shard, each file a stretch of slots."""
-    two_pass_shuffle(records, size, **options).write.partitionBy("shard").parquet(path)
+def write_shards(records: DataFrame, size: Column, path: str, **options) -> DataFrame:
+    """Write whole records as Parquet, a folder per shard, each file a stretch of slots; returns what was written."""
+    placed = two_pass_shuffle(records, size, **options)
+    placed.write.partitionBy("shard").option("compression", "zstd").parquet(path)
+    return records.sparkSession.read.schema(placed.schema).parquet(path)
 
 
 @query("op4_two_pass_shuffle")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
+    """Shards of whole documents, written to the shared folder; sizes and digests are of the texts written."""
     text = F.coalesce("text", F.lit(""))
-    docs = table(spark, folder, "documents", "doc_id", "text").select(
-        "doc_id",
-        (F.octet_length(text) + 1).cast("bigint").alias("size"),
-        F.crc32(text.cast("binary")).cast("bigint").alias("text_crc32"),
-    )
-    # A bucket holds index records here, not texts; it is sized by the texts all the same.
-    placed = two_pass_shuffle(docs, F.col("size"))
-    return placed.select(
-        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    size = (F.octet_length(text) + 1).cast("bigint")
+    written = write_shards(table(spark, folder, "documents", "doc_id", "text"), size, scratch_folder(spark, "shards"))
+    crc32 = F.crc32(text.cast("binary")).cast("bigint")
+    return written.select(
+        "doc_id", size.alias("size"), crc32.alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
