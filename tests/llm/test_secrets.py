@@ -65,3 +65,24 @@ def test_context_values_and_ordinary_prose(docs):
     assert GUESS in rows[0] and GUESS in rows[1] and GUESS in rows[2]
     assert rows[3] == [] and GUESS not in rows[4] and rows[5] == []
     assert find(docs(texts).limit(0)).count() == 0
+
+
+def test_values_are_taken_whole(docs):
+    cases = [
+        ('pwd="abc@Kx92!mQz7,Lp"', "abc@Kx92!mQz7,Lp"),
+        ("pwd = 'x;Kx92<mQz7>Lp w' and", "x;Kx92<mQz7>Lp w"),
+        ('dbPassword: xK9,vQ2;mZ7@pLw8, then', "xK9,vQ2;mZ7@pLw8"),
+        (r'{"secret": "xK9\"vQ2mZ7pLw8", "b": 1}', r"xK9\"vQ2mZ7pLw8"),
+        ('"Authorization": "Bearer f3Tz0qLw8RbN5yGh2"', "f3Tz0qLw8RbN5yGh2"),
+        ("postgres://" + "u" * 90 + ":xK9v@Q2m,Z7pLw8R@host/db?a=b@c", "xK9v@Q2m,Z7pLw8R"),
+        ('token: "xK9,vQ2;mZ7@pLw8 and no end', "xK9,vQ2;mZ7@pLw8"),
+        ('db_password => "xK9vQ2mZ7pLw8RbN"', "xK9vQ2mZ7pLw8RbN"),
+    ]
+    got = {r.doc_id: [(s.start, s.value) for s in r.spans if s.kind == GUESS] for r in find(docs([t for t, _ in cases])).collect()}
+    assert got == {k: [(t.index(v), v)] for k, (t, v) in enumerate(cases)}
+
+
+def test_long_runs_in_a_context(docs):
+    texts = ["pwd=" + "x;" * 50_000, 'pwd="' + "y\\\"" * 30_000, "://" + "u" * 100_000, "pwd='" * 20_000]
+    assert find(docs(texts)).count() == len(texts)
+    assert len([r for r in find(docs(texts)).collect() if r.spans is not None]) == len(texts)

@@ -44,9 +44,17 @@ GUESS = "guess_cost"
 
 # Names that announce a credential, wider than the base patterns.
 _NAMES = "password|passwd|passphrase|passcode|pass|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|client[_-]?secret|credential|auth|authorization"
-_CONTEXT = rf"""(?i)(?:(?<![A-Za-z])(?:{_NAMES})["']?\x20*+(?:[:=]|=>|:=)\x20*+(?:bearer\x20|basic\x20)?["']?|://[^\s:/@]{{1,64}}:)[^\s"'<>,;@]++"""
+# Any letters may stand before a name (dbPassword). A quoted value goes up to the closing quote on its line, any other to
+# white space or a quote, without delimiters at its end; in a connection string up to the last @ before the path.
+_AUTH = r"(?:bearer\x20|basic\x20)?"
+_NAMED = rf"""(?:{_NAMES})["']?\x20*+(?>=>|:=|[:=])\x20*+{_AUTH}"""
+_LOGIN = r"://[^\s:/@]*+:"
+_QUOTED = "|".join(rf"{q}{_AUTH}(?:(?!(?<!\\){q})[^\r\n])++(?={q})" for q in "\"'")
+_BARE = r"""[^\s"']++"""
+_CONTEXT = rf"""(?i)(?:{_NAMED}(?:{_QUOTED}|["']?{_AUTH}{_BARE})|{_LOGIN}(?:[^\s"'/?#]+(?=@)|[^\s"'<>,;@]++))"""
 _CONTEXT_GUARD = r"(?i)(?:pass|pwd|secret|token|key|credential|auth|://)"
-_VALUE = r"""[^\s"'<>,;@]+$"""
+_BEFORE = rf"""^(?i)(?:{_NAMED}["']?{_AUTH}|{_LOGIN})"""
+_TRAILING = "[,;@<>]+$"
 
 # Rows of common keyboards.
 KEYBOARD_ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm", "qwertzuiop", "yxcvbnm", "azertyuiop", "qsdfghjklm", "wxcvbn")
@@ -139,17 +147,19 @@ def costs(values: Column, dictionary: str | None = None) -> Column:
     return run(values)
 
 
+def _context_value(span: Column) -> Column:
+    """The value of a match of ``_CONTEXT``: what follows the name, the sign and the opening quote."""
+    after = F.regexp_replace(span["value"], _BEFORE, "")
+    quoted = F.regexp_extract(span["value"], _BEFORE, 0).rlike(rf"""["']{_AUTH}$""")
+    value = F.when(quoted, after).otherwise(F.regexp_replace(after, _TRAILING, ""))
+    start = span["end"] - F.char_length(after)
+    return F.struct(start.alias("start"), (start + F.char_length(value)).alias("end"), value.alias("value"))
+
+
 def find(docs: DataFrame, min_cost: float = MIN_COST, dictionary: str | None = None) -> DataFrame:
     """``doc_id, base, spans`` of every row of ``docs (doc_id, text)``."""
     docs = docs.select("doc_id", "text")
-    context = F.transform(
-        match_spans("text", _CONTEXT, _CONTEXT_GUARD),
-        lambda s: F.struct(
-            (s["end"] - F.char_length(F.regexp_extract(s["value"], _VALUE, 0))).alias("start"),
-            s["end"].alias("end"),
-            F.regexp_extract(s["value"], _VALUE, 0).alias("value"),
-        ),
-    )
+    context = F.transform(match_spans("text", _CONTEXT, _CONTEXT_GUARD), _context_value)
     context = F.filter(context, lambda s: F.char_length(s["value"]) >= MIN_VALUE)
     found = docs.select("doc_id", all_spans("text", KINDS).alias("base"), context.alias("context"))
     values = F.when(F.size("context") > 0, F.transform("context", lambda s: s["value"]))
