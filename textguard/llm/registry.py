@@ -11,6 +11,7 @@ from textguard.llm import (  # noqa: F401
     packing,
     pii,
     quality,
+    runs,
     secrets,
     sharding,
     warc,
