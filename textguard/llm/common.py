@@ -8,7 +8,7 @@ from itertools import islice
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textguard.session import ship_package
+from textguard.session import scratch_folder, ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,6 +36,30 @@ def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFra
     return spark.read.parquet(f"{folder}/{name}.parquet").select(*columns)
 
 
+class Scratch:
+    """Tables in the shared folder that cut lineage; what is no longer needed can be removed before the job ends."""
+
+    def __init__(self, name: str):
+        self.name = name
+        self.tables: list[tuple[DataFrame, str]] = []
+
+    def store(self, df: DataFrame, name: str) -> DataFrame:
+        path = scratch_folder(df.sparkSession, f"{self.name}-{name}")
+        df.write.parquet(path)
+        stored = df.sparkSession.read.schema(df.schema).parquet(path)
+        self.tables.append((stored, path))
+        return stored
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Remove the files of tables that no later step reads."""
+        for df in tables:
+            path = next(p for known, p in self.tables if known is df)
+            self.tables = [(known, p) for known, p in self.tables if known is not df]
+            context = df.sparkSession.sparkContext
+            folder = context._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

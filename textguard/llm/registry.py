@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline  # noqa: F401
 from textguard.llm import (  # noqa: F401
+    covertree,
     decontamination,
     jaccard,
     language_id,
