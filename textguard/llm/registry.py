@@ -6,6 +6,7 @@ import corpus_pipeline  # noqa: F401
 from textguard.llm import (  # noqa: F401
     covertree,
     decontamination,
+    divergence,
     jaccard,
     language_id,
     licenses,
