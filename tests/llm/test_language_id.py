@@ -59,6 +59,37 @@ def test_defined_results(docs, model):
     assert predict(docs(["ab"]).limit(0), model).count() == 0
 
 
+def test_numbers_are_no_letters(docs, model):
+    got = predict(docs(["½ ² Ⅷ ①", "½ab²ba", "aⅧ"]), model).orderBy("doc_id").collect()
+    assert [r.lang_pred for r in got] == [UNKNOWN, "l1", "l1"]
+    assert Scorer(model).texts(["½ab²ba"])[0][1] == 4
+
+
+def test_clashing_columns(spark, model):
+    df = spark.createDataFrame([("ab ab", "mine", 7, "kept")], "text string, lang_pred string, score int, _language string")
+    row = predict(df, model).first()
+    assert (row.lang_pred, row._language) == ("l1", "kept") and 0 < row.score <= 1
+
+
+def test_memory_does_not_follow_the_texts(model, monkeypatch):
+    import tracemalloc
+
+    from textguard.llm import language_id
+
+    monkeypatch.setattr(language_id, "CACHE_TOKENS", 2000)
+    monkeypatch.setattr(language_id, "PASS_TOKENS", 1000)
+    monkeypatch.setattr(language_id, "GROUP_WORDS", 200)
+    texts = [" ".join(f"{'ab' * 25}{'abx'[k % 3]}{'a' * (k % 7)}x{'b' * (j % 5)}" for j in range(600)) for k in range(120)]
+    texts.append(" ".join("a" * (k % 60) + "b" * (k // 60) for k in range(3000)))
+    scorer = Scorer(model)
+    want = [sum(word_log_probs(w, model)[0] for w in t.split()) for t in (texts[3], texts[-1])]
+    tracemalloc.start()
+    got = scorer.texts(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.allclose([got[3][0][0], got[-1][0][0]], want) and peak < 20e6
+
+
 def test_learning(spark, prose):
     rows = [(" ".join(w + ("ung" if k % 2 else "tion") for w in prose(30)), "de" if k % 2 else "en") for k in range(80)]
     rows += [(None, "de"), ("x", None), ("", "en"), rows[0]]

@@ -13,15 +13,16 @@ def reference():
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     return lambda text: tokenizer.encode(text, add_special_tokens=False).ids
 
 
 def test_ids_equal_the_tokenizer_file(reference, prose):
     draw = prose.draw
     letters = "ab's 12,.\n\t\r  \x0b\x1c\x85 　é中😀'll<|endoftext|>"
-    texts = ["", " ", "a", "  a  b  ", "\n\n", " ".join(prose(50))]
-    texts += ["".join(draw.choice(letters) for _ in range(draw.randint(0, 30))) for _ in range(500)]
+    marks = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>  x  ", "<|endoftext", "\n <|endoftext|>\n\n y"]
+    texts = ["", " ", "a", "  a  b  ", "\n\n", " ".join(prose(50)), *marks]
+    assert reference(marks[0]) == [64, 220, 50256, 275]
+    texts += ["".join(draw.choice([*letters, "<|endoftext|>"]) for _ in range(draw.randint(0, 30))) for _ in range(500)]
     for text in texts:
         assert np.frombuffer(encoder(None).bytes_of(text), "<u4").tolist() == reference(text), repr(text)
 

@@ -14,6 +14,7 @@ repeated training row counts again. Extra columns are ignored.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 from math import exp, log
@@ -23,16 +24,26 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textguard.llm.common import chunks, query, table
+from textguard.llm.common import query, table
+from textguard.llm.shingles import in_chunks
 from textguard.session import durable
 
 UNKNOWN = "und"
 MAX_PIECE = 10
-CACHE_TOKENS = 600_000
-BATCH_TEXTS = 200
+CACHE_TOKENS = 300_000
+PASS_TOKENS = 100_000  # tokens looked up together
+GROUP_WORDS = 4096  # words scored together
 LONG_WORD = 64
 FLOOR = 1e-9
-_LETTERS = re.compile(r"[^\W\d_]+")
+
+
+def _letters() -> re.Pattern:
+    """Runs of letters (Unicode categories L). Python's ``\\w`` also has numbers such as ½ and Ⅷ, which are taken out."""
+    odd = [c for c in map(chr, range(0x110000)) if c.isalnum() and not unicodedata.category(c).startswith("L")]
+    return re.compile(rf"[^\W\d_{re.escape(''.join(odd))}]+")
+
+
+_LETTERS = _letters()
 
 
 def default_vocabulary() -> str:
@@ -218,8 +229,12 @@ class Scorer:
         """Score new tokens: the sum over their runs of letters."""
         runs = [_LETTERS.findall(t.lower()) for t in tokens]
         words = list({w for found in runs for w in found})
-        short = [w for w in words if len(w) <= LONG_WORD]
-        scores = dict(zip(short, self.table.log_probs(short), strict=True)) if short else {}
+        # Words of similar length together, so that a group's table is no longer than its words.
+        short = sorted((w for w in words if len(w) <= LONG_WORD), key=len)
+        scores = {}
+        for at in range(0, len(short), GROUP_WORDS):
+            group = short[at : at + GROUP_WORDS]
+            scores.update(zip(group, self.table.log_probs(group), strict=True))
         for w in words:
             if w not in scores:
                 scores[w] = np.array(_long_word(w, self.model.pieces, self.model.unknown()))
@@ -235,19 +250,30 @@ class Scorer:
 
     def texts(self, texts: list[str | None]) -> list[tuple[np.ndarray, int]]:
         """Log-likelihood per language, and number of letters, of each text."""
+        totals = np.zeros((len(texts), len(self.model.languages) + 1))
+        for lo, hi in in_chunks(texts):
+            waiting: list[tuple[int, list[str]]] = []
+            size = 0
+            for k in range(lo, hi):
+                tokens = (texts[k] or "").split()
+                for at in range(0, len(tokens), PASS_TOKENS):
+                    waiting.append((k, tokens[at : at + PASS_TOKENS]))
+                    size += len(waiting[-1][1])
+                    if size >= PASS_TOKENS:
+                        self._add(totals, waiting)
+                        waiting, size = [], 0
+            self._add(totals, waiting)
+        return [(row[:-1], round(row[-1])) for row in totals]
+
+    def _add(self, totals: np.ndarray, parts: list[tuple[int, list[str]]]) -> None:
         if len(self.index) > CACHE_TOKENS:
             self._clear()
-        split = [(t or "").split() for t in texts]
-        index = self.index
-        new = {t for tokens in split for t in tokens if t not in index}
+        new = {t for _, tokens in parts for t in tokens if t not in self.index}
         if new:
             self._learn(list(new))
-        out = []
-        for tokens in split:
-            at = np.fromiter(map(index.__getitem__, tokens), np.int64, len(tokens))
-            total = self.rows[at].sum(axis=0)
-            out.append((total[:-1], round(total[-1])))
-        return out
+        for k, tokens in parts:
+            at = np.fromiter(map(self.index.__getitem__, tokens), np.int64, len(tokens))
+            totals[k] += self.rows[at].sum(axis=0)
 
 
 def _expected(word: str, model: Model, k: int) -> dict[str, float]:
@@ -332,7 +358,8 @@ def fit(
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """Add ``lang_pred`` and ``score`` (posterior of the predicted language under even priors)."""
+    """Add ``lang_pred`` and ``score`` (posterior of the predicted language under even priors); columns of these names are
+    replaced, all others stay."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang string, score double")
@@ -341,17 +368,19 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         scorer = Scorer(known)
         for batch in batches:
             out = []
-            for part in chunks(iter(batch), BATCH_TEXTS):
-                for likelihood, letters in scorer.texts(part):
-                    if not letters or not known.languages:
-                        out.append((UNKNOWN, 0.0))
-                        continue
-                    best = int(likelihood.argmax())
-                    out.append((known.languages[best], 1.0 / sum(exp(x - likelihood[best]) for x in likelihood)))
+            for likelihood, letters in scorer.texts(batch.tolist()):
+                if not letters or not known.languages:
+                    out.append((UNKNOWN, 0.0))
+                    continue
+                best = int(likelihood.argmax())
+                out.append((known.languages[best], 1.0 / sum(exp(x - likelihood[best]) for x in likelihood)))
             yield pd.DataFrame(out, columns=["lang", "score"])
 
-    found = docs.withColumn("_language", classify(F.col(text)))
-    return found.withColumns({"lang_pred": F.col("_language.lang"), "score": F.col("_language.score")}).drop("_language")
+    own = "_language"
+    while own in docs.columns:
+        own += "_"
+    found = docs.withColumn(own, classify(F.col(text)))
+    return found.withColumns({"lang_pred": F.col(f"{own}.lang"), "score": F.col(f"{own}.score")}).drop(own)
 
 
 def held_out(doc_id: Column) -> Column:

@@ -6,12 +6,14 @@ which keeps the gaps varied, so later pieces find bins that they fill. Pieces ar
 packed in fewer, larger shares.
 
 Defined results: a null or empty text is the end token alone; only texts longer than a sequence are
-cut, from the end, so that their first piece is the short one. Equal rows are packed one by one. Extra columns are
+cut, from the end, so that their first piece is the short one. Where the tokenizer file's added token
+``<|endoftext|>`` stands in a text, its id stands in the ids, as the file itself has it. Equal rows are packed one by one. Extra columns are
 ignored.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import sys
 import zlib
@@ -43,7 +45,7 @@ class Encoder:
     take the pattern without it, which is much faster. Tests hold both against the tokenizer file itself.
     """
 
-    def __init__(self, ranks_path: str, pattern: str):
+    def __init__(self, ranks_path: str, pattern: str, added: dict[str, int]):
         import base64
 
         import tiktoken
@@ -55,10 +57,17 @@ class Encoder:
             tiktoken.Encoding(f"public-{k}", pat_str=p, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
             for k, p in enumerate((pattern, plain))
         )
+        self._added = added
+        self._cut = re.compile("(" + "|".join(re.escape(t) for t in sorted(added, key=len, reverse=True)) + ")") if added else None
 
     def bytes_of(self, text: str) -> bytes:
         encode = self._full if _DOUBLE_SPACE.search(text) else self._fast
-        ids = array("I", encode(text))
+        if self._cut and self._cut.search(text):
+            # The text between added tokens is split into words on its own.
+            parts = self._cut.split(text)
+            ids = array("I", [i for k, part in enumerate(parts) for i in ([self._added[part]] if k % 2 else self._full(part))])
+        else:
+            ids = array("I", encode(text))
         if sys.byteorder != "little":
             ids.byteswap()
         return ids.tobytes()
@@ -68,12 +77,17 @@ _encoders: dict[str, Encoder] = {}
 
 
 def encoder(vocabulary: str | None) -> Encoder:
-    """One encoder per worker process. ``vocabulary`` is a rank file; default: the public 50k one."""
+    """One encoder per worker process. ``vocabulary`` is a rank file, without added tokens; default: the public 50k one, with those of
+    the tokenizer file of the same vocabulary."""
     if vocabulary not in _encoders:
         import public_tokenizers
 
+        added = {}
+        if vocabulary is None:
+            with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+                added = {t["content"]: t["id"] for t in json.load(file)["added_tokens"]}
         path = vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken")
-        _encoders[vocabulary] = Encoder(path, public_tokenizers.PATTERN)
+        _encoders[vocabulary] = Encoder(path, public_tokenizers.PATTERN, added)
     return _encoders[vocabulary]
 
 
