@@ -40,6 +40,7 @@ FANOUT = 64
 MAX_SPLITS = 16
 SLACK = 1e-6  # covers the rounding of distances; only lets more pairs be opened
 LEAF = 8
+FEW = 32  # nodes of so many points are opened before they are compared: bounds would cost more than they save
 BASE_PAIRS = 1 << 16  # node pairs with no more pairs of points than this are compared outright
 NODE = np.dtype([("start", "<i4"), ("stop", "<i4"), ("first", "<i4"), ("last", "<i4"), ("radius", "<f8")])
 
@@ -194,9 +195,17 @@ class Tree:
         self.units = np.frombuffer(units, np.float64).reshape(len(self.pids), -1)
         self.nodes = np.frombuffer(nodes, NODE)
 
-    def children(self, node: int) -> np.ndarray:
+    def children(self, node: int) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and numbers of the children; -1 stands for a point of a child with few points."""
         row = self.nodes[node]
-        return np.arange(row["first"], row["last"]) if row["last"] else np.array([node])
+        at = np.arange(row["first"], row["last"]) if row["last"] else np.array([node])
+        rows = self.nodes[at]
+        few = rows["stop"] - rows["start"] <= FEW
+        sizes = (rows["stop"] - rows["start"])[few]
+        points = np.zeros(sizes.sum(), NODE)
+        points["start"] = np.repeat(rows["start"][few], sizes) + np.arange(len(points)) - np.repeat(sizes.cumsum() - sizes, sizes)
+        points["stop"] = points["start"] + 1
+        return np.concatenate([rows[~few], points]), np.concatenate([at[~few], np.full(len(points), -1)])
 
 
 def _joined(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -252,13 +261,14 @@ class DualTraversal:
         self._join(left, np.full(len(left), right[0] + self.shift))
         self._join(np.full(len(right), left[0]), right + self.shift)
 
-    def _points(self, p: np.void, q: np.void, own: bool) -> None:
-        for at in range(p["start"], p["stop"], 1024):
-            stop = min(at + 1024, p["stop"])
-            linked = self.a.units[at:stop] @ self.b.units[q["start"] : q["stop"]].T >= self.cosine
+    def _points(self, left: np.ndarray, right: np.ndarray, own: bool) -> None:
+        """Compare points outright, by their places."""
+        for at in range(0, len(left), 1024):
+            rows = left[at : at + 1024]
+            linked = self.a.units[rows] @ self.b.units[right].T >= self.cosine
             self.compared += linked.size
             i, j = np.nonzero(linked)
-            i, j = i + at, j + q["start"]
+            i, j = rows[i], right[j]
             if own:
                 i, j = i[i < j], j[i < j]
             if len(i):
@@ -273,40 +283,55 @@ class DualTraversal:
             if own and 2 * p["radius"] + SLACK < self.tau:
                 self._whole(p, q, own)
             elif (p["stop"] - p["start"]) * (q["stop"] - q["start"]) <= BASE_PAIRS or not (p["last"] or q["last"]):
-                self._points(p, q, own)
+                self._points(np.arange(p["start"], p["stop"]), np.arange(q["start"], q["stop"]), own)
             else:
                 self._open(self.a.children(at), self.b.children(to), own, stack)
 
-    def _open(self, left: np.ndarray, right: np.ndarray, own: bool, stack: list) -> None:
-        p, q = self.a.nodes[left], self.b.nodes[right]
-        alone_q = q["stop"] - q["start"] == 1
+    def _open(self, left: tuple, right: tuple, own: bool, stack: list) -> None:
+        """Compare the centres of all children of two nodes, and go on with those pairs that bounds do not decide."""
+        (p, left), (q, right) = left, right
+        alone_p, alone_q = left < 0, right < 0
         centres = self.b.units[q["start"]].T
         for at in range(0, len(left), 512):
             rows = p[at : at + 512]
             cosine = self.a.units[rows["start"]] @ centres
             self.compared += cosine.size
-            # Of nearer pairs than both radii plus tau, by the cosine that belongs to that distance.
-            bound = self.tau + SLACK + rows["radius"][:, None] + q["radius"]
-            near = cosine >= 1 - bound * bound / 2
+            # Pairs no farther apart than both radii plus tau, by the cosine that belongs to that distance.
+            if alone_p[at : at + 512].all() and alone_q.all():
+                near = cosine >= self.cosine
+            else:
+                bound = self.tau + SLACK + rows["radius"][:, None] + q["radius"]
+                near = cosine >= 1 - bound * bound / 2
             i, j = np.nonzero(near)
             if own:
-                i, j = i[left[at + i] <= right[j]], j[left[at + i] <= right[j]]
+                i, j = i[at + i <= j], j[at + i <= j]
             if not len(i):
                 continue
             value = cosine[i, j]
-            lone = (rows["stop"] - rows["start"] == 1)[i] & alone_q[j]
-            linked = lone & (value >= self.cosine)
+            lone_i, lone_j = alone_p[at + i], alone_q[j]
+            linked = lone_i & lone_j & (value >= self.cosine)
             if own:
-                linked &= left[at + i] < right[j]
+                linked &= at + i < j
             if linked.any():
                 self._found(rows["start"][i[linked]].astype(np.int64), q["start"][j[linked]].astype(np.int64))
-            i, j, value = i[~lone], j[~lone], value[~lone]
+            more = ~(lone_i & lone_j)
+            i, j, value = i[more], j[more], value[more]
             whole = _distance(value) + rows["radius"][i] + q["radius"][j] + SLACK < self.tau
-            for r, c, all_of_it in zip(i.tolist(), j.tolist(), whole.tolist(), strict=True):
-                if all_of_it and not (own and left[at + r] == right[c]):
-                    self._whole(rows[r], q[c], False)
-                else:
-                    stack.append((int(left[at + r]), int(right[c])))
+            whole &= ~(own & (at + i == j))
+            for r, c in zip(i[whole].tolist(), j[whole].tolist(), strict=True):
+                self._whole(rows[r], q[c], False)
+            i, j = i[~whole], j[~whole]
+            # A node against many single points is one comparison.
+            of_point = alone_q[j]
+            for r in np.unique(i[of_point]):
+                node = rows[r]
+                self._points(np.arange(node["start"], node["stop"]), q["start"][j[of_point & (i == r)]], False)
+            of_point = alone_p[at + i]
+            for c in np.unique(j[of_point]):
+                node = q[c]
+                self._points(rows["start"][i[of_point & (j == c)]], np.arange(node["start"], node["stop"]), False)
+            both = ~(alone_p[at + i] | alone_q[j])
+            stack += zip(left[at + i[both]].tolist(), right[j[both]].tolist(), strict=True)
 
     def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """pid, linked weight, and the pid it is joined to, of all points with a link."""
