@@ -1,6 +1,7 @@
 import pytest
 
 from textguard.operators.detect import detect
+from textguard.patterns import BUILTIN, SECRETS
 from textguard.policy import Policy
 
 
@@ -83,28 +84,50 @@ def test_industry_profiles_run(redact, name):
     assert category in categories(row) and row.allowed is allowed
 
 
-def test_linear_spellings_match_the_same():
+def test_anchored_spellings_match_the_same(spark):
     import random
     import re
 
-    from textguard.patterns import BUILTIN
+    from textguard.operators.detect import pattern_findings
 
     draw = random.Random(3)
-    bits = ["a", "b1", "-", ".", "..", "corp", "local", "lan", "com", "x.corp", "é", " ", "_", "@", "example", "A", "9", ".a.", "md"]
-    texts = ["".join(draw.choice(bits) for _ in range(draw.randint(1, 14))) for _ in range(5000)]
-    for pattern in BUILTIN:
-        if pattern.linear:
-            plain, linear = re.compile(pattern.pattern, re.I), re.compile(pattern.linear, re.I)
-            for text in texts:
-                assert [m.span() for m in plain.finditer(text)] == [m.span() for m in linear.finditer(text)], (pattern.name, text)
+    bits = ["a", "b1", "-", ".", "..", "corp", "local", "lan", "com", "x.corp", "é", " ", "_", "@", "example", "A", "9", ".a.", "md",
+            "eyJ", "eyJa.b.c", "a@b.com.x@y.de", "%", "+", "ı", "ſ", "K", "\n", "²"]
+    texts = ["".join(draw.choice(bits) for _ in range(draw.randint(1, 14))) for _ in range(6000)]
+    anchored = [p for p in BUILTIN + SECRETS if p.anchored]
+    assert [p.name for p in anchored] == ["email", "internal_domain", "bare_domain", "jwt"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(8)
+    for pattern in anchored:
+        plain = re.compile(pattern.pattern, re.I)
+        want = {t: [m.span() for m in plain.finditer(t) if not m.group().endswith(pattern.skip_suffixes or ("\0",))] for t in texts}
+        for row in df.select("text", pattern_findings("text", pattern).alias("f")).collect():
+            assert [(f.start, f.end) for f in row.f] == want[row.text], (pattern.name, row.text)
+            assert [f.value for f in row.f] == [row.text[a:b] for a, b in want[row.text]]
+        for text in texts:
+            assert list(pattern.spans(text)) == [m.span() for m in plain.finditer(text)], (pattern.name, text)
 
 
-def test_long_dotted_and_dashed_runs_do_not_stop_the_job(spark):
+LONG = ["a-" * 500_000, "a-" * 500_000 + "@", "a-" * 250_000 + "@" + "b.-" * 160_000, "eyJ-" * 250_000, "eyJ-." * 200_000, "a." * 500_000,
+        "a." * 2_000 + "corp", "é_a-" * 250_000 + "@", "-.%+" * 250_000, "a@" * 500_000, "x.y@" * 250_000, "_-" * 500_000 + ".com"]
+
+
+def test_a_megabyte_of_one_run_is_read_in_linear_time(spark):
+    import time
+
     policy = Policy.builtin()
     policy.detectors.normalization = False
-    texts = ["a." * 20_000, "a-" * 3_000 + "@", "a." * 2_000 + "corp", "ab:" * 20_000]
-    rows = detect(spark.createDataFrame([(t,) for t in texts], "text string"), policy).select("findings.category").collect()
-    assert [r.category for r in rows][0] == [] and "internal_domain" in rows[2].category
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(LONG)], "id int, text string").repartition(len(LONG), "id")
+    detect(df.limit(1), policy).collect()
+    started = time.perf_counter()
+    rows = {r.id: r.category for r in detect(df, policy).select("id", "findings.category").collect()}
+    assert "internal_domain" in rows[6] and rows[0] == rows[3] == []
+    assert time.perf_counter() - started < 2 * len(LONG)
+    for pattern in BUILTIN + SECRETS:
+        if pattern.anchored:
+            for text in LONG:
+                started = time.perf_counter()
+                list(pattern.spans(text))
+                assert time.perf_counter() - started < 2, (pattern.name, text[:8])
 
 
 def test_rules_with_captures_are_found_in_any_number(spark):

@@ -55,8 +55,16 @@ def test_equal_lines_report_their_findings_once_each(spark, plain_policy):
     assert [r.n_findings for r in redact_requests(df, plain_policy, "k").collect()] == [1, 1, 1]
 
 
-def test_empty_and_overlong_hits_are_not_used(spark):
-    hits = [("private_person", 5, 5, 1.0), ("private_person", 0, 99, 1.0), ("private_person", 3, 2, 1.0), ("private_person", 0, 4, 1.0)]
+def test_empty_hits_are_not_used_and_overlong_ones_end_with_the_text(spark):
+    from textguard.operators.hits import attach_hits, usable_hits
+
+    person = "private_person"
+    hits = [(person, 5, 5, 1.0), (person, 0, 99, 1.0), (person, 3, 2, 1.0), (person, 0, 4, 1.0), (person, 6, 9, 1.0), (person, -1, 3, 1.0)]
     df = spark.createDataFrame([("mail x", hits)], "text string, hits array<struct<label:string,start:int,end:int,score:double>>")
     found = df.select(hit_findings(F.col("hits"), F.col("text")).alias("f")).first().f
-    assert [(f.start, f.end) for f in found] == [(0, 4)]
+    assert [(f.start, f.end, f.value) for f in found] == [(0, 6, "mail x"), (0, 4, "mail")]
+    # The table of usable hits says the same.
+    table = spark.createDataFrame([(7, *h) for h in hits], "id int, label string, start int, end int, score double")
+    items = spark.createDataFrame([(7, "mail x"), (8, None)], "id int, text string")
+    assert sorted((r.start, r.end) for r in usable_hits(table, items, "id").collect()) == [(0, 4), (0, 6)]
+    assert sorted((f.start, f.end) for r in attach_hits(items, table, "id").collect() for f in r.hits) == [(0, 4), (0, 6)]

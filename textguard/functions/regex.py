@@ -107,18 +107,24 @@ def sql_name(column: str) -> str:
     return f"coalesce(`{column}`, '')"
 
 
-def matches_sql(text: str, pattern: str, guard: str | None = None, labels: dict[str, str] | None = None) -> str:
+def matches_sql(
+    text: str, pattern: str, guard: str | None = None, labels: dict[str, str] | None = None, lead: bool = False
+) -> str:
     """SQL for the matches of a (non-empty-matching) Java pattern in a text expression, else null.
 
     Yields ``named_struct('values', matches, 'pieces', what precedes each match, labels...)``. The
     regex runs once, and ``split`` only where there is a match. ``guard`` is a cheaper pattern (or a
-    plain string) that every text with a match also matches. (Detectors are built as SQL text: a policy has dozens of
+    plain string) that every text with a match also matches. With ``lead``, the match is group 2 of the
+    pattern, and group 1, in front of it, belongs to the piece before. (Detectors are built as SQL text: a policy has dozens of
     them, and one parse is much faster than hundreds of column calls.)
     """
     extra = "".join(f", '{name}', {value}" for name, value in (labels or {}).items())
     p = sql_string(pattern)
-    found = f"""transform(array(regexp_extract_all({text}, {p}, 0)), v -> CASE WHEN size(v) > 0 THEN
-        named_struct('values', v, 'pieces', slice(split({text}, {p}, -1), 1, size(v)){extra}) END)[0]"""
+    pieces = f"slice(split({text}, {p}, -1), 1, size(v))"
+    if lead:
+        pieces = f"zip_with({pieces}, regexp_extract_all({text}, {p}, 1), (piece, lead) -> piece || lead)"
+    found = f"""transform(array(regexp_extract_all({text}, {p}, {2 if lead else 0})), v -> CASE WHEN size(v) > 0 THEN
+        named_struct('values', v, 'pieces', {pieces}{extra}) END)[0]"""
     if guard is None:
         return found
     test = "rlike" if re.search(r"[][\\^$.|?*+(){}]", guard) else "contains"

@@ -60,6 +60,7 @@ def _entry(
     guard: str | None = None,
     rule_id: str | None = None,
     skip: tuple[str, ...] = (),
+    lead: bool = False,
 ) -> str:
     labels = {
         "category": sql_string(category),
@@ -68,11 +69,12 @@ def _entry(
         "rule_id": "CAST(NULL AS STRING)" if rule_id is None else sql_string(rule_id),
         "skip": f"CAST(array({', '.join(map(sql_string, skip))}) AS ARRAY<STRING>)",
     }
-    return matches_sql(text, pattern, guard, labels)
+    return matches_sql(text, pattern, guard, labels, lead)
 
 
 def _pattern_entry(text: str, p: Pattern) -> str:
-    return _entry(text, java_pattern(p.linear or p.pattern), p.category, p.detector, p.severity, p.guard, None, p.skip_suffixes)
+    spelled = p.anchored.pattern if p.anchored else p.pattern
+    return _entry(text, java_pattern(spelled), p.category, p.detector, p.severity, p.guard, None, p.skip_suffixes, bool(p.anchored))
 
 
 def _rule_entries(text: str, rule: dict) -> list[str]:

@@ -32,10 +32,12 @@ def category_of(label: Column) -> Column:
 
 
 def hit_findings(hits: Column, text: Column) -> Column:
-    """Complete hits with a known label and a non-empty span inside the text, as findings."""
+    """Complete hits with a known label and a non-empty span that starts inside the text, as findings. A span that goes on
+    after the text ends with it: a detector that counts bytes or UTF-16 must not lose what it found."""
+    length = F.char_length(text)
 
     def usable(h: Column) -> Column:
-        sane = (h["start"] >= 0) & (h["start"] < h["end"]) & (h["end"] <= F.char_length(text))
+        sane = (h["start"] >= 0) & (h["start"] < h["end"]) & (h["start"] < length)
         return F.coalesce(category_of(h["label"]).isNotNull() & sane, F.lit(False))
 
     return F.coalesce(
@@ -44,7 +46,7 @@ def hit_findings(hits: Column, text: Column) -> Column:
             lambda h: finding(
                 category_of(h["label"]),
                 h["start"],
-                h["end"],
+                F.least(h["end"], length),
                 F.substr(text, h["start"] + 1, h["end"] - h["start"]),
                 F.lit("privacy_filter"),
                 F.lit("high"),
@@ -55,13 +57,16 @@ def hit_findings(hits: Column, text: Column) -> Column:
     )
 
 
-def usable_hits(hits: DataFrame, key: str) -> DataFrame:
-    """``(key, category, start, end, score)`` of the hits that count."""
-    return (
+def usable_hits(hits: DataFrame, items: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """``(key, category, start, end, score)`` of the hits that ``attach_hits`` turns into findings. Only lengths of texts are shuffled."""
+    lengths = items.select(key, F.char_length(text).alias("_length"))
+    known = (
         hits.where("label IS NOT NULL AND start >= 0 AND start < end")
         .select(key, category_of(F.col("label")).alias("category"), "start", "end", F.coalesce("score", F.lit(1.0)).alias("score"))
         .where("category IS NOT NULL")
     )
+    inside = known.join(lengths, key).where("start < _length")
+    return inside.select(key, "category", "start", F.least("end", "_length").alias("end"), "score")
 
 
 def attach_hits(items: DataFrame, hits: DataFrame, key: str, text: str = "text", output: str = "hits") -> DataFrame:

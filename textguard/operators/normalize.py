@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from textguard.functions.regex import java_pattern, match_spans, sql_name, sql_string
 from textguard.operators.act import splice
-from textguard.patterns import BUILTIN, SECRETS, Pattern
+from textguard.patterns import BUILTIN, SECRETS
 
 # The folds that define obfuscation.
 ZERO_WIDTH = "\u200b\u200c\u200d\ufeff"
@@ -150,11 +150,6 @@ def fold(text: str) -> Folded:
     )
 
 
-@lru_cache(maxsize=1)
-def _compiled() -> list[tuple[Pattern, re.Pattern]]:
-    return [(p, re.compile(p.pattern, re.I | re.M)) for p in BUILTIN + SECRETS]
-
-
 def find_obfuscated(text: str) -> list[dict]:
     folded = fold(text)
     if folded.text == text:
@@ -168,20 +163,20 @@ def find_obfuscated(text: str) -> list[dict]:
     any_match = False
     plain = folded.text.lower().replace("\u0131", "i")
     few_digits = not _DIGITS_RE.search(plain)
-    for pattern, regex in _compiled():
+    for pattern in BUILTIN + SECRETS:
         if pattern.needs and not any(n in plain for n in pattern.needs) or few_digits and pattern.name == "phone":
             continue
-        for match in regex.finditer(folded.text):
-            if pattern.skip_suffixes and match.group().endswith(pattern.skip_suffixes):
+        for at, to in pattern.spans(folded.text):
+            if pattern.skip_suffixes and folded.text.endswith(pattern.skip_suffixes, at, to):
                 continue
             any_match = True
             is_email = pattern.category == "private_email"
             if (is_email and not email_ok) or (pattern.category == "private_url" and not url_ok):
                 continue
             severity = "critical" if pattern.severity == "critical" else "high"
-            piece = slice(match.start(), match.end())
+            piece = slice(at, to)
             start, end = int(folded.lo[piece].min()), int(folded.hi[piece].max())
-            reach = max(MIN_REACH, MAX_STRETCH * (match.end() - match.start()))
+            reach = max(MIN_REACH, MAX_STRETCH * (to - at))
             if end - start <= reach and not (is_email and crowded):
                 found.append(_row(pattern.category, start, end, severity, True, True))
             elif (pattern.category, severity) not in whole:

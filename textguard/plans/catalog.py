@@ -169,15 +169,16 @@ def findings_sql(source: str, policy: Policy) -> str:
     return " UNION ALL ".join(selects)
 
 
-def resolved_ctes(source: str, policy: Policy) -> str:
-    """CTEs ending in ``kept``: findings after overlap resolution, swept row by row per text."""
+def resolved_ctes(source: str, policy: Policy, more: str = "") -> str:
+    """CTEs ending in ``kept``: findings after overlap resolution, swept row by row per text. ``more`` is SQL of findings
+    of other detectors."""
     columns = 'start, "end", value, category, severity, detector, rule_id, action, arank, srank'
     mine = ", ".join(f"CASE WHEN apart OR wins THEN o_{c.strip(chr(34))} ELSE r_{c.strip(chr(34))} END" for c in columns.split(", "))
     names = [c.strip('"') for c in columns.split(", ")]
     o_columns = ", ".join(f'o."{c}" AS o_{c}' for c in names)
     r_columns = ", ".join(f'r."{c}" AS r_{c}' for c in names)
     return f"""
-    found AS ({findings_sql(source, policy)}),
+    found AS ({findings_sql(source, policy)}{' UNION ALL ' + more if more else ''}),
     ordered AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY start, start - "end", -arank, -srank, ord, i) AS rn
                 FROM found),
     swept(id, rn, seq, {columns}) AS (
@@ -219,12 +220,13 @@ def redacted_ctes(
     conversation: str = "CAST(id AS VARCHAR)",
     token: str | None = None,
     token_ctes: str = "",
+    more: str = "",
 ) -> str:
     """CTEs ending in ``redacted (id, text, allowed, redacted, n_findings, blocked)``. ``token`` is the
     placeholder's SQL, which may use ``token_ctes``."""
     token = token or token_sql(conversation, policy)
     return f"""
-    src AS ({source}), {resolved_ctes('SELECT id, text FROM src', policy)},
+    src AS ({source}), {resolved_ctes('SELECT id, text FROM src', policy, more)},
     {token_ctes} pieces AS (
       SELECT k.id, k.start, k."end", k.action, k.category,
              substr(k.text, lag(k."end", 1, 0) OVER w + 1, k.start - lag(k."end", 1, 0) OVER w)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from textguard.operators.checks import changed_without_finding, escaped_requests, has_placeholder, leaks, replay_failures
 from textguard.operators.detect import detect
-from textguard.operators.hits import attach_hits, usable_hits
+from textguard.operators.hits import LABELS, attach_hits, usable_hits
 from textguard.operators.reports import (
     case_report,
     decision_summary,
@@ -40,7 +40,7 @@ from textguard.plans.catalog import (
     table,
 )
 from textguard.plans.redact import audit_table, inspect_texts, redact_texts
-from textguard.policy import DEFAULT_ACTIONS, PROFILES, Policy, action_table
+from textguard.policy import ACTION_RANK, DEFAULT_ACTIONS, PROFILES, SEVERITY_RANK, Policy, action_table
 
 _FULL = regex_policy(secrets=True, rules=True)
 _TURNS_FOUND = findings_sql(SEEDED_SQL, _FULL)
@@ -277,10 +277,13 @@ def decisions(spark, folder):
 
 # -- outside hits -------------------------------------------------------------------------------
 
-# Hits derived from labelled documents: a person at the start, a date further in, an unknown label.
+# Hits derived from labelled documents: a person at the start, a date further in, an address that goes on after the text, one that
+# starts after it, an unknown label.
 _HITS = """
   SELECT doc_id AS id, 'private_person' AS label, 0 AS start, 5 + quality AS stop, CAST(0.5 AS DOUBLE) AS score FROM labels
   UNION ALL SELECT doc_id, 'private_date', 10 + toxic, 18, CAST(NULL AS DOUBLE) FROM labels WHERE toxic = 0
+  UNION ALL SELECT doc_id, 'private_address', 60 + quality, 1000000, CAST(0.75 AS DOUBLE) FROM labels WHERE doc_id % 3 = 0
+  UNION ALL SELECT doc_id, 'account_number', 1000000, 1000004, CAST(1 AS DOUBLE) FROM labels
   UNION ALL SELECT doc_id, 'weather', 2, 4, CAST(1 AS DOUBLE) FROM labels
   UNION ALL SELECT doc_id, 'secret', NULL, 4, CAST(1 AS DOUBLE) FROM labels"""
 
@@ -290,32 +293,42 @@ def _hits(spark, folder):
     return spark.sql(_HITS).withColumnRenamed("stop", "end")
 
 
-@query(
-    "external_hits",
-    f"""SELECT h.id, label AS category, start, stop AS "end", substr(d.text, start + 1, stop - start) AS value,
-          coalesce(score, 1) AS confidence FROM ({_HITS}) AS h JOIN ({DOCUMENTS_SQL}) AS d ON d.id = h.id
-        WHERE label <> 'weather' AND start < stop AND stop <= length(d.text)""",
-)
+_USABLE = f"""SELECT h.id, label AS category, start, least(stop, length(d.text)) AS "end",
+  substr(d.text, start + 1, stop - start) AS value, score
+  FROM ({_HITS}) AS h JOIN ({DOCUMENTS_SQL}) AS d ON d.id = h.id
+  WHERE label <> 'weather' AND start < stop AND start < length(d.text)"""
+
+
+@query("external_hits", f"SELECT * EXCLUDE (score), coalesce(score, 1) AS confidence FROM ({_USABLE}) AS u")
 def external_hits(spark, folder):
     items = attach_hits(documents(spark, folder), _hits(spark, folder), "id")
     return items.select("id", F.inline("hits")).select("id", "category", "start", "end", "value", "confidence")
 
 
-@query("external_hits_redacted")
+_HIT_POLICY = regex_policy(secrets=True, rules=True)
+_HIT_POLICY.detectors.privacy_filter = {"enabled": True, "mode": "local_service", "url": "landed"}
+_ACTION_RANKS = ", ".join(f"({quoted(c)}, {quoted(_HIT_POLICY.action_for(c))}, {ACTION_RANK[_HIT_POLICY.action_for(c)]})" for c in LABELS)
+_HIT_FINDINGS = f"""SELECT id, start, "end", value, u.category, 'high' AS severity, 'privacy_filter' AS detector, NULL AS rule_id,
+  action, arank, {SEVERITY_RANK["high"]} AS srank, 1000 AS ord, row_number() OVER (PARTITION BY id ORDER BY start, "end", u.category, score) AS i
+  FROM ({_USABLE}) AS u JOIN (VALUES {_ACTION_RANKS}) AS a(category, action, arank) ON a.category = u.category"""
+
+
+@query(
+    "external_hits_redacted",
+    f"""WITH RECURSIVE {redacted_ctes(DOCUMENTS_SQL, _HIT_POLICY, more=_HIT_FINDINGS)}
+        SELECT id, allowed, redacted, CAST(n_findings AS INTEGER) AS n_findings FROM redacted""",
+)
 def external_hits_redacted(spark, folder):
-    policy = Policy.builtin()
-    policy.detectors.privacy_filter = {"enabled": True, "mode": "local_service", "url": "landed"}
+    """Landed hits beside the detectors that SQL can repeat."""
     items = attach_hits(documents(spark, folder), _hits(spark, folder), "id")
-    done = redact_texts(items, policy, F.col("id").cast("string"), DEMO_KEY, hits="hits")
+    done = redact_texts(items, _HIT_POLICY, F.col("id").cast("string"), DEMO_KEY, hits="hits")
     return done.select("id", "allowed", "redacted", F.size("resolved").alias("n_findings"))
 
 
-@query(
-    "external_hit_labels",
-    f"SELECT label AS category, count(*) AS n FROM ({_HITS}) AS h WHERE label <> 'weather' AND start < stop GROUP BY label",
-)
+@query("external_hit_labels", f"SELECT category, count(*) AS n FROM ({_USABLE}) AS u GROUP BY category")
 def external_hit_labels(spark, folder):
-    return usable_hits(_hits(spark, folder), "id").groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+    usable = usable_hits(_hits(spark, folder), documents(spark, folder), "id")
+    return usable.groupBy("category").agg(F.count(F.lit(1)).alias("n"))
 
 
 # -- checks -------------------------------------------------------------------------------------
