@@ -125,7 +125,7 @@ def upper_tree(points: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFram
             return placed, scratch.store(cells.unionByName(added), "cells"), number + 1
         centres = scratch.store(_centres(placed, big, number), "centres")
         split = centres.select("cell", "parts").distinct()
-        part = F.pmod(F.xxhash64("pid", F.lit(-2)), "parts").alias("part")
+        part = F.pmod(F.xxhash64("pid", F.lit(-2)), "parts").cast("int").alias("part")
         dealt = placed.join(split, "cell").select("pid", "unit", "cell", part)
         each = centres.select("cell", "child", "centre", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
         near = dealt.groupBy("cell", "part").cogroup(each.groupBy("cell", "part")).applyInArrow(
