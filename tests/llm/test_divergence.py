@@ -1,8 +1,6 @@
 import re
 from collections import Counter, defaultdict
 
-import pytest
-
 from textguard.llm import divergence as module
 from textguard.llm.divergence import divergence
 
@@ -72,7 +70,16 @@ def test_small_batches_and_blocks_change_nothing(spark, prose, monkeypatch):
     assert check(spark, rows) == want
 
 
-def test_empty_table_and_bounds(spark):
+def test_small_task_batches(prose):
+    texts = [" ".join(prose(40)[: k % 9]) for k in range(30)]
+    held = module.Batch()
+    for k, text in enumerate(texts):
+        held.add("en", f"s{k % 2}", text.encode())
+    doc, code, times = held.per_document()
+    names = list(held.number)
+    got = sorted((d, names[c].decode(), t) for d, c, t in zip(doc, code, times, strict=True))
+    assert got == sorted((k, w, n) for k, t in enumerate(texts) for w, n in Counter(t.split()).items())
+
+
+def test_empty_table(spark):
     assert check(spark, []) == []
-    with pytest.raises(ValueError, match="min_docs"):
-        divergence(spark.createDataFrame([], SCHEMA), min_docs=11)

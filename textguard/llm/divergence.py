@@ -5,9 +5,9 @@ each task turns its documents into counts per (language, source, chunk). Every g
 tokenized once, and its terms are joined back to the counts.
 
 Documents that hold a term cannot be added up over chunks, as a document may hold a term in several. They
-need not be counted where one chunk alone is in enough documents. For chunks in fewer documents the counts carry the
-documents' numbers (fewer than ``MIN_DOCS`` per task, language and chunk), and for terms that no chunk decides the distinct numbers
-are counted.
+need not be told apart where one chunk of a source alone is in enough documents, nor where all chunks together are in too few. For the
+terms in between, a second pass over the documents lists which of them hold the chunks of those terms (found by a fixed-size filter, then
+by a join), and distinct documents are counted.
 
 Shares are whole numbers of a billion, smoothed so that no term has none. Two shares p, q differ by floor((p - q)**2 / (p + q)). All
 arithmetic is on whole numbers; products that could pass 64 bits are decimals.
@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from textguard.llm.common import Scratch, ascii_lower, query, table
+from textguard.llm.filters import BitFilter, bit_filter
 
 MIN_DOCS = 10
 TOP_TERMS = 10
@@ -39,84 +40,97 @@ BLOCK_TERMS = 2048
 TILE = 1 << 20
 
 
-def _counts(texts: list[bytes], group: np.ndarray, lang: np.ndarray, base: int) -> pa.RecordBatch:
-    """Counts of the chunks of some documents per group; numbers of documents where the language has few."""
-    number: dict[bytes, int] = {}
-    codes, sizes = [], []
-    for text in texts:
-        words = text.split()
-        codes += [number.setdefault(w, len(number)) for w in words]
-        sizes.append(len(words))
-    k = max(1, len(number))
-    pair = np.repeat(np.arange(len(texts)), sizes) * k + np.array(codes, np.int64)
-    pair.sort()
-    first = np.flatnonzero(np.diff(pair, prepend=-1))
-    times = np.diff(first, append=len(pair))
-    doc, code = np.divmod(pair[first], k)
-    key = group[doc] * k + code
-    order = key.argsort(kind="stable")
-    doc, times, key = doc[order], times[order], key[order]
-    first = np.flatnonzero(np.diff(key, prepend=-1))
-    of, code = np.divmod(key[first], k)
-    docs = np.diff(first, append=len(key))
-    occurrences = np.add.reduceat(times, first) if len(first) else np.zeros(0, np.int64)
-    per_lang, at = np.unique(lang[of] * k + code, return_inverse=True)
-    few = np.bincount(at, docs, len(per_lang))[at] < MIN_DOCS
-    offsets = np.concatenate([[0], np.where(few, docs, 0).cumsum()]).astype(np.int32)
-    ids = pa.ListArray.from_arrays(offsets, pa.array(base + doc[np.repeat(few, docs)]), mask=pa.array(~few))
-    chunks = pa.array(list(number), pa.binary()).take(pa.array(code)).cast(pa.string())
-    return pa.RecordBatch.from_arrays(
-        [pa.array(of), chunks, pa.array(occurrences.astype(np.int64)), pa.array(docs.astype(np.int64)), ids],
-        ["of", "chunk", "occurrences", "docs", "ids"],
-    )
+class Batch:
+    """Documents that a task counts together."""
+
+    def __init__(self) -> None:
+        self.names: list[tuple[str, str]] = []
+        self.number: dict[bytes, int] = {}
+        self.codes: list[int] = []
+        self.sizes: list[int] = []
+        self.bytes = 0
+
+    def add(self, lang: str, source: str, text: bytes) -> None:
+        words, number = text.split(), self.number
+        self.names.append((lang, source))
+        self.codes += [number.setdefault(w, len(number)) for w in words]
+        self.sizes.append(len(words))
+        self.bytes += len(text)
+
+    def full(self) -> bool:
+        return len(self.codes) > BATCH_WORDS or self.bytes > BATCH_BYTES
+
+    def chunks(self, code: np.ndarray) -> pa.Array:
+        return pa.array(list(self.number), pa.binary()).take(pa.array(code)).cast(pa.string())
+
+    def per_document(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Place of the document, number of the chunk, and occurrences, of all chunks in a document."""
+        k = max(1, len(self.number))
+        pair = np.repeat(np.arange(len(self.sizes)) * k, self.sizes) + np.array(self.codes, np.int64)
+        pair.sort()
+        first = np.flatnonzero(np.diff(pair, prepend=-1))
+        return *np.divmod(pair[first], k), np.diff(first, append=len(pair))
+
+
+def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[Batch]:
+    held = Batch()
+    for batch in batches:
+        for lang, source, text in zip(*(batch.column(c) for c in ("lang", "source", "text")), strict=True):
+            held.add(lang.as_py(), source.as_py(), text.as_buffer().to_pybytes())
+            if held.full():
+                yield held
+                held = Batch()
+    if held.names:
+        yield held
 
 
 def chunk_counts(docs: DataFrame) -> DataFrame:
-    """``lang, source, chunk, occurrences, docs, ids`` for ``docs (lang, source, text)`` without nulls; to be added up."""
+    """``lang, source, chunk, occurrences, docs`` for ``docs (lang, source, text)`` without nulls."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in _batches(batches):
+            groups = sorted(set(held.names))
+            place = {g: k for k, g in enumerate(groups)}
+            doc, code, times = held.per_document()
+            k = max(1, len(held.number))
+            key = np.array([place[g] for g in held.names], np.int64)[doc] * k + code
+            order = key.argsort(kind="stable")
+            key, times = key[order], times[order]
+            first = np.flatnonzero(np.diff(key, prepend=-1))
+            group, code = np.divmod(key[first], k)
+            occurrences = np.add.reduceat(times, first).astype(np.int64) if len(first) else np.zeros(0, np.int64)
+            labels = [pa.array([g[k] for g in groups], pa.string()).take(pa.array(group)) for k in (0, 1)]
+            columns = [*labels, held.chunks(code), pa.array(occurrences), pa.array(np.diff(first, append=len(key)))]
+            yield pa.RecordBatch.from_arrays(columns, ["lang", "source", "chunk", "occurrences", "docs"])
+
+    schema = "lang string, source string, chunk string, occurrences bigint, docs bigint"
+    parts = docs.select("lang", "source", "text").mapInArrow(run, schema)
+    # Within a task the rows are summed already: nothing is gained by doing it again before the shuffle.
+    return parts.repartition("chunk").groupBy("lang", "source", "chunk").agg(
+        F.sum("occurrences").alias("occurrences"), F.sum("docs").alias("docs")
+    )
+
+
+def holders(docs: DataFrame, wanted: BitFilter) -> DataFrame:
+    """``lang, chunk, id``: which documents hold chunks that the filter lets through. Numbers of documents are those of their task."""
+    shared = docs.sparkSession.sparkContext.broadcast(wanted)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
         base = TaskContext.get().partitionId() << 40
-        texts: list[bytes] = []
-        names: list[tuple[str, str]] = []
-        words = size = 0
+        for held in _batches(batches):
+            # The hash that Spark's xxhash64 gives.
+            hashes = np.array([xxhash.xxh64_intdigest(w, 42) for w in held.number], np.uint64)
+            let_through = shared.value(hashes)
+            doc, code, _ = held.per_document()
+            hit = let_through[code] if len(code) else np.zeros(0, bool)
+            doc, code = doc[hit], code[hit]
+            langs = pa.array([g[0] for g in held.names], pa.string()).take(pa.array(doc))
+            yield pa.RecordBatch.from_arrays([langs, held.chunks(code), pa.array(base + doc)], ["lang", "chunk", "id"])
+            base += len(held.names)
 
-        def counted() -> pa.RecordBatch:
-            groups = sorted(set(names))
-            place = {g: k for k, g in enumerate(groups)}
-            langs = {name: k for k, name in enumerate(sorted({g[0] for g in groups}))}
-            group = np.array([place[g] for g in names], np.int64)
-            got = _counts(texts, group, np.array([langs[g[0]] for g in groups], np.int64), base)
-            labels = [pa.array([g[k] for g in groups], pa.string()).take(got.column("of")) for k in (0, 1)]
-            return pa.RecordBatch.from_arrays([*labels, *got.columns[1:]], ["lang", "source", *got.schema.names[1:]])
-
-        for batch in batches:
-            for lang, source, text in zip(*(batch.column(c) for c in ("lang", "source", "text")), strict=True):
-                raw = text.as_buffer().to_pybytes()
-                texts.append(raw)
-                names.append((lang.as_py(), source.as_py()))
-                words += raw.count(b" ") + 1
-                size += len(raw)
-                if words > BATCH_WORDS or size > BATCH_BYTES:
-                    yield counted()
-                    base += len(texts)
-                    texts, names, words, size = [], [], 0, 0
-        if texts:
-            yield counted()
-
-    schema = "lang string, source string, chunk string, occurrences bigint, docs bigint, ids array<bigint>"
-    return docs.select("lang", "source", "text").mapInArrow(run, schema)
-
-
-def added_up(parts: DataFrame) -> DataFrame:
-    """Counts of all tasks. Document numbers stay only where all parts have them and there are few: they are added up in two
-    steps, so a chunk that stands in a few documents of every task has no long list of them."""
-    keys = ["lang", "source", "chunk"]
-    some = F.when((F.count("ids") == F.count(F.lit(1))) & (F.sum("docs") < MIN_DOCS), F.flatten(F.collect_list("ids"))).alias("ids")
-    sums = (F.sum("occurrences").alias("occurrences"), F.sum("docs").alias("docs"), some)
-    share_of = F.pmod(F.shiftright(F.element_at("ids", 1), 40), F.lit(64))
-    # Both steps work on the one shuffle.
-    shuffled = parts.repartition(*keys).withColumn("part", F.when(F.size("ids") > 0, share_of))
-    return shuffled.groupBy(*keys, "part").agg(*sums).groupBy(*keys).agg(*sums)
+    return docs.select("lang", "source", "text").mapInArrow(run, "lang string, chunk string, id bigint")
 
 
 def chunk_terms(chunks: DataFrame) -> DataFrame:
@@ -125,14 +139,17 @@ def chunk_terms(chunks: DataFrame) -> DataFrame:
     return chunks.select("chunk", F.explode(found).alias("term")).groupBy("chunk", "term").agg(F.count(F.lit(1)).alias("times"))
 
 
-def kept_terms(counts: DataFrame, terms: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """``lang, term`` of the terms in at least ``min_docs`` documents of the language."""
-    per_chunk = counts.groupBy("lang", "chunk").agg(F.sum("docs").alias("docs"))
-    per_term = per_chunk.join(terms, "chunk").groupBy("lang", "term").agg(F.max("docs").alias("most"), F.sum("docs").alias("all"))
+def kept_terms(docs: DataFrame, counts: DataFrame, terms: DataFrame, min_docs: int, scratch: Scratch) -> DataFrame:
+    """``lang, term`` of the terms in at least ``min_docs`` documents of the language, from counts per (lang, source, term)."""
+    per_term = counts.groupBy("lang", "term").agg(F.max("most").alias("most"), F.sum("docs").alias("docs"))
+    per_term = scratch.store(per_term.where(F.col("docs") >= min_docs), "candidates")
     sure = per_term.where(F.col("most") >= min_docs).select("lang", "term")
-    open_terms = per_term.where((F.col("most") < min_docs) & (F.col("all") >= min_docs)).select("lang", "term")
-    rare = counts.where("ids IS NOT NULL").select("lang", "chunk", "ids").join(terms.select("chunk", "term"), "chunk")
-    held = rare.join(open_terms, ["lang", "term"], "left_semi").select("lang", "term", F.explode("ids").alias("id")).distinct()
+    unsure = per_term.where(F.col("most") < min_docs).select("lang", "term")
+    chunks = scratch.store(terms.select("chunk", "term").join(unsure, "term"), "unsure")
+    if chunks.isEmpty():
+        return sure
+    wanted = bit_filter(chunks.select(F.xxhash64("chunk").alias("h")).distinct(), "h")
+    held = holders(docs, wanted).join(chunks, ["lang", "chunk"]).select("lang", "term", "id").distinct()
     found = held.groupBy("lang", "term").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= min_docs)
     return sure.unionByName(found.select("lang", "term"))
 
@@ -180,16 +197,18 @@ def _ranked(df: DataFrame) -> DataFrame:
 def divergence(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP_TERMS) -> DataFrame:
     """``lang, source, part, item, value, rank``: how far each source is from each other one (part ``pair``), and
     the terms by which it stands out most from its language (part ``term``)."""
-    if not 1 <= min_docs <= MIN_DOCS:
-        raise ValueError(f"min_docs must be 1 to {MIN_DOCS}")
     scratch = Scratch("divergence")
     docs = docs.select(*[F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source", "text")])
-    counts = scratch.store(added_up(chunk_counts(docs)), "counts")
+    counts = scratch.store(chunk_counts(docs), "counts")
     terms = scratch.store(chunk_terms(counts.select("chunk").distinct()), "terms")
-    kept = scratch.store(kept_terms(counts, terms, min_docs), "kept")
-    every = counts.select("lang", "source", "chunk", "occurrences").join(terms, "chunk")
-    per_term = every.groupBy("lang", "source", "term").agg(F.sum(F.col("occurrences") * F.col("times")).alias("n"))
-    found = scratch.store(per_term.join(kept, ["lang", "term"], "left_semi"), "found")
+    per_term = counts.join(terms, "chunk").groupBy("lang", "source", "term").agg(
+        F.sum(F.col("occurrences") * F.col("times")).alias("n"), F.max("docs").alias("most"), F.sum("docs").alias("docs")
+    )
+    per_term = scratch.store(per_term, "per-term")
+    scratch.drop(counts)
+    kept = scratch.store(kept_terms(docs, per_term, terms, min_docs, scratch), "kept")
+    found = scratch.store(per_term.select("lang", "source", "term", "n").join(kept, ["lang", "term"], "left_semi"), "found")
+    scratch.drop(terms, per_term)
 
     kinds = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("v"))
     totals = found.groupBy("lang", "source").agg(F.sum("n").alias("total"))
