@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from textguard.operators.reports import case_report, markdown_lines, report_header, size_stats
@@ -16,7 +17,7 @@ from textguard.sources.readers import (
 )
 from textguard.sources.sinks import write_requests
 from textguard.streaming.requests import redact_request_stream, redact_text_stream
-from textguard.streaming.vault import idle_epoch_stream
+from textguard.streaming.vault import life_stream, redact_life_stream
 
 RAW = "alice@example.com"
 
@@ -113,23 +114,69 @@ def test_text_stream(spark, policy, tmp_path):
     assert len(rows) == 2 and all(r.redacted.count("[PRIVATE_EMAIL_") == 1 for r in rows)
 
 
-def test_idle_epochs_across_batches(spark, tmp_path):
+@pytest.fixture
+def rocksdb(spark):
     setting = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(setting)
     spark.conf.set(setting, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        shape = "c string, i long, ts timestamp"
-        for batch, rows in enumerate([[("a", 1, 0), ("a", 2, 5), ("b", 3, 6)], [("a", 4, 15), ("b", 5, 17), ("a", 6, 40)]]):
-            df = spark.createDataFrame([(c, i, s) for c, i, s in rows], "c string, i long, s long")
-            df.select("c", "i", F.timestamp_seconds("s").alias("ts")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-            stream = spark.readStream.schema(shape).parquet(str(tmp_path / "in"))
-            lives = idle_epoch_stream(stream, "c", "ts", "i", 10)
-            query = lives.writeStream.option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True)
-            query.start(str(tmp_path / "out"), format="parquet").awaitTermination()
-    finally:
-        spark.conf.set(setting, before)
-    got = {r.id: r.epoch for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    assert got == {1: 0, 2: 0, 3: 0, 4: 0, 5: 1, 6: 1}
+    yield
+    spark.conf.set(setting, before)
+
+
+def run_lives(spark, folder, batches, make):
+    """Land batches of (conversation, id, second, text) one by one, and run a stream over each on one checkpoint."""
+    for rows in batches:
+        df = spark.createDataFrame(rows, "c string, i long, s long, text string")
+        df.select("c", "i", F.timestamp_seconds("s").alias("ts"), "text").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema("c string, i long, ts timestamp, text string").parquet(f"{folder}/in")
+        run = make(stream).writeStream.option("checkpointLocation", f"{folder}/ck").trigger(availableNow=True)
+        run.start(f"{folder}/out", format="parquet").awaitTermination()
+    return spark.read.parquet(f"{folder}/out").collect()
+
+
+def states(spark, folder, name):
+    return spark.read.format("statestore").option("path", f"{folder}/ck").option("stateVarName", name).load()
+
+
+def test_lives_in_event_time(spark, tmp_path, rocksdb):
+    first = [("a", 1, 100, "x"), ("b", 2, 101, None), ("a", 3, 118, "y"), ("a", 4, 105, "z")]
+    second = [("a", 5, 111, "w"), ("b", 6, 112, "v"), ("a", 7, 140, "u")]  # 5 closes the gap between 4 and 3
+    beat, late = [("beat", 0, 10_000, None)], [("a", 8, 119, "late"), ("c", 9, 9_995, "in time")]
+    make = lambda stream: life_stream(stream, "c", "ts", 10, "30 seconds", ("i", "text"))
+    rows = run_lives(spark, tmp_path, [first, second, beat, late], make)
+    want = {1: 100, 4: 100, 5: 100, 3: 100, 7: 140, 2: 101, 6: 112}
+    assert {r.i: r.life for r in rows if not r.late} == {k: v * 1_000_000 for k, v in want.items()}
+    assert [(r.i, r.life, r.text) for r in rows if r.late] == [(8, None, "late")]
+    assert {r.i: r.text for r in rows if not r.late}[2] is None
+    # All lives have timed out: what is left waits for the watermark.
+    assert states(spark, tmp_path, "life").count() == 0
+    waiting = states(spark, tmp_path, "waiting").select("key.conversation").collect()
+    assert sorted(r.conversation for r in waiting) == ["beat", "c"]
+
+
+def test_lives_do_not_depend_on_batches(spark, tmp_path, rocksdb):
+    import random
+
+    from textguard.operators.vault import with_life
+
+    draw = random.Random(4)
+    rows = [(f"c{draw.randrange(4)}", k, 1000 + draw.randrange(400), "t") for k in range(200)]
+    df = spark.createDataFrame(rows, "c string, i long, s long, text string").withColumn("ts", F.timestamp_seconds("s"))
+    want = {r.i: r.life for r in with_life(df, "c", "ts", 12).collect()}
+    make = lambda stream: life_stream(stream, "c", "ts", 12, "500 seconds", ("i",))
+    for n, cut in enumerate((50, 200)):
+        draw.shuffle(rows)
+        batches = [rows[k : k + cut] for k in range(0, 200, cut)] + [[("beat", None, 99_999, None)]]
+        got = run_lives(spark, tmp_path / str(n), batches, make)
+        assert {r.i: r.life for r in got} == want and not any(r.late for r in got)
+
+
+def test_tokens_of_a_stream_belong_to_a_life(spark, policy, tmp_path, rocksdb):
+    mail = "mail a@b.com"
+    batches = [[("a", 1, 100, mail), ("a", 2, 105, mail), ("b", 3, 100, mail)], [("a", 4, 100_000, mail)], [("z", 5, 900_000, "")], [("a", 6, 90, mail)]]
+    make = lambda s: redact_life_stream(s, policy, "c", "ts", "1 minute", "k", carry=("i",)).select("i", "late", "redacted")
+    got = {r.i: r.redacted for r in run_lives(spark, tmp_path, batches, make)}
+    assert got[1] == got[2] and len({got[1], got[3], got[4], got[6]}) == 4 and "a@b.com" not in "".join(got.values())
 
 
 def test_reports(spark, policy):

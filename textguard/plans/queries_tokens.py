@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from textguard.functions.keyed import with_key
 from textguard.operators.tokens import apply_tokens, collisions, number_values, occurrences, placeholder, restore, scoped_tag, vault
-from textguard.operators.vault import idle_epochs, life_ends, vault_accesses, with_idle_epoch
+from textguard.operators.vault import idle_epochs, life_ends, micros, vault_accesses, with_idle_epoch
 from textguard.plans.catalog import (
     DEMO_KEY,
     DOCUMENTS_SQL,
@@ -26,7 +27,7 @@ from textguard.plans.catalog import (
 from textguard.plans.redact import inspect_texts, redact_texts, redact_with_lives
 from textguard.session import durable, scratch_folder
 from textguard.streaming.requests import redact_request_stream, redact_text_stream
-from textguard.streaming.vault import idle_epoch_stream
+from textguard.streaming.vault import life_stream
 
 _FULL = regex_policy(secrets=True, rules=True)
 _TTL = 24 * 3600
@@ -260,20 +261,63 @@ def stream_requests(spark, folder):
     return sinks[0].unionByName(sinks[1])
 
 
-@query("stream_epochs", _EPOCHS_SQL)
-def stream_epochs(spark, folder):
-    """Lives of conversations from keyed stream state."""
-    out = scratch_folder(spark, "stream-epochs")
+def _rocksdb(spark):
+    """Set the state store that keyed timers need; returns what undoes it."""
     setting = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(setting)
     spark.conf.set(setting, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return lambda: spark.conf.set(setting, before)
+
+
+_BATCHES = 4
+_DELAY_HOURS = 6
+# Each event arrives up to five hours late; batches cut the range of arrivals evenly. One in 97 may arrive after all others.
+_LATE = "event_id % 97 = 0"
+_LIVES_STREAM_SQL = f"""WITH e AS (SELECT * FROM events WHERE NOT ({_LATE})),
+  g AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER w > {_TTL}000000 THEN 1 ELSE 0 END AS ended
+        FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+  l AS (SELECT *, sum(ended) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS n FROM g)
+  SELECT user_id, event_id, min(epoch_us(ts)) OVER (PARTITION BY user_id, n) AS life, false AS late FROM l
+  UNION ALL SELECT user_id, event_id, NULL, true FROM events WHERE {_LATE}"""
+
+
+def _lives_of_events(spark, folder, late: bool):
+    """Events in order of arrival, landed batch by batch, each batch shuffled and read in a run of its own on one checkpoint; then a row
+    of a much later time, which moves the watermark past everything; then, if wanted, the late ones."""
+    out = scratch_folder(spark, "stream-lives")
+    events = table(spark, folder, "events").select("user_id", "ts", "event_id")
+    timed = durable(events.withColumn("arrival", micros(events, "ts") + (F.col("event_id") * 7919 % 18000) * 1_000_000))
+    first, last = timed.agg(F.min("arrival"), F.max("arrival")).first()
+    batch = F.floor((F.col("arrival") - first) / ((last - first) // _BATCHES + 1))
+    timed = timed.withColumn("batch", F.when(F.expr(_LATE) if late else F.lit(False), -1).otherwise(batch))
+    much_later = timed.agg((F.max("ts") + F.expr("INTERVAL '400' DAY")).alias("ts"))
+    beat = much_later.select(F.lit(-1).cast("bigint").alias("user_id"), "ts", F.lit(None).cast("bigint").alias("event_id"))
+    parts = [timed.where(F.col("batch") == k).select(events.columns).repartition(2) for k in range(_BATCHES)] + [beat]
+    if late:
+        parts.append(timed.where("batch = -1").select(events.columns))
+    undo = _rocksdb(spark)
     try:
-        lives = idle_epoch_stream(_stream(spark, folder, "events"), "user_id", "ts", "event_id", _TTL)
-        lives.writeStream.option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start(
-            f"{out}/rows", format="parquet"
-        ).awaitTermination()
+        for part in parts:
+            part.write.mode("append").parquet(f"{out}/landed")
+            source = spark.readStream.schema(events.schema).parquet(f"{out}/landed")
+            lives = life_stream(source, "user_id", "ts", _TTL, f"{_DELAY_HOURS} hours", ("event_id",))
+            run = lives.writeStream.option("checkpointLocation", f"{out}/state").trigger(availableNow=True)
+            run.start(f"{out}/rows", format="parquet").awaitTermination()
     finally:
-        spark.conf.set(setting, before)
-    return spark.read.parquet(f"{out}/rows").select(
-        F.col("conversation").cast("bigint").alias("user_id"), F.col("id").alias("event_id"), "epoch"
-    )
+        undo()
+    rows = spark.read.parquet(f"{out}/rows").where("event_id IS NOT NULL")
+    return rows.select(F.col("conversation").cast("bigint").alias("user_id"), "event_id", "life", "late")
+
+
+@query("stream_lives", _LIVES_STREAM_SQL)
+def stream_lives(spark, folder):
+    """Lives of conversations in event time, from events that arrive out of order, and some too late."""
+    return _lives_of_events(spark, folder, late=True)
+
+
+@query("stream_epochs", _EPOCHS_SQL)
+def stream_epochs(spark, folder):
+    """The same lives, numbered per conversation."""
+    by_start = Window.partitionBy("user_id").orderBy("life")
+    epoch = (F.dense_rank().over(by_start) - 1).cast("bigint").alias("epoch")
+    return _lives_of_events(spark, folder, late=False).select("user_id", "event_id", epoch)

@@ -1,61 +1,134 @@
-"""Conversation lives on a stream: keyed state with an idle time-out."""
+"""Conversation lives on a stream, in event time.
+
+A life is a stretch of accesses with no pause longer than the time-out; its name is the time it starts at. Accesses may
+arrive in any order within the stream's watermark delay: they wait in state until the watermark has
+passed them, so the lives do not depend on how the stream was cut into batches. What arrives later than that is
+marked ``late`` and gets no life. State holds waiting accesses and two times per live conversation; both go
+when the watermark passes them, the times a time-out after the last access.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from textguard.operators.vault import micros
+from textguard.policy import Policy
 
 
-class IdleEpochs(StatefulProcessor):
-    """Keeps, per conversation, the last access and the number of its current life.
-
-    A conversation's accesses must arrive in time order between batches (as accesses of a live
-    system do); within a batch they are sorted here. State is two numbers per conversation.
-    """
+class EventTimeLives(StatefulProcessor):
+    """Per conversation: accesses that wait (``at`` and what they carry), and start and last access of the current life."""
 
-    def __init__(self, ttl_seconds: int) -> None:
-        self.ttl_micros = ttl_seconds * 1_000_000
+    def __init__(self, ttl_seconds: int, carried: list[tuple[str, str]]) -> None:
+        self.ttl = ttl_seconds * 1_000_000
+        self.names = [name for name, _ in carried]
+        self.waiting_type = ", ".join(["at bigint", *(f"`{name}` {kind}" for name, kind in carried)])
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("life", "last bigint, epoch bigint")
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", self.waiting_type)
+        self.life = handle.getValueState("life", "start bigint, last bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["at", "id"])
-        known = self.state.get() if self.state.exists() else None
-        times = batch["at"].to_numpy()
-        idle = pd.Series(times).diff()
-        idle.iloc[0] = times[0] - known[0] if known else 0
-        epochs = (idle > self.ttl_micros).cumsum() + (known[1] if known else 0)
-        self.state.update((int(times[-1]), int(epochs.iloc[-1])))
-        yield pd.DataFrame(
-            {
-                "conversation": key[0],
-                "id": batch["id"].to_numpy(),
-                "at": times,
-                "epoch": epochs.to_numpy(),
-            }
-        )
+        now = _micros_of(timerValues)
+        for batch in rows:
+            early = batch["at"] < now
+            if early.any():
+                yield self._out(key, batch[early], None, True)
+            ready = batch[~early]
+            if len(ready):
+                plain = ready[["at", *self.names]].astype(object)
+                self.waiting.appendList([tuple(r) for r in plain.where(plain.notna(), None).itertuples(index=False)])
+        self._set_timer()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = _micros_of(timerValues)
+        waiting = sorted(self.waiting.get(), key=lambda r: r[0]) if self.waiting.exists() else []
+        done = [r for r in waiting if r[0] < now]
+        start, last = self.life.get() if self.life.exists() else (None, None)
+        starts = []
+        for at, *_ in done:
+            if last is None or at - last > self.ttl:
+                start = at
+            last = at
+            starts.append(start)
+        if done:
+            self.waiting.clear()
+            if rest := waiting[len(done) :]:
+                self.waiting.put([tuple(r) for r in rest])
+            yield self._out(key, pd.DataFrame([tuple(r) for r in done], columns=["at", *self.names]), starts, False)
+        if last is not None and last + self.ttl < now:
+            self.life.clear()
+        elif last is not None:
+            self.life.update((start, last))
+        self._set_timer()
+
+    def _set_timer(self) -> None:
+        """One timer: for the first access that waits, else for the end of the life."""
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        if self.waiting.exists():
+            at = min(r[0] for r in self.waiting.get())
+        elif self.life.exists():
+            at = self.life.get()[1] + self.ttl
+        else:
+            return
+        self.handle.registerTimer(at // 1000 + 1)
+
+    def _out(self, key, rows: pd.DataFrame, lives: list | None, late: bool) -> pd.DataFrame:
+        out = rows[["at", *self.names]].copy()
+        out.insert(0, "conversation", key[0])
+        out["life"] = pd.Series(lives if lives is not None else [None] * len(rows), index=out.index, dtype="Int64")
+        out["late"] = late
+        return out
 
     def close(self) -> None:
         pass
 
 
-def idle_epoch_stream(stream: DataFrame, conversation: str, ts: str, tie: str, ttl_seconds: int) -> DataFrame:
-    """``(conversation, id, at, epoch)`` for every access of a stream; ``at`` in microseconds."""
-    rows = stream.select(
-        F.col(conversation).cast("string").alias("conversation"),
-        F.col(tie).cast("bigint").alias("id"),
-        micros(stream, ts).alias("at"),
-    )
+def _micros_of(timerValues) -> int:
+    return timerValues.getCurrentWatermarkInMs() * 1000
+
+
+def life_stream(stream: DataFrame, conversation: str, ts: str, ttl_seconds: int, delay: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``(conversation, at, *carry, life, late)`` for every access of a stream, once the watermark has passed it.
+
+    ``delay`` is how late an access may arrive, as an interval. ``at`` and ``life`` are microseconds. Rows without
+    conversation or time are left out. Needs the RocksDB state store.
+    """
+    kinds = dict(stream.dtypes)
+    plain = stream.select(F.col(conversation).cast("string").alias("conversation"), micros(stream, ts).alias("at"), *carry)
+    # A watermark needs a time with a zone; without that column after it, no row is dropped as late before it is seen here.
+    timed = plain.where("conversation IS NOT NULL AND at IS NOT NULL").withColumn("_time", F.timestamp_micros("at"))
+    rows = timed.withWatermark("_time", delay).drop("_time")
+    carried = [(name, kinds[name]) for name in carry]
+    columns = ["conversation string", "at bigint", *(f"`{n}` {k}" for n, k in carried), "life bigint", "late boolean"]
     return rows.groupBy("conversation").transformWithStateInPandas(
-        statefulProcessor=IdleEpochs(ttl_seconds),
-        outputStructType="conversation string, id bigint, at bigint, epoch bigint",
+        statefulProcessor=EventTimeLives(ttl_seconds, carried),
+        outputStructType=", ".join(columns),
         outputMode="append",
-        timeMode="None",
+        timeMode="EventTime",
     )
+
+
+def redact_life_stream(
+    stream: DataFrame, policy: Policy, conversation: str, ts: str, delay: str, key: str | None = None, text: str = "text",
+    carry: tuple[str, ...] = (),
+) -> DataFrame:
+    """Redact a stream of timed texts; tokens belong to a life of their conversation (time-out: the policy's ``ttl_seconds``).
+
+    Late texts are redacted too, each in a life of its own, so that nothing is lost or tied to a life that has ended.
+    """
+    from textguard.plans.redact import redact_texts
+
+    lives = life_stream(stream, conversation, ts, policy.tokenization.ttl_seconds, delay, (text, *carry))
+    return redact_texts(lives, policy, F.col("conversation"), key, text, epoch=own_life())
+
+
+def own_life() -> Column:
+    """The life a token belongs to; a late text is one by itself."""
+    return F.coalesce(F.col("life").cast("string"), F.concat(F.lit("late:"), F.col("at").cast("string")))
