@@ -123,11 +123,67 @@ def test_conversation_key(spark):
     assert got == ["t", "s", "r", "request:3", "request:4"]
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_request_stays_on_its_row(spark, policy):
+    df = payloads(spark, chat(EMAIL))
+    plan = plan_of(redact_requests(df, policy, "k"))
+    assert "Exchange" not in plan and "Join" not in plan and plan.count("ArrowEvalPython") == 1
+    native = policy.copy() if hasattr(policy, "copy") else __import__("copy").deepcopy(policy)
+    native.detectors.normalization = False
+    assert "Python" not in plan_of(redact_requests(df, native, "k"))
+    assert "Python" not in plan_of(df.select(override_model_in_payload(F.col("payload"), "m").alias("p")))
+
+
+def test_what_is_not_changed_keeps_its_spelling(spark, policy):
+    text = '{ "b" : 1.50, "a" :1e5,\n"content" : "mail %s \\u00e9\\n\\"x\\"" , "z":[ ],"o":{ },"n":-0.0, "t":true,"u":null}' % EMAIL
+    row = run(spark, policy, text)[0]
+    token = row.redacted_payload.split("mail ")[1].split(" ")[0]
+    want = '{"b":1.50,"a":1e5,"content":"mail ' + token + ' é\\n\\"x\\"","z":[],"o":{},"n":-0.0,"t":true,"u":null}'
+    assert row.redacted_payload == want
+    plain = '{ "a" : 1.0 , "content":"nothing here" }'
+    assert run(spark, policy, plain)[0].redacted_payload == plain
+    keys = '{"content": {"text": "x"}, "te\\u0078t": "%s", "\\"odd": {"metadata": ["%s", {"k": "%s"}]}}' % (EMAIL, EMAIL, EMAIL)
+    assert run(spark, policy, keys)[0].redacted_payload.count(EMAIL) == 1
+
+
+def test_the_walk_in_a_row_finds_what_the_walk_over_rows_finds(spark):
+    import random
+
+    from textguard.operators.extract import items_of
+    from textguard.operators.jsontext import tokens
+
+    draw = random.Random(2)
+    names = ["content", "text", "x", "metadata", "mcp", "arguments", "a\"b", "é", "input", ""]
+
+    def value(depth):
+        kind = draw.random()
+        if depth and kind < 0.35:
+            return {k: value(depth - 1) for k in draw.sample(names, draw.randint(0, 4))}
+        if depth and kind < 0.55:
+            return [value(depth - 1) for _ in range(draw.randint(0, 3))]
+        return draw.choice(["plain", "", "[1]", '{"a": 1}', "{bad", 'q"\\ \n', 1.5, None, True, "é😀"])
+
+    documents = [{k: value(5) for k in draw.sample(names, 4)} for _ in range(150)]
+    df = parse_payloads(payloads(spark, *[json.dumps(d, ensure_ascii=draw.random() < 0.5, indent=draw.choice([None, 1])) for d in documents]))
+    for strings in (False, True):
+        rows = df.select("request_id", F.inline(items_of(tokens(F.col("payload")), strings)))
+        got = sorted((r.request_id, str(r.path), r.text, r.json_encoded) for r in rows.collect())
+        want = sorted((r.request_id, str(r.path), r.text, r.json_encoded) for r in extract_items(df, array_strings=strings).collect())
+        assert got == want
+
+
 def test_model_override(spark):
     df = payloads(spark, {"model": "a", "x": 1}, {"x": {"model": "a"}})
     got = [r.p for r in df.select(override_model_in_payload(F.col("payload"), "b").alias("p")).collect()]
     assert json.loads(got[0]) == {"model": "b", "x": 1} and json.loads(got[1]) == {"x": {"model": "a"}}
     assert df.select(override_model_in_payload(F.col("payload"), None).alias("p")).first().p == json.dumps({"model": "a", "x": 1})
+    odd = ['{ "x":{"model":"a"}, "model" : {"a":[1,{"model":2}]} , "y":1.0}', '{"y":"model","model":null}', '{"mod\\u0065l":"a"}', '{"model":"a, } b"}', "[1"]
+    got = [r.p for r in payloads(spark, *odd).select(override_model_in_payload(F.col("payload"), 'b"').alias("p")).collect()]
+    assert got[0] == '{ "x":{"model":"a"}, "model" :"b\\"", "y":1.0}' and json.loads(got[3]) == {"model": 'b"'} and got[4] == "[1"
+    assert json.loads(got[1]) == {"y": "model", "model": 'b"'} and json.loads(got[2]) == {"model": 'b"'}
     columns = spark.createDataFrame([("a",), (None,)], "model string")
     assert [r.model for r in override_model(columns, "b").collect()] == ["b", None]
     assert override_model(columns, "").first().model == "a"

@@ -48,17 +48,19 @@ def splice(text: Column, spans: Column, replacement: Callable[[Column], Column])
     return F.when(F.size(spans) > 0, bind(spans, whole)).otherwise(text)
 
 
-def decide(df: DataFrame, policy: Policy, resolved: str = "resolved") -> DataFrame:
-    """Add ``blocked_categories`` and ``allowed`` per text."""
+def blocked_categories(policy: Policy, resolved: Column) -> Column:
+    """Categories of the findings that block a text."""
 
     def blocks(f: Column) -> Column:
         harmful = (policy.action_column(f["category"]) == "block") | ~f["safe_replace"]
         return ~policy.audit_only_column(f["rule_id"]) & harmful
 
-    categories = F.array_sort(
-        F.array_distinct(F.transform(F.filter(F.col(resolved), blocks), lambda f: f["category"]))
-    )
-    return df.withColumn("blocked_categories", categories).withColumn(
+    return F.array_sort(F.array_distinct(F.transform(F.filter(resolved, blocks), lambda f: f["category"])))
+
+
+def decide(df: DataFrame, policy: Policy, resolved: str = "resolved") -> DataFrame:
+    """Add ``blocked_categories`` and ``allowed`` per text."""
+    return df.withColumn("blocked_categories", blocked_categories(policy, F.col(resolved))).withColumn(
         "allowed", F.size("blocked_categories") == 0
     )
 

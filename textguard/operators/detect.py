@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from textguard.functions.arrays import computed_once
 from textguard.functions.regex import java_keyword, java_pattern, matches_sql, spans_of, sql_name, sql_string
-from textguard.operators.normalize import normalized_findings
+from textguard.operators.normalize import normalized_findings, normalized_findings_of_each
 from textguard.patterns import BUILTIN, SECRETS, Pattern
 from textguard.policy import Policy
 
@@ -90,10 +90,8 @@ def rule_patterns(rule: dict) -> list[str]:
     return [java_keyword(value) for value in rule["values"]]
 
 
-def _entries_to_findings(entries: list[str]) -> Column:
-    """Findings of several patterns, in the order given. One lambda serves them all."""
-    if not entries:
-        return no_findings()
+def _hits_to_findings(hits: Column) -> Column:
+    """Findings from the hits of several patterns, in the order given. One lambda serves them all."""
 
     def spans(found: Column) -> Column:
         kept = F.filter(
@@ -114,10 +112,15 @@ def _entries_to_findings(entries: list[str]) -> Column:
             ),
         )
 
-    hits = F.array_compact(F.expr(f"array({', '.join(entries)})"))
     return F.flatten(F.transform(hits, spans))
 
 
+def _entries_to_findings(entries: list[str]) -> Column:
+    if not entries:
+        return no_findings()
+    return _hits_to_findings(F.array_compact(F.expr(f"array({', '.join(entries)})")))
+
+
 def pattern_findings(text: str, *patterns: Pattern) -> Column:
     """Findings of built-in patterns in a text column."""
     return _entries_to_findings([_pattern_entry(sql_name(text), p) for p in patterns])
@@ -128,16 +131,32 @@ def rule_findings(text: str, *rules: dict) -> Column:
     return _entries_to_findings([e for r in rules for e in _rule_entries(sql_name(text), r)])
 
 
-def native_findings(text: str, policy: Policy) -> Column:
-    """All pattern findings in reporting order; switched-off detectors do not enter the plan."""
-    source = sql_name(text)
+def _native_entries(source: str, policy: Policy) -> list[str]:
     entries: list[str] = []
     if policy.detectors.regex:
         entries += [_pattern_entry(source, p) for p in BUILTIN]
         entries += [e for r in policy.rules for e in _rule_entries(source, r)]
     if policy.detectors.secrets:
         entries += [_pattern_entry(source, p) for p in SECRETS]
-    return _entries_to_findings(entries)
+    return entries
+
+
+def native_findings(text: str, policy: Policy) -> Column:
+    """All pattern findings in reporting order; switched-off detectors do not enter the plan."""
+    return _entries_to_findings(_native_entries(sql_name(text), policy))
+
+
+def findings_of_each(texts: str, policy: Policy) -> Column:
+    """Findings of every text in a column of arrays of texts (without nulls): ``array<array<finding>>``, as ``detect`` gives them."""
+    entries = _native_entries("t", policy)
+    nothing = F.transform(texts, lambda t: no_findings())
+    found = nothing
+    if entries:
+        hits = F.expr(f"transform(`{texts}`, t -> array_compact(array({', '.join(entries)})))")
+        found = F.transform(hits, _hits_to_findings)
+    if policy.detectors.normalization:
+        found = F.zip_with(found, normalized_findings_of_each(texts), lambda a, b: F.concat(a, b))
+    return found
 
 
 def detect(

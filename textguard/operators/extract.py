@@ -82,6 +82,29 @@ def extract_items(
     )
 
 
+def items_of(parts: Column, array_strings: bool = False) -> Column:
+    """``array<struct<at, path, text, json_encoded>>``: the text fields of one payload, in the order of the text, from its tokens.
+
+    The same fields as ``extract_items`` finds, without leaving the row.
+    """
+    from textguard.operators.jsontext import string_leaves
+
+    def field(leaf: Column) -> Column:
+        return F.try_element_at(F.filter(leaf["path"], lambda p: p["key"].isNotNull()), F.lit(-1))["key"]
+
+    def counts(leaf: Column) -> Column:
+        context = F.exists(leaf["path"], lambda p: F.coalesce(p["key"].isin(*CONTEXT_KEYS), F.lit(False)))
+        test = F.coalesce(field(leaf).isin(*TEXT_KEYS), F.lit(False)) | context
+        in_array = F.coalesce(F.try_element_at(leaf["path"], F.lit(-1))["pos"].isNotNull(), F.lit(True))
+        return test if array_strings else test & ~in_array
+
+    def item(leaf: Column) -> Column:
+        encoded = F.coalesce(field(leaf).isin(*JSON_STRING_KEYS) & is_json_text(leaf["text"]), F.lit(False))
+        return F.struct(leaf["at"].alias("at"), leaf["path"].alias("path"), leaf["text"].alias("text"), encoded.alias("json_encoded"))
+
+    return F.transform(F.filter(string_leaves(parts), counts), item)
+
+
 _STEP = T.StructType().add("key", T.StringType()).add("pos", T.IntegerType())
 _LEAF = (
     T.StructType()
@@ -213,15 +236,46 @@ def override_model(df: DataFrame, model: str | None, column: str = "model") -> D
 
 
 def override_model_in_payload(payload: Column, model: str | None) -> Column:
-    """The same on a JSON payload; only the top-level ``model`` changes."""
+    """The same on a JSON payload; only the value of the top-level ``model`` changes, everything else stays as it is spelled."""
+    from textguard.functions.arrays import bind
+    from textguard.operators.jsontext import literal_of, tokens
+
     if not model:
         return payload
     has_model = F.try_variant_get(F.try_parse_json(payload), "$.model", "variant").isNotNull()
-    edit = F.array(
-        F.struct(
-            F.array(F.struct(F.lit("model").alias("key"), F.lit(None).cast("int").alias("pos"))).alias("path"),
-            F.lit(model).alias("text"),
-            F.lit(False).alias("json_encoded"),
-        )
+
+    def replaced(parts: Column) -> Column:
+        # Places of the key's value at depth one: from after its colon to before the next comma or the end.
+        first = F.transform(parts, lambda t: F.substring(t, 1, 1))
+        change = lambda c: F.when(c.isin("{", "["), 1).when(c.isin("}", "]"), -1).otherwise(0)
+        walked = F.aggregate(
+            F.zip_with(parts, first, lambda t, c: F.struct(t.alias("t"), c.alias("c"))),
+            F.struct(F.lit(0).alias("depth"), F.lit(False).alias("value"), F.lit(True).alias("key"), F.lit(False).alias("put"),
+                     F.array().cast("array<string>").alias("out")),
+            lambda s, p: _model_step(s, p, literal_of(F.lit(model)), change),
+        )
+        return F.array_join(walked["out"], "")
+
+    return F.when(has_model, bind(tokens(F.when(has_model, payload)), replaced)).otherwise(payload)
+
+
+def _model_step(state: Column, part: Column, new: Column, change) -> Column:
+    """One token: ``key`` says that a key of the outer object may come, ``value`` that the model's value is being left out."""
+    from textguard.operators.jsontext import string_of
+
+    token, head = part["t"], part["c"]
+    depth = state["depth"] + change(head)
+    outer = state["depth"] == 1
+    ends = state["value"] & ((outer & (head == ",")) | ((depth == 0) & (head == "}")))
+    names = state["key"] & outer & (head == '"') & (string_of(F.when(head == '"', token)) == "model")
+    starts = outer & (head == ":") & state["put"]
+    blank = head.isin(" ", "\t", "\r", "\n")
+    value = (state["value"] & ~ends) | starts
+    kept = F.when(starts, F.array(token, new)).when(value, F.array().cast("array<string>")).otherwise(F.array(token))
+    return F.struct(
+        depth.alias("depth"),
+        value.alias("value"),
+        F.when(outer & (head == ","), F.lit(True)).when(outer & ((head == ":") | (head == '"')), F.lit(False)).otherwise(state["key"]).alias("key"),
+        (names | (state["put"] & blank)).alias("put"),
+        F.concat(state["out"], kept).alias("out"),
     )
-    return F.when(has_model, write_back(F.when(has_model, payload), F.when(has_model, edit))).otherwise(payload)

@@ -262,7 +262,10 @@ def may_be_obfuscated(text: str) -> Column:
     Every test is on the raw text and looser than what the folded match needs. Digits other than
     2, 6, 8 and 9 turn into letters, so few folded numbers are possible.
     """
-    source = sql_name(text)
+    return F.expr(_may_be_obfuscated_sql(sql_name(text)))
+
+
+def _may_be_obfuscated_sql(source: str) -> str:
     at = f"(?:@|{_alone('at')})"
     dot = f"(?:[.\u2026]|{_alone('dot')})"
     label = rf"{_ALNUM}++(?:[_-]+{_ALNUM}++)*"
@@ -304,7 +307,7 @@ def may_be_obfuscated(text: str) -> Column:
         found(unusual_characters()),
         f"({odd_space}) AND {found(_ODD_NEIGHBOUR)}",
     ]
-    return F.expr(" OR ".join(f"({t})" for t in tests))
+    return " OR ".join(f"({t})" for t in tests)
 
 
 # -- text only: the folded form as a column -----------------------------------------------------
@@ -344,11 +347,9 @@ def normalize_text(df: DataFrame, text: str = "text", output: str = "normalized"
     return out.withColumn(output, unleet_text(F.col(output)))
 
 
-def normalized_findings(text: str) -> Column:
+def _span_findings(spans: Column, source: Column) -> Column:
     from textguard.operators.detect import finding, no_findings
 
-    source = F.expr(sql_name(text))
-    spans = obfuscated_spans(F.when(may_be_obfuscated(text), source))
     return F.coalesce(
         F.transform(
             spans,
@@ -365,3 +366,24 @@ def normalized_findings(text: str) -> Column:
         ),
         no_findings(),
     )
+
+
+def normalized_findings(text: str) -> Column:
+    source = F.expr(sql_name(text))
+    return _span_findings(obfuscated_spans(F.when(may_be_obfuscated(text), source)), source)
+
+
+@F.pandas_udf(T.ArrayType(_UDF_TYPE))
+def obfuscated_spans_of_each(texts: pd.Series) -> pd.Series:
+    """For arrays of texts; null texts and rows need no work."""
+    return pd.Series(
+        [None if row is None else [None if t is None else find_obfuscated(t) for t in row] for row in texts], dtype=object
+    )
+
+
+def normalized_findings_of_each(texts: str) -> Column:
+    """The same for every text of a column of arrays of texts."""
+    doubtful = F.expr(f"transform(`{texts}`, t -> CASE WHEN {_may_be_obfuscated_sql('t')} THEN t END)")
+    some = F.when(F.exists(doubtful, lambda t: t.isNotNull()), doubtful)
+    spans = F.coalesce(obfuscated_spans_of_each(some), F.transform(texts, lambda t: F.lit(None).cast(_UDF_TYPE)))
+    return F.zip_with(spans, texts, _span_findings)

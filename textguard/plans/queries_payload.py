@@ -154,6 +154,30 @@ def payload_redact_nested(spark, folder):
     return _plain(redact_requests(nested_payloads(spark, folder), Policy.builtin(), DEMO_KEY))
 
 
+# The two texts of a nested payload that may hold something: the first content block, and JSON in a string.
+_NESTED_SQL = f"""SELECT id * 10 AS id, role, turn, text FROM ({SEEDED_SQL}) AS s
+  UNION ALL SELECT id * 10 + 1, role, turn, {_ARGUMENTS_SQL} FROM ({SEEDED_SQL}) AS s"""
+_TEXT_OF = "CAST(to_json(max(redacted) FILTER (id % 10 = {})) AS VARCHAR)"
+_NESTED_JSON = f"""'{{"model":"mock","messages":[{{"role":' || CAST(to_json(any_value(role)) AS VARCHAR) || ',"content":[{{"type":"text","text":'
+  || {_TEXT_OF.format(0)} || '}},{{"type":"text","text":' || CAST(to_json(any_value(role)) AS VARCHAR)
+  || '}}]}}],"tool_calls":[{{"function":{{"name":"lookup","arguments":' || {_TEXT_OF.format(1)}
+  || '}}}}],"mcp":{{"tool_result":{{"a":{{"note":' || CAST(to_json(any_value(role)) AS VARCHAR) || ',"skipped":['
+  || CAST(to_json(any_value(text) FILTER (id % 10 = 0)) AS VARCHAR) || ']}}}}}},"temperature":1.5}}'"""
+
+
+@query(
+    "payload_redact_blocks",
+    f"""WITH RECURSIVE {redacted_ctes(_NESTED_SQL, _FULL, "'request:' || CAST(id // 10 AS VARCHAR)")}
+        SELECT id // 10 AS request_id, bool_and(allowed) AS allowed, CASE WHEN bool_and(allowed) THEN {_NESTED_JSON} END AS redacted_payload,
+          array_to_string(list_sort(list_distinct(flatten(list(string_split(blocked, ',')) FILTER (blocked <> '')))), ',') AS blocked,
+          CAST(sum(n_findings) AS BIGINT) AS n_findings, CAST(NULL AS VARCHAR) AS problem FROM redacted GROUP BY id // 10""",
+)
+def payload_redact_blocks(spark, folder):
+    """Content blocks, JSON in strings and context keys, with the detectors that SQL can repeat."""
+    done = _plain(redact_requests(nested_payloads(spark, folder), _FULL, DEMO_KEY))
+    return done.withColumn("blocked", F.nullif("blocked", F.lit("")))
+
+
 @query(
     "payload_quarantine",
     f"""WITH RECURSIVE {redacted_ctes(SEEDED_SQL, _FULL, _CONVERSATION_SQL)}

@@ -26,7 +26,7 @@ from textguard.plans.catalog import (
 )
 from textguard.plans.redact import inspect_texts, redact_texts, redact_with_lives
 from textguard.session import durable, scratch_folder
-from textguard.streaming.requests import redact_request_stream, redact_text_stream
+from textguard.streaming.requests import redact_text_stream, redacted_requests
 from textguard.streaming.vault import life_stream
 
 _FULL = regex_policy(secrets=True, rules=True)
@@ -248,17 +248,17 @@ def stream_redact(spark, folder):
         SELECT id AS request_id, CASE WHEN allowed THEN 'allowed' ELSE 'quarantine' END AS sink FROM redacted""",
 )
 def stream_requests(spark, folder):
-    """Requests as a stream, split into allowed and quarantined."""
+    """Requests as a stream, in append mode, into one table split into allowed and quarantined."""
     out = scratch_folder(spark, "stream-requests")
     turns = _stream(spark, folder, "conversations").selectExpr("conv_id * 1000 + turn AS id", "role", f"{SEEDED_TEXT} AS text")
     payload = F.to_json(F.struct(F.array(F.struct("role", F.col("text").alias("content"))).alias("messages")))
     requests = turns.select(F.col("id").alias("request_id"), payload.alias("payload"))
-    redact_request_stream(requests, _FULL, out, f"{out}/state", DEMO_KEY).awaitTermination()
-    sinks = [
-        spark.read.parquet(f"{out}/{sink}").select("request_id", F.lit(sink).alias("sink"))
-        for sink in ("allowed", "quarantine")
-    ]
-    return sinks[0].unionByName(sinks[1])
+    # One file per batch here: without this, one task would do all the work.
+    requests = requests.repartition(4 * spark.sparkContext.defaultParallelism, "request_id")
+    done = redacted_requests(requests, _FULL, DEMO_KEY).select("request_id", "redacted_payload", "n_findings", "sink")
+    run = done.writeStream.option("checkpointLocation", f"{out}/state").trigger(availableNow=True).partitionBy("sink")
+    run.start(f"{out}/rows", format="parquet").awaitTermination()
+    return spark.read.parquet(f"{out}/rows").select("request_id", "sink")
 
 
 def _rocksdb(spark):

@@ -5,11 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textguard.functions.arrays import computed_once
 from textguard.functions.keyed import with_key
-from textguard.operators.act import audit_records, decide, rewrite
-from textguard.operators.detect import detect
-from textguard.operators.extract import EDIT_TYPE, conversation_key, extract_items, is_json_text, parse_payloads, write_back
-from textguard.operators.resolve import resolve
+from textguard.operators.act import audit_records, blocked_categories, decide, replacement_column, rewrite, splice
+from textguard.operators.detect import detect, findings_of_each
+from textguard.operators.extract import (
+    EDIT_TYPE,
+    compact_json,
+    conversation_key,
+    extract_items,
+    is_json_text,
+    items_of,
+    parse_payloads,
+    write_back,
+)
+from textguard.operators.jsontext import literal_of, tokens, with_tokens
+from textguard.operators.resolve import drop_allowed, resolve, resolve_findings
 from textguard.operators.tokens import apply_tokens, number_values, occurrences, scoped_token, token_key
 from textguard.operators.vault import with_idle_epoch
 from textguard.policy import Policy
@@ -84,9 +95,73 @@ def redact_requests(
     """``(request_id, allowed, redacted_payload, blocked_categories, audit, n_findings, problem)``.
 
     One blocked text blocks its request. Malformed payloads and JSON strings that redaction would
-    break are not let through either (``problem`` says which). Only texts with something to report or
-    change are shuffled back to their request. ``request_id`` must be unique.
+    break are not let through either (``problem`` says which). A request is one row from the scan to the
+    sink: its text fields are an array in the row, so nothing is shuffled, and streams are read in append mode. Only sequential
+    tokens, which number the values of a whole table, take the fields out to rows and back.
     """
+    if policy.tokenization.mode == "deterministic":
+        return _redact_numbered(requests, policy, key, request_id, payload)
+    source = with_key(requests.select(request_id, payload), key or token_key(requests.sparkSession))
+    parsed = parse_payloads(source, payload).withColumn("conversation", conversation_key(F.col("_json"), F.col(request_id)))
+    parts = F.when(~F.col("malformed"), tokens(F.col(payload)))
+    walked = parsed.withColumn("_tokens", computed_once(parts)).withColumn("_items", computed_once(items_of(F.col("_tokens"))))
+    texts = walked.withColumn("_texts", F.transform("_items", lambda i: i["text"]))
+    found = texts.withColumn("_found", computed_once(findings_of_each("_texts", policy)))
+    kept = found.withColumn(
+        "_kept", computed_once(F.transform("_found", lambda f: resolve_findings(drop_allowed(f, policy.allowlist), policy)))
+    )
+    token = scoped_token(policy, F.col("conversation"))
+
+    def done(item: Column, resolved: Column) -> Column:
+        blocked = blocked_categories(policy, resolved)
+        changed = splice(item["text"], resolved, replacement_column(policy, token))
+        return F.struct(
+            item["at"].alias("at"),
+            item["json_encoded"].alias("json_encoded"),
+            resolved.alias("resolved"),
+            blocked.alias("blocked"),
+            F.when(F.size(blocked) == 0, changed).alias("redacted"),
+        )
+
+    touched = F.filter(
+        F.zip_with("_items", "_kept", lambda i, r: F.struct(i.alias("i"), r.alias("r"))),
+        lambda p: (F.size(p["r"]) > 0) | p["i"]["json_encoded"],
+    )
+    acted = kept.withColumn("_done", computed_once(F.transform(touched, lambda p: done(p["i"], p["r"]))))
+
+    def literal(d: Column) -> Column:
+        return literal_of(F.when(d["json_encoded"], compact_json(d["redacted"])).otherwise(d["redacted"]))
+
+    categories = F.array_sort(F.array_distinct(F.flatten(F.transform("_done", lambda d: d["blocked"]))))
+    broken = F.exists(
+        "_done", lambda d: d["json_encoded"] & (F.size(d["blocked"]) == 0) & ~F.coalesce(is_json_text(d["redacted"]), F.lit(False))
+    )
+    problem = F.when(F.col("malformed"), "malformed").when(F.col("_broken"), "rewrite_failed")
+    none = F.array().cast("array<string>")
+    rolled = acted.withColumns(
+        {"_broken": computed_once(F.coalesce(broken, F.lit(False))), "blocked_categories": computed_once(F.coalesce(categories, none))}
+    ).withColumn("problem", problem)
+    rolled = rolled.withColumn("allowed", F.col("problem").isNull() & (F.size("blocked_categories") == 0))
+    changes = F.map_from_entries(F.transform("_done", lambda d: F.struct(d["at"], literal(d))))
+    # A payload without findings and without JSON in strings stays as it is spelled.
+    rewritten = F.when(F.size("_done") > 0, with_tokens(F.col("_tokens"), changes)).otherwise(F.col(payload))
+    audit = F.coalesce(
+        F.flatten(F.transform("_done", lambda d: audit_records(policy, d["resolved"]))), F.array().cast(AUDIT_TYPE)
+    )
+    return rolled.select(
+        request_id,
+        "allowed",
+        computed_once(F.when(F.col("allowed"), rewritten)).alias("redacted_payload"),
+        "blocked_categories",
+        computed_once(audit).alias("audit"),
+        F.coalesce(F.aggregate("_done", F.lit(0), lambda n, d: n + F.size(d["resolved"])), F.lit(0)).alias("n_findings"),
+        "problem",
+    )
+
+
+def _redact_numbered(requests: DataFrame, policy: Policy, key: str | None, request_id: str, payload: str) -> DataFrame:
+    """The same with sequential tokens. Only texts with something to report or change are shuffled back to their
+    request. ``request_id`` must be unique."""
     parsed = parse_payloads(requests.select(request_id, payload), payload).withColumn(
         "conversation", conversation_key(F.col("_json"), F.col(request_id))
     )

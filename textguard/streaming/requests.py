@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from textguard.operators.tokens import token_key
@@ -18,6 +19,12 @@ def redact_text_stream(
     return redact_texts(stream, policy, conversation, key, text)
 
 
+def redacted_requests(stream: DataFrame, policy: Policy, key: str | None = None) -> DataFrame:
+    """Requests of a stream, redacted row by row in append mode: no state, no shuffle. ``sink`` says where a row belongs."""
+    done = redact_requests(stream, policy, key or token_key(stream.sparkSession))
+    return done.withColumn("sink", F.when(F.col("allowed"), "allowed").otherwise("quarantine"))
+
+
 def redact_request_stream(
     stream: DataFrame,
     policy: Policy,
@@ -28,8 +35,8 @@ def redact_request_stream(
 ) -> StreamingQuery:
     """Requests in, three tables out (allowed, quarantine, audit).
 
-    A request is complete within its micro-batch, so each batch runs the batch pipeline; batches are
-    written under their own folder, which makes a replayed batch replace itself. Set the token key
+    Three tables need a step per micro-batch; where one table partitioned by ``sink`` will do, write ``redacted_requests``
+    in append mode. Batches are written under their own folder, which makes a replayed batch replace itself. Set the token key
     in the session for tokens that stay stable across restarts.
     """
     secret = key or token_key(stream.sparkSession)
