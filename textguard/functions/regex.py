@@ -118,8 +118,16 @@ def matches_sql(
     pattern, and group 1, in front of it, belongs to the piece before. (Detectors are built as SQL text: a policy has dozens of
     them, and one parse is much faster than hundreds of column calls.)
     """
+    return _matches_sql(text, sql_string(pattern), guard, labels, lead)
+
+
+def matches_of_column_sql(text: str, pattern: str, labels: dict[str, str] | None = None) -> str:
+    """The same for a column of patterns."""
+    return _matches_sql(text, f"`{pattern}`", None, labels, False)
+
+
+def _matches_sql(text: str, p: str, guard: str | None, labels: dict[str, str] | None, lead: bool) -> str:
     extra = "".join(f", '{name}', {value}" for name, value in (labels or {}).items())
-    p = sql_string(pattern)
     pieces = f"slice(split({text}, {p}, -1), 1, size(v))"
     if lead:
         pieces = f"zip_with({pieces}, regexp_extract_all({text}, {p}, 1), (piece, lead) -> piece || lead)"

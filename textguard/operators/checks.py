@@ -6,61 +6,55 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textguard.functions.arrays import bind
+from textguard.functions.literals import containing
 from textguard.operators.tokens import ANY_TOKEN
 
 # Needles up to this many characters in all are sent to every task; more are joined by shuffle.
-BROADCAST_CHARS = 32_000_000
-_RUNS = r"[\p{L}\p{N}]+"
-_GRAM = 3
+BROADCAST_CHARS = 8_000_000
+_GRAM = 4
 
 
 def leaks(bodies: DataFrame, needles: DataFrame, key: str, body: str = "body") -> DataFrame:
     """``(key, name)``: outputs that contain a needle as a fixed string; the value is not reported.
 
-    Needle and text meet in an equi-join on a mark that any text with the needle must have; the full
-    needle is checked on the pairs that meet. The mark is the needle's longest inner run of letters and
-    digits (inner runs appear whole in the text), or its first characters if it has no inner run.
+    Needles of a checked size are looked for by automata, without a shuffle. More of them meet the texts in an equi-join on a
+    mark that any text with the needle has: of the needle's pieces of four characters the one that fewest needles share. The
+    full needle is checked on the pairs that meet.
     """
     named = needles.where(F.coalesce(F.col("value"), F.lit("")) != "").select("name", "value")
-    marked = named.withColumn("mark", _inner_run("value"))
-    by_run = marked.where("mark IS NOT NULL")
-    by_gram = marked.where("mark IS NULL").withColumn("mark", F.substring("value", 1, _GRAM))
-    text = F.coalesce(F.col(body), F.lit(""))
-    out = _meeting(bodies, F.regexp_extract_all(text, F.lit(_RUNS), 0), by_run, key, body)
-    if not by_gram.isEmpty():
-        out = out.unionByName(_meeting(bodies, _grams(text), by_gram, key, body))
-    return out.distinct()
+    size = named.agg(F.coalesce(F.sum(F.char_length("value")), F.lit(0))).first()[0]
+    if size > BROADCAST_CHARS:
+        return _meeting(bodies, named, key, body).distinct()
+    rows = named.distinct().collect()
+    names = bodies.sparkSession.createDataFrame([(k, r.name) for k, r in enumerate(rows)], "_number bigint, name string")
+    strings = [(k, r.value) for k, r in enumerate(rows)]
+    found = containing(bodies.select(key, body), body, strings, "_number")
+    return found.select(key, "_number").join(F.broadcast(names), "_number").select(key, "name").distinct()
 
 
-def _inner_run(value: str) -> Column:
-    """Longest run that the needle neither begins nor ends with, else null."""
-    runs = F.regexp_extract_all(value, F.lit(_RUNS), 0)
-    begins = F.rlike(value, F.lit(r"^[\p{L}\p{N}]")).cast("int")
-    ends = F.rlike(value, F.lit(r"[\p{L}\p{N}]$")).cast("int")
-    inner = F.slice(runs, begins + 1, F.greatest(F.size(runs) - begins - ends, F.lit(0)))
-    return F.array_max(F.transform(inner, lambda r: F.struct(F.char_length(r).alias("n"), r.alias("run"))))["run"]
-
-
-def _grams(text: Column) -> Column:
-    """All pieces of one to three characters."""
+def _pieces(text: Column, shortest: int) -> Column:
+    """All pieces of ``shortest`` to four characters."""
 
     def of_length(chars: Column, n: int) -> Column:
-        return F.transform(chars, lambda _, i: F.array_join(F.slice(chars, i + 1, n), ""))
+        enough = F.slice(chars, 1, F.greatest(F.size(chars) - (n - 1), F.lit(0)))
+        return F.transform(enough, lambda _, i: F.array_join(F.slice(chars, i + 1, n), ""))
 
     return bind(
         F.split(text, ""),
-        lambda chars: F.flatten(F.array(*[of_length(chars, n) for n in range(1, _GRAM + 1)])),
+        lambda chars: F.flatten(F.array(*[of_length(chars, n) for n in range(shortest, _GRAM + 1)])),
     )
 
 
-def _meeting(bodies: DataFrame, marks: Column, needles: DataFrame, key: str, body: str) -> DataFrame:
-    each = F.explode(F.array_distinct(marks)).alias("mark")
-    holds = F.contains(F.col(body), F.col("value"))
-    size = needles.agg(F.coalesce(F.sum(F.char_length("value")), F.lit(0))).first()[0]
-    if size <= BROADCAST_CHARS:
-        return bodies.select(key, body, each).join(F.broadcast(needles), "mark").where(holds).select(key, "name")
-    pairs = bodies.select(key, each).join(needles, "mark").select(key, "name", "value").distinct()
-    return pairs.join(bodies.select(key, body), key).where(holds).select(key, "name")
+def _meeting(bodies: DataFrame, needles: DataFrame, key: str, body: str) -> DataFrame:
+    # A shorter needle is its own mark.
+    whole = F.char_length("value") < _GRAM
+    marks = F.when(whole, F.array("value")).otherwise(F.array_distinct(_pieces(F.col("value"), _GRAM)))
+    pieces = needles.select("name", "value", F.explode(marks).alias("mark"))
+    sharing = pieces.groupBy("mark").agg(F.count(F.lit(1)).alias("n"))
+    rarest = pieces.join(sharing, "mark").groupBy("name", "value").agg(F.min_by("mark", F.struct("n", "mark")).alias("mark"))
+    each = F.explode(F.array_distinct(_pieces(F.coalesce(F.col(body), F.lit("")), 1))).alias("mark")
+    pairs = bodies.select(key, each).join(rarest, "mark").select(key, "name", "value").distinct()
+    return pairs.join(bodies.select(key, body), key).where(F.contains(F.col(body), F.col("value"))).select(key, "name")
 
 
 def replay_failures(results: DataFrame, expectations: DataFrame, key: str) -> DataFrame:

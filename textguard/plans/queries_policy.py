@@ -20,6 +20,7 @@ from textguard.operators.rules import (
     RULE_SCHEMA,
     actions_for,
     layered_actions,
+    rule_hits,
     rule_problems,
     rules_from_packs,
     what_if,
@@ -153,14 +154,48 @@ def rule_pack_union(spark, folder):
     f"""WITH r AS ({_PART_RULES}), layers AS (
       SELECT category, action, 0 AS layer, CAST(0 AS BIGINT) AS place FROM {_values(list(DEFAULT_ACTIONS.items()), 'category, action')}
       UNION ALL SELECT p_brand, 'audit', 1, 0 FROM (SELECT DISTINCT p_brand FROM part) AS b
-      UNION ALL SELECT category, action, 2, place FROM r WHERE action IS NOT NULL AND place % 40 = 1)
+      UNION ALL SELECT category, action, 2, place FROM r WHERE action IS NOT NULL)
       SELECT category, arg_max(action, layer * CAST(1000000000000 AS BIGINT) + place) AS action FROM layers GROUP BY category""",
 )
 def layered(spark, folder):
     defaults = spark.createDataFrame(list(DEFAULT_ACTIONS.items()), "category string, action string")
     rules = _part_rules(spark, folder)
     brands = rules.select("category", F.lit("audit").alias("action")).distinct()
-    return layered_actions(defaults, brands, rules.where(F.col("place") % 40 == 1))
+    return layered_actions(defaults, brands, rules)
+
+
+# A long pack: every word of the texts' benchmark and of the parts' names as a pattern or a keyword, and every customer's name.
+_PACK_WORDS = """SELECT DISTINCT w FROM (SELECT explode(split(lower(text), '[^a-z]+')) AS w FROM benchmark
+  UNION ALL SELECT explode(split(lower(p_name), '[^a-z]+')) FROM part) WHERE length(w) >= 3"""
+_PACK_WORDS_SQL = """SELECT DISTINCT w FROM (SELECT unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS w FROM benchmark
+  UNION ALL SELECT unnest(regexp_split_to_array(lower(p_name), '[^a-z]+')) FROM part) AS u WHERE length(w) >= 3"""
+
+
+def _pack(spark, folder):
+    for name in ("benchmark", "part", "customer"):
+        table(spark, folder, name).createOrReplaceTempView(name)
+    missing = "CAST(NULL AS STRING) AS category, CAST(NULL AS STRING) AS action, CAST(NULL AS STRING) AS severity"
+    more = "CAST(NULL AS STRING) AS token_prefix, CAST(NULL AS BOOLEAN) AS audit_only"
+    return spark.sql(f"""
+      SELECT 'word.' || w AS id, 'regex' AS type, '\\\\b' || w || '\\\\b' AS pattern, CAST(NULL AS ARRAY<STRING>) AS values, {missing}, {more}
+      FROM ({_PACK_WORDS})
+      UNION ALL SELECT 'customer.' || CAST(c_custkey AS STRING), 'keyword', NULL, array(c_name, 'cust' || CAST(c_custkey AS STRING) || '!'), {missing}, {more}
+      FROM customer""")
+
+
+@query(
+    "rule_pack_hits",
+    f"""WITH t AS (SELECT id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')) AS w FROM ({DOCUMENTS_SQL}) AS d),
+        k AS (SELECT 'customer.' || CAST(c_custkey AS VARCHAR) AS rule_id, unnest([lower(c_name), 'cust' || CAST(c_custkey AS VARCHAR) || '!']) AS v
+              FROM customer)
+        SELECT id, 'word.' || w AS rule_id, count(*) AS n FROM t SEMI JOIN ({_PACK_WORDS_SQL}) AS p ON p.w = t.w GROUP BY ALL
+        UNION ALL SELECT id, rule_id, sum((length(text) - length(replace(lower(text), v, ''))) // length(v))::BIGINT
+        FROM ({DOCUMENTS_SQL}) AS d JOIN k ON contains(lower(d.text), k.v) GROUP BY ALL""",
+)
+def rule_pack_hits(spark, folder):
+    """A rule table of thousands of rules over all documents: how often each rule finds something in each."""
+    found = rule_hits(documents(spark, folder), _pack(spark, folder), "id")
+    return found.groupBy("id", "rule_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 # -- decisions and audit ------------------------------------------------------------------------
@@ -334,6 +369,19 @@ def external_hit_labels(spark, folder):
 # -- checks -------------------------------------------------------------------------------------
 
 
+@query(
+    "leak_check_seeded",
+    f"""SELECT t.id, 'user' || CAST(n.conv_id AS VARCHAR) AS name FROM ({SEEDED_SQL}) AS t
+        JOIN (SELECT DISTINCT conv_id FROM conversations) AS n ON contains(t.text, 'user' || CAST(n.conv_id AS VARCHAR) || '@example.com')""",
+)
+def leak_check_seeded(spark, folder):
+    """Every address that the turns may hold, looked for in all unredacted turns."""
+    turns = seeded_turns(spark, folder)
+    name = F.concat(F.lit("user"), F.col("conv_id").cast("string"))
+    needles = turns.select(name.alias("name"), F.concat(name, F.lit("@example.com")).alias("value")).distinct()
+    return leaks(turns, needles, "id", "text")
+
+
 @query(
     "leak_check",
     """SELECT d.doc_id AS id, CAST(b.item_id AS VARCHAR) AS name
