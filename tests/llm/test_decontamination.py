@@ -64,6 +64,23 @@ def test_blocks_give_the_same(docs, items, prose, monkeypatch):
     assert {(r.doc_id, i.item_id) for r in with_leaks(df, benchmark, output="f").collect() for i in r.f} == one == {(k, k) for k in range(12)}
 
 
+def test_text_ids_and_parts_in_turn(spark, docs, prose, monkeypatch):
+    texts = [" ".join(prose(25)) for _ in range(12)]
+    benchmark = spark.createDataFrame([(f"item-{k}", t) for k, t in enumerate(texts)], "item_id string, text string")
+    monkeypatch.setattr(dc.read_items, "__defaults__", (2,))
+    monkeypatch.setattr(dc, "PASS_BLOCKS", 2)
+    df = docs([" ".join(prose(20)) + " " + t for t in texts]).repartition(1)
+    rows = with_leaks(df, benchmark, output="leaks").collect()  # a column of that name is there already
+    assert {(r.doc_id, i.item_id) for r in rows for i in r.leaks} == {(k, f"item-{k}") for k in range(12)}
+
+
+def test_short_items_stand_word_after_word(spark, docs):
+    benchmark = spark.createDataFrame([(1, "never eat yellow snow")], "item_id long, text string")
+    rows = ["you should never eat yellow snow here", "never do eat yellow or white snow", "Never EAT, yellow; snow!"]
+    got = with_leaks(docs(rows), benchmark, output="f").orderBy("doc_id").collect()
+    assert [len(r.f) for r in got] == [1, 0, 1]
+
+
 def test_empty_tables(docs, items):
     _, benchmark = items
     df = docs(["some text"])

@@ -3,7 +3,8 @@
 1. Inverse document frequencies come from all documents (terms hashed to ``TERM_BITS`` bits).
 2. A randomised SVD of the TF-IDF matrix of benchmark passages gives the latent space of a block: a task multiplies
    the block's rows with a sketch, and the small factorisations run on the driver. The rank is the number of passages of
-   the block, so the space keeps all of every passage, however many items the benchmark has.
+   the block: spaces of lower rank lost verbatim copies once a block had more passages than dimensions. At full rank the space keeps
+   all of every passage, so scores equal those of the plain TF-IDF rows.
 3. Windows of every whole document are folded into the space, and their cosine with every passage is taken. The
    norm of a window counts all its terms. Windows have ``WINDOWS`` words; passages shorter than the shortest have windows
    of their own length at every word, and so has every passage where its first and last word stand as far apart as in it, so
@@ -13,9 +14,11 @@
    long one alone, a shorter one (a paraphrase) if the item's answer, its last sentence, is there as well.
 
 Items are searched in blocks of at most ``BLOCK_PASSAGES`` passages (an item with more is a block of its own), and
-``PASS_BLOCKS`` blocks are broadcast together and searched in one go over the texts, which bounds what a worker holds.
+``PASS_BLOCKS`` blocks are broadcast together. A worker hashes the words of its texts once and searches one part after the other, of
+which it holds one at a time, however large the benchmark.
 
-Defined results: null and empty texts and items match nothing. Items under ``SHORT_ITEM`` words must stand there whole.
+Defined results: null and empty texts and items match nothing. Items under ``SHORT_ITEM`` words must stand there whole, word
+after word. Item ids may have any type; items with a null id are reported with it.
 Equal rows get equal results; equal items are all reported. Extra columns are kept by :func:`with_leaks`.
 """
 
@@ -47,7 +50,7 @@ MIN_ANSWER_LCS = 0.7
 SHORT_ITEM = 8
 BLOCK_PASSAGES = 192
 PASS_BLOCKS = 8
-LEAK = "array<struct<item_id:bigint,cosine:double,lcs:double,answer:boolean>>"
+LEAK = "array<struct<item_id:{},cosine:double,lcs:double,answer:boolean>>"
 
 
 def inverse_frequencies(docs: DataFrame) -> np.ndarray:
@@ -77,7 +80,7 @@ def inverse_frequencies(docs: DataFrame) -> np.ndarray:
 
 @dataclass
 class Item:
-    item_id: int
+    item_id: object
     words: np.ndarray
     answer: np.ndarray
 
@@ -124,7 +127,7 @@ def _passages(words: np.ndarray) -> range:
 
 def read_items(benchmark: DataFrame, block: int = BLOCK_PASSAGES) -> Iterator[list[Item]]:
     """Items in blocks of at most ``block`` passages, or of one item with more."""
-    rows = benchmark.where("text IS NOT NULL").select(F.col("item_id").cast("bigint"), "text").distinct().toLocalIterator()
+    rows = benchmark.where("text IS NOT NULL").select("item_id", "text").distinct().toLocalIterator()
     part: list[Item] = []
     held = 0
     for item_id, text in rows:
@@ -205,6 +208,13 @@ def lcs_length(a: np.ndarray, b: np.ndarray) -> int:
     return len(a) - row.bit_count()
 
 
+def _stands(item: np.ndarray, region: np.ndarray) -> bool:
+    """All words of an item stand in a region, one after the other."""
+    if len(region) < len(item):
+        return False
+    return bool((np.lib.stride_tricks.sliding_window_view(region, len(item)) == item).all(axis=1).any())
+
+
 def _own_windows(space: Space, rows: np.ndarray, text_end: np.ndarray, every: np.ndarray, min_cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Start, end and vectors to compare, of windows as long as a passage."""
     known = np.concatenate([[0], (rows >= 0).cumsum()])
@@ -321,9 +331,10 @@ def leaks_of(space: Space, words: np.ndarray, begin: np.ndarray, min_cosine: flo
                 regions[-1][1] = max(regions[-1][1], hi)
             else:
                 regions.append([lo, hi])
-        best, best_answer = 0, False
+        best, best_answer, whole = 0, False, False
         for lo, hi in regions:
             region = words[lo:hi]
+            whole = whole or (size < SHORT_ITEM and _stands(item.words, region))
             # The subsequence cannot be longer than the number of the item's words that stand there at all.
             if int(np.isin(item.words, region).sum()) < min(MIN_PARAPHRASE_LCS, MIN_LCS) * size:
                 continue
@@ -333,7 +344,7 @@ def leaks_of(space: Space, words: np.ndarray, begin: np.ndarray, min_cosine: flo
                 best, best_answer = max((best, best_answer), (common, answer))
         share = best / size
         if size < SHORT_ITEM:
-            leak = best == size
+            leak = whole
         else:
             leak = share >= MIN_LCS or (share >= MIN_PARAPHRASE_LCS and best_answer)
         if leak:
@@ -341,31 +352,38 @@ def leaks_of(space: Space, words: np.ndarray, begin: np.ndarray, min_cosine: flo
     return out
 
 
-def _search(spaces: Broadcast, text: str) -> Column:
+def _search(parts: list[Broadcast], text: str, kind: str) -> Column:
     """Leaks of each text of a column; only the texts go through Python."""
     names = ("item_id", "cosine", "lcs", "answer")
 
-    @F.pandas_udf(LEAK)
+    @F.pandas_udf(kind)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             texts = batch.tolist()
-            out: list[list[dict]] = []
-            for lo, hi in in_chunks(texts):
-                words, begin = word_hashes(texts[lo:hi], letters_only=True)
-                found = [leaks_of(space, words, begin) for space in spaces.value]
-                out += [[dict(zip(names, leak, strict=True)) for leaks in per_text for leak in leaks] for per_text in zip(*found, strict=True)]
+            hashed = [word_hashes(texts[lo:hi], letters_only=True) for lo, hi in in_chunks(texts)]
+            out: list[list[dict]] = [[] for _ in texts]
+            for part in parts:
+                for space in part.value:
+                    at = 0
+                    for words, begin in hashed:
+                        for leaks in leaks_of(space, words, begin):
+                            out[at] += [dict(zip(names, leak, strict=True)) for leak in leaks]
+                            at += 1
+                if len(parts) > 1:
+                    del part._value  # read again from the task's disk for the next texts
             yield pd.Series(out, dtype=object)
 
     return run(text)
 
 
 def with_leaks(docs: DataFrame, benchmark: DataFrame, output: str = "leaks") -> DataFrame:
-    """Documents with all their columns and an array of leaks."""
+    """Documents with all their columns and an array of leaks, as ``output`` (a column of that name is replaced)."""
     spark = docs.sparkSession
+    kind = LEAK.format(benchmark.schema["item_id"].dataType.simpleString())
     idf = inverse_frequencies(docs)
     spaces = (latent_space(spark, items, idf) for items in read_items(benchmark))
-    parts = [_search(spark.sparkContext.broadcast(part), "text") for part in chunks(spaces, PASS_BLOCKS)]
-    return docs.withColumn(output, F.concat(F.array().cast(LEAK), *parts))
+    parts = [spark.sparkContext.broadcast(part) for part in chunks(spaces, PASS_BLOCKS)]
+    return docs.withColumn(output, _search(parts, "text", kind) if parts else F.array().cast(kind))
 
 
 def remove_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
