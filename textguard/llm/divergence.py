@@ -5,7 +5,7 @@ each task turns its documents into counts per (language, source, chunk). Every g
 tokenized once, and its terms are joined back to the counts.
 
 Documents that hold a term cannot be added up over chunks, as a document may hold a term in several. They
-need not be told apart where one chunk of a source alone is in enough documents, nor where all chunks together are in too few. For the
+need not be told apart where one chunk alone is in enough documents of the language, nor where all chunks together are in too few. For the
 terms in between, a second pass over the documents lists which of them hold the chunks of those terms (found by a fixed-size filter, then
 by a join), and distinct documents are counted.
 
@@ -34,8 +34,8 @@ MIN_DOCS = 10
 TOP_TERMS = 10
 BILLION = 1_000_000_000
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
-BATCH_WORDS = 3_000_000  # chunks, and
-BATCH_BYTES = 24 << 20  # bytes of text that a task counts together
+BATCH_WORDS = 1_500_000  # chunks, and
+BATCH_BYTES = 16 << 20  # bytes of text that a task counts together
 BLOCK_TERMS = 2048
 TILE = 1 << 20
 
@@ -85,7 +85,8 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[Batch]:
 
 
 def chunk_counts(docs: DataFrame) -> DataFrame:
-    """``lang, source, chunk, occurrences, docs`` for ``docs (lang, source, text)`` without nulls."""
+    """``lang, source, chunk, occurrences, docs, lang_docs`` for ``docs (lang, source, text)`` without nulls; the last one counts the
+    language's documents with the chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in _batches(batches):
@@ -106,9 +107,10 @@ def chunk_counts(docs: DataFrame) -> DataFrame:
     schema = "lang string, source string, chunk string, occurrences bigint, docs bigint"
     parts = docs.select("lang", "source", "text").mapInArrow(run, schema)
     # Within a task the rows are summed already: nothing is gained by doing it again before the shuffle.
-    return parts.repartition("chunk").groupBy("lang", "source", "chunk").agg(
+    sums = parts.repartition("chunk").groupBy("lang", "source", "chunk").agg(
         F.sum("occurrences").alias("occurrences"), F.sum("docs").alias("docs")
     )
+    return sums.withColumn("lang_docs", F.sum("docs").over(Window.partitionBy("lang", "chunk")))
 
 
 def holders(docs: DataFrame, wanted: BitFilter) -> DataFrame:
@@ -202,7 +204,7 @@ def divergence(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP_TERMS)
     counts = scratch.store(chunk_counts(docs), "counts")
     terms = scratch.store(chunk_terms(counts.select("chunk").distinct()), "terms")
     per_term = counts.join(terms, "chunk").groupBy("lang", "source", "term").agg(
-        F.sum(F.col("occurrences") * F.col("times")).alias("n"), F.max("docs").alias("most"), F.sum("docs").alias("docs")
+        F.sum(F.col("occurrences") * F.col("times")).alias("n"), F.max("lang_docs").alias("most"), F.sum("docs").alias("docs")
     )
     per_term = scratch.store(per_term, "per-term")
     scratch.drop(counts)
