@@ -60,6 +60,21 @@ def report_header(policy: Policy) -> dict[str, str]:
     return {"profile": policy.profile, "mode": policy.mode, "detectors": switches}
 
 
+def json_lines(report: DataFrame, policy: Policy) -> DataFrame:
+    """The report for machines: one JSON object per case, with the policy that decided it. Nothing is sorted or gathered."""
+    blocked = F.when(F.col("blocked") == "-", F.array().cast("array<string>")).otherwise(F.split("blocked", ", "))
+    head = report_header(policy)
+    case = F.struct(
+        F.col("case").alias("case"),
+        F.col("allowed").alias("allowed"),
+        blocked.alias("blocked"),
+        F.col("n_findings").alias("n_findings"),
+        F.lit(head["profile"]).alias("profile"),
+        F.lit(head["mode"]).alias("mode"),
+    )
+    return report.select(F.to_json(case).alias("value"))
+
+
 def markdown_lines(report: DataFrame, policy: Policy) -> DataFrame:
     """The report as ordered lines of a markdown table: write with ``text``. Header lines are fixed;
     body lines stay distributed."""

@@ -26,9 +26,11 @@ from textguard.plans.catalog import (
     resolved_ctes,
     seeded_turns,
     spans_sql,
+    table,
 )
 from textguard.plans.redact import redact_texts
 from textguard.policy import Policy
+from textguard.sources.readers import spread
 
 _SPAN = 'id, start, "end", value'
 
@@ -226,15 +228,14 @@ def normalize_findings_documents(spark, folder):
 
 @query(
     "obfuscated_text",
-    f"SELECT id, length(replace(text, '.', '')) + 1 AS \"end\" FROM ({SEEDED_SQL}) AS s WHERE (conv_id * 7 + turn) % 8 = 7",
+    """SELECT conv_id * 1000 + turn AS id, length(replace(text, '.', '')) + 1 AS "end" FROM conversations""",
 )
 def obfuscated_text(spark, folder):
-    """Zero-width characters without any finding: the whole text is suspect. Turns without a seeded
-    value get one, and lose their full stops, as sentences that run together look like domains."""
-    plain = seeded_turns(spark, folder).where((F.col("conv_id") * 7 + F.col("turn")) % 8 == 7)
+    """Zero-width characters without any finding: the whole text is suspect. Turns hold no sensitive value by themselves; each
+    gets a zero-width character and loses its full stops, as sentences that run together look like domains."""
     bare = F.replace("text", F.lit("."), F.lit(""))
-    marked = plain.select("id", F.concat(bare, F.lit("\u200b")).alias("text"))
-    found = marked.select("id", F.inline(normalized_findings("text")))
+    turns = spread(table(spark, folder, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text"), "id")
+    found = turns.select("id", F.concat(bare, F.lit("\u200b")).alias("text")).select("id", F.inline(normalized_findings("text")))
     return found.where("category = 'obfuscated_text'").select("id", F.col("end").cast("bigint").alias("end"))
 
 

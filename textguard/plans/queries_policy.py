@@ -12,7 +12,9 @@ from textguard.operators.reports import (
     decision_summary,
     explode_findings,
     finding_counts,
+    json_lines,
     markdown_lines,
+    report_header,
     roll_up,
     size_stats,
 )
@@ -279,13 +281,28 @@ def report_summary(spark, folder):
     return case_report(cases, "id")
 
 
+_REPORT_HEAD = ["# Redaction report", "", *[f"- {k}: {v}" for k, v in report_header(_FULL).items()], "",
+                "| Case | Allowed | Blocked categories | Findings |", "|---|---|---|---|"]
+
+
 @query(
     "report_markdown",
     f"""WITH RECURSIVE {redacted_ctes(SEEDED_SQL, _FULL)} SELECT '| ' || CAST(id AS VARCHAR) || ' | ' || CAST(allowed AS VARCHAR) || ' | '
-        || CASE WHEN blocked = '' THEN '-' ELSE blocked END || ' | ' || CAST(n_findings AS VARCHAR) || ' |' AS value FROM redacted""",
+        || CASE WHEN blocked = '' THEN '-' ELSE blocked END || ' | ' || CAST(n_findings AS VARCHAR) || ' |' AS value FROM redacted
+        UNION ALL SELECT unnest([{", ".join(quoted(line) for line in _REPORT_HEAD)}])""",
 )
 def report_markdown(spark, folder):
-    return markdown_lines(report_summary(spark, folder), _FULL).where(F.rlike("value", F.lit(r"^\| [0-9]")))
+    return markdown_lines(report_summary(spark, folder), _FULL)
+
+
+@query(
+    "report_json",
+    f"""WITH RECURSIVE {redacted_ctes(SEEDED_SQL, _FULL)} SELECT CAST(to_json({{'case': id, 'allowed': allowed,
+        'blocked': CASE WHEN blocked = '' THEN [] ELSE string_split(blocked, ',') END, 'n_findings': n_findings,
+        'profile': {quoted(_FULL.profile)}, 'mode': {quoted(_FULL.mode)}}}) AS VARCHAR) AS value FROM redacted""",
+)
+def report_json(spark, folder):
+    return json_lines(report_summary(spark, folder), _FULL)
 
 
 @query(
@@ -457,6 +474,28 @@ def benign_unchanged(spark, folder):
     return changed_without_finding(done, "id")
 
 
+@query(
+    "blocked_egress_planted",
+    f"{_REDACTED} SELECT id FROM redacted WHERE NOT allowed AND conv_id % 3 = 0",
+)
+def blocked_egress_planted(spark, folder):
+    """The egress check where a third of the conversations send all they have."""
+    done = redact_texts(seeded_turns(spark, folder), _FULL, F.col("id").cast("string"), DEMO_KEY)
+    sent = done.where(F.col("redacted").isNotNull() | (F.col("conv_id") % 3 == 0))
+    return escaped_requests(done.where(~F.col("allowed")), sent, "id")
+
+
+@query(
+    "benign_changed_planted",
+    f"{_REDACTED} SELECT id FROM redacted WHERE allowed AND n_findings = 0 AND conv_id % 3 = 0",
+)
+def benign_changed_planted(spark, folder):
+    """The check of texts without findings where a third of the conversations come back changed."""
+    done = redact_texts(seeded_turns(spark, folder), _FULL, F.col("id").cast("string"), DEMO_KEY)
+    spoilt = F.when(F.col("conv_id") % 3 == 0, F.concat("redacted", F.lit("!"))).otherwise(F.col("redacted"))
+    return changed_without_finding(done.withColumn("redacted", spoilt), "id")
+
+
 @query(
     "mask_with_mode",
     f"""WITH RECURSIVE {redacted_ctes(SEEDED_SQL, mask_policy(secrets=True, rules=True))}

@@ -89,6 +89,20 @@ def token_collision_check(spark, folder):
     return collisions(_ledger(spark, folder))
 
 
+_SHORT_TOKEN_SQL = f"regexp_replace({token_sql('conversation', _FULL)}, '[0-9a-f]{{15}}\\]$', ']')"
+
+
+@query(
+    "token_collisions_planted",
+    f"""WITH RECURSIVE {_MINTED} SELECT conversation, {_SHORT_TOKEN_SQL} AS token, count(DISTINCT category || value) AS n_values
+        FROM minted GROUP BY ALL HAVING count(DISTINCT category || value) > 1""",
+)
+def token_collisions_planted(spark, folder):
+    """The collision check on tokens cut to one digit, which do collide."""
+    short = F.regexp_replace("token", r"[0-9a-f]{15}\]$", "]")
+    return collisions(_ledger(spark, folder).withColumn("token", short))
+
+
 @query(
     "restore_tokens",
     f"WITH RECURSIVE {redacted_ctes(SEEDED_SQL, _FULL, token='value')} SELECT id, redacted AS restored FROM redacted WHERE allowed",
