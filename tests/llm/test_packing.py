@@ -48,6 +48,23 @@ def test_pieces_and_sequences(docs, prose, reference):
     assert sorted(map(repr, want)) == sorted(repr((r.doc_id, r.piece, r.start, r.length, r.ids_crc32)) for r in got)
 
 
+def test_sequences_of_all_rounds_are_apart(spark, prose):
+    """Large sequence numbers of later rounds stay exact."""
+    rows = [(k, 0, 0, prose.draw.randint(1, CAPACITY), k) for k in range(400)]
+    pieces = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    sequences = defaultdict(list)
+    for r in pack(pieces, share_rows=50).collect():
+        sequences[r.sequence_id].append((r.offset, r.length))
+    assert max(sequences) > 1 << 56
+    for parts in sequences.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= CAPACITY
+    assert len(sequences) < 1.15 * sum(r[3] for r in rows) / CAPACITY
+
+
 def test_cut():
     assert cut(1, 4) == [(0, 1)] and cut(4, 4) == [(0, 4)] and cut(5, 4) == [(0, 1), (1, 5)] and cut(9, 4) == [(0, 1), (1, 5), (5, 9)]
 

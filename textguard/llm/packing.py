@@ -183,8 +183,9 @@ def _pack_round(pieces: DataFrame, shares: int, capacity: int, number: int, last
         at, offset, fill = sum_of_squares(share["length"].to_numpy(), capacity)
         base = (number << 56) + (TaskContext.get().partitionId() << 32)
         done = last | (fill[at] >= capacity - slack)
-        share["sequence_id"] = pd.Series(base + at, index=share.index).where(done).astype("Int64")
-        share["offset"] = pd.Series(offset, index=share.index).where(done).astype("Int64")
+        # Integers with nulls throughout: as floats, large sequence numbers would run together.
+        share["sequence_id"] = pd.Series(base + at, index=share.index, dtype="Int64").where(done)
+        share["offset"] = pd.Series(offset, index=share.index, dtype="Int64").where(done)
         yield share[[*columns, "sequence_id", "offset"]]
 
     return pieces.repartition(max(1, shares)).mapInPandas(run, f"{types}, sequence_id bigint, offset bigint")
