@@ -232,8 +232,13 @@ def restore_expired(spark, folder):
 
 
 def _stream(spark, folder, name):
-    schema = table(spark, folder, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+    """A table as a stream, be it one file or a folder of files."""
+    file = f"{name}.parquet"
+    rows = table(spark, folder, name)
+    source = spark.readStream.schema(rows.schema)
+    if any(path.split("/")[-2] == file for path in rows.inputFiles()):
+        return source.parquet(f"{folder}/{file}")
+    return source.option("pathGlobFilter", file).parquet(folder)
 
 
 _MASK = mask_policy(secrets=True)
