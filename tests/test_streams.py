@@ -12,7 +12,7 @@ def folder(spark, tmp_path):
     texts = [(i, f"mail user{i}@example.com from 10.1.2.{i}" if i % 2 else "nothing here") for i in range(40)]
     docs = spark.createDataFrame(texts + [(40, None)], "doc_id bigint, text string")
     docs.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
-    turns = [(i, i % 4, "user", f"turn {i}") for i in range(40)]
+    turns = [(i, i % 3, "user", f"turn {i}") for i in range(40)]
     spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string").repartition(3).write.parquet(
         f"{tmp_path}/conversations.parquet"
     )
@@ -24,3 +24,9 @@ def test_redact_stream_of_a_folder(spark, folder):
     assert len(rows) == 41
     assert rows[1]["redacted"] == "mail [PRIVATE_EMAIL_REDACTED] from [IP_ADDRESS_REDACTED]"
     assert rows[2]["redacted"] == "nothing here"
+
+
+def test_request_stream_of_a_folder(spark, folder):
+    rows = [tuple(r) for r in entry_points.queries()["stream_requests"](spark, folder).orderBy("request_id").collect()]
+    assert [r[0] for r in rows] == sorted(i * 1000 + i % 3 for i in range(40))
+    assert {sink for _, sink in rows} == {"allowed", "quarantine"}
