@@ -309,9 +309,10 @@ def _lives_of_events(spark, folder, late: bool):
     first, last = timed.agg(F.min("arrival"), F.max("arrival")).first()
     batch = F.floor((F.col("arrival") - first) / ((last - first) // _BATCHES + 1))
     timed = timed.withColumn("batch", F.when(F.expr(_LATE) if late else F.lit(False), -1).otherwise(batch))
+    spread = spark.sparkContext.defaultParallelism
     much_later = timed.agg((F.max("ts") + F.expr("INTERVAL '400' DAY")).alias("ts"))
     beat = much_later.select(F.lit(-1).cast("bigint").alias("user_id"), "ts", F.lit(None).cast("bigint").alias("event_id"))
-    parts = [timed.where(F.col("batch") == k).select(events.columns).repartition(2) for k in range(_BATCHES)] + [beat]
+    parts = [timed.where(F.col("batch") == k).select(events.columns).repartition(spread) for k in range(_BATCHES)] + [beat]
     if late:
         parts.append(timed.where("batch = -1").select(events.columns))
     undo = _rocksdb(spark)

@@ -5,14 +5,17 @@ arrive in any order within the stream's watermark delay: they wait in state unti
 passed them, so the lives do not depend on how the stream was cut into batches. What arrives later than that is
 marked ``late`` and gets no life. State holds waiting accesses and two times per live conversation; both go
 when the watermark passes them, the times a time-out after the last access.
+
+Every call to the state store goes over a socket, so a conversation makes few of them in a batch: waiting accesses are kept in
+chunks with a list per column, and a conversation has one timer.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -20,76 +23,83 @@ from textguard.operators.vault import micros
 from textguard.policy import Policy
 
 
+CHUNK_ROWS = 1000
+
+
 class EventTimeLives(StatefulProcessor):
     """Per conversation: accesses that wait (``at`` and what they carry), and start and last access of the current life."""
 
     def __init__(self, ttl_seconds: int, carried: list[tuple[str, str]]) -> None:
         self.ttl = ttl_seconds * 1_000_000
         self.names = [name for name, _ in carried]
-        self.waiting_type = ", ".join(["at bigint", *(f"`{name}` {kind}" for name, kind in carried)])
+        self.waiting_type = ", ".join(["at array<bigint>", *(f"`{name}` array<{kind}>" for name, kind in carried)])
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.waiting = handle.getListState("waiting", self.waiting_type)
         self.life = handle.getValueState("life", "start bigint, last bigint")
+        self.access = Row("conversation", "at", *self.names, "life", "late")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         now = _micros_of(timerValues)
-        for batch in rows:
-            early = batch["at"] < now
-            if early.any():
-                yield self._out(key, batch[early], None, True)
-            ready = batch[~early]
-            if len(ready):
-                plain = ready[["at", *self.names]].astype(object)
-                self.waiting.appendList([tuple(r) for r in plain.where(plain.notna(), None).itertuples(index=False)])
-        self._set_timer()
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        chunk: list[tuple] = []
+        first = None
+        for row in rows:
+            access = (row["at"], *(row[name] for name in self.names))
+            if access[0] < now:
+                yield self.access(key[0], *access, None, True)
+                continue
+            first = access[0] if first is None else min(first, access[0])
+            chunk.append(access)
+            if len(chunk) == CHUNK_ROWS:
+                self.waiting.appendValue(_columns(chunk))
+                chunk = []
+        if chunk:
+            self.waiting.appendValue(_columns(chunk))
+        if first is not None:
+            due = first // 1000 + 1
+            timers = list(self.handle.listTimers())
+            # The timer for the end of a life, or for a later access, gives way: it comes again after this one.
+            if not timers or due < min(timers):
+                for old in timers:
+                    self.handle.deleteTimer(old)
+                self.handle.registerTimer(due)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         now = _micros_of(timerValues)
-        waiting = sorted(self.waiting.get(), key=lambda r: r[0]) if self.waiting.exists() else []
-        done = [r for r in waiting if r[0] < now]
-        start, last = self.life.get() if self.life.exists() else (None, None)
-        starts = []
-        for at, *_ in done:
-            if last is None or at - last > self.ttl:
-                start = at
-            last = at
-            starts.append(start)
-        if done:
+        waiting = sorted((access for chunk in self.waiting.get() for access in zip(*chunk)), key=lambda access: access[0])
+        done = bisect_left(waiting, now, key=lambda access: access[0])
+        known = self.life.get()
+        start, last = known or (None, None)
+        for access in waiting[:done]:
+            if last is None or access[0] - last > self.ttl:
+                start = access[0]
+            last = access[0]
+            yield self.access(key[0], *access, start, False)
+        rest = waiting[done:]
+        if done and rest:
+            self.waiting.put([_columns(rest[k : k + CHUNK_ROWS]) for k in range(0, len(rest), CHUNK_ROWS)])
+        elif done:
             self.waiting.clear()
-            if rest := waiting[len(done) :]:
-                self.waiting.put([tuple(r) for r in rest])
-            yield self._out(key, pd.DataFrame([tuple(r) for r in done], columns=["at", *self.names]), starts, False)
-        if last is not None and last + self.ttl < now:
+        ended = last is not None and last + self.ttl < now
+        if ended and known:
             self.life.clear()
-        elif last is not None:
+        elif last is not None and not ended and (start, last) != known:
             self.life.update((start, last))
-        self._set_timer()
-
-    def _set_timer(self) -> None:
-        """One timer: for the first access that waits, else for the end of the life."""
-        for old in list(self.handle.listTimers()):
-            self.handle.deleteTimer(old)
-        if self.waiting.exists():
-            at = min(r[0] for r in self.waiting.get())
-        elif self.life.exists():
-            at = self.life.get()[1] + self.ttl
-        else:
-            return
-        self.handle.registerTimer(at // 1000 + 1)
-
-    def _out(self, key, rows: pd.DataFrame, lives: list | None, late: bool) -> pd.DataFrame:
-        out = rows[["at", *self.names]].copy()
-        out.insert(0, "conversation", key[0])
-        out["life"] = pd.Series(lives if lives is not None else [None] * len(rows), index=out.index, dtype="Int64")
-        out["late"] = late
-        return out
+        # One timer: for the first access that waits, else for the end of the life.
+        if rest:
+            self.handle.registerTimer(rest[0][0] // 1000 + 1)
+        elif last is not None and not ended:
+            self.handle.registerTimer((last + self.ttl) // 1000 + 1)
 
     def close(self) -> None:
         pass
 
 
+def _columns(accesses: list[tuple]) -> tuple:
+    return tuple(list(column) for column in zip(*accesses))
+
+
 def _micros_of(timerValues) -> int:
     return timerValues.getCurrentWatermarkInMs() * 1000
 
@@ -107,7 +117,7 @@ def life_stream(stream: DataFrame, conversation: str, ts: str, ttl_seconds: int,
     rows = timed.withWatermark("_time", delay).drop("_time")
     carried = [(name, kinds[name]) for name in carry]
     columns = ["conversation string", "at bigint", *(f"`{n}` {k}" for n, k in carried), "life bigint", "late boolean"]
-    return rows.groupBy("conversation").transformWithStateInPandas(
+    return rows.groupBy("conversation").transformWithState(
         statefulProcessor=EventTimeLives(ttl_seconds, carried),
         outputStructType=", ".join(columns),
         outputMode="append",
