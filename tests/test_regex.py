@@ -70,3 +70,22 @@ def test_hmac_matches_python(spark):
         plans = keyed._jdf.queryExecution().toString()
         assert not any(pad.hex().upper()[:20] in plans.upper() for pad in hmac_pads(key))
         assert row.h == hmac.new(key.encode(), "2:é:1:1".encode(), hashlib.sha256).hexdigest()
+
+
+def test_matches_are_cut_from_one_pass(spark):
+    """The pattern runs once over a text, also where a lead stands in front of the match; texts that hold the mark give the same."""
+    from textguard.functions.regex import matches_sql
+
+    texts = ["xab yab", "abab", "zz", "", "﷐ab ﷐﷐xab﷐", "ab﷐"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for pattern, lead in (("ab", False), ("(x?)(ab)", True)):
+        sql = matches_sql("t", pattern, None, {}, lead)
+        got = [r.m for r in df.selectExpr("t", f"{sql} AS m").collect()]
+        for text, m in zip(texts, got, strict=True):
+            found = list(re.finditer(pattern, text))
+            ends = [0, *(f.end() for f in found)]
+            begins = [f.start(2) if lead else f.start() for f in found]
+            want = ([text[a:b] for a, b in zip(ends, begins)], ["ab"] * len(found)) if found else None
+            assert (m and (m["pieces"], m["values"])) == want
+        plan = df.where("NOT contains(t, '﷐')").selectExpr(f"{sql} AS m")._jdf.queryExecution().analyzed().toString()
+        assert plan.count("regexp_replace(") == 1 and plan.index("CASE WHEN Contains(") < plan.index("regexp_replace(")
