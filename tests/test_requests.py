@@ -229,3 +229,25 @@ def test_leaks_report_names_only(spark, monkeypatch):
     assert found.columns == ["id", "name"]
     monkeypatch.setattr("textguard.operators.checks.BROADCAST_CHARS", 0)
     assert sorted(leaks(bodies, needles, "id").collect()) == sorted(found.collect())
+
+
+def test_tokens_are_replaced_in_place(spark):
+    from textguard.operators.jsontext import string_leaves, tokens, with_tokens
+
+    text = '{ "a" : ["x", 1, {"b": "y\\\\n"}, [], ""], "c":null, "d" : "z" }'
+    df = spark.createDataFrame([(text,)], "t string").select(tokens(F.col("t")).alias("p"))
+    places = {leaf.text: leaf.at for leaf in df.select(F.inline(string_leaves(F.col("p")))).collect()}
+    assert list(places) == ["x", "y\\n", "", "z"] and list(places.values()) == sorted(places.values())
+
+    def spelled(**new):
+        changes = F.create_map(*[F.lit(v) for k, n in new.items() for v in (places[k or ""], n)]) if new else F.expr("CAST(map() AS MAP<INT, STRING>)")
+        return df.select(with_tokens(F.col("p"), changes)).first()[0]
+
+    assert spelled() == '{"a":["x",1,{"b":"y\\\\n"},[],""],"c":null,"d":"z"}'
+    assert spelled(z='"2"', x='"1"') == '{"a":["1",1,{"b":"y\\\\n"},[],""],"c":null,"d":"2"}'
+    # Each change is made once, whatever the number of tokens.
+    made = F.transform(F.array(F.lit(places["x"])), lambda at: F.struct(at, F.lit('"new"')))
+    plan = df.select(with_tokens(F.col("p"), F.map_from_entries(made)).alias("v"))
+    assert plan.first()[0].startswith('{"a":["new",1')
+    tree = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert tree.index("transform(array(array_sort(map_entries(") >= 0

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from textguard.functions.arrays import bind
 from textguard.functions.regex import java_pattern, match_spans, sql_name, sql_string
 from textguard.operators.act import splice
 from textguard.patterns import BUILTIN, SECRETS
@@ -384,6 +385,6 @@ def obfuscated_spans_of_each(texts: pd.Series) -> pd.Series:
 def normalized_findings_of_each(texts: str) -> Column:
     """The same for every text of a column of arrays of texts."""
     doubtful = F.expr(f"transform(`{texts}`, t -> CASE WHEN {_may_be_obfuscated_sql('t')} THEN t END)")
-    some = F.when(F.exists(doubtful, lambda t: t.isNotNull()), doubtful)
+    some = bind(doubtful, lambda d: F.when(F.exists(d, lambda t: t.isNotNull()), d))
     spans = F.coalesce(obfuscated_spans_of_each(some), F.transform(texts, lambda t: F.lit(None).cast(_UDF_TYPE)))
     return F.zip_with(spans, texts, _span_findings)
