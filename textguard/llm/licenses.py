@@ -85,16 +85,18 @@ def words_column(text: str = "text"):
 def votes(docs: DataFrame, grams: DataFrame) -> DataFrame:
     """``doc_id, key, template, label, k, windows, diagonal, pos``: a row per verified k-gram vote."""
     words = docs.select("doc_id", row_key("doc_id", "text").alias("key"), words_column().alias("words"))
+    # Templates are few: only hashes that one of them has leave the text's row, which would be copied for each of its grams otherwise.
+    wanted = {k: [r["hash"] for r in grams.where(F.col("k") == k).select("hash").distinct().collect()] for k in (PHRASE_GRAM, GRAM)}
 
     def hashes(k: int):
-        # One entry per word, so that positions of both gram lengths line up; the last ones are cut short.
-        return F.transform(F.sequence(F.lit(1), F.size("words")), lambda i: F.xxhash64(F.slice("words", i, F.lit(k))))
+        # The last grams are cut short.
+        rolling = F.transform("words", lambda w, i: F.struct(i.alias("pos"), F.xxhash64(F.slice("words", i + 1, F.lit(k))).alias("hash")))
+        return F.filter(rolling, lambda g: g["hash"].isin(wanted[k]))
 
     rolled = words.where(F.size("words") > 0).select(
-        "doc_id", "key", "words", F.posexplode(F.concat(hashes(PHRASE_GRAM), hashes(GRAM))).alias("at", "hash")
+        "doc_id", "key", "words", F.inline(F.concat(hashes(PHRASE_GRAM), hashes(GRAM)))
     )
-    pos = F.pmod(F.col("at"), F.size("words"))
-    joined = rolled.join(F.broadcast(grams), "hash").withColumn("pos", pos.cast("int"))
+    joined = rolled.join(F.broadcast(grams), "hash")
     same = joined.where(F.slice("words", F.col("pos") + 1, F.col("k")) == F.col("t_words"))
     return same.select("doc_id", "key", "template", "label", "k", "windows", (F.col("pos") - F.col("t_pos")).alias("diagonal"), "pos")
 
