@@ -21,7 +21,8 @@ from textguard.llm.common import query, row_key, table
 from textguard.session import scratch_folder
 
 SHARDS = 8
-BUCKET_BYTES = 64 << 20
+# A task holds some copies of a bucket (gathered, sorted, shuffled) while shards are written.
+BUCKET_BYTES = 16 << 20
 GROUP = 1024
 
 
