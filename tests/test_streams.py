@@ -34,6 +34,25 @@ def test_request_stream_of_a_folder(spark, folder):
     assert {sink for _, sink in rows} == {"allowed", "quarantine"}
 
 
+_TURN = "conv_id bigint, turn bigint, role string, text string"
+
+
+def test_request_stream_of_other_layouts(spark, tmp_path):
+    """A table of subfolders, one without rows, and one file beside tables that are folders."""
+    requests = entry_points.queries()["stream_requests"]
+    turns = spark.createDataFrame([(i, i % 3, "user", f"turn {i}") for i in range(40)], _TURN)
+    turns.withColumn("part", turns.conv_id % 4).write.partitionBy("part").parquet(f"{tmp_path}/nested/conversations.parquet")
+    assert requests(spark, f"{tmp_path}/nested").count() == 40
+    spark.createDataFrame([], _TURN).write.parquet(f"{tmp_path}/empty/conversations.parquet")
+    empty = requests(spark, f"{tmp_path}/empty")
+    assert empty.count() == 0 and empty.columns == ["request_id", "sink"]
+    turns.toPandas().to_parquet(f"{tmp_path}/empty/one.parquet")
+    (tmp_path / "mixed").mkdir()
+    (tmp_path / "empty/one.parquet").rename(tmp_path / "mixed/conversations.parquet")
+    turns.write.parquet(f"{tmp_path}/mixed/documents.parquet")
+    assert requests(spark, f"{tmp_path}/mixed").count() == 40
+
+
 def test_a_conversation_makes_few_state_calls():
     """Per batch and conversation, whatever the number of accesses, as every call goes over a socket."""
     calls = []

@@ -232,15 +232,20 @@ def restore_expired(spark, folder):
 
 
 def _stream(spark, folder, name):
-    """A table as a stream, be it one file or a folder of files."""
+    """A table as a stream, be it one file, or a folder of files or of folders of them."""
     file = f"{name}.parquet"
     rows = table(spark, folder, name)
     source = spark.readStream.schema(rows.schema)
-    if any(path.split("/")[-2] == file for path in rows.inputFiles()):
+    if any(f"/{file}/" in path for path in rows.inputFiles()):
         return source.parquet(f"{folder}/{file}")
     return source.option("pathGlobFilter", file).parquet(folder)
 
 
+def _read_sink(spark, path, written):
+    """What a stream has written; nothing, if no batch had rows."""
+    return spark.read.schema(written.schema).parquet(path)
+
+
 _MASK = mask_policy(secrets=True)
 
 
@@ -255,10 +260,10 @@ def stream_redact(spark, folder):
     # One file per batch here: without this, one task would do all the work.
     texts = texts.repartition(4 * spark.sparkContext.defaultParallelism, "id")
     done = redact_text_stream(texts, _MASK, F.col("id").cast("string"), DEMO_KEY)
-    done.select("id", "redacted", F.size("resolved").cast("bigint").alias("n_findings")).writeStream.option(
-        "checkpointLocation", f"{out}/state"
-    ).trigger(availableNow=True).start(f"{out}/rows", format="parquet").awaitTermination()
-    return spark.read.parquet(f"{out}/rows")
+    done = done.select("id", "redacted", F.size("resolved").cast("bigint").alias("n_findings"))
+    run = done.writeStream.option("checkpointLocation", f"{out}/state").trigger(availableNow=True)
+    run.start(f"{out}/rows", format="parquet").awaitTermination()
+    return _read_sink(spark, f"{out}/rows", done)
 
 
 @query(
@@ -277,7 +282,7 @@ def stream_requests(spark, folder):
     done = redacted_requests(requests, _FULL, DEMO_KEY).select("request_id", "redacted_payload", "n_findings", "sink")
     run = done.writeStream.option("checkpointLocation", f"{out}/state").trigger(availableNow=True).partitionBy("sink")
     run.start(f"{out}/rows", format="parquet").awaitTermination()
-    return spark.read.parquet(f"{out}/rows").select("request_id", "sink")
+    return _read_sink(spark, f"{out}/rows", done).select("request_id", "sink")
 
 
 def _rocksdb(spark):
