@@ -4,7 +4,7 @@ from math import exp, log
 import numpy as np
 import pytest
 
-from textguard.llm.language_id import UNKNOWN, Model, PieceTable, Scorer, _long_word, fit, predict, word_log_probs
+from textguard.llm.language_id import _LETTERS, UNKNOWN, Model, PieceTable, Scorer, _long_word, fit, letter_runs, predict, word_log_probs
 
 PIECES = {"a": (0.2, 0.1), "b": (0.1, 0.3), "ab": (0.3, 0.05), "ba": (0.05, 0.2), "aba": (0.1, 0.1), "abab": (0.02, 0.03)}
 
@@ -65,6 +65,26 @@ def test_numbers_are_no_letters(docs, model):
     assert Scorer(model).texts(["½ab²ba"])[0][1] == 4
 
 
+def test_few_tokens_need_the_pattern(model, monkeypatch):
+    class Pattern:
+        asked = []
+
+        def findall(self, text):
+            self.asked.append(text)
+            return _LETTERS.findall(text)
+
+    monkeypatch.setattr("textguard.llm.language_id._LETTERS", Pattern())
+    marked = ["(ab),", "Straße.", "AB", "12", "--", "_x_", "слово!", "İ", "a½", "½", "ab-ba", "a1b", "Ⅷ", "ªb", "e\u0301a", ""]
+    for token in marked:
+        Pattern.asked.clear()
+        got = letter_runs(token)
+        assert got == _LETTERS.findall(token.lower()), token
+        assert not Pattern.asked or not token.lower().strip("()-,.!_123").isalpha()
+    Pattern.asked.clear()
+    rows = Scorer(model).texts(["ab, (ba) ab. 12 --", "ab-ba ab"])
+    assert [n for _, n in rows] == [6, 6] and Pattern.asked == ["ab-ba"]
+
+
 def test_clashing_columns(spark, model):
     df = spark.createDataFrame([("ab ab", "mine", 7, "kept")], "text string, lang_pred string, score int, _language string")
     row = predict(df, model).first()

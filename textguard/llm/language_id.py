@@ -44,6 +44,16 @@ def _letters() -> re.Pattern:
 
 
 _LETTERS = _letters()
+_NO_LETTERS = "".join(c for c in map(chr, range(128)) if not c.isalpha())
+
+
+def letter_runs(token: str) -> list[str]:
+    """Lower-cased runs of letters; nearly all tokens are one run between marks, which needs no pattern (``isalpha`` is category L)."""
+    low = token.lower()
+    run = low.strip(_NO_LETTERS)
+    if run.isalpha():
+        return [run]
+    return _LETTERS.findall(run) if run else []
 
 
 def default_vocabulary() -> str:
@@ -227,26 +237,27 @@ class Scorer:
 
     def _learn(self, tokens: list[str]) -> None:
         """Score new tokens: the sum over their runs of letters."""
-        runs = [_LETTERS.findall(t.lower()) for t in tokens]
-        words = list({w for found in runs for w in found})
+        runs = [letter_runs(t) for t in tokens]
         # Words of similar length together, so that a group's table is no longer than its words.
-        short = sorted((w for w in words if len(w) <= LONG_WORD), key=len)
-        scores = {}
-        for at in range(0, len(short), GROUP_WORDS):
-            group = short[at : at + GROUP_WORDS]
-            scores.update(zip(group, self.table.log_probs(group), strict=True))
-        for w in words:
-            if w not in scores:
-                scores[w] = np.array(_long_word(w, self.model.pieces, self.model.unknown()))
-        first = len(self.index)
-        while len(self.rows) < first + len(tokens):
+        words = sorted({w for found in runs for w in found}, key=len)
+        scores = np.zeros((len(words), self.rows.shape[1]))
+        scores[:, -1] = np.fromiter(map(len, words), np.int64, len(words))
+        short = int(np.searchsorted(scores[:, -1], LONG_WORD, side="right"))
+        for at in range(0, short, GROUP_WORDS):
+            scores[at : min(at + GROUP_WORDS, short), :-1] = self.table.log_probs(words[at : min(at + GROUP_WORDS, short)])
+        for at in range(short, len(words)):
+            scores[at, :-1] = _long_word(words[at], self.model.pieces, self.model.unknown())
+        first, stop = len(self.index), len(self.index) + len(tokens)
+        while len(self.rows) < stop:
             self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        for at, (token, found) in enumerate(zip(tokens, runs, strict=True), start=first):
-            self.index[token] = at
-            row = self.rows[at]
-            for w in found:
-                row[:-1] += scores[w]
-                row[-1] += len(w)
+        self.index.update(zip(tokens, range(first, stop), strict=True))
+        number = dict(zip(words, range(len(words)), strict=True))
+        of_run = np.array([number[w] for found in runs for w in found], np.int64)
+        sizes = np.fromiter(map(len, runs), np.int64, len(runs))
+        some = np.flatnonzero(sizes)
+        self.rows[first:stop] = 0.0
+        if len(some):
+            self.rows[first + some] = np.add.reduceat(scores[of_run], (sizes.cumsum() - sizes)[some], axis=0)
 
     def texts(self, texts: list[str | None]) -> list[tuple[np.ndarray, int]]:
         """Log-likelihood per language, and number of letters, of each text."""
@@ -268,7 +279,7 @@ class Scorer:
     def _add(self, totals: np.ndarray, parts: list[tuple[int, list[str]]]) -> None:
         if len(self.index) > CACHE_TOKENS:
             self._clear()
-        new = {t for _, tokens in parts for t in tokens if t not in self.index}
+        new = set().union(*[tokens for _, tokens in parts]).difference(self.index)
         if new:
             self._learn(list(new))
         for k, tokens in parts:
