@@ -81,6 +81,24 @@ def test_short_items_stand_word_after_word(spark, docs):
     assert [len(r.f) for r in got] == [1, 0, 1]
 
 
+def test_the_space_is_cut_and_copies_score_the_same(spark, prose):
+    shared = [" ".join(prose(24)) for _ in range(3)]
+    texts = [f"{shared[k % 3]} {' '.join(prose(8))}" for k in range(24)] + [" ".join(prose(30)) for _ in range(3)]
+    words = [dc.word_hashes([t], letters_only=True)[0] for t in texts]
+    space = dc.latent_space(spark, [dc.Item(k, w, w[-3:]) for k, w in enumerate(words)], np.ones(1 << dc.TERM_BITS))
+    assert space.basis.shape[1] < len(texts)
+    plain = np.zeros((len(space.terms), len(words)))
+    for k, w in enumerate(words):
+        np.add.at(plain[:, k], space.rows(w), 1.0)
+    plain /= np.linalg.norm(plain, axis=0)
+    scores = space.scores()[:-1].astype(float)
+    assert abs(scores - plain).max() > 0.05
+    for k, w in enumerate(words):
+        assert scores[space.rows(w), k].sum() == pytest.approx(plain[space.rows(w), k].sum(), rel=1e-3)
+        text, begin = np.concatenate([w, w[::-1]]), np.array([0, 2 * len(w)])
+        assert k in [leak[0] for leak in dc.leaks_of(space, text, begin)[0]]
+
+
 def test_empty_tables(docs, items):
     _, benchmark = items
     df = docs(["some text"])

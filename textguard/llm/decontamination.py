@@ -2,9 +2,9 @@
 
 1. Inverse document frequencies come from all documents (terms hashed to ``TERM_BITS`` bits).
 2. A randomised SVD of the TF-IDF matrix of benchmark passages gives the latent space of a block: a task multiplies
-   the block's rows with a sketch, and the small factorisations run on the driver. The rank is the number of passages of
-   the block: spaces of lower rank lost verbatim copies once a block had more passages than dimensions. At full rank the space keeps
-   all of every passage, so scores equal those of the plain TF-IDF rows.
+   the block's rows with a sketch, and the small factorisations run on the driver. The space has the fewest leading dimensions in which
+   every passage keeps ``MIN_KEPT`` of its norm, so what passages have in common counts and what is left of each alone is cut. A
+   passage's vector is scaled by what it lost: a verbatim copy scores the same in a space of any rank.
 3. Windows of every whole document are folded into the space, and their cosine with every passage is taken. The
    norm of a window counts all its terms. Windows have ``WINDOWS`` words; passages shorter than the shortest have windows
    of their own length at every word, and so has every passage where its first and last word stand as far apart as in it, so
@@ -44,6 +44,7 @@ WINDOWS, CELL = (12, 24, 48), 3  # words; windows begin at every quarter of thei
 ITEM_WORDS = 64  # longer items are searched by passages of this length
 SLACK = 1e-3  # of the cosine: windows are chosen in float32, their cosine is then taken in float64
 MIN_COSINE = 0.4
+MIN_KEPT = 0.8
 MIN_LCS = 0.75
 MIN_PARAPHRASE_LCS = 0.5
 MIN_ANSWER_LCS = 0.7
@@ -93,7 +94,7 @@ class Space:
     idf: np.ndarray
     terms: np.ndarray  # sorted word hashes of the block's vocabulary
     basis: np.ndarray  # a row per term
-    vectors: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))  # a unit row per passage
+    vectors: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))  # a row per passage, scaled so that it scores itself as if whole
     of_vector: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # the item of each vector
     sizes: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # words of each passage
     ends: np.ndarray = field(default_factory=lambda: np.zeros((0, 2), np.int64))  # row of each passage's first and last word
@@ -152,7 +153,7 @@ def _tf_idf(space: Space, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def latent_space(spark: SparkSession, items: list[Item], idf: np.ndarray, seed: int = 1) -> Space:
-    """Randomised SVD of the items' TF-IDF rows, of as many dimensions as there are passages; a task takes the products."""
+    """Randomised SVD of the items' TF-IDF rows, cut where each passage still keeps ``MIN_KEPT``; a task takes the products."""
     terms = np.unique(np.concatenate([i.words for i in items]))
     space = Space(items, idf, terms, np.zeros((len(terms), 0)))
     passages = [(k, lo) for k, i in enumerate(items) for lo in _passages(i.words)]
@@ -186,10 +187,16 @@ def latent_space(spark: SparkSession, items: list[Item], idf: np.ndarray, seed:
     for _ in range(POWER_ROUNDS):
         basis = np.linalg.qr(product(basis))[0]
     _, turn = np.linalg.eigh(basis.T @ product(basis))
-    space.basis = (basis @ turn[:, ::-1]).astype(np.float32)
-    vectors = np.stack([(values[:, None] * space.basis[at]).sum(axis=0) for at, values in (_tf_idf(space, w) for w in words)])
+    basis = (basis @ turn[:, ::-1]).astype(np.float32)
     known.destroy()
-    space.vectors = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
+    weighted = [_tf_idf(space, w) for w in words]
+    vectors = np.stack([(values[:, None] * basis[at]).sum(axis=0) for at, values in weighted])
+    whole = np.array([(np.bincount(at, values) ** 2).sum() for at, values in weighted])
+    kept = (vectors**2).cumsum(axis=1)
+    enough = np.flatnonzero((kept >= MIN_KEPT**2 * whole[:, None]).all(axis=0))
+    rank = int(enough[0]) + 1 if len(enough) else size
+    space.basis = basis[:, :rank]
+    space.vectors = vectors[:, :rank] * (np.sqrt(whole) / np.maximum(kept[:, rank - 1], 1e-12))[:, None]
     return space
 
 
