@@ -30,8 +30,8 @@ from textguard.session import durable
 
 UNKNOWN = "und"
 MAX_PIECE = 10
-CACHE_TOKENS = 300_000
-PASS_TOKENS = 100_000  # tokens looked up together
+CACHE_TOKENS = 150_000
+PASS_TOKENS = 40_000  # tokens looked up together
 GROUP_WORDS = 4096  # words scored together
 LONG_WORD = 64
 FLOOR = 1e-9
