@@ -1,6 +1,9 @@
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
+from pyspark.sql import functions as F
+
 from textguard.llm import divergence as module
 from textguard.llm.divergence import divergence
 
@@ -83,3 +86,27 @@ def test_small_task_batches(prose):
 
 def test_empty_table(spark):
     assert check(spark, []) == []
+
+
+def test_wanted_chunks_of_documents(prose):
+    held = module.Batch()
+    for k in range(30):
+        held.add("en", "s", " ".join(prose(40)[: k % 9]).encode())
+    doc, code, _ = held.per_document()
+    wanted = np.arange(len(held.number)) % 3 == 0
+    got = held.per_document_of(wanted)
+    assert [a.tolist() for a in got] == [doc[wanted[code]].tolist(), code[wanted[code]].tolist()]
+    assert [a.tolist() for a in module.Batch().per_document_of(np.zeros(0, bool))] == [[], []]
+
+
+def test_shares_are_exact_beyond_64_bits(spark):
+    most = module.MOST_PLAIN
+    rows = [(n, t, v) for n in (0, 1, 7, most, most + 1, 10**15) for t in (n, n + 10**12) for v in (1, 40_000)]
+    got = spark.createDataFrame(rows, "n long, t long, v long").select(module.share(F.col("n"), F.col("t"), F.col("v"))).collect()
+    assert [r[0] for r in got] == [1 + module.BILLION * (n + 2) // (t + 2 * v) for n, t, v in rows]
+
+
+def test_chunks_are_counted_without_a_window(spark):
+    counts = module.chunk_counts(spark.createDataFrame([("en", "s", "a b")], "lang string, source string, text string"))
+    assert counts.columns == ["lang", "source", "chunk", "occurrences", "docs"]
+    assert "Window" not in counts._jdf.queryExecution().toString()

@@ -33,6 +33,7 @@ from textguard.llm.filters import BitFilter, bit_filter
 MIN_DOCS = 10
 TOP_TERMS = 10
 BILLION = 1_000_000_000
+MOST_PLAIN = 9_000_000_000  # counts up to it can be taken a billion times in 64 bits
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 BATCH_WORDS = 1_500_000  # chunks, and
 BATCH_BYTES = 16 << 20  # bytes of text that a task counts together
@@ -72,6 +73,14 @@ class Batch:
         return *np.divmod(pair[first], k), np.diff(first, append=len(pair))
 
 
+    def per_document_of(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place of the document and number of the chunk, of the chunks in a document that are wanted."""
+        k = max(1, len(self.number))
+        code = np.array(self.codes, np.int64)
+        at = np.flatnonzero(wanted[code]) if len(code) else code
+        return np.divmod(np.unique(np.repeat(np.arange(len(self.sizes)), self.sizes)[at] * k + code[at]), k)
+
+
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[Batch]:
     held = Batch()
     for batch in batches:
@@ -85,8 +94,7 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[Batch]:
 
 
 def chunk_counts(docs: DataFrame) -> DataFrame:
-    """``lang, source, chunk, occurrences, docs, lang_docs`` for ``docs (lang, source, text)`` without nulls; the last one counts the
-    language's documents with the chunk."""
+    """``lang, source, chunk, occurrences, docs`` for ``docs (lang, source, text)`` without nulls."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in _batches(batches):
@@ -107,10 +115,15 @@ def chunk_counts(docs: DataFrame) -> DataFrame:
     schema = "lang string, source string, chunk string, occurrences bigint, docs bigint"
     parts = docs.select("lang", "source", "text").mapInArrow(run, schema)
     # Within a task the rows are summed already: nothing is gained by doing it again before the shuffle.
-    sums = parts.repartition("chunk").groupBy("lang", "source", "chunk").agg(
+    return parts.repartition("chunk").groupBy("lang", "source", "chunk").agg(
         F.sum("occurrences").alias("occurrences"), F.sum("docs").alias("docs")
     )
-    return sums.withColumn("lang_docs", F.sum("docs").over(Window.partitionBy("lang", "chunk")))
+
+
+def sure_terms(counts: DataFrame, terms: DataFrame, min_docs: int) -> DataFrame:
+    """``lang, term`` of terms with a chunk that alone is in enough documents of the language."""
+    often = counts.groupBy("lang", "chunk").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs)
+    return often.select("lang", "chunk").join(terms.select("chunk", "term"), "chunk").select("lang", "term").distinct()
 
 
 def holders(docs: DataFrame, wanted: BitFilter) -> DataFrame:
@@ -125,9 +138,7 @@ def holders(docs: DataFrame, wanted: BitFilter) -> DataFrame:
             # The hash that Spark's xxhash64 gives.
             hashes = np.array([xxhash.xxh64_intdigest(w, 42) for w in held.number], np.uint64)
             let_through = shared.value(hashes)
-            doc, code, _ = held.per_document()
-            hit = let_through[code] if len(code) else np.zeros(0, bool)
-            doc, code = doc[hit], code[hit]
+            doc, code = held.per_document_of(let_through)
             langs = pa.array([g[0] for g in held.names], pa.string()).take(pa.array(doc))
             yield pa.RecordBatch.from_arrays([langs, held.chunks(code), pa.array(base + doc)], ["lang", "chunk", "id"])
             base += len(held.names)
@@ -141,12 +152,10 @@ def chunk_terms(chunks: DataFrame) -> DataFrame:
     return chunks.select("chunk", F.explode(found).alias("term")).groupBy("chunk", "term").agg(F.count(F.lit(1)).alias("times"))
 
 
-def kept_terms(docs: DataFrame, counts: DataFrame, terms: DataFrame, min_docs: int, scratch: Scratch) -> DataFrame:
+def kept_terms(docs: DataFrame, counts: DataFrame, sure: DataFrame, terms: DataFrame, min_docs: int, scratch: Scratch) -> DataFrame:
     """``lang, term`` of the terms in at least ``min_docs`` documents of the language, from counts per (lang, source, term)."""
-    per_term = counts.groupBy("lang", "term").agg(F.max("most").alias("most"), F.sum("docs").alias("docs"))
-    per_term = scratch.store(per_term.where(F.col("docs") >= min_docs), "candidates")
-    sure = per_term.where(F.col("most") >= min_docs).select("lang", "term")
-    unsure = per_term.where(F.col("most") < min_docs).select("lang", "term")
+    per_term = counts.groupBy("lang", "term").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs)
+    unsure = per_term.select("lang", "term").join(sure, ["lang", "term"], "left_anti")
     chunks = scratch.store(terms.select("chunk", "term").join(unsure, "term"), "unsure")
     if chunks.isEmpty():
         return sure
@@ -160,7 +169,10 @@ def share(count: Column, total: Column, kinds: Column) -> Column:
     """1 + floor(1e9 * (count + 2) / (total + 2 * kinds)), exact."""
     above = F.lit(BILLION).cast("decimal(10,0)") * (count + 2).cast("decimal(20,0)")
     below = (total + 2 * kinds).cast("decimal(20,0)")
-    return F.transform(F.array(F.struct(above.alias("a"), below.alias("b"))), lambda s: F.call_function("div", s["a"], s["b"]))[0] + 1
+    wide = F.transform(F.array(F.struct(above.alias("a"), below.alias("b"))), lambda s: F.call_function("div", s["a"], s["b"]))[0]
+    # Decimals are slow, and nearly always 64 bits are enough.
+    plain = F.call_function("div", F.lit(BILLION).cast("bigint") * (count + 2), (total + 2 * kinds).cast("bigint"))
+    return F.when(count <= MOST_PLAIN, plain).otherwise(wide) + 1
 
 
 def difference(p: str, q: str) -> Column:
@@ -204,11 +216,12 @@ def divergence(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP_TERMS)
     counts = scratch.store(chunk_counts(docs), "counts")
     terms = scratch.store(chunk_terms(counts.select("chunk").distinct()), "terms")
     per_term = counts.join(terms, "chunk").groupBy("lang", "source", "term").agg(
-        F.sum(F.col("occurrences") * F.col("times")).alias("n"), F.max("lang_docs").alias("most"), F.sum("docs").alias("docs")
+        F.sum(F.col("occurrences") * F.col("times")).alias("n"), F.sum("docs").alias("docs")
     )
     per_term = scratch.store(per_term, "per-term")
+    sure = scratch.store(sure_terms(counts, terms, min_docs), "sure")
     scratch.drop(counts)
-    kept = scratch.store(kept_terms(docs, per_term, terms, min_docs, scratch), "kept")
+    kept = scratch.store(kept_terms(docs, per_term, sure, terms, min_docs, scratch), "kept")
     found = scratch.store(per_term.select("lang", "source", "term", "n").join(kept, ["lang", "term"], "left_semi"), "found")
     scratch.drop(terms, per_term)
 
