@@ -211,3 +211,15 @@ def test_batches_are_small_only_meanwhile(spark, docs, monkeypatch):
     before = spark.conf.get(setting)
     assert classify(docs(["a b c d e f", "a b c d e f", "x"])).count() == 3
     assert seen == ["7"] and spark.conf.get(setting) == before
+
+
+def test_pairs_that_part_in_a_later_round_are_still_compared(docs, prose, monkeypatch):
+    """In a chain each document is similar to the next one only, so one pair that no cell compares cuts it."""
+    for name, value in {"LEAF": 600, "PIVOTS": 6, "MAX_ROUNDS": 2}.items():
+        monkeypatch.setattr(jaccard, name, value)
+    rows = []
+    for chain in range(12):
+        words = prose(60 + 5 * 120)
+        rows += [(1000 * chain + k, " ".join(words[5 * k : 5 * k + 60])) for k in range(120)]
+    assert similar(shingles(rows[0][1]), shingles(rows[1][1])) and not similar(shingles(rows[0][1]), shingles(rows[2][1]))
+    assert {r.component_id for r in classify(docs(rows, extra=False)).collect()} == {1000 * chain for chain in range(12)}
