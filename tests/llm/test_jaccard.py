@@ -223,3 +223,21 @@ def test_pairs_that_part_in_a_later_round_are_still_compared(docs, prose, monkey
         rows += [(1000 * chain + k, " ".join(words[5 * k : 5 * k + 60])) for k in range(120)]
     assert similar(shingles(rows[0][1]), shingles(rows[1][1])) and not similar(shingles(rows[0][1]), shingles(rows[2][1]))
     assert {r.component_id for r in classify(docs(rows, extra=False)).collect()} == {1000 * chain for chain in range(12)}
+
+
+@pytest.mark.parametrize("few", [0, 1000])
+def test_members_without_a_first_shingle_in_common_are_not_compared(prose, monkeypatch, few):
+    monkeypatch.setattr(jaccard, "FEW", few)
+    draw = prose.draw
+    for _ in range(5):
+        groups = many_sets(draw, 80)
+        got = join_members(sets_of(groups), np.ones(80, bool))
+        every = [(i, j) for i in range(80) for j in range(i) if similar(groups[i], groups[j])]
+        assert all(similar(groups[a], groups[b]) for a, b in got) and parts(80, got) == parts(80, every)
+    # Sets with a passage in common and nothing else.
+    passage, compared = set(range(40)), []
+    groups = [passage | set(draw.sample(range(100, 10**9), 60)) for _ in range(200)]
+    counts = Sets.counts
+    monkeypatch.setattr(Sets, "counts", lambda self, of, wanted: compared.append(len(of)) or counts(self, of, wanted))
+    assert join_members(sets_of(groups), np.ones(200, bool)) == []
+    assert sum(compared) == 0 if few == 0 else sum(compared) > 5000

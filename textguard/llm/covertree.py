@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from textguard.llm.common import Scratch, query, table
-from textguard.llm.components import components
+from textguard.llm.components import components, joined
 
 COSINE = 0.9
 BLOCK_BYTES = 4 << 20  # coordinates of a block
@@ -208,21 +208,6 @@ class Tree:
         return np.concatenate([rows[~few], points]), np.concatenate([at[~few], np.full(len(points), -1)])
 
 
-def _joined(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Smallest place joined to each of n places by edges x - y."""
-    label = np.arange(n)
-    while True:
-        low = np.minimum(label[x], label[y])
-        new = label.copy()
-        np.minimum.at(new, label[x], low)
-        np.minimum.at(new, label[y], low)
-        while not np.array_equal(further := new[new], new):
-            new = further
-        if np.array_equal(new, label):
-            return label
-        label = new
-
-
 class DualTraversal:
     """Links between the points of two trees (or within one): counts of linked weight per point, and edges that join what links join."""
 
@@ -242,7 +227,7 @@ class DualTraversal:
         self.y.append(y)
         self.kept += len(x)
         if self.kept > max(1 << 20, 4 * self.n):
-            label = _joined(self.n, np.concatenate(self.x), np.concatenate(self.y))
+            label = joined(np.concatenate(self.x), np.concatenate(self.y), self.n)
             self.x, self.y, self.kept = [np.arange(self.n)], [label], self.n
 
     def _found(self, i: np.ndarray, j: np.ndarray) -> None:
@@ -339,7 +324,7 @@ class DualTraversal:
         if not self.x:
             none = np.zeros(0, np.int64)
             return none, none, none
-        label = _joined(self.n, np.concatenate(self.x), np.concatenate(self.y))
+        label = joined(np.concatenate(self.x), np.concatenate(self.y), self.n)
         some = np.flatnonzero(self.links)
         return pids[some], self.links[some], pids[label[some]]
 
