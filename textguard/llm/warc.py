@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textguard.llm.common import query, table
-from textguard.session import durable, scratch_folder
+from textguard.session import durable, filesystem, scratch_folder
 
 INDEX = "archive string, offset bigint, length bigint, page_id bigint, url string, digest string, record_type string"
 RANGE_BYTES = 8 << 20
@@ -37,13 +37,6 @@ RANGE_GAP = 64 << 10
 RECORD_DATE = "2000-01-01T00:00:00Z"
 
 
-def filesystem(uri: str):
-    """File system and path of a URI; archives live in the shared folder, which may be local or remote."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri.removeprefix("file:"))
-
-
 def payload_digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
