@@ -121,3 +121,23 @@ def test_cells_far_apart_or_near_are_settled_by_their_radius(spark, monkeypatch)
     rows = [(k, v.tolist()) for k, v in enumerate(tight)] + [(100 + k, [0.0, 1.0, 0.001 * k]) for k in range(90)]
     got = check(spark, rows)
     assert [r[1:3] for r in got if r[0] < 100] == [(89, 0)] * 90 and [r[1:3] for r in got if r[0] >= 100] == [(89, 100)] * 90
+
+
+def test_trees_are_not_shuffled_with_pairs_of_blocks(spark, monkeypatch):
+    """What a task gets of a pair of blocks is their names, however many pairs a block is in."""
+    from pyspark.sql.pandas.group_ops import PandasGroupedOpsMixin
+
+    dealt = []
+    apply = PandasGroupedOpsMixin.applyInArrow
+
+    def note(self, func, schema):
+        if func.__name__ == "traverse":
+            dealt.append(dict(self._df.dtypes))
+        return apply(self, func, schema)
+
+    monkeypatch.setattr(PandasGroupedOpsMixin, "applyInArrow", note)
+    for name, value in {"LEAST_BLOCK": 20, "BLOCK_BYTES": 20 * 64, "FEW_TILES": 2}.items():
+        monkeypatch.setattr(covertree, name, value)
+    rows = [(k, v.tolist()) for k, v in enumerate(clustered(7, 200, 8, 0.35))]
+    assert check(spark, rows) == slow(rows, 0.9)
+    assert len(dealt) == 1 and "binary" not in dealt[0].values() and not any(t.startswith("array") for t in dealt[0].values())

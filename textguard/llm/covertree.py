@@ -12,7 +12,8 @@ weight. The points form one tree in two parts:
 Two trees are traversed together, from the cells down. A pair of nodes farther apart than both covering radii plus tau holds no link
 and is left; one whose farthest points must be within tau is linked as a whole, without looking at points; all others
 are opened. What ends in points is decided by the cosine itself, so the result does not depend on the bounds. Per pair of blocks only
-counts per point and one edge per linked point come out, never pairs.
+counts per point and one edge per linked point come out, never pairs. Trees lie in the shared folder and are read there by the tasks
+that traverse them, a few blocks by a few blocks at a time: pairs of blocks are shuffled by name, never with their trees.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components link with nothing; neither do vectors of
 different length. Rows that repeat a vector link with each other, whatever their ids. Null ids count as larger than all others in
@@ -25,12 +26,14 @@ from math import ceil, log2, sqrt
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from textguard.llm.common import Scratch, query, table
 from textguard.llm.components import components, joined
+from textguard.session import filesystem, scratch_folder
 
 COSINE = 0.9
 BLOCK_BYTES = 4 << 20  # coordinates of a block
@@ -38,6 +41,9 @@ LEAST_BLOCK = 256  # but at least so many points
 SLICE_BYTES = 32 << 20  # coordinates that are dealt to centres in one task
 FANOUT = 64
 MAX_SPLITS = 16
+TILE = 4  # about so many blocks by blocks are traversed with one reading of their trees
+FEW_TILES = 16  # but of few blocks each has its own
+MOST_TASKS = 5000
 SLACK = 1e-6  # covers the rounding of distances; only lets more pairs be opened
 LEAF = 8
 FEW = 32  # nodes of so many points are opened before they are compared: bounds would cost more than they save
@@ -136,7 +142,8 @@ def upper_tree(points: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFram
         added = centres.join(radius, "child").select(F.col("child").alias("cell"), F.col("cell").alias("parent"), "centre", "radius")
         cells = scratch.store(cells.unionByName(added), "cells")
         moved = placed.join(near, "pid", "left").select("pid", "unit", "weight", F.coalesce("child", "cell").alias("cell"))
-        placed = scratch.store(moved, "placed")
+        before, placed = placed, scratch.store(moved, "placed")
+        scratch.drop(big, centres, near, *[before] * (number > 0))
         number += 1
 
 
@@ -329,6 +336,9 @@ class DualTraversal:
         return pids[some], self.links[some], pids[label[some]]
 
 
+TREE = ["units", "pids", "weights", "nodes"]
+
+
 def _planted(points: pa.Table) -> pa.Table:
     """The tree of one block."""
     points = points.sort_by("pid")
@@ -338,8 +348,9 @@ def _planted(points: pa.Table) -> pa.Table:
     weights = points.column("weight").to_numpy()[order]
     cell = points.column("cell")[0].as_py()
     values = [cell, int(weights.sum()), int(pids[0]), units[order].tobytes(), pids.tobytes(), weights.tobytes(), nodes.tobytes()]
-    kinds = [pa.string(), pa.int64(), pa.int64(), *[pa.binary()] * 4]
-    names = ["cell", "total", "first", "units", "pids", "weights", "nodes"]
+    values.append(cell)
+    kinds = [pa.string(), pa.int64(), pa.int64(), *[pa.binary()] * 4, pa.string()]
+    names = ["cell", "total", "first", *TREE, "name"]
     return pa.table({n: pa.array([v], k) for n, v, k in zip(names, values, kinds, strict=True)})
 
 
@@ -372,20 +383,36 @@ def links(points: DataFrame, cosine: float, scratch: Scratch) -> DataFrame:
     that it is joined to. Parts have to be added up."""
     tau = sqrt(2 - 2 * cosine)
     placed, cells, splits = upper_tree(points, scratch)
-    schema = "cell string, total bigint, first bigint, units binary, pids binary, weights binary, nodes binary"
-    trees = scratch.store(placed.groupBy("cell").applyInArrow(_planted, schema), "trees")
+    schema = "cell string, total bigint, first bigint, units binary, pids binary, weights binary, nodes binary, name string"
+    folder = scratch_folder(points.sparkSession, "covertree-trees")
+    planted = placed.groupBy("cell").applyInArrow(_planted, schema)
+    planted.select("name", "total", "first", *TREE, F.col("cell")).write.partitionBy("cell").parquet(folder)
+    trees = points.sparkSession.read.schema("name string, total bigint, first bigint").parquet(folder)
+    trees = trees.select(F.col("name").alias("cell"), "total", "first")
     pairs = block_pairs(cells, splits, tau, scratch)
 
-    def traverse(pair: pa.Table) -> pa.Table:
-        rows = pair.sort_by("cell").to_pylist()
-        two = [Tree(r["units"], r["pids"], r["weights"], r["nodes"]) for r in rows]
-        work = DualTraversal(two[0], two[1] if len(two) > 1 else None, cosine)
-        work.run()
-        return pa.table(dict(zip(("pid", "links", "joined"), work.rows(), strict=True)))
-
-    opened = pairs.where("NOT whole").select("a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("cell"))
-    both = opened.join(trees.drop("total", "first"), "cell")
-    found = both.groupBy("a", "b").applyInArrow(traverse, "pid bigint, links bigint, joined bigint")
+    def traverse(tile: pa.Table) -> pa.Table:
+        files, path = filesystem(folder)
+        found, at_hand = [], {}
+        for a, b in sorted(zip(tile.column("a").to_pylist(), tile.column("b").to_pylist(), strict=True)):
+            # A tile needs the trees of one block of its rows and of those of its columns at a time.
+            wanted = {a, *tile.column("b").to_pylist()}
+            at_hand = {cell: tree for cell, tree in at_hand.items() if cell in wanted}
+            for cell in {a, b} - set(at_hand):
+                row = pq.read_table(f"{path}/cell={cell}", filesystem=files, columns=TREE, partitioning=None).to_pylist()[0]
+                at_hand[cell] = Tree(*[row[c] for c in TREE])
+            work = DualTraversal(at_hand[a], None if a == b else at_hand[b], cosine)
+            work.run()
+            found.append(pa.table(dict(zip(("pid", "links", "joined"), work.rows(), strict=True))))
+        return pa.concat_tables(found)
+
+    blocks = trees.count()
+    tiles = max(-(-blocks // TILE), min(blocks, FEW_TILES), 1)
+    tile_a, tile_b = (F.pmod(F.xxhash64(c), F.lit(tiles)).alias(f"tile_{c}") for c in ("a", "b"))
+    opened = pairs.where("NOT whole").select("a", "b", tile_a, tile_b)
+    # Pairs are small and their work is not, so tasks are counted by pairs of tiles and not by bytes.
+    tasks = min(tiles * tiles, MOST_TASKS)
+    found = opened.repartition(tasks, "tile_a", "tile_b").groupBy("tile_a", "tile_b").applyInArrow(traverse, "pid bigint, links bigint, joined bigint")
     # Blocks linked as a whole: every point of the one with every point of the other.
     whole = pairs.where("whole").select("a", "b")
     whole = whole.unionByName(whole.select(F.col("b").alias("a"), F.col("a").alias("b")))
